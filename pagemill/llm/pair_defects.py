@@ -1,17 +1,20 @@
 """Problem 4: prompts and responses that do not belong together or are broken, with every defect a record has.
 
-Ordered rules look at the answer and the explanation apart.  All of them are column expressions; what a word is,
-and after which words more must follow, is counted over the whole bank.
+Ordered rules look at the answer and the explanation apart, over Arrow batches.  What a word is, and after which
+words more must follow, is counted over the whole bank; only the last words of texts without a stop meet that
+vocabulary, in a join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE = "[\\\\s\\u000B\\u001C-\\u001F\\u0085\\u00A0\\u1680\\u2000-\\u200B\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 #: What stands for "nothing here", without punctuation and in lower case.
 NOTHING = (
     "n a", "na", "none", "null", "nil", "nan", "tbd", "tba", "tbc", "todo", "no answer", "no answer given", "not given", "not available", "not applicable", "not provided", "unknown", "blank", "empty", "missing",
@@ -64,52 +67,124 @@ DRESS = "the question is was asks asked you we i answer answering to about that
 OFTEN = 20
 
 
-def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "), " "), lambda w: w != "")
-
-
-def _wrapped(words: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
-
-
-def _letters(text: Column, script: str) -> Column:
-    return F.length(F.regexp_replace(text, rf"[^{script}]", ""))
-
-
-def _common(words: Column, lang: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*dict.fromkeys(COMMON[lang].split()))))
-
-
-def language(text: Column, words: Column) -> Column:
-    """The language of a text, or null if it can't be told: by script, else by the common words, one language leading clearly."""
-    hits = {k: _common(words, k) for k in COMMON}
-    first = F.sort_array(F.array(*(F.struct(n.alias("n"), F.lit(k).alias("k")) for k, n in hits.items())), asc=False)
-    latin, cyrillic, han = (_letters(text, s) for s in (r"\p{IsLatin}", r"\p{IsCyrillic}", r"\p{IsHan}"))
-    by_words = F.when((first[0]["n"] > 0) & (first[0]["n"] > first[1]["n"]), first[0]["k"])
-    return F.when((cyrillic > latin) & (cyrillic > 2), "ru").when((han * 2 > latin) & (han > 1), "zh").otherwise(by_words)
-
-
-def _hits(words: Column, lang: Column) -> Column:
-    return reduce(lambda x, k: x.when(lang == k, _common(words, k)), COMMON, F.when(lang.isNull(), 0)).otherwise(0)
-
-
-def _ends(sentences_of: list[Column], whole: Column) -> Column:
-    """An array of structs (word, last): every word of the texts, and whether it ends a sentence, or in ``whole`` a phrase known as complete."""
-    sentence = lambda s: F.split(s, r"(?<=[.!?])[\"”»’')\]]* ")
-    marked = lambda s: F.concat(s, F.lit("."))
-    parts = F.concat(F.flatten(F.transform(F.array(*sentences_of), sentence)), F.transform(whole, marked))
-
-    def of(part: Column) -> Column:
-        words = F.filter(F.split(F.regexp_replace(part, r"[^\p{L}\p{M}]+", " "), " "), lambda w: w != "")
-        last = F.when(part.rlike(r"\p{L}[\"”»’')\]]*[.!?][\"”»’')\]]*$"), F.size(words)).otherwise(-1)
-        cut = F.when(part.rlike(r"[.!?][\"”»’')\]]*$"), F.size(words)).otherwise(F.size(words) - 1)
-        return F.transform(F.slice(words, 1, F.greatest(cut, F.lit(0))), lambda w, i: F.struct(w.alias("word"), (i + 1 == last).alias("last")))
-
-    return F.flatten(F.transform(parts, of))
+_NOTHING, _DRESS, _OPEN = frozenset(NOTHING), frozenset(DRESS), frozenset(OPEN_WORDS)
+_COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
+_NAMED = {k: regex.compile(rf"(?i)(?<!\pL)(?:{v})(?!\pL)") for k, v in NAMES.items()}
+_REFUSAL = regex.compile("|".join(f"(?:{r})" for r in REFUSALS))
+_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_PURE = regex.compile(r"[\p{L}\p{M}]+")
+_QUOTED = regex.compile("[\"“„«][^\"“”„«»]*[\"”“»]")
+_CLOSERS = "\"”»’')]"
+_STOPS = ".!?。！？"
+_SENTENCE = regex.compile(rf"(?<=[.!?][{regex.escape(_CLOSERS)}]*) ")
+
+
+def _flat(text: str | None) -> str:
+    return " ".join((text or "").replace("\u200b", " ").replace("\ufeff", " ").split())
+
+
+def language(text: str, words: list[str]) -> str | None:
+    """The language of a text, or None if it can't be told: by script, else by the common words, one language leading."""
+    latin, cyrillic, han = (len(regex.findall(rf"\p{{Is{s}}}", text)) for s in ("Latin", "Cyrillic", "Han")) if not text.isascii() else (1, 0, 0)
+    if cyrillic > max(latin, 2):
+        return "ru"
+    if han * 2 > latin and han > 1:
+        return "zh"
+    hits = sorted(((sum(w in own for w in words), k) for k, own in _COMMON.items()), reverse=True)
+    return hits[0][1] if hits[0][0] > hits[1][0] else None
+
+
+def _wrapped(words: list[str]) -> str:
+    return "".join(f" {w} " for w in words)
+
+
+def copies(text: str, words: list[str], q_words: list[str]) -> bool:
+    """Whether the text only gives the question, or most of it, back, in whatever dress."""
+    if len(q_words) < 3 or len(words) < 3:
+        return False
+    given, whole = _wrapped(words), _wrapped(q_words)
+    if whole in given:
+        return all(w in _DRESS for w in given.replace(whole, " ").split())
+    return len(words) > 4 and given in whole and (text.rstrip(_CLOSERS).endswith("?") or len(words) * 2 > len(q_words))
+
+
+def refuses(text: str) -> bool:
+    """Whether the text declines to answer; what it only quotes doesn't count."""
+    rest = _QUOTED.sub(" ", text)
+    said = (rest if len(_WORD.findall(rest)) > 2 else text).lower()
+    return bool(_REFUSAL.search(regex.sub("[’`´]", "'", said).strip()))
+
+
+def ends_openly(text: str) -> tuple[bool, str]:
+    """(whether more must follow for sure, else the last word if there is no stop after it)."""
+    bare = text.rstrip(" .…")
+    if text.rstrip(_CLOSERS)[-1:] in _STOPS and not text.endswith(".."):
+        return False, ""
+    if sum(bare.count(c) for c in "([{") > sum(bare.count(c) for c in ")]}") or bare[-1:] in ",;:-–—":
+        return True, ""
+    tail = regex.search(r"[\p{L}\p{M}]+$", bare)
+    return (True, "") if tail and tail[0].lower() in _OPEN else (False, tail[0] if tail else "")
+
+
+def defects(question: str | None, options: list[str | None] | None, answer: str | None, explanation: str | None) -> Iterator[tuple[str, str | None]]:
+    """Each (defect, None) of one record, and ("truncated", last word) where the vocabulary has to tell."""
+    asked = _flat(question)
+    q_words = _WORD.findall(asked.lower())
+    q_lang = language(asked, q_words)
+    offered = {_flat(o).lower() for o in options or ()}
+    complete = {o.rstrip(".…") for o in offered}
+    for part, raw in ("answer", answer), ("explanation", explanation):
+        text = _flat(raw)
+        words = _WORD.findall(text.lower())
+        is_option = part == "answer" and text.lower() in offered
+        if not words or " ".join(words) in _NOTHING and not is_option:
+            yield "empty_answer", None
+        elif copies(text, words, q_words):
+            yield "copies_question", None
+        elif refuses(text):
+            yield "refusal", None
+        else:
+            lang = language(text, words)
+            if q_lang and lang and lang != q_lang and not _NAMED[lang].search(asked):
+                own = sum(w in _COMMON.get(q_lang, ()) for w in words)
+                if lang in ("ru", "zh") or q_lang in ("ru", "zh") or sum(w in _COMMON[lang] for w in words) > own + (own > 0):
+                    yield "other_language", None
+            if not (part == "answer" and text.lower().rstrip(".…") in complete):
+                sure, tail = ends_openly(text)
+                if sure or tail:
+                    yield "truncated", None if sure else tail
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, rows = [], []
+        for key, *record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in dict.fromkeys(defects(*record)):
+                ids.append(key)
+                rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["question_id", "defect", "tail"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words inside texts and at an end, counted within the batch."""
+    for batch in batches:
+        inside, ending = defaultdict(int), defaultdict(int)
+        for question, options, *texts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            known = [f"{_flat(o).rstrip('.…')}." for o in options or () if o]
+            for text in (question, *texts, *known):
+                for sentence in _SENTENCE.split(_flat(text)):
+                    words = _PURE.findall(sentence.lower())
+                    if words:
+                        last = words.pop()
+                        if sentence.rstrip(_CLOSERS)[-1:] in _STOPS and not sentence.endswith(".."):
+                            ending[last] += 1
+                        for w in words:
+                            inside[w] += 1
+        words = [*{**inside, **ending}]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([inside.get(w, 0) for w in words], pa.int64()), pa.array([ending.get(w, 0) for w in words], pa.int64())], ["word", "inside", "ending"])
+
+
+COLUMNS = ["question_id", "question", "options", "correct_answer", "explanation"]
 
 
 def vocabulary(questions: DataFrame) -> DataFrame:
@@ -117,74 +192,26 @@ def vocabulary(questions: DataFrame) -> DataFrame:
 
     The last word of a text without a stop counts in neither, as it may be a piece.
     """
-    texts = [_flat(F.col(c)) for c in ("question", "correct_answer", "explanation")]
-    options = F.transform(F.filter(F.coalesce("options", F.array().cast("array<string>")), lambda o: o.isNotNull()), lambda o: F.regexp_replace(_flat(o), r"[.…]+$", ""))
-    rows = questions.select(F.explode(_ends(texts, options)).alias("w")).select(F.lower("w.word").alias("word"), "w.last")
-    return rows.groupBy("word").agg(F.count_if(~F.col("last")).alias("inside"), F.count_if("last").alias("ending"))
+    counted = questions.select(COLUMNS).mapInArrow(_count, "word string, inside long, ending long")
+    return counted.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("ending").alias("ending"))
 
 
 def pair_defects(questions: DataFrame) -> DataFrame:
     """(question_id, defect), distinct: every defect of every record.
 
-    Null, empty and blank texts are empty answers; a null question or null options switch off the rules that need
-    them; repeated rows give one row.  Further columns are ignored.  Rules for one text, in this order:
-    emptiness, copied question, refusal, another language, and truncation, which an empty text cannot have.
+    Rules for one text, in this order: emptiness, copied question, refusal, then another language and truncation.
+    Null and blank texts are empty answers; a null question or null options switch off the rules that need them;
+    repeated rows give one row; further columns are ignored.  A text is truncated if a bracket stays open, if it
+    ends after a comma or a word of OPEN_WORDS, or, without a stop, after a word that never ends a sentence though
+    it is frequent, or after an unknown word with which a longer one begins.
     """
-    parts = F.array(*(F.struct(F.lit(c).alias("part"), F.col(c).alias("raw")) for c in ("correct_answer", "explanation")))
-    texts = questions.select("question_id", _flat(F.col("question")).alias("question"), F.coalesce("options", F.array().cast("array<string>")).alias("options"), F.explode(parts).alias("p"))
-    texts = texts.select("question_id", "question", "options", F.col("p.part").alias("part"), _flat(F.col("p.raw")).alias("text"))
-    texts = texts.withColumn("q_words", _words(F.col("question"))).withColumn("words", _words(F.col("text")))
-    as_option = F.exists("options", lambda o: F.lower(_flat(o)) == F.lower(F.col("text")))
-    known = F.exists("options", lambda o: F.lower(F.regexp_replace(_flat(o), r"[.…]+$", "")) == F.lower(F.regexp_replace("text", r"[.…]+$", "")))
-    empty = (F.size("words") == 0) | F.array_join("words", " ").isin(*NOTHING) & ~((F.col("part") == "correct_answer") & as_option)
-
-    whole, given = _wrapped(F.col("q_words")), _wrapped(F.col("words"))
-    rest = F.filter(F.split(F.replace(given, whole, F.lit(" ")), " "), lambda w: (w != "") & ~w.isin(*DRESS))
-    given_back = (F.size("q_words") > 2) & F.contains(given, whole) & (F.size(rest) == 0)
-    part_back = (F.size("words") > 4) & F.contains(whole, given) & (F.col("text").rlike(r"\?[\"”»’')\]]*$") | (F.size("words") * 2 > F.size("q_words")))
-    copies = given_back | part_back
-
-    unquoted = _flat(F.regexp_replace("text", "[\"“„«][^\"“”„«»]*[\"”“»]", " "))
-    said = F.lower(F.regexp_replace(F.when(F.size(_words(unquoted)) > 2, unquoted).otherwise(F.col("text")), "[’`´]", "'"))
-    refuses = reduce(lambda x, y: x | y, (said.rlike(r) for r in REFUSALS))
-
-    q_lang, t_lang = language(F.col("question"), F.col("q_words")), language(F.col("text"), F.col("words"))
-    asked = reduce(lambda x, k: x.when(F.col("t_lang") == k, F.col("question").rlike(rf"(?iu)(?<!\pL)({NAMES[k]})(?!\pL)")), NAMES, F.when(F.lit(False), False)).otherwise(False)
-    own, other = _hits(F.col("words"), F.col("q_lang")), _hits(F.col("words"), F.col("t_lang"))
-    clear = F.col("t_lang").isin("ru", "zh") | F.col("q_lang").isin("ru", "zh") | (other > own)
-    foreign = F.col("q_lang").isNotNull() & F.col("t_lang").isNotNull() & (F.col("q_lang") != F.col("t_lang")) & clear & ~asked
-
-    stopped = F.col("text").rlike(r"[.!?。！？][\"”»’')\]]*$") & ~F.col("text").rlike(r"\.\.+$")
-    bare = F.regexp_replace("text", r"[\s.…]+$", "")
-    opened = F.length(F.regexp_replace(bare, r"[^(\[{]", "")) > F.length(F.regexp_replace(bare, r"[^)\]}]", ""))
-    tail = F.regexp_extract(bare, r"([\p{L}\p{M}]+)$", 1)
-    texts = texts.withColumns({"q_lang": q_lang, "t_lang": t_lang, "empty": empty, "copies": copies, "refuses": refuses, "known": (F.col("part") == "correct_answer") & known, "stopped": stopped, "opened": opened, "bare": bare})
-    texts = texts.withColumn("foreign", foreign).withColumn("tail", F.when(F.col("stopped") | F.col("empty") | F.col("known"), F.lit("")).otherwise(tail))
-    texts = texts.select("question_id", "empty", "copies", "refuses", "foreign", "stopped", "opened", "known", "bare", "tail")
-
-    # only the last words of texts without a stop are looked up, and of those only what may be a piece of a longer word
-    open_tails = texts.where("tail <> ''").select(F.lower("tail").alias("word")).distinct()
+    judged = questions.select(COLUMNS).mapInArrow(_judge, "question_id long, defect string, tail string")
+    sure = judged.where("tail is null").select("question_id", "defect")
+    open_ends = judged.where("tail is not null").withColumn("word", F.lower("tail"))
     words = vocabulary(questions)
-    longer = words.where("inside + ending > 0").select("word", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("piece"))
-    pieces = longer.where("length(word) > 1").select("piece").distinct()
-    status = (
-        open_tails.join(words, "word", "left")
-        .join(pieces, F.col("word") == F.col("piece"), "left")
-        .select("word", (F.coalesce("inside", F.lit(0)) + F.coalesce("ending", F.lit(0)) == 0).alias("unknown"), F.col("piece").isNotNull().alias("piece"), (F.coalesce("ending", F.lit(0)) == 0).alias("never_last"), F.coalesce("inside", F.lit(0)).alias("inside"))
-    )
-    judged = texts.join(status, F.lower("tail") == status["word"], "left")
-    lower_case = F.col("tail") == F.lower("tail")
-    cut_word = F.coalesce(F.col("unknown") & F.col("piece"), F.lit(False))
-    must_follow = F.lower("tail").isin(*OPEN_WORDS) | F.coalesce(F.col("never_last") & (F.col("inside") >= OFTEN) & lower_case, F.lit(False)) | F.col("bare").rlike(r"[,;:\-–—]$")
-    truncated = ~F.col("stopped") & ~F.col("known") & (F.col("opened") | cut_word | must_follow)
-
-    copied, refused = F.col("copies") & ~F.col("empty"), F.col("refuses") & ~F.col("empty") & ~F.col("copies")
-    found = {
-        "empty_answer": F.col("empty"),
-        "copies_question": copied,
-        "refusal": refused,
-        "other_language": F.col("foreign") & ~F.col("empty") & ~refused & ~copied,
-        "truncated": truncated & ~F.col("empty") & ~copied & ~refused,
-    }
-    named = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in found.items())), lambda x: x.isNotNull())
-    return judged.select("question_id", F.explode(named).alias("defect")).distinct()
+    begun = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    pieces = words.where("length(word) > 1").select(F.explode(begun).alias("word")).distinct().withColumn("piece", F.lit(True))
+    met = open_ends.join(words, "word", "left").join(pieces, "word", "left").fillna(0, ["inside", "ending"])
+    cut_word = (F.col("inside") + F.col("ending") == 0) & F.col("piece").isNotNull()
+    goes_on = (F.col("ending") == 0) & (F.col("inside") >= OFTEN) & (F.col("tail") == F.col("word"))
+    return sure.unionByName(met.where(cut_word | goes_on).select("question_id", "defect")).distinct()
