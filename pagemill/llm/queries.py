@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import mixing, near_duplicates, packing, site_lines, tokens
+from pagemill.llm import mixing, near_duplicates, packing, pair_defects, residue, site_lines, tokens
 from pagemill.session import read_table as _t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_groups(_t(spark, d, "questions"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects.pair_defects(_t(spark, d, "questions"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(_t(spark, d, "pdf_pages"))
 
@@ -51,8 +55,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares.withColumns({c: F.round(c, 6) for c in ("target_share", "actual_share")})
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(_t(spark, d, "documents"))
+
+
+def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents")
+    return residue.without_residue(documents, residue.residue_documents(documents)).select("doc_id", "source", "text")
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of the classifier against weak labels on sources it never saw."""
+    _, report = residue.train(_t(spark, d, "documents"))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in report.items()], "measure string, value double")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_batches, p2_report, p3_found, p3_groups, p5_found, p5_clean, p6_ids, p7_uses, p7_shares)}
+    return {f.__name__: f for f in (p2_batches, p2_report, p3_found, p3_groups, p4_found, p5_found, p5_clean, p6_ids, p7_uses, p7_shares, p8_found, p8_corpus, p8_validation)}
 
 
 def oracle_sql() -> dict[str, str]:
