@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import mixing, near_duplicates, packing, pair_defects, residue, site_lines, tokens
+from pagemill.llm import mixing, near_duplicates, packing, pair_defects, residue, scan_noise, site_lines, tokens
 from pagemill.session import read_table as _t
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.scan_noise(_t(spark, d, "pdf_pages"), _t(spark, d, "chunks"))
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired_texts(_t(spark, d, "pdf_pages"), _t(spark, d, "chunks"))
+
+
 def p2_batches(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_chunks(_t(spark, d, "chunks"), _t(spark, d, "prompt_limits"))
 
@@ -71,7 +79,7 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_batches, p2_report, p3_found, p3_groups, p4_found, p5_found, p5_clean, p6_ids, p7_uses, p7_shares, p8_found, p8_corpus, p8_validation)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_batches, p2_report, p3_found, p3_groups, p4_found, p5_found, p5_clean, p6_ids, p7_uses, p7_shares, p8_found, p8_corpus, p8_validation)}
 
 
 def oracle_sql() -> dict[str, str]:
