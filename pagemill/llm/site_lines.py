@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the test-data contract.
 LEAST_PAGES, LEAST_SHARE = 10, 0.25
-#: White space as JavaScript and Unicode have it.
-SPACE = "[\\\\s\\u000B\\u001C-\\u001F\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+#: White space as Unicode has it.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def normalized_line(line: Column) -> Column:
