@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at either end; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -21,6 +25,11 @@ def collapse(text: Column) -> Column:
     return js_trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def js_round(number: Column) -> Column:
     """Half up, also below zero."""
     return F.floor(number + F.lit(0.5))

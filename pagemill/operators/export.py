@@ -40,8 +40,8 @@ def pretty_json(payload: str) -> str:
 
 
 def storage_key(title: Column, payload: Column) -> Column:
-    """Hash under which a page keeps its answers: of the title and the data, so that another bank starts anew."""
-    return T.fnv1a(F.concat(title, payload))
+    """Name under which a page keeps its answers, with a hash of the title and the data, so that another bank starts anew."""
+    return F.concat(F.lit("quiz-export-state-"), T.fnv1a(F.concat(title, F.lit("|"), payload)))
 
 
 def html_page(title: str, payload: str, key: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.jsstr import js_trim
+from pagemill.functions.jsstr import js_trim, let
 
 # fixed values: messages
 EMPTY = "Paste the AI JSON output before parsing."
@@ -17,20 +17,22 @@ _NUMBER = r"^(?:BIGINT|DOUBLE|DECIMAL.*)$"
 
 def candidate_json(raw: Column) -> Column:
     """The first code fence's content if there is one, then from the first opening to the last closing brace."""
-    trimmed = js_trim(F.coalesce(raw, F.lit("")))
-    fenced = js_trim(F.regexp_extract(trimmed, _FENCE, 1))
-    text = F.when(fenced != "", fenced).otherwise(trimmed)
-    start = F.instr(text, "{")
-    end = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    found = (start > 0) & (F.instr(text, "}") > 0) & (end > start)
-    return F.when(found, F.substring(text, start, end - start + 1)).otherwise(text)
+
+    def braces(text: Column) -> Column:
+        end = F.length(text) - F.instr(F.reverse(text), "}") + 1
+        cut = F.substring(text, F.instr(text, "{"), end - F.instr(text, "{") + 1)
+        return F.when((F.instr(text, "{") > 0) & (F.instr(text, "}") > 0) & (end > F.instr(text, "{")), cut).otherwise(text)
+
+    def unfenced(text: Column) -> Column:
+        return let(js_trim(F.regexp_extract(text, _FENCE, 1)), lambda inner: let(F.when(inner != "", inner).otherwise(text), braces))
+
+    return let(js_trim(F.coalesce(raw, F.lit(""))), unfenced)
 
 
 def parse_json(text: Column) -> Column:
     """A VARIANT of strict JSON, or null; what follows a value makes it invalid."""
     both = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    items = F.try_variant_get(both, "$", "array<variant>")
-    return F.when(F.size(items) == 1, items[0])
+    return let(F.try_variant_get(both, "$", "array<variant>"), lambda items: F.when(F.size(items) == 1, items[0]))
 
 
 def _kind(v: Column) -> Column:
@@ -62,97 +64,124 @@ def correct_index(value: Column, options: int) -> Column:
     return F.when((letter >= 0) & (letter < options), letter).otherwise(whole)
 
 
-def _missing(value: Column, path: Column, message: str) -> Column:
+def _missing(value: str, path: str, message: str) -> Column:
     """A message if a text is absent, of another type or empty."""
-    return F.when(value.isNull(), F.concat(path, F.lit(": Required"))).when(value == "", F.concat(path, F.lit(f": {message}")))
-
-
-def _standard(q: Column, i: Column, n: int) -> Column:
-    """The errors of one standard question, and its fields."""
-    at = F.concat(F.lit("questions."), i.cast("string"), F.lit("."))
-    name = lambda x: F.concat(at, F.lit(x))
-    items = F.try_variant_get(q, "$.options", "array<variant>")
-    options = F.transform(items, _text)
-    answer = _text(_get(q, "$.correctAnswer"))
-    page = js_trim(_text_or_number(_get(q, "$.source.page")))
-    texts = {"question": _text(_get(q, "$.question")), "explanation": _text(_get(q, "$.explanation")), "file": _text(_get(q, "$.source.file")), "chunkId": _text(_get(q, "$.source.chunkId"))}
-    bad_types = texts["question"].isNull() | texts["explanation"].isNull() | texts["file"].isNull() | texts["chunkId"].isNull() | page.isNull() | answer.isNull() | items.isNull() | F.exists(options, lambda o: o.isNull())
+    return F.when(F.col(value).isNull(), _at(path, "Required")).when(F.col(value) == "", _at(path, message))
+
+
+def _at(path: str, message: str) -> Column:
+    return F.concat(F.lit("questions."), F.col("q_index").cast("string"), F.lit(f".{path}: {message}"))
+
+
+def _computed(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The same rows with all columns but ``keep`` as output of a generator, past which the optimizer copies no expression."""
+    made = [c for c in rows.columns if c not in keep]
+    return rows.select(*keep, F.inline(F.array(F.struct(*made))))
+
+
+def _fields(rows: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """Typed fields of each question, each in a column of its own so that nothing is read twice."""
+    keep = [c for c in rows.columns]
+    rows = rows.withColumns({f"_v_{k}": _get(F.col("_item"), p) for k, p in paths.items() if k != "items"} | {"_items": F.try_variant_get("_item", paths["items"], "array<variant>")})
+    rows = _computed(rows, keep)
+    rows = rows.withColumn("_options", F.transform("_items", _text)).withColumn("_page", js_trim(_text_or_number(F.col("_v_page"))))
+    rows = rows.withColumns({f"_{k}": _text(F.col(f"_v_{k}")) for k in paths if k in ("question", "answer", "explanation", "file", "chunk")})
+    return _computed(rows, keep)
+
+
+def _standard(rows: DataFrame, n: int) -> DataFrame:
+    """Adds ``_errors`` and ``_row`` for standard questions."""
+    rows = _fields(rows, {"question": "$.question", "items": "$.options", "answer": "$.correctAnswer", "explanation": "$.explanation", "file": "$.source.file", "page": "$.source.page", "chunk": "$.source.chunkId"})
+    c = F.col
+    untyped = c("_question").isNull() | c("_explanation").isNull() | c("_file").isNull() | c("_chunk").isNull() | c("_page").isNull() | c("_answer").isNull() | c("_items").isNull() | F.exists("_options", lambda o: o.isNull())
     errors = F.array(
-        _missing(texts["question"], name("question"), "question is required"),
-        F.when(items.isNull(), F.concat(name("options"), F.lit(": Required"))).when(F.size(items) != n, F.concat(name("options"), F.lit(f": each question needs {n} options"))),
-        F.when(F.exists(options, lambda o: o.isNull()), F.concat(name("options"), F.lit(": Expected string"))).when(F.exists(options, lambda o: o == ""), F.concat(name("options"), F.lit(": options cannot be empty"))),
-        _missing(answer, name("correctAnswer"), "correctAnswer is required"),
-        _missing(texts["explanation"], name("explanation"), "explanation is required"),
-        _missing(texts["file"], name("source.file"), "source.file is required"),
-        _missing(page, name("source.page"), "source.page is required"),
-        _missing(texts["chunkId"], name("source.chunkId"), "source.chunkId is required"),
-        F.when(~bad_types & ~F.array_contains(options, answer), F.concat(name("correctAnswer"), F.lit(": correctAnswer must match one of the options"))),
+        _missing("_question", "question", "question is required"),
+        F.when(c("_items").isNull(), _at("options", "Required")).when(F.size("_items") != n, _at("options", f"each question needs {n} options")),
+        F.when(F.exists("_options", lambda o: o.isNull()), _at("options", "Expected string")).when(F.exists("_options", lambda o: o == ""), _at("options", "options cannot be empty")),
+        _missing("_answer", "correctAnswer", "correctAnswer is required"),
+        _missing("_explanation", "explanation", "explanation is required"),
+        _missing("_file", "source.file", "source.file is required"),
+        _missing("_page", "source.page", "source.page is required"),
+        _missing("_chunk", "source.chunkId", "source.chunkId is required"),
+        F.when(~untyped & ~F.array_contains("_options", c("_answer")), _at("correctAnswer", "correctAnswer must match one of the options")),
     )
-    source = F.struct(js_trim(texts["file"]).alias("file"), F.when(page == "", "unknown").otherwise(page).alias("page"), js_trim(texts["chunkId"]).alias("chunk_id"))
-    made = F.struct(js_trim(texts["question"]).alias("question"), F.transform(options, js_trim).alias("options"), js_trim(answer).alias("correct_answer"), js_trim(texts["explanation"]).alias("explanation"), source.alias("source"))
-    return F.struct(F.filter(errors, lambda e: e.isNotNull()).alias("errors"), made.alias("row"))
-
-
-def _compact(q: Column, i: Column, n: int) -> Column:
-    """The errors of one compact question, a list of five, and its fields."""
-    at = F.concat(F.lit("questions."), i.cast("string"), F.lit("."))
-    name = lambda x: F.concat(at, F.lit(x))
-    five = F.try_variant_get(q, "$", "array<variant>")
-    items = F.try_variant_get(q, "$[1]", "array<variant>")
-    options = F.transform(items, _text)
-    index = correct_index(_get(q, "$[2]"), n)
-    where = F.try_variant_get(q, "$[4]", "array<variant>")
-    text, why, file, chunk = (_text(_get(q, p)) for p in ("$[0]", "$[3]", "$[4][0]", "$[4][2]"))
-    page = js_trim(_text_or_number(_get(q, "$[4][1]")))
+    return _finished(rows, errors, c("_answer"))
+
+
+def _compact(rows: DataFrame, n: int) -> DataFrame:
+    """Adds ``_errors`` and ``_row`` for compact questions, lists of five."""
+    rows = _fields(rows, {"question": "$[0]", "items": "$[1]", "index": "$[2]", "explanation": "$[3]", "file": "$[4][0]", "page": "$[4][1]", "chunk": "$[4][2]"})
+    rows = rows.withColumns({"_five": F.size(F.try_variant_get("_item", "$", "array<variant>")), "_three": F.size(F.try_variant_get("_item", "$[4]", "array<variant>")), "_index": correct_index(F.col("_v_index"), n), "_raw_index": _text_or_number(F.col("_v_index"))})
+    rows = _computed(rows, ["q_index"])
+    c = F.col
     errors = F.array(
-        F.when(five.isNull() | (F.size(five) != 5), F.concat(F.lit("questions."), i.cast("string"), F.lit(": Expected array of 5"))),
-        _missing(text, name("0"), "compact question text is required"),
-        F.when(items.isNull(), F.concat(name("1"), F.lit(": Required"))).when(F.size(items) != n, F.concat(name("1"), F.lit(f": compact question needs {n} options"))),
-        F.when(F.exists(options, lambda o: o.isNull() | (o == "")), F.concat(name("1"), F.lit(": compact options cannot be empty"))),
-        F.when(_text_or_number(_get(q, "$[2]")).isNull(), F.concat(name("2"), F.lit(": Invalid input"))),
-        _missing(why, name("3"), "compact explanation is required"),
-        F.when(where.isNull() | (F.size(where) != 3) | F.coalesce(file, F.lit("")).eqNullSafe("") | F.coalesce(chunk, F.lit("")).eqNullSafe("") | page.isNull(), F.concat(name("4"), F.lit(": Invalid source"))),
+        F.when(F.coalesce("_five", F.lit(-1)) != 5, F.concat(F.lit("questions."), c("q_index").cast("string"), F.lit(": Expected array of 5"))),
+        _missing("_question", "0", "compact question text is required"),
+        F.when(c("_items").isNull(), _at("1", "Required")).when(F.size("_items") != n, _at("1", f"compact question needs {n} options")),
+        F.when(F.exists("_options", lambda o: o.isNull() | (o == "")), _at("1", "compact options cannot be empty")),
+        F.when(c("_raw_index").isNull(), _at("2", "Invalid input")),
+        _missing("_explanation", "3", "compact explanation is required"),
+        F.when((F.coalesce("_three", F.lit(-1)) != 3) | (F.coalesce("_file", F.lit("")) == "") | (F.coalesce("_chunk", F.lit("")) == "") | c("_page").isNull(), _at("4", "Invalid source")),
     )
     kept = F.filter(errors, lambda e: e.isNotNull())
-    late = F.when((F.size(kept) == 0) & index.isNull(), F.array(F.lit(BAD_INDEX))).otherwise(F.array().cast("array<string>"))
-    source = F.struct(js_trim(file).alias("file"), F.when(page == "", "unknown").otherwise(page).alias("page"), js_trim(chunk).alias("chunk_id"))
-    answer = js_trim(F.try_element_at(options, index + 1))
-    made = F.struct(js_trim(text).alias("question"), F.transform(options, js_trim).alias("options"), answer.alias("correct_answer"), js_trim(why).alias("explanation"), source.alias("source"))
-    return F.struct(F.concat(kept, late).alias("errors"), made.alias("row"))
+    late = F.when((F.size(kept) == 0) & c("_index").isNull(), F.array(F.lit(BAD_INDEX)))
+    return _finished(rows, F.coalesce(late, kept), F.try_element_at("_options", c("_index") + 1))
+
+
+def _finished(rows: DataFrame, errors: Column, answer: Column) -> DataFrame:
+    source = F.struct(js_trim(F.col("_file")).alias("file"), F.when(F.col("_page") == "", "unknown").otherwise(F.col("_page")).alias("page"), js_trim(F.col("_chunk")).alias("chunk_id"))
+    made = F.struct(js_trim(F.col("_question")).alias("question"), F.transform("_options", js_trim).alias("options"), js_trim(answer).alias("correct_answer"), js_trim(F.col("_explanation")).alias("explanation"), source.alias("source"))
+    done = rows.withColumn("_errors", F.filter(errors, lambda e: e.isNotNull())).withColumn("_row", made)
+    return _computed(done, ["q_index"])
+
+
+def _opened(responses: DataFrame, key: str, raw: str) -> DataFrame:
+    """Each response's JSON as VARIANT and its questions; nothing else of the table is carried."""
+    rows = _computed(responses.select(key, candidate_json(F.col(raw)).alias("_json")), [key])
+    rows = _computed(rows.withColumn("_v", parse_json(F.col("_json"))), [key])
+    return _computed(rows.withColumn("_q", F.try_variant_get("_v", "$.questions", "array<variant>")), [key])
+
 
+def _checked(opened: DataFrame, key: str, check, options: int) -> DataFrame:
+    rows = opened.where("_q is not null").select(key, F.posexplode("_q").alias("q_index", "_item"))
+    return check(rows, options).select(key, "q_index", "_errors", "_row")
 
-def parse_responses(responses: DataFrame, response_format: str = "standard", options: int = 4, raw: str = "raw") -> DataFrame:
-    """Adds ``success``, ``errors`` and ``questions`` to responses.
+
+def parse_responses(responses: DataFrame, key: str, response_format: str = "standard", options: int = 4, raw: str = "raw") -> DataFrame:
+    """(key, success, errors, compact): the verdict on each response, one row a key; ``compact`` tells in which format it was taken.
 
     In the standard format a response that is only valid in the compact one is taken, and else the standard errors
     are told.  Null and blank responses, invalid JSON and responses without a question have defined errors; keys
     beyond the schema are dropped; the last of repeated keys counts (spark.sql.variant.allowDuplicateKeys).
     """
-    text = candidate_json(F.col(raw))
-    parsed = responses.withColumn("_json", text).withColumn("_v", parse_json(F.col("_json")))
-    parsed = parsed.withColumn("_q", F.try_variant_get("_v", "$.questions", "array<variant>"))
-    for name, check in (("_standard", _standard), ("_compact", _compact)):
-        parsed = parsed.withColumn(name, _checked(check, options))
+    opened = _opened(responses, key, raw)
     nothing = F.array().cast("array<string>")
     none = F.when(F.col("_json") == "", F.array(F.lit(EMPTY))).when(F.col("_v").isNull(), F.array(F.lit(NO_JSON))).when(F.col("_q").isNull(), F.array(F.lit("questions: Required")))
-    few = {"_standard": "questions: questions must contain at least 1 item", "_compact": "questions: compact questions must contain at least 1 item"}
-    for name, message in few.items():
-        own = F.flatten(F.transform(name, lambda x: x["errors"]))
-        parsed = parsed.withColumn(f"{name}_e", F.coalesce(none, F.when(F.size("_q") == 0, F.array(F.lit(message))), own, nothing))
-    use_compact = F.size("_compact_e") == 0 if response_format == "compact" else (F.size("_standard_e") > 0) & (F.size("_compact_e") == 0)
-    errors = F.col("_compact_e") if response_format == "compact" else F.when(use_compact, nothing).otherwise(F.col("_standard_e"))
-    rows = F.when(use_compact, F.transform("_compact", lambda x: x["row"])).otherwise(F.transform("_standard", lambda x: x["row"]))
-    done = parsed.withColumn("errors", errors).withColumn("success", F.size("errors") == 0).withColumn("questions", F.when(F.col("success"), rows))
-    return done.drop("_json", "_v", "_q", "_standard", "_compact", "_standard_e", "_compact_e")
-
-
-def _checked(check, options: int) -> Column:
-    return F.transform("_q", lambda q, i: check(q, i, options))
-
-
-def accepted_questions(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """One row a question of the responses that were accepted, ``q_index`` from 0."""
-    return parsed.where("success").select(*keep, F.posexplode("questions").alias("q_index", "_x")).select(*keep, "q_index", "_x.*")
+    heads = opened.select(key, none.alias("_none"), F.coalesce(F.size("_q") == 0, F.lit(False)).alias("_no_question"))
+    parts = {"_s": (_standard, "questions: questions must contain at least 1 item"), "_c": (_compact, "questions: compact questions must contain at least 1 item")}
+    for name, (check, few) in parts.items():
+        if name == "_s" and response_format == "compact":
+            heads = heads.withColumn("_s", nothing)
+            continue
+        own = _checked(opened, key, check, options).where(F.size("_errors") > 0)
+        listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("q_index", "_errors"))), lambda x: x["_errors"]))
+        heads = heads.join(own.groupBy(key).agg(listed.alias(f"{name}_own")), key, "left")
+        heads = heads.withColumn(name, F.coalesce("_none", F.when(F.col("_no_question"), F.array(F.lit(few))), f"{name}_own", nothing)).drop(f"{name}_own")
+    compact = F.size("_c") == 0 if response_format == "compact" else (F.size("_s") > 0) & (F.size("_c") == 0)
+    errors = F.col("_c") if response_format == "compact" else F.when(compact, nothing).otherwise(F.col("_s"))
+    return heads.select(key, (F.size(errors) == 0).alias("success"), errors.alias("errors"), compact.alias("compact"))
+
+
+def accepted_questions(responses: DataFrame, key: str, response_format: str = "standard", options: int = 4, raw: str = "raw") -> DataFrame:
+    """(key, q_index, question, options, correct_answer, explanation, source) of the responses that are accepted."""
+    verdicts = parse_responses(responses, key, response_format, options, raw).where("success")
+    opened = _opened(responses, key, raw)
+    out = None
+    for check, taken in ((_standard, False), (_compact, True)):
+        rows = _checked(opened, key, check, options).join(verdicts.where(F.col("compact") == taken).select(key), key, "left_semi")
+        rows = rows.select(key, "q_index", "_row.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def standard_json(questions: Column) -> Column:

@@ -1,13 +1,372 @@
-"""Every query by name, and the SQL it is compared with."""
+"""Every query of the question pipeline by name; each runs over its whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.functions import text as T
+from pagemill.functions.jsstr import collapse
+from pagemill.operators import bank, chunking, export, planning, prompts, recognition, responses, selection
+from pagemill.plans.sql import ORACLES
+from pagemill.session import read_table as _t
+from pagemill.session import spread
+from pagemill.settings import Limits, QuizSettings
+from pagemill.sources import files
+from pagemill.streaming import sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "top_chunks"
+FOCUS = "river the port"
+#: Buckets of the plain packing queries, and finite budgets of the budgeted selection.
+BUCKETS = 4
+BUDGETS = Limits(max_total_chunks=120, max_prompt_chars=20_000)
+SETTINGS = QuizSettings(target_questions=40, questions_per_prompt=5, topic_focus="port", question_style="scenario", custom_instructions="Keep it short.\n\nNo trick questions.")
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return spread(_t(s, d, "pdf_pages").select("page_id", "file_index", "file_name", "page_seq", "page_number", "text"))
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    """Each chunk of the table once, with its fingerprint; a missing score counts as computed."""
+    slim = _t(s, d, "chunks").select("source_order", "id", "chunk_id", "file_name", "page", "raw_text", "compressed_text", "score").where("source_order is not null")
+    once = slim.dropDuplicates(["source_order"])
+    return selection.with_fingerprint(once.withColumn("score", F.coalesce("score", F.lit(0.0))))
+
+
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    return spread(_t(s, d, "questions").where("question_id is not null"))
+
+
+def normalize_text(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", T.normalize_extracted(F.col("text")).alias("text"))
+
+
+def tokenize_stats(s: SparkSession, d: str) -> DataFrame:
+    words = _pages(s, d).select("page_id", T.tokens(F.col("text")).alias("w"))
+    return words.select("page_id", F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("distinct_tokens"), F.size(T.content_tokens(F.col("w"))).alias("content_tokens")).where("tokens >= 0")
+
+
+def sentence_split(s: SparkSession, d: str) -> DataFrame:
+    flat = _pages(s, d).where("text is not null").select("page_id", collapse(F.col("text")).alias("t"))
+    return flat.select("page_id", F.size(T.sentences(F.col("t"))).alias("sentences"), F.size(T.chunk_sentences(F.col("t"))).alias("chunk_sentences"))
+
+
+def sentence_scores(s: SparkSession, d: str) -> DataFrame:
+    parts = _chunks(s, d).select("source_order", F.posexplode(T.sentences(collapse(F.col("raw_text")))).alias("i", "sentence"))
+    return parts.select("source_order", "i", F.round(T.sentence_score(F.col("sentence")), 6).alias("score"))
+
+
+def chunk_pages(s: SparkSession, d: str) -> DataFrame:
+    pages = _pages(s, d).where("text is not null").select("page_id", F.posexplode(chunking.chunk_array(T.normalize_extracted(F.col("text")))).alias("chunk_index", "chunk"))
+    return pages.select("page_id", "chunk_index", "chunk")
+
+
+def chunk_documents(s: SparkSession, d: str) -> DataFrame:
+    docs = spread(_t(s, d, "documents").where("text is not null").select("doc_id", "text"))
+    cut = docs.select("doc_id", F.explode(chunking.chunk_array(T.normalize_extracted(F.col("text")))).alias("chunk"))
+    return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.max(F.length("chunk")).alias("longest"))
+
+
+def top_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Pages to chunks, scored and without duplicates; the ten best by score."""
+    made = chunking.with_source_order(chunking.chunk_pages(_pages(s, d)))
+    best = selection.dedupe(made.select("source_order", "id", "chunk_id", "score", "fingerprint", F.length("raw_text").alias("chars")))
+    return best.orderBy(F.desc("score"), "source_order").limit(10).select("chunk_id", F.round("score", 6).alias("score"), "chars")
+
+
+def chunk_ids(s: SparkSession, d: str) -> DataFrame:
+    made = chunking.with_source_order(chunking.chunk_pages(_pages(s, d)).select("file_index", "page_seq", "chunk_index", "id", "chunk_id"))
+    return made.select("source_order", "id", "chunk_id")
+
+
+def info_scores(s: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(s, d).where("raw_text is not null").withColumn("w", T.tokens(F.col("raw_text")))
+    return rows.select("source_order", F.round(T.information_score(F.col("raw_text"), F.col("w")), 6).alias("score"))
+
+
+def fingerprints(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).select("source_order", "fingerprint")
+
+
+def compress_chunks(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).where("raw_text is not null").select("source_order", T.compress(F.col("raw_text")).alias("compressed")).withColumn("tokens", T.estimated_tokens(F.col("compressed")))
+
+
+def topic_scores(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).where("raw_text is not null").select("source_order", T.topic_score(F.col("raw_text"), FOCUS).alias("points"))
+
+
+def file_totals(s: SparkSession, d: str) -> DataFrame:
+    return files.file_totals(_pages(s, d))
+
+
+def file_filter_status(s: SparkSession, d: str) -> DataFrame:
+    once = _t(s, d, "file_status").groupBy("file_index").agg(F.max(F.struct("file_name", "file_size")).alias("f")).select("file_index", "f.*")
+    ranked = files.rejected(once)
+    return ranked.select("file_index", files.file_format(F.col("file_name")).alias("format"), "message", T.format_bytes(F.col("file_size")).alias("size"))
+
+
+def intake_files(s: SparkSession, d: str) -> DataFrame:
+    rows = _t(s, d, "file_status").select("file_index", "file_name", "file_size", F.col("updated_at").alias("modified"))
+    return files.intake(rows.distinct()).select("file_index", "file_name", "file_size")
+
+
+def file_states(s: SparkSession, d: str) -> DataFrame:
+    """The final state of each file from its chunks and warnings, by the rules of a finished run."""
+    once = _t(s, d, "file_status").where("chunks is not null").select("file_index", "chunks", F.coalesce(F.size("warnings"), F.lit(0)).alias("n")).groupBy("file_index").agg(F.max("chunks").alias("chunks"), F.max("n").alias("n"))
+    made = once.withColumn("w", F.array_repeat(F.lit("w"), F.greatest(F.col("n"), F.lit(0))))
+    return made.select("file_index", files.final_state(F.col("chunks"), F.col("w"), F.lit(0)).alias("f")).select("file_index", "f.state", "f.message")
+
+
+def progress_events(s: SparkSession, d: str) -> DataFrame:
+    once = _t(s, d, "file_status").groupBy("file_index").agg(F.max(F.coalesce("file_size", F.lit(0))).alias("file_size"))
+    return files.progress_events(once)
+
+
+def dedupe_within_file(s: SparkSession, d: str) -> DataFrame:
+    return selection.dedupe(_chunks(s, d), ["file_name"]).select("source_order", "position")
+
+
+def dedupe_global(s: SparkSession, d: str) -> DataFrame:
+    return selection.dedupe(_chunks(s, d)).select("source_order", "position")
+
+
+def chunks_per_file(s: SparkSession, d: str) -> DataFrame:
+    return selection.dedupe(_chunks(s, d), ["file_name"]).groupBy("file_name").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def top_chunks_per_file(s: SparkSession, d: str) -> DataFrame:
+    return selection.best_of_file(selection.dedupe(_chunks(s, d)), 5).select("file_name", "source_order", "file_rank")
+
+
+def coverage_selection(s: SparkSession, d: str) -> DataFrame:
+    return selection.cover(selection.dedupe(_chunks(s, d))).select("source_order", "covers")
+
+
+def _with_run(chunks: DataFrame) -> DataFrame:
+    """Runs of as many files as one run takes, by a hash of the name."""
+    return chunks.withColumn("run", F.regexp_extract("file_name", r"(\d)\.\w+$", 1))
+
+
+def coverage_selection_budget(s: SparkSession, d: str) -> DataFrame:
+    return selection.cover_within(_with_run(selection.dedupe(_chunks(s, d))), BUDGETS, "run").select("run", "source_order", "covers")
+
+
+def order_best_match(s: SparkSession, d: str) -> DataFrame:
+    """Each file's chunks ranked by score."""
+    return selection.best_of_file(_chunks(s, d).withColumn("position", F.col("source_order"))).select("source_order", "file_rank")
+
+
+def order_random(s: SparkSession, d: str) -> DataFrame:
+    return selection.ordered(_chunks(s, d), "random", 7).select("source_order", F.col("_first").alias("order_key"))
+
+
+def _spread(s: SparkSession, d: str, ordering: str, how: str) -> DataFrame:
+    return planning.distribute(selection.ordered(_chunks(s, d), ordering), "file_name", BUCKETS, how).select("source_order", "bucket")
+
+
+def pack_balanced(s: SparkSession, d: str) -> DataFrame:
+    return _spread(s, d, "best_match", "balanced")
+
+
+def pack_sequential(s: SparkSession, d: str) -> DataFrame:
+    return _spread(s, d, "page_order", "sequential")
+
+
+def _planned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chunks = selection.ordered(_chunks(s, d))
+    return planning.plan_chunks(chunks, "file_name", SETTINGS), chunks
+
+
+def batch_plan(s: SparkSession, d: str) -> DataFrame:
+    planned, _ = _planned(s, d)
+    return planned.where("batch_number > 0").groupBy("file_name", "batch_number").agg(F.max("question_count").alias("question_count"), F.count(F.lit(1)).alias("chunk_count"), F.sum("length").alias("estimated_chars"))
+
+
+def question_allocation(s: SparkSession, d: str) -> DataFrame:
+    """Questions of each bucket of the balanced packing of every file."""
+    used = pack_balanced(s, d).join(_chunks(s, d).select("source_order", "file_name"), "source_order").select("file_name", "bucket").distinct()
+    ranks = used.withColumn("r", F.row_number().over(planning.Window.partitionBy("file_name").orderBy("bucket")) - 1).withColumn("n", F.count(F.lit(1)).over(planning.Window.partitionBy("file_name")))
+    return ranks.select("file_name", "bucket", planning.questions_of(F.col("r"), F.col("n"), 7, 3).alias("questions"))
+
+
+def queue_metrics(s: SparkSession, d: str) -> DataFrame:
+    batches = _t(s, d, "prompt_batches").select("batch_number", "question_count", F.when(F.col("batch_number") % 3 == 0, "parsed").otherwise("pending").alias("status"))
+    sizes = _t(s, d, "file_status").groupBy("file_index").agg(F.max("file_size").alias("file_size"))
+    return planning.queue_metrics(batches, sizes)
+
+
+def source_packets(s: SparkSession, d: str) -> DataFrame:
+    """The packets of the existing batches."""
+    rows = _t(s, d, "prompt_batches").select("batch_number", F.posexplode(F.array_distinct("chunk_ids")).alias("place", "id"))
+    first = _chunks(s, d).groupBy("id").agg(F.min("source_order").alias("source_order"))
+    chunks = _chunks(s, d).select("source_order", "page", "file_name", "chunk_id", "compressed_text")
+    return prompts.source_packets(rows.join(first, "id").join(chunks, "source_order"), ["batch_number"], ["place"])
+
+
+def master_prompts(s: SparkSession, d: str) -> DataFrame:
+    counts = _t(s, d, "prompt_batches").select("batch_number", F.coalesce("question_count", F.lit(5)).alias("question_count"))
+    rows = source_packets(s, d).join(counts, "batch_number")
+    return prompts.master_prompts(rows, SETTINGS, None, F.concat(F.lit("Batch "), F.col("batch_number").cast("string"))).select("batch_number", "prompt")
+
+
+def _responses(s: SparkSession, d: str, wrap: bool = True) -> DataFrame:
+    """One standard response for each question of the bank, fenced for every other one."""
+    raw = responses.standard_json(F.array(F.struct("question", "options", "correct_answer", "explanation", "source")))
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), raw, F.lit("\n```\nDone."))
+    return _questions(s, d).select("question_id", F.when(F.col("question_id") % 2 == 0, fenced).otherwise(raw).alias("raw") if wrap else raw.alias("raw"))
+
+
+def _compact_responses(s: SparkSession, d: str) -> DataFrame:
+    inner = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    index = bank.correct_position(F.col("options"), F.col("correct_answer")).cast("string")
+    source = F.concat(F.lit("["), inner(F.col("source.file")), F.lit(","), inner(F.col("source.page")), F.lit(","), inner(F.col("source.chunk_id")), F.lit("]"))
+    raw = F.concat(F.lit('{"questions":[['), inner(F.col("question")), F.lit(","), F.to_json("options"), F.lit(","), index, F.lit(","), inner(F.col("explanation")), F.lit(","), source, F.lit("]]}"))
+    return _questions(s, d).select("question_id", F.coalesce(raw, F.lit("")).alias("raw"))
+
+
+def parse_standard(s: SparkSession, d: str) -> DataFrame:
+    rows = responses.accepted_questions(_responses(s, d), "question_id")
+    return rows.select("question_id", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
+
+
+def parse_compact(s: SparkSession, d: str) -> DataFrame:
+    rows = responses.accepted_questions(_compact_responses(s, d), "question_id", "compact")
+    return rows.select("question_id", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
+
+
+def parse_errors(s: SparkSession, d: str) -> DataFrame:
+    parsed = responses.parse_responses(_responses(s, d), "question_id")
+    return parsed.where("not success").select("question_id", F.array_contains("errors", "questions.0.options: each question needs 4 options").alias("wrong_count"))
+
+
+def correct_index(s: SparkSession, d: str) -> DataFrame:
+    """The index that values of several kinds stand for, with four options."""
+    value = F.expr("CASE pmod(q_index, 4) WHEN 0 THEN cast(pmod(question_id, 7) - 1 as string) WHEN 1 THEN concat('\"', char(cast(97 + pmod(question_id, 6) as int)), '\"') WHEN 2 THEN concat('\"', pmod(question_id, 6), '\"') ELSE concat(pmod(question_id, 5), '.5') END")
+    rows = _questions(s, d).where("q_index is not null").select("question_id", F.try_parse_json(value).alias("v"))
+    return rows.select("question_id", responses.correct_index(F.col("v"), 4).alias("correct_index"))
+
+
+def rebalance_answers(s: SparkSession, d: str) -> DataFrame:
+    rows = bank.rebalance(_questions(s, d), F.col("question_id"))
+    return rows.select("question_id", F.array_join("options", "|", "<null>").alias("options"))
+
+
+def position_histogram(s: SparkSession, d: str) -> DataFrame:
+    return bank.position_counts(_questions(s, d))
+
+
+def quality_report(s: SparkSession, d: str) -> DataFrame:
+    before = _questions(s, d)
+    made = bank.quality_report(before, bank.rebalance(before, F.col("question_id")))
+    return made.select(F.array_join("original_counts", ",").alias("original_counts"), F.array_join("balanced_counts", ",").alias("balanced_counts"), "skew_detected", "duplicate_option_questions")
+
+
+def duplicate_options(s: SparkSession, d: str) -> DataFrame:
+    return _questions(s, d).where(bank.has_duplicate_options(F.col("options"))).select("question_id")
+
+
+def merge_bank(s: SparkSession, d: str) -> DataFrame:
+    return bank.merged(None, _questions(s, d), ["question_id"]).select("question_id", "stem")
+
+
+def merge_report(s: SparkSession, d: str) -> DataFrame:
+    rows = _questions(s, d)
+    old = F.col("batch_number") <= 20
+    return bank.merge_report(rows.where(old), rows.where(~F.coalesce(old, F.lit(False))), ["question_id"])
+
+
+def accept_batches(s: SparkSession, d: str) -> DataFrame:
+    """The bank after all batches: rotation by the bank's size before each, the first of each stem."""
+    rows = _questions(s, d).where("batch_number is not null").withColumn("q_index", F.col("question_id").cast("int"))
+    return bank.accept_batches(rows).select("question_id", F.array_join("options", "|", "<null>").alias("options"))
+
+
+def option_counts(s: SparkSession, d: str) -> DataFrame:
+    return bank.option_counts(_questions(s, d))
+
+
+def keyed_edits(s: SparkSession, d: str) -> DataFrame:
+    edits = _questions(s, d).where("question_id % 10 = 0").select("question_id", F.lit("Edited.").alias("explanation"))
+    return bank.with_edits(_questions(s, d).select("question_id", "question", "explanation"), edits, "question_id", ["explanation"])
+
+
+def export_csv_lines(s: SparkSession, d: str) -> DataFrame:
+    return export.csv_lines(_questions(s, d), 5, F.col("question_id") + 1)
+
+
+def export_json(s: SparkSession, d: str) -> DataFrame:
+    """The payload of each batch as one JSON text."""
+    rows = _questions(s, d).where("batch_number is not null and source is not null")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("question_id", F.struct(*export.FIELDS).alias("q")))), lambda x: x["q"])
+    return rows.groupBy("batch_number").agg(responses.standard_json(listed).alias("payload")).select("batch_number", F.length("payload").alias("chars"), (F.size(F.split("payload", '"correctAnswer":')) - 1).alias("answers"))
+
+
+def storage_key_hash(s: SparkSession, d: str) -> DataFrame:
+    return _questions(s, d).where("question is not null").select("question_id", T.fnv1a(F.regexp_replace("question", "[^ -~]", "?")).alias("hash"))
+
+
+def text_escapes(s: SparkSession, d: str) -> DataFrame:
+    rows = _questions(s, d).where("explanation is not null")
+    return rows.select("question_id", T.html_escape(F.col("explanation")).alias("html"), T.script_safe(F.col("explanation")).alias("script"), T.slug(F.coalesce("source.file", F.lit(""))).alias("slug"))
+
+
+def quiz_state(s: SparkSession, d: str) -> DataFrame:
+    return sessions.answers(sessions.clean_events(_t(s, d, "quiz_events")))
+
+
+def miss_marks(s: SparkSession, d: str) -> DataFrame:
+    return sessions.miss_marks(sessions.clean_events(_t(s, d, "quiz_events")))
+
+
+def missed_summary(s: SparkSession, d: str) -> DataFrame:
+    return sessions.missed_summary(sessions.clean_events(_t(s, d, "quiz_events")))
+
+
+def next_missed(s: SparkSession, d: str) -> DataFrame:
+    return sessions.next_missed(sessions.clean_events(_t(s, d, "quiz_events")))
+
+
+def question_states(s: SparkSession, d: str) -> DataFrame:
+    return sessions.question_states(sessions.clean_events(_t(s, d, "quiz_events"))).select("learner", "q_index", "status", "locked")
+
+
+def _histogram(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "part").groupBy("p_brand", F.col("p_size").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def otsu_threshold(s: SparkSession, d: str) -> DataFrame:
+    return recognition.otsu_threshold(_histogram(s, d), ["p_brand"])
+
+
+def histogram_percentile(s: SparkSession, d: str) -> DataFrame:
+    low = recognition.histogram_percentile(_histogram(s, d), 0.02, ["p_brand"]).withColumnRenamed("value", "low")
+    return low.join(recognition.histogram_percentile(_histogram(s, d), 0.98, ["p_brand"]).withColumnRenamed("value", "high"), "p_brand")
+
+
+def ocr_quality(s: SparkSession, d: str) -> DataFrame:
+    """Pages scored as recognition output, with confidences derived from the length of words."""
+    pages = _pages(s, d).where("text is not null").select("page_id", "text", (F.lit(40.0) + F.pmod("page_id", F.lit(50))).alias("confidence"))
+    word = lambda w: F.struct(w.alias("text"), (F.lit(30.0) + F.length(w) * 5).alias("confidence"), (F.length(w) % 2 == 0).alias("in_dictionary"))
+    rows = pages.withColumn("words", F.transform(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), word))
+    return recognition.page_quality(rows).select("page_id", "usable", F.round("quality_score", 6).alias("quality_score"))
+
+
+QUERIES: list[Query] = [
+    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, file_filter_status, intake_files, file_states,
+    progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, coverage_selection_budget, order_best_match, order_random, pack_balanced, pack_sequential, batch_plan, question_allocation, queue_metrics,
+    source_packets, master_prompts, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, option_counts, keyed_edits, export_csv_lines,
+    export_json, storage_key_hash, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, question_states, otsu_threshold, histogram_percentile, ocr_quality,
+]
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES

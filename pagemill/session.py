@@ -57,3 +57,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """A broadcast hint when ``df`` is counted to hold at most ``most_rows`` rows, else ``df`` as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where the input has fewer partitions than that (a small file), else ``df`` as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -14,7 +14,7 @@ TOO_MANY = "Skipped because max file limit was reached."
 UNSUPPORTED = "Unsupported file type (PDF, DOCX, and common image files only)."
 LOW_TEXT = "Very little extractable text found."
 NO_CHUNKS = "No usable chunks were found."
-STAGES = {"idle": "Ready", "uploading": "Uploading files", "extracting": "Extracting file text", "analyzing": "Analyzing and compressing chunks", "building_prompt": "Building prompt queue"}
+STAGES = {"idle": "Ready", "uploading": "Uploading files", "extracting": "Extracting file text", "analyzing": "Analyzing and compressing chunks", "building_prompt": "Building prompt queue", "waiting_for_ai": "Waiting for pasted AI batch output", "parsed_success": "Quiz parsed successfully", "failed": "Failed"}
 ORDERINGS = {"page_order": "page order", "random": "randomized"}
 
 
@@ -89,7 +89,7 @@ def progress_events(files: DataFrame) -> DataFrame:
 
 
 def stage_label(stage: Column) -> Column:
-    return lookup(stage, STAGES, "Ready")
+    return lookup(stage, STAGES, "Working")
 
 
 def ordering_label(ordering: Column) -> Column:

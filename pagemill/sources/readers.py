@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import time
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,20 +17,13 @@ from pagemill.settings import Limits
 Page = tuple[int | None, str]
 Reader = Callable[[str, bytes], list[Page]]
 PARTS = ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml")
-_SPACE = "\t\n\v\f\r                  　﻿"
+_SPACE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def normalize(text: str) -> str:
     """As functions.text.normalize_extracted, on one string."""
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i and out and out[-1].rstrip(_SPACE).endswith("-") and not out[-1].rstrip(_SPACE) == "":
-            head = out.pop().rstrip(_SPACE)[:-1]
-            out.append(head + line.lstrip(_SPACE))
-        else:
-            out.append(line)
-    flat = "".join(" " if c in _SPACE else c for c in "\n".join(out)).replace("\0", "\0")
-    return " ".join(x for x in flat.split(" ") if x).replace("\0", "").strip(_SPACE)
+    joined = re.sub(f"-[{_SPACE}]*\n[{_SPACE}]*", "", text)
+    return re.sub(f"[{_SPACE}]+", " ", joined).replace("\0", "").strip(_SPACE)
 
 
 def _local(tag: str) -> str:
@@ -58,13 +52,14 @@ def merge_text(layer: str, recognized: str) -> str:
     low, other = layer.lower(), recognized.lower()
     if other in low or low in other:
         return layer if len(layer) >= len(recognized) else recognized
-    return normalize(f"{layer}\n{recognized}")
+    return normalize(f"{layer} {recognized}")
 
 
 def skipped_note(kind: str, indexes: list[int]) -> str:
     """Which pages or images recognition was not usable for: five are named."""
     shown = ", ".join(map(str, indexes[:5])) + (", ..." if len(indexes) > 5 else "")
-    return f"OCR output was skipped for {len(indexes)} {kind}{'' if len(indexes) == 1 else 's'} ({shown})."
+    plural = "" if len(indexes) == 1 else "s"
+    return f"Ignored low-quality OCR output on {len(indexes)} {kind}{plural}" + (f" ({shown})." if shown else ".")
 
 
 def attempt(reader: Reader, name: str, content: bytes, retries: int, wait: float = 0.25) -> tuple[list[Page], str | None]:
@@ -77,7 +72,7 @@ def attempt(reader: Reader, name: str, content: bytes, retries: int, wait: float
             error = str(e) or type(e).__name__
             if n <= retries:
                 time.sleep(wait * n)
-    return [], f"{error} (after {retries + 1} attempts)"
+    return [], f'Failed to process "{name}" after {retries + 1} attempt(s): {error}'
 
 
 def read_pages(files: DataFrame, readers: dict[str, Reader] | None = None, limits: Limits = Limits(), wait: float = 0.25) -> DataFrame:  # noqa: B008
