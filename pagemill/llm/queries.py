@@ -84,6 +84,12 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": """
+            WITH w AS (SELECT question_id, unnest(regexp_extract_all(lower(concat_ws(' ', question, array_to_string(options, ' '))), '[\\p{L}\\p{Nd}\\p{Nl}\\p{No}]+')) AS word FROM questions WHERE question_id IS NOT NULL),
+            k AS (SELECT question_id, word, row_number() OVER (PARTITION BY question_id, word) AS k FROM w),
+            n AS (SELECT question_id, count(*) AS n FROM w GROUP BY 1),
+            c AS (SELECT a.question_id AS question_id_a, b.question_id AS question_id_b, count(*) AS c FROM k a JOIN k b ON a.word = b.word AND a.k = b.k AND a.question_id < b.question_id GROUP BY 1, 2)
+            SELECT question_id_a, question_id_b FROM c JOIN n x ON x.question_id = question_id_a JOIN n y ON y.question_id = question_id_b WHERE 2 * c / (x.n + y.n) >= 0.88""",
         "p5_found": """
             WITH pages AS (SELECT page_id, file_index, string_split(text, chr(10)) AS lines FROM pdf_pages WHERE text IS NOT NULL AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
             l AS (SELECT page_id, file_index, unnest(range(len(lines))) AS line_no, lower(trim(regexp_replace(unnest(lines), '\\s+', ' ', 'g'))) AS line FROM pages),
