@@ -105,8 +105,8 @@ def plan_chunks(chunks: DataFrame, by: str, settings: QuizSettings) -> DataFrame
 
 def batches(planned: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
     """(by, batch_number, question_count, chunk_count, estimated_chars, source_files): one row a batch, files in order of appearance."""
-    joined = planned.where("batch_number > 0").join(chunks.select("source_order", "file_name", "_first", "_then"), "source_order")
-    files = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_then", "file_name"))), lambda x: x["file_name"]))
+    joined = planned.where("batch_number > 0").join(chunks.select("source_order", F.col("file_name").alias("_file"), "_first", "_then"), "source_order")
+    files = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_then", "_file"))), lambda x: x["_file"]))
     return joined.groupBy(by, "batch_number").agg(F.max("question_count").alias("question_count"), F.count(F.lit(1)).alias("chunk_count"), F.max("estimated_chars").alias("estimated_chars"), files.alias("source_files"))
 
 

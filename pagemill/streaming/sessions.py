@@ -110,13 +110,17 @@ STATE = "selected string, correct boolean, attempts int, marks int, retry boolea
 OUTPUT = "learner string, q_index int, selected string, correct boolean, attempts int, marks int, retry boolean"
 
 
+#: A question that was never answered.
+FRESH = (None, None, 0, 0, False)
+
+
 def step(state: tuple, kind: str, selected: str | None, correct: bool | None) -> tuple:
     """One event on the state (selected, correct, attempts, marks, retry) of a question."""
     chosen, right, attempts, marks, retry = state
     if kind == "answer":
         return selected, bool(correct), attempts + 1, marks + (not correct), False
     if kind == "restart":
-        return None, None, 0, 0, False
+        return FRESH
     if kind == "retry":
         return chosen, right, attempts, marks, True
     if kind == "remove_mark":
@@ -138,18 +142,16 @@ class SessionProcessor(StatefulProcessor):
         for e in events.itertuples(index=False):
             kind = (e.kind or "").strip().lower()
             if kind == "restart":
-                for (q,), _ in [*self._questions.iterator()]:
-                    touched[q] = step((), "restart", None, None)
+                known = {q for (q,), _ in self._questions.iterator()} | set(touched)
                 self._questions.clear()
-                for q in touched:
-                    touched[q] = (None, None, 0, 0, False)
+                touched.update(dict.fromkeys(known, FRESH))
                 continue
             if pd.isna(e.q_index):
                 continue
             q = int(e.q_index)
             now = touched.get(q)
             if now is None:
-                now = tuple(self._questions.getValue((q,))) if self._questions.containsKey((q,)) else (None, None, 0, 0, False)
+                now = tuple(self._questions.getValue((q,))) if self._questions.containsKey((q,)) else FRESH
             now = step(now, kind, None if pd.isna(e.selected) else e.selected, None if pd.isna(e.correct) else bool(e.correct))
             touched[q] = now
             self._questions.updateValue((q,), now)
