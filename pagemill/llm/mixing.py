@@ -26,12 +26,12 @@ def nearest_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.n
     """How many of each length to take so that their sum comes as near as possible to the budget, by dynamic programming.
 
     A bit of ``reach`` stands for a sum; each length's count is split into powers of two.  Sums up to the budget
-    plus the least length are looked at, so that a sum just over it may win.
+    plus the greatest length are looked at, so that a sum over it may win.
     """
     taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not len(lengths):
         return taken
-    width = budget + int(lengths.min()) + 1
+    width = budget + min(int(lengths.max()), budget) + 1
     mask, steps, reach = (1 << width) - 1, [], 1
     for i in np.argsort(-lengths):
         left, power = min(int(counts[i]), width // int(lengths[i])), 1
