@@ -43,7 +43,7 @@ def chunk_array(text: Column, target: int = TARGET, overlap: int = OVERLAP, leas
         last = js_trim(state["held"])
         return F.concat(state["out"], F.when(last == "", nothing).otherwise(F.array(last)))
 
-    return F.when(js_trim(text) == "", nothing).otherwise(F.aggregate(T.chunk_sentences(text), start, fold, finish))
+    return F.when(js_trim(text) == "", nothing).when(text.isNotNull(), F.aggregate(T.chunk_sentences(text), start, fold, finish))
 
 
 def chunk_pages(pages: DataFrame, focus: str | None = None) -> DataFrame:
