@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 #: What stands for "nothing here", without punctuation and in lower case.
 NOTHING = (
     "n a", "na", "none", "null", "nil", "nan", "tbd", "tba", "tbc", "todo", "no answer", "no answer given", "not given", "not available", "not applicable", "not provided", "unknown", "blank", "empty", "missing",
@@ -192,7 +194,7 @@ def vocabulary(questions: DataFrame) -> DataFrame:
 
     The last word of a text without a stop counts in neither, as it may be a piece.
     """
-    counted = questions.select(COLUMNS).mapInArrow(_count, "word string, inside long, ending long")
+    counted = spread(questions.select(COLUMNS)).mapInArrow(_count, "word string, inside long, ending long")
     return counted.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("ending").alias("ending"))
 
 
@@ -205,7 +207,7 @@ def pair_defects(questions: DataFrame) -> DataFrame:
     ends after a comma or a word of OPEN_WORDS, or, without a stop, after a word that never ends a sentence though
     it is frequent, or after an unknown word with which a longer one begins.
     """
-    judged = questions.select(COLUMNS).mapInArrow(_judge, "question_id long, defect string, tail string")
+    judged = spread(questions.select(COLUMNS)).mapInArrow(_judge, "question_id long, defect string, tail string")
     sure = judged.where("tail is null").select("question_id", "defect")
     open_ends = judged.where("tail is not null").withColumn("word", F.lower("tail"))
     words = vocabulary(questions)

@@ -18,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 #: Documents the classifier is fitted on, at most; every document is classified.
 SAMPLE = 6_000
+#: Of the sample's ordinary units, those kept for fitting, at most (seeded by hash); all slot and residue units stay.
+ORDINARY_KEPT = 30_000
 #: Sources are unseen, for validation, if their hash falls in one part of so many.
 HELD_OUT = 5
 BUCKETS = 1 << 17
@@ -51,6 +55,14 @@ RESIDUE = re.compile(
     r"|your (own )?(text|title|content|paragraph|notes|words|heading|caption|subtitle|summary) (goes )?(here|goes)|replace this|with your own|goes (in|here)|(sample|dummy|stub|placeholder|body|filler) (text|copy|content)|text text text|blah blah|x{3,} x{3,}|(asdf|qwer|hjkl)|test test|coming soon|to be (written|added|completed|announced) ?\.|not been written yet"
     r"|\b(answer|option|question) \w+, (answer|option|question) \w+\b|insert (learning|your|a|the|text)|click (here )?to (add|edit)|^add your|write something about|(caption|title|heading|teaser|subtitle|body) text|texto de (ejemplo|relleno|exemplo|muestra|preenchimento)|texte (d'exemple|de remplissage|factice)|(beispiel|blind|platzhalter|füll)text|hier steht|votre (texte|titre|contenu|paragraphe)|(su|tu) (texto|título|contenido) aquí|escrib[ae] (su|tu|aquí)|insira o seu|o seu (texto|título)|ihr (text|titel|absatz)\b|lorem ipsum"
 )
+#: What matches RESIDUE has one of these, or begins with a digit or with "at"; spares the long pattern most sentences.
+_HINTS = (
+    "not found", "gefunden", "encontr", "introuvable", "n'existe", "denied", "verweigert", "refus", "denegado", "negado", "forbidden", "unavailable", "bad gateway", "took too long", "server error", "wrong", "requests", "expired", "timed out", "timeout", "time-out", "again", "log in", "sign in",
+    "slow down", "retry", "wait ", "unable", "could not", "cannot be", "can't be", "failed", "traceback", "null pointer", "undefined", "exception", "stack", "database", "connection ", "maintenance", "wartung", "limit reached", "quota", "no results", "not available", "has been", "may have been",
+    "you followed", "link is", "administrator", "quote reference", "error", "ref ", "code ", "oops", "uh-oh", "damaged", "permission", "permiso", "session has", "session ended", "respond", "erro", "erreur", "fehler", "disponible", "indispon", "verfügbar", "script", "cookies", "does not support", "allow them",
+    "checking your", "verifying your", "robot", "human", "loading", "client-side", "browser", "your ", "replace this", "goes ", "text text", "sample ", "dummy ", "stub ", "placeholder ", "body ", "filler ", "caption ", "title text", "heading ", "teaser ", "subtitle ", "texto", "texte", "ülltext", "beispieltext", "blindtext", "platzhaltertext", "blah", "xxx", "asdf", "qwer", "hjkl", "test test", "coming soon", "to be written", "to be added", "to be completed", "to be announced", "not been written", "insert", "click", "add your", "write something",
+    "hier steht", "votre", "aquí", "escrib", "insira", "ihr ", "lorem", ", answer", ", option", ", question",
+)
 #: Speaking of, quoting or explaining such things is ordinary text.
 SPEAKS_OF = re.compile(r"[\"“”„«»`]|\b(means? that|belongs? to|syntax|notation|such as|answered|tells? the|is used in|denotes?|designers|typesetters|printer|readers? (turn|judge)|keep cookies|so that|helps? nobody|called|defines?|definition|explains?|edition)\b", re.I)
 SITE_LINE = re.compile(r"^(?:[^.!?]{1,40}\|)+[^.!?|]{0,40}$|[©®]|^copyright\b|^all rights reserved|^https?://\S+$", re.I)
@@ -90,7 +102,9 @@ def weak_label(unit: str) -> int:
     words = re.findall(r"\w+", unit.lower())
     if words and not speaks and sum(w in MOCK_LATIN for w in words) * 10 >= len(words) * 7 and len(words) > 2:
         return 2
-    return 2 if len(words) < 22 and not speaks and RESIDUE.search(unit.lower()) else 0
+    low = unit.lower()
+    hinted = low[:1].isdigit() or low.startswith("at ") or any(h in low for h in _HINTS)
+    return 2 if len(words) < 22 and not speaks and hinted and RESIDUE.search(low) else 0
 
 
 class Model:
@@ -194,7 +208,9 @@ def train(documents: DataFrame, sample: int = SAMPLE, seed: int = 8) -> tuple[Mo
     pick = lambda mask: Units([u for u, m in zip(units.texts, mask, strict=True) if m], [f for f, m in zip(units.first, mask, strict=True) if m])
     if not (~held).any():
         held = np.zeros_like(held)
-    model = fit(pick(~held), labels[~held]) if len(labels) else Model(np.zeros((BUCKETS, 2), np.float32))
+    share = min(1.0, ORDINARY_KEPT / max(1, int((labels == 0).sum())))
+    kept = (labels > 0) | (np.array([zlib.crc32(u.encode("utf-8", "replace")) % 10_000 for u in units.texts]) < share * 10_000)
+    model = fit(pick(~held & kept), labels[~held & kept]) if len(labels) else Model(np.zeros((BUCKETS, 2), np.float32))
     report: dict[str, float] = {"units": float(len(labels)), "held_out_units": float(held.sum())}
     found = model.scores(pick(held)) > 0 if held.any() else np.zeros((0, 2), bool)
     for c, name in enumerate(("slot", "residue")):
@@ -237,7 +253,7 @@ def residue_documents(documents: DataFrame, sample: int = SAMPLE, seed: int = 8)
                 part = batch.slice(at, UNIT_BATCH)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(judge(part.column(1).to_pylist(), own), pa.bool_()))], ["doc_id"])
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long")
+    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text")).mapInArrow(run, "doc_id long")
 
 
 def without_residue(documents: DataFrame, found: DataFrame) -> DataFrame:

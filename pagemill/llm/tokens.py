@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.bpe import BytePairEncoder
+from pagemill.session import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Texts encoded together; the unit of the vectorised check.
@@ -41,7 +42,7 @@ def _mapped(df: DataFrame, text: str, out: str, keep: list[str], vocabulary: str
                 made = encoder.encode(texts) if ids else encoder.count(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(made, kind)], [*keep, out])
 
-    given = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    given = spread(df.select(*keep, F.col(text).cast("string").alias("_text")))
     fields = [*given.schema.fields[: len(keep)], T.StructField(out, T.ArrayType(T.IntegerType()) if ids else T.LongType())]
     return given.mapInArrow(run, T.StructType(fields))
 
