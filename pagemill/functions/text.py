@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.jsstr import SPACE, collapse, js_round, js_trim
+from pagemill.functions.jsstr import SPACE, collapse, js_round, js_trim, let
 
 # fixed values
 STOP_WORDS = "the and or to a of in for on with at is are was were be this that an it as by from can will if not but into about".split()
@@ -41,19 +41,21 @@ def _numeric(words: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Trimmed sentences, split at white space after a stop; the trimmed text if there is none."""
     parts = F.filter(F.transform(F.split(text, rf"(?<=[.!?]){SPACE}+"), js_trim), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(js_trim(text)))
+    return let(parts, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(js_trim(text))))
 
 
 def chunk_sentences(text: Column) -> Column:
     """Sentences for chunking: split only where a capital or a digit follows."""
     parts = F.filter(F.transform(F.split(text, rf"(?<=[.!?]){SPACE}+(?=[A-Z0-9])"), js_trim), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    return let(parts, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(text)))
 
 
 def sentence_score(sentence: Column) -> Column:
-    words = content_tokens(tokens(sentence))
-    signals = F.regexp_count(sentence, F.lit("[A-Z]{2,}"))
-    return F.size(words) + _long(words) * F.lit(1.6) + _numeric(words) * F.lit(1.3) + F.when(F.size(tokens(sentence)) > 0, signals).otherwise(0) * F.lit(1.8)
+    def of(words: Column) -> Column:
+        signals = F.when(F.size(words) > 0, F.regexp_count(sentence, F.lit("[A-Z]{2,}"))).otherwise(0)
+        return let(content_tokens(words), lambda kept: F.size(kept) + _long(kept) * F.lit(1.6) + _numeric(kept) * F.lit(1.3) + signals * F.lit(1.8))
+
+    return let(tokens(sentence), of)
 
 
 def information_score(text: Column, words: Column) -> Column:
@@ -66,26 +68,31 @@ def information_score(text: Column, words: Column) -> Column:
 
 def fingerprint(content: Column) -> Column:
     """Count, first 18, middle 12 and last 12 of the tokens without stop words; empty if there are none."""
-    n = F.size(content)
-    middle = F.greatest(F.lit(1), F.floor(n / 2).cast("int") - 5)
-    head, mid, tail = F.slice(content, 1, 18), F.slice(content, middle, F.lit(12)), F.slice(content, F.greatest(n - 11, F.lit(1)), F.lit(12))
-    made = F.concat(n.cast("string"), F.lit(":"), F.array_join(head, "|"), F.lit("::"), F.array_join(mid, "|"), F.lit("::"), F.array_join(tail, "|"))
-    return F.when(n > 0, made).otherwise(F.lit(""))
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        middle = F.greatest(F.lit(1), F.floor(n / 2).cast("int") - 5)
+        head, mid, tail = F.slice(words, 1, 18), F.slice(words, middle, F.lit(12)), F.slice(words, F.greatest(n - 11, F.lit(1)), F.lit(12))
+        made = F.concat(n.cast("string"), F.lit(":"), F.array_join(head, "|"), F.lit("::"), F.array_join(mid, "|"), F.lit("::"), F.array_join(tail, "|"))
+        return F.when(n > 0, made).otherwise(F.lit(""))
+
+    return let(content, of)
 
 
 def compress(text: Column, most: int = COMPRESSED_CHARS) -> Column:
     """The highest scored sentences in order of the text that fit together, else the beginning with dots."""
-    flat = collapse(text)
-    scored = F.transform(sentences(flat), lambda s, i: F.struct((-sentence_score(s)).alias("low"), i.alias("i"), s.alias("s")))
-    kept = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, KEPT_SENTENCES), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
 
     def add(out: Column, x: Column) -> Column:
         longer = F.when(out == "", x["s"]).otherwise(F.concat(out, F.lit(" "), x["s"]))
         return F.when(F.length(longer) > most, out).otherwise(longer)
 
-    picked = F.aggregate(kept, F.lit(""), add)
-    cut = F.concat(js_trim(F.substring(flat, 1, most - 3)), F.lit("..."))
-    return F.when(F.length(flat) <= most, flat).when(F.length(picked) >= min(LEAST_COMPRESSED, most), js_trim(picked)).otherwise(cut)
+    def shorten(flat: Column) -> Column:
+        scored = F.transform(sentences(flat), lambda s, i: F.struct((-sentence_score(s)).alias("low"), i.alias("i"), s.alias("s")))
+        kept = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, KEPT_SENTENCES), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+        cut = F.concat(js_trim(F.substring(flat, 1, most - 3)), F.lit("..."))
+        return let(F.aggregate(kept, F.lit(""), add), lambda picked: F.when(F.length(picked) >= min(LEAST_COMPRESSED, most), js_trim(picked)).otherwise(cut))
+
+    return let(collapse(text), lambda flat: F.when(F.length(flat) <= most, flat).otherwise(shorten(flat)))
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.functions.jsstr import js_trim
+from pagemill.functions.jsstr import js_trim, let
 
 # fixed values
 TARGET, OVERLAP, LEAST = 1200, 220, 320
@@ -30,14 +30,17 @@ def chunk_array(text: Column, target: int = TARGET, overlap: int = OVERLAP, leas
 
     def fold(state: Column, sentence: Column) -> Column:
         held, out = state["held"], state["out"]
-        joined = F.when(held == "", sentence).otherwise(F.concat(held, F.lit(" "), sentence))
-        fits = F.length(joined) <= target
-        flush = ~fits & (F.length(held) >= least)
-        split = ~fits & ~flush & (F.length(sentence) > target)
-        carried = F.when(F.length(held) <= overlap, held).otherwise(F.right(held, F.lit(overlap))) if overlap > 0 else held
-        next_held = F.when(flush, js_trim(F.concat(carried, F.lit(" "), sentence))).when(split, F.lit("")).otherwise(joined)
-        added = F.when(flush, F.array(js_trim(held))).when(split, _windows(sentence, target, overlap)).otherwise(nothing)
-        return F.struct(next_held.alias("held"), F.concat(out, added).alias("out"))
+
+        def of(joined: Column) -> Column:
+            fits = F.length(joined) <= target
+            flush = F.length(held) >= least
+            carried = F.when(F.length(held) <= overlap, held).otherwise(F.right(held, F.lit(overlap))) if overlap > 0 else held
+            flushed = F.struct(js_trim(F.concat(carried, F.lit(" "), sentence)).alias("held"), F.concat(out, F.array(js_trim(held))).alias("out"))
+            windows = F.struct(F.lit("").alias("held"), F.concat(out, _windows(sentence, target, overlap)).alias("out"))
+            kept = F.struct(joined.alias("held"), out.alias("out"))
+            return F.when(fits, kept).when(flush, flushed).when(F.length(sentence) > target, windows).otherwise(kept)
+
+        return let(F.when(held == "", sentence).otherwise(F.concat(held, F.lit(" "), sentence)), of)
 
     def finish(state: Column) -> Column:
         last = js_trim(state["held"])
