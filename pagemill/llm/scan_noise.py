@@ -2,7 +2,7 @@
 
 Words are counted over all pages, apart for files that were scanned and files that were not.  A word of a scanned
 text that no other file has is looked up by an automaton in the trie of the vocabulary; a far more frequent word
-within the confusions of recognition makes it a misreading.  Line ends are judged by whether the joined word is
+within the confusions of recognition, or else within edits of any letter, makes it a misreading.  Line ends are judged by whether the joined word is
 one, furniture by its place and form and by the titles of the file.  Only suspects are shuffled, never texts.
 """
 
@@ -24,6 +24,10 @@ from pagemill.session import broadcast_if_small, cut_lineage, spread
 COMMON = 50_000
 #: For a suspect of letters only, a candidate must stand at least so many times as often, by its number of errors.
 RATIO = {1: 5, 2: 20}
+#: The same if the errors are edits of any letter, of which inflected forms and names are often one or two away.
+EDIT_RATIO = {1: 20, 2: 100}
+#: From so many letters on, that many edits of any letter still tell one word; below, unrelated words are as near.
+EDIT_LENGTH = {1: 4, 2: 8}
 #: Suspect words looked up against one trie in a task.
 BLOCK = 20_000
 
@@ -32,6 +36,7 @@ _RUN = re.compile(rf"[^\W_{re.escape(_INSIDE)}]+(?:[{re.escape(_INSIDE)}]+[^\W_]
 _BREAK = re.compile(r"([^\W\d_](?:[^\W_]|[*^~†§¢@|!](?=[^\W_]))*)([-\u2010\u2011\u00ad¬])$")
 _REST = re.compile(r"[^\W_](?:[^\W_]|[*^~¬†§¢@|!](?=[^\W_])|[†§¢@|])*|[†§¢@|!](?:[^\W_]|[*^~¬†§¢@|](?=[^\W_]))+")
 _COMPOUND = re.compile(r"([^\W\d_]+)[-\u2010\u2011](?=[^\W\d_])")
+_LABEL = re.compile(r"[^\W\d_]+\d+$|\d+[^\W\d_]+$")
 _ROMAN = re.compile(r"[ivxlc1|!]+$", re.I)
 _NUMBER = r"[0-9lIO|oSZBgq!s§b]{1,5}"
 _FORMS = re.compile(rf"^(?:[-–—~*•·=|<(\[]+ ?)?(?:(?:p|pg|pag|page|seite|página|pagina|s)[.:]? ?)?({_NUMBER}|[ivxlc1|!]+)(?: ?(?:/|of|von|de|sur) ?{_NUMBER})?\.?(?: ?[-–—~*•·=|>)\]]+)?$", re.I)
@@ -157,18 +162,31 @@ ITEMS = ["record_table", "record_id", "file_index", "line_no", "kind", "word", "
 ITEM_TYPES = "record_table string, record_id long, file_index int, line_no int, kind string, word string, extra string"
 
 
+def candidates(token: str, own: int, trie: Trie, counts: dict[str, int]) -> dict[str, int]:
+    """The words that a suspect standing ``own`` times may be a misreading of, with their errors.
+
+    Words within the confusions of recognition come first; only if there is none, words within as many edits of any
+    letter.  A suspect that is itself in the vocabulary, or a word with a plain number before or after it, is none of the latter.
+    """
+    letters = token.isalpha()
+    found = {fix: n for fix, n in trie.search(token).items() if n and (not letters or counts[fix] >= RATIO[n] * own)}
+    if found or token in counts:
+        return found
+    if not letters and len(token) > 5:
+        found = {fix: n for fix, n in trie.search(token, 1, plain=True).items() if n}
+    if found or not letters and (_LABEL.match(token) or sum(map(str.isalpha, token)) < EDIT_LENGTH[1]):
+        return found
+    near = trie.search(token, max((n for n, least in EDIT_LENGTH.items() if len(token) >= least), default=0), plain=True)
+    return {fix: n for fix, n in near.items() if n and counts[fix] >= EDIT_RATIO[n] * own}
+
+
 def _look_up(_: tuple, suspects: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """The likeliest candidates of each suspect of a block, best first: fewest errors, then most frequent."""
     counts = dict(zip(words["word"], words["n"], strict=True))
     trie = Trie(counts)
     rows = []
     for token, own in zip(suspects["word"], suspects["n"], strict=True):
-        found = trie.search(token)
-        if not found and len(token) > 5 and token.isalpha() is False:
-            found = trie.search(token, 1, plain=True)
-        for fix, errors in found.items():
-            if errors and (not token.isalpha() or counts[fix] >= RATIO[errors] * own):
-                rows.append((token, fix, errors, counts[fix]))
+        rows.extend((token, fix, errors, counts[fix]) for fix, errors in candidates(token, own, trie, counts).items())
     return pd.DataFrame(rows, columns=["word", "fix", "errors", "times"]).astype({"word": object, "fix": object, "errors": "int32", "times": "int64"})
 
 

@@ -132,3 +132,33 @@ def test_repair(spark):
 @pytest.mark.parametrize(("lines", "i", "wanted"), [(["- 3 -", "Text here."], 0, True), (["Text.", "xlvii"], 1, True), (["Head", "7 / 12", "Text."], 1, True), (["Table 4", "85", "Text."], 1, False), (["A", "12", "B", "C"], 1, True), (["A.", "b c", "d", "85", "12.5"], 4, False), (["Text."], 0, False)])
 def test_number_lines(lines, i, wanted):
     assert scan_noise.is_number_line(lines, i) == wanted
+
+
+def test_misreadings_off_the_table_of_confusions(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    words = {"".join(rng.choice("aoxk") for _ in range(rng.randint(5, 9))) for _ in range(60)}
+
+    def distance(a, b):
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return d[-1][-1]
+
+    for _ in range(40):
+        token = "".join(rng.choice("aoxk") for _ in range(rng.randint(5, 9)))
+        assert {w: n for w in words if (n := distance(token, w)) <= 2} == Trie(words).search(token, 2, plain=True)
+
+    counts = {"modern": 300, "recognition": 300, "record": 300, "the": 900, "section": 300, "records": 3}
+    near = lambda token: scan_noise.candidates(token, 1, Trie(counts), counts)
+    assert near("moderni") == {"modern": 1} and near("recgnition") == {"recognition": 1} and near("rocord") == {"record": 1} and near("rekogniton") == {"recognition": 2}
+    assert near("toe") == {} and near("section12") == {} and near("records") == {} and scan_noise.candidates("moderni", 20, Trie(counts), counts) == {}
+
+    pages, chunks = noise_tables(spark)
+    more = spark.createDataFrame([(104, 1, "the_river_1.pdf", 9, 9, "The generl record follows the textbok\nand the marcket ends here.", True, 9)], pages.schema)
+    got = {tuple(r) for r in scan_noise.scan_noise(pages.unionByName(more), chunks).where("record_id = 104").collect()}
+    assert got == {("pdf_pages", 104, 0, "misread"), ("pdf_pages", 104, 1, "misread")}
+    texts = {r["record_id"]: r["text"] for r in scan_noise.repaired_texts(pages.unionByName(more), chunks).collect()}
+    assert texts[104] == "The general record follows the textbook and the market ends here."
