@@ -113,7 +113,11 @@ def is_number_line(lines: list[str], i: int) -> bool:
 
 
 def _scan(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items of each record: (record_table, record_id, file_index, line_no, kind, word, extra)."""
+    """Items of each record: (record_table, record_id, file_index, line_no, kind, word, extra).
+
+    ``common`` only spares known words a join: a line's end whose joined word is not in it stays open, as ``join``,
+    or ``tied`` after a digit.
+    """
     for batch in batches:
         out: list[tuple] = []
         for table, key, file_index, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -144,15 +148,11 @@ def _scan(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator
                         seen.add((i, word))
                         put(i, "word", word, f"{words[n - 1][1] if n else ''} {words[n + 1][1] if n + 1 < len(words) else ''}")
                     continue
-                first, rest = joined.split("\x00")
+                first = joined.partition("\x00")[0]
                 if word in common:
                     put(i, "sure", "hyphen_break")
-                elif f"{first}-" in common or first in common and rest in common or first[-1:].isdigit():
-                    for line, piece in ((i, first), (i + 1, rest)):
-                        if piece not in common and not piece.isdigit():
-                            put(line, "word", piece)
                 else:
-                    put(i, "join", word, first)
+                    put(i, "tied" if first[-1:].isdigit() else "join", word, first)
         columns = [*zip(*out, strict=True)] if out else [()] * 7
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ITEMS)
@@ -223,10 +223,30 @@ class Noise:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _scan(shared.value, batches)
 
-        self.items = cut_lineage(self.texts.mapInArrow(scan, ITEM_TYPES))
+        self.items = cut_lineage(self._settled(cut_lineage(self.texts.mapInArrow(scan, ITEM_TYPES))))
         self.fixes = cut_lineage(self._fixes())
         self.titles = self._titles(known)
 
+    def _settled(self, items: DataFrame) -> DataFrame:
+        """The items with each open line end judged by the whole vocabulary.
+
+        It breaks a word if the joined word is known.  Else it is a compound's own hyphen if its first piece stands
+        as such, if both pieces are words or if the first ends in a digit; the pieces are then words of their lines.
+        What is neither stays a ``join``.
+        """
+        ends = items.where("kind in ('join', 'tied')")
+        rest = F.expr("substring(word, length(extra) + 1)")
+        forms = F.array("word", F.concat("extra", F.lit("-")), F.col("extra"), rest)
+        asked = ends.select("word", "extra").distinct().select(F.col("word").alias("_word"), F.col("extra").alias("_first"), F.posexplode(forms).alias("_form", "word"))
+        known = asked.join(self.words.where("clean > 0").select("word"), "word").groupBy("_word", "_first").agg(*(F.max(F.col("_form") == k).alias(f"_{name}") for k, name in enumerate(("whole", "own", "left", "right"))))
+        judged = ends.join(known.withColumnsRenamed({"_word": "word", "_first": "extra"}), ["word", "extra"], "left")
+        judged = judged.fillna(False, ["_whole", "_own", "_left", "_right"]).withColumn("_compound", F.expr("not _whole and (kind = 'tied' or _own or _left and _right)"))
+        broken = judged.where("not _compound").withColumn("kind", F.when(F.col("_whole"), "sure").otherwise("join")).withColumn("word", F.when(F.col("_whole"), "hyphen_break").otherwise(F.col("word")))
+        pieces = F.array(F.struct(F.col("line_no").alias("line"), F.col("extra").alias("piece")), F.struct((F.col("line_no") + 1).alias("line"), rest.alias("piece")))
+        apart = judged.where("_compound").withColumn("_p", F.explode(pieces)).where("not _p.piece rlike '^[0-9]*$'")
+        apart = apart.select("record_table", "record_id", "file_index", F.col("_p.line").alias("line_no"), F.lit("word").alias("kind"), F.col("_p.piece").alias("word"), F.lit(None).cast("string").alias("extra"))
+        return items.where("kind not in ('join', 'tied')").unionByName(broken.select(ITEMS)).unionByName(apart)
+
     def _fixes(self) -> DataFrame:
         """(word, fix, errors, times): candidates of every suspect that is a misreading; fix is null for a number in disguise or a name with signs."""
         suspects = self.items.where("kind in ('word', 'join')").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -261,10 +281,9 @@ class Noise:
         heads = items.where("kind = 'head'").join(self.titles, ["file_index", "word"]).select(*record, F.lit("running_head").alias("noise"))
         best = self.fixes.groupBy("word").agg(F.min(F.struct("errors", -F.col("times"), "fix")).alias("_best")).select("word", F.col("_best.fix").alias("fix"))
         misread = items.where("kind = 'word'").join(best.select("word"), "word").select(*record, F.lit("misread").alias("noise"))
-        trusted = self.words.where("clean > 0").select("word", F.lit(True).alias("_known"))
-        joins = items.where("kind = 'join'").join(best, "word", "left").join(trusted, "word", "left")
+        joins = items.where("kind = 'join'").join(best, "word", "left")
         broken = joins.select(*record, F.lit("hyphen_break").alias("noise"))
-        spoilt = joins.where("_known is null and fix is not null")
+        spoilt = joins.where("fix is not null")
         own_first = F.col("fix").startswith(F.col("extra"))
         own_rest = F.expr("endswith(fix, substring(word, length(extra) + 1))")
         at_first = spoilt.where(~own_first | own_rest & ~own_first).select(*record, F.lit("misread").alias("noise"))

@@ -162,3 +162,18 @@ def test_misreadings_off_the_table_of_confusions(spark):
     assert got == {("pdf_pages", 104, 0, "misread"), ("pdf_pages", 104, 1, "misread")}
     texts = {r["record_id"]: r["text"] for r in scan_noise.repaired_texts(pages.unionByName(more), chunks).collect()}
     assert texts[104] == "The general record follows the textbook and the market ends here."
+
+
+def test_line_ends_meet_the_whole_vocabulary(spark, monkeypatch):
+    pages, chunks = noise_tables(spark)
+    more = spark.createDataFrame(
+        [(50, 0, "clean.pdf", 50, None, "The book whereupon he wrote where it stands upon the shelf.", False, 9), (105, 1, "the_river_1.pdf", 9, 9, "The method where-\nupon a long-\nterm record\nends. The grat-\nning of level3-\nb follows the gen^e-\nral text-\nmarket.", True, 9)], pages.schema
+    )
+    tables = pages.unionByName(more), chunks
+    whole = {tuple(r) for r in scan_noise.scan_noise(*tables).collect()}
+    assert {r[2:] for r in whole if r[1] == 105} >= {(0, "hyphen_break")} and not {(1, "hyphen_break"), (4, "hyphen_break")} & {r[2:] for r in whole if r[1] == 105}
+    texts = {tuple(r) for r in scan_noise.repaired_texts(*tables).collect()}
+    for few in (1, 12):
+        monkeypatch.setattr(scan_noise, "COMMON", few)
+        assert {tuple(r) for r in scan_noise.scan_noise(*tables).collect()} == whole
+    assert {tuple(r) for r in scan_noise.repaired_texts(*tables).collect()} == texts
