@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.spelling import Trie, skeleton
+from pagemill.llm.spelling import DIGITS, LETTERS, Trie, skeleton
 from pagemill.session import broadcast_if_small, cut_lineage, spread
 
 #: The most frequent words known from unscanned files go along with the tasks, so that they need no join; all others are joined.
@@ -248,7 +248,11 @@ class Noise:
         return items.where("kind not in ('join', 'tied')").unionByName(broken.select(ITEMS)).unionByName(apart)
 
     def _fixes(self) -> DataFrame:
-        """(word, fix, errors, times): candidates of every suspect that is a misreading; fix is null for a number in disguise or a name with signs."""
+        """(word, fix, errors, times): candidates of every suspect that is a misreading.
+
+        A number in disguise gets its digits, which reflow reads again from the shapes in the text; a name with signs gets
+        the letters these stand for, null if a digit is left that stands for none.
+        """
         suspects = self.items.where("kind in ('word', 'join')").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         suspects = cut_lineage(suspects.join(self.words.where("clean > 0"), "word", "left_anti").withColumn("_length", F.length("word")))
         blocks = max(1, -(-suspects.count() // BLOCK))
@@ -264,8 +268,10 @@ class Noise:
         mixed = (letters_of >= 4) & F.col("word").rlike("\\p{L}[0-9]{1,2}\\p{L}|^[0-9]\\p{Ll}{3}|\\p{L}{4}[0-9]$") & ~F.col("word").rlike("[0-9]{3}")
         signs = mixed | F.col("word").rlike("[\\p{L}][*^~¬†§¢@|!€£]|[*^~¬†§¢@|!€£][\\p{L}]") & F.col("word").rlike("\\p{L}{2}")
         odd = suspects.where(number | signs).join(found.select("word").distinct(), "word", "left_anti")
-        none = odd.select("word", F.lit(None).cast("string").alias("fix"), F.lit(1).alias("errors"), F.lit(0).cast("long").alias("times"))
-        return found.unionByName(none)
+        spelt = F.translate(F.regexp_replace("word", "[*^~¬]", ""), "".join(LETTERS), "".join(LETTERS.values()))
+        fix = F.when(number, digits).when(spelt.rlike("^\\p{L}+$"), spelt)
+        read = odd.select("word", fix.alias("fix"), F.lit(1).alias("errors"), F.lit(0).cast("long").alias("times"))
+        return found.unionByName(read)
 
     def _titles(self, known: DataFrame) -> DataFrame:
         """(file_index, word): keys of the titles of works and chapters, and of lines that head several pages."""
@@ -344,6 +350,8 @@ def reflow(text: str, notes: dict[int, set[str]], fixes: dict[str, str]) -> str:
         if not fix:
             return word
         tail = "!" if word.endswith("!") else ""
+        if fix.isdigit():
+            return word.rstrip("!").translate(DIGITS) + tail
         shown = fix.upper() if len(word) > 1 and word.upper() == word and any(c.isalpha() for c in word) and not any(c.islower() for c in word) else fix.capitalize() if word[:1].isupper() else fix
         return shown + tail
 

@@ -13,6 +13,10 @@ CONFUSIONS = {
 #: Signs that recognition drops into words.
 MARKS = frozenset("*^~¬'`´¸·•_=#\"\\<>{}[]:;.,+-\u00ad")
 ERRORS = 2
+#: The digits that the shapes in a misread number stand for; capitals have other shapes than small letters.
+DIGITS = str.maketrans("lLiI|!oOsS§bBgGqQzZaAtT†eE", "11111100555689690224477733", "*^~¬")
+#: The letters that the digits and signs in a misread word stand for, where no word of the vocabulary tells.
+LETTERS = {seen: meant[0] for seen, meant in CONFUSIONS.items() if not seen.isalpha()}
 
 
 class Trie:

@@ -177,3 +177,14 @@ def test_line_ends_meet_the_whole_vocabulary(spark, monkeypatch):
         monkeypatch.setattr(scan_noise, "COMMON", few)
         assert {tuple(r) for r in scan_noise.scan_noise(*tables).collect()} == whole
     assert {tuple(r) for r in scan_noise.repaired_texts(*tables).collect()} == texts
+
+
+def test_repair_of_numbers_and_names(spark):
+    pages, chunks = noise_tables(spark)
+    text = "In l971, 1B90, 18g8 and 19^71\nthe market of Fen^mar, Dolb3ry\nand Kar4nok ends (20Z2)."
+    more = spark.createDataFrame([(106, 1, "the_river_1.pdf", 9, 9, text, True, 9)], pages.schema)
+    cut = spark.createDataFrame([(11, "The River 1.pdf", 1, text)], chunks.schema)
+    tables = pages.unionByName(more), chunks.unionByName(cut)
+    assert {(r["line_no"], r["noise"]) for r in scan_noise.scan_noise(*tables).where("record_id = 106").collect()} == {(0, "misread"), (1, "misread"), (2, "misread")}
+    texts = {r["record_id"]: r["text"] for r in scan_noise.repaired_texts(*tables).collect()}
+    assert texts[106] == texts[11] == "In 1971, 1890, 1898 and 1971 the market of Fenmar, Dolbery and Kar4nok ends (2022)."
