@@ -2,7 +2,7 @@
 
 A document is read as units (sentences within lines).  A linear classifier over hashed word n-grams, length and
 title features tells slot units and residue units from ordinary ones.  It is fitted on a bounded sample by weak
-labels (status lines, phrases, slot shapes) and measured on sources it never saw.  A document is found if it has a
+labels (status lines, phrases, slot shapes) and measured on all documents of sources it never saw.  A document is found if it has a
 slot unit, or residue units and at most one ordinary sentence besides titles and site lines.
 """
 
@@ -188,7 +188,7 @@ def sample_units(documents: DataFrame, sample: int, seed: int) -> tuple[Units, n
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("source", F.substring("text", 1, 4000).alias("text")).limit(2 * sample).collect()
     texts, first, labels, held, seen = [], [], [], [], set()
     for source, text in ((r["source"], r["text"]) for r in drawn):
-        unseen = zlib.crc32((source or "").strip().lower().encode()) % HELD_OUT == 0
+        unseen = is_unseen(source)
         if _QUIZ_JSON.search(text):
             continue
         for unit, top in zip(*units_of(text), strict=True):
@@ -202,21 +202,67 @@ def sample_units(documents: DataFrame, sample: int, seed: int) -> tuple[Units, n
     return Units(texts, first), np.array(labels, np.int64), np.array(held, bool)
 
 
-def train(documents: DataFrame, sample: int = SAMPLE, seed: int = 8) -> tuple[Model, dict[str, float]]:
-    """The classifier, fitted on seen sources, and its precision and recall against weak labels on unseen ones."""
+def is_unseen(source: str | None) -> bool:
+    """Whether a source is held out for validation."""
+    return zlib.crc32((source or "").strip().lower().encode()) % HELD_OUT == 0
+
+
+def fitted(documents: DataFrame, sample: int = SAMPLE, seed: int = 8) -> tuple[Model, bool]:
+    """The classifier, fitted on a sample of the seen sources, and whether sources were held out: not if the sample has no others."""
     units, labels, held = sample_units(documents, sample, seed)
     pick = lambda mask: Units([u for u, m in zip(units.texts, mask, strict=True) if m], [f for f, m in zip(units.first, mask, strict=True) if m])
-    if not (~held).any():
+    apart = bool((~held).any())
+    if not apart:
         held = np.zeros_like(held)
     share = min(1.0, ORDINARY_KEPT / max(1, int((labels == 0).sum())))
     kept = (labels > 0) | (np.array([zlib.crc32(u.encode("utf-8", "replace")) % 10_000 for u in units.texts]) < share * 10_000)
     model = fit(pick(~held & kept), labels[~held & kept]) if len(labels) else Model(np.zeros((BUCKETS, 2), np.float32))
-    report: dict[str, float] = {"units": float(len(labels)), "held_out_units": float(held.sum())}
-    found = model.scores(pick(held)) > 0 if held.any() else np.zeros((0, 2), bool)
-    for c, name in enumerate(("slot", "residue")):
-        true, got = labels[held] == c + 1, found[:, c]
-        report |= {f"{name}_precision": float((true & got).sum() / max(1, got.sum())), f"{name}_recall": float((true & got).sum() / max(1, true.sum()))}
-    return model, report
+    return model, apart
+
+
+def tally(texts: list[str], unseen: list[bool], model: Model) -> np.ndarray:
+    """Counts over all units of whole documents: units, those of unseen sources, and for slot and residue those true, found and both among the latter."""
+    out = np.zeros(8, np.int64)
+    for text, own in zip(texts, unseen, strict=True):
+        if _QUIZ_JSON.search(text):
+            continue
+        units = units_of(text)
+        out[0] += len(units.texts)
+        if own and units.texts:
+            out[1] += len(units.texts)
+            labels, found = np.array([weak_label(u) for u in units.texts]), model.scores(units) > 0
+            for c in (0, 1):
+                true, got = labels == c + 1, found[:, c]
+                out[2 + 3 * c : 5 + 3 * c] += (true.sum(), got.sum(), (true & got).sum())
+    return out
+
+
+TALLY = ["units", "held_out_units", *(f"{name}_{what}" for name in ("slot", "residue") for what in ("true", "found", "both"))]
+
+
+def validation(documents: DataFrame, model: Model, apart: bool = True) -> dict[str, float]:
+    """Precision and recall against weak labels over every unit of all whole documents of unseen sources, a repeated unit as often as it stands."""
+    shared = documents.sparkSession.sparkContext.broadcast(model.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = Model(shared.value), np.zeros(8, np.int64)
+        for batch in batches:
+            total += tally(batch.column(1).to_pylist(), [apart and is_unseen(s) for s in batch.column(0).to_pylist()], own)
+        yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int64()) for n in total], TALLY)
+
+    counted = spread(documents.where("doc_id is not null and text is not null").select("source", "text")).mapInArrow(run, ", ".join(f"{c} long" for c in TALLY))
+    n = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TALLY)).first()
+    report = {c: float(n[c]) for c in TALLY[:2]}
+    for name in ("slot", "residue"):
+        both = n[f"{name}_both"]
+        report |= {f"{name}_precision": both / max(1, n[f"{name}_found"]), f"{name}_recall": both / max(1, n[f"{name}_true"])}
+    return report
+
+
+def train(documents: DataFrame, sample: int = SAMPLE, seed: int = 8) -> tuple[Model, dict[str, float]]:
+    """The classifier, fitted on seen sources, and its precision and recall against weak labels on all of the unseen ones."""
+    model, apart = fitted(documents, sample, seed)
+    return model, validation(documents, model, apart)
 
 
 def judge(texts: list[str | None], model: Model) -> list[bool]:
@@ -243,7 +289,7 @@ def residue_documents(documents: DataFrame, sample: int = SAMPLE, seed: int = 8)
     Null, empty and blank texts are no cases; repeated rows give repeated ids; rows with a null id are left out.
     Whole texts are classified, in one narrow stage; the model (1 MB) goes along with the tasks.
     """
-    model, _ = train(documents, sample, seed)
+    model, _ = fitted(documents, sample, seed)
     shared = documents.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -188,3 +188,18 @@ def test_repair_of_numbers_and_names(spark):
     assert {(r["line_no"], r["noise"]) for r in scan_noise.scan_noise(*tables).where("record_id = 106").collect()} == {(0, "misread"), (1, "misread"), (2, "misread")}
     texts = {r["record_id"]: r["text"] for r in scan_noise.repaired_texts(*tables).collect()}
     assert texts[106] == texts[11] == "In 1971, 1890, 1898 and 1971 the market of Fenmar, Dolbery and Kar4nok ends (2022)."
+
+
+def test_validation_covers_whole_documents(spark):
+    unseen = next(f"u{k}" for k in range(99) if residue.is_unseen(f"u{k}"))
+    seen = next(f"u{k}" for k in range(99) if not residue.is_unseen(f"u{k}"))
+    late = " ".join(ORDINARY[:4] * 25) + " Dear {{first_name}}, welcome to the course."
+    assert len(late) > 4000
+    rows = [(i, late, unseen) for i in range(30)] + [(100 + i, f"{ORDINARY[i]} Hello ${{user}}, {{{{ quiz }}}} is ready.", seen) for i in range(30)] + [(200, None, unseen), (None, late, unseen)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model, report = residue.train(df, 40)
+    assert report["held_out_units"] == 30 * 101 and report["units"] == 30 * 101 + 60
+    whole = residue.units_of(late)
+    labels, found = np.array([residue.weak_label(u) for u in whole.texts]), model.scores(whole) > 0
+    assert (labels == 1).sum() == 1 and report["slot_recall"] == float(found[labels == 1, 0].mean())
+    assert residue.validation(df.limit(0), model)["units"] == 0
