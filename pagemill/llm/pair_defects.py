@@ -67,6 +67,8 @@ REFUSALS = (
 DRESS = "the question is was asks asked you we i answer answering to about that says reads repeat again here as follows q a la pregunta es die frage lautet question est pergunta é".split()
 #: A word stands so often inside texts before its never ending one counts as proof that more must follow.
 OFTEN = 20
+#: So many everyday words tell the language of a refusal or a copied question, whose set phrases hold few, and some of several languages.
+FORMULA_HITS = 3
 
 
 _NOTHING, _DRESS, _OPEN = frozenset(NOTHING), frozenset(DRESS), frozenset(OPEN_WORDS)
@@ -141,20 +143,24 @@ def defects(question: str | None, options: list[str | None] | None, answer: str
         is_option = part == "answer" and text.lower() in offered
         if not words or " ".join(words) in _NOTHING and not is_option:
             yield "empty_answer", None
-        elif copies(text, words, q_words):
+            continue
+        copied = copies(text, words, q_words)
+        declined = not copied and refuses(text)
+        if copied:
             yield "copies_question", None
-        elif refuses(text):
+        elif declined:
             yield "refusal", None
-        else:
-            lang = language(text, words)
-            if q_lang and lang and lang != q_lang and not _NAMED[lang].search(asked):
-                own = sum(w in _COMMON.get(q_lang, ()) for w in words)
-                if lang in ("ru", "zh") or q_lang in ("ru", "zh") or sum(w in _COMMON[lang] for w in words) > own + (own > 0):
-                    yield "other_language", None
-            if not (part == "answer" and text.lower().rstrip(".…") in complete):
-                sure, tail = ends_openly(text)
-                if sure or tail:
-                    yield "truncated", None if sure else tail
+        lang = language(text, words)
+        if q_lang and lang and lang != q_lang and not _NAMED[lang].search(asked):
+            own, hits = (sum(w in _COMMON.get(x, ()) for w in words) for x in (q_lang, lang))
+            other_script = lang in ("ru", "zh") or q_lang in ("ru", "zh")
+            if other_script or hits > own + (own > 0) and (hits >= FORMULA_HITS or not (copied or declined)):
+                yield "other_language", None
+        given_whole = copied and words[-len(q_words) :] == q_words
+        if not given_whole and not (part == "answer" and text.lower().rstrip(".…") in complete):
+            sure, tail = ends_openly(text)
+            if sure or tail:
+                yield "truncated", None if sure else tail
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +207,8 @@ def vocabulary(questions: DataFrame) -> DataFrame:
 def pair_defects(questions: DataFrame) -> DataFrame:
     """(question_id, defect), distinct: every defect of every record.
 
-    Rules for one text, in this order: emptiness, copied question, refusal, then another language and truncation.
+    Rules for one text: emptiness, which rules out all others; copied question, else refusal; besides, another language
+    and truncation.  A copied question that ends as the question does isn't truncated.
     Null and blank texts are empty answers; a null question or null options switch off the rules that need them;
     repeated rows give one row; further columns are ignored.  A text is truncated if a bracket stays open, if it
     ends after a comma or a word of OPEN_WORDS, or, without a stop, after a word that never ends a sentence though

@@ -203,3 +203,15 @@ def test_validation_covers_whole_documents(spark):
     labels, found = np.array([residue.weak_label(u) for u in whole.texts]), model.scores(whole) > 0
     assert (labels == 1).sum() == 1 and report["slot_recall"] == float(found[labels == 1, 0].mean())
     assert residue.validation(df.limit(0), model)["units"] == 0
+
+
+@pytest.mark.parametrize(
+    ("answer", "wanted"),
+    [
+        ("Извините, я не могу ответить на этот вопрос.", {"refusal", "other_language"}), ("抱歉，我无法回答这个问题。", {"refusal", "other_language"}), ("Lo siento, no puedo responder porque el texto no lo dice y los datos de la tabla faltan.", {"refusal", "other_language"}),
+        ("I'm sorry, but I can't give an answer because the", {"refusal", "truncated"}), ("I cannot answer this question (the text", {"refusal", "truncated"}),
+        (f"La pregunta es: {Q}", {"copies_question"}), ("Which term names a budget that", {"copies_question", "truncated"}), (Q.rstrip("?"), {"copies_question"}), ("I'm sorry, but I can't give a reliable answer.", {"refusal"}),
+    ],
+)
+def test_every_defect_of_one_answer(answer, wanted):
+    assert {d for d, tail in pair_defects.defects(Q, O, answer, "The text links both terms in the chapter.") if tail is None} == wanted
