@@ -140,10 +140,16 @@ def script_safe(json: Column) -> Column:
 
 
 def fnv1a(value: Column) -> Column:
-    """32-bit FNV-1a over characters of the basic plane, in base 36."""
-    codes = F.filter(F.split(value, ""), lambda c: c != "")
-    folded = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
-    return F.lower(F.conv(folded.cast("string"), 10, 36))
+    """32-bit FNV-1a over UTF-16 units, in base 36."""
+    step = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
+
+    def both(h: Column, code: Column) -> Column:
+        over = code - 65536
+        pair = step(step(h, F.shiftright(over, 10) + 55296), over.bitwiseAND(F.lit(1023).cast("long")) + 56320)
+        return F.when(code < 65536, step(h, code)).otherwise(pair)
+
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.lower(F.conv(F.aggregate(codes, F.lit(2166136261).cast("long"), both).cast("string"), 10, 36))
 
 
 def format_bytes(n: Column) -> Column:

@@ -310,6 +310,11 @@ def storage_key_hash(s: SparkSession, d: str) -> DataFrame:
     return _questions(s, d).where("question is not null").select("question_id", T.fnv1a(F.regexp_replace("question", "[^ -~]", "?")).alias("hash"))
 
 
+def storage_key_hash_whole(s: SparkSession, d: str) -> DataFrame:
+    """The hash of the questions as they are; storage_key_hash masks what its SQL can't hash."""
+    return _questions(s, d).where("question is not null").select("question_id", T.fnv1a(F.col("question")).alias("hash"))
+
+
 def text_escapes(s: SparkSession, d: str) -> DataFrame:
     rows = _questions(s, d).where("explanation is not null")
     return rows.select("question_id", T.html_escape(F.col("explanation")).alias("html"), T.script_safe(F.col("explanation")).alias("script"), T.slug(F.coalesce("source.file", F.lit(""))).alias("slug"))
@@ -360,7 +365,7 @@ QUERIES: list[Query] = [
     normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, file_filter_status, intake_files, file_states,
     progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, coverage_selection_budget, order_best_match, order_random, pack_balanced, pack_sequential, batch_plan, question_allocation, queue_metrics,
     source_packets, master_prompts, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, option_counts, keyed_edits, export_csv_lines,
-    export_json, storage_key_hash, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, question_states, otsu_threshold, histogram_percentile, ocr_quality,
+    export_json, storage_key_hash, storage_key_hash_whole, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, question_states, otsu_threshold, histogram_percentile, ocr_quality,
 ]
 
 

@@ -114,3 +114,22 @@ def test_chunk_ids_and_order(spark):
     got = [(r["source_order"], r["id"], r["chunk_id"]) for r in with_source_order(chunk_pages(pages)).orderBy("source_order").collect()]
     assert got == [(0, "file-1-p3-1", "file-1-p3-c1"), (1, "b-docx-unknown-1", "b-docx-unknown-c1"), (2, "b-docx-unknown-1", "b-docx-unknown-c1")]
     assert with_source_order(chunk_pages(pages.limit(0))).count() == 0
+
+
+def test_hash_of_whole_questions(spark, tmp_path):
+    from pagemill.plans import catalog
+
+    def by_units(text):
+        h, raw = 2166136261, text.encode("utf-16-le")
+        for at in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[at : at + 2], "little")) * 16777619 & 0xFFFFFFFF
+        out = ""
+        while h:
+            h, digit = divmod(h, 36)
+            out = "0123456789abcdefghijklmnopqrstuvwxyz"[digit] + out
+        return out or "0"
+
+    texts = ["abc", "a\nb", "Größe?", "Gräße?", "為什麼", "x 😀 y", "x 😁 y", "𝒜"]
+    spark.createDataFrame(list(enumerate(texts)), "question_id long, question string").write.parquet(f"{tmp_path}/questions.parquet")
+    got = dict(map(tuple, catalog.storage_key_hash_whole(spark, str(tmp_path)).collect()))
+    assert got == {i: by_units(x) for i, x in enumerate(texts)} and len(set(got.values())) == len(texts)
