@@ -69,37 +69,42 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def chunk_sizes(chunks: DataFrame) -> DataFrame:
-    """(source_order, tokens, chars) of each chunk once.
+    """(source_order, _own, tokens, chars) of each chunk once; ``_own`` is null but for a null source_order.
 
     Characters are those of compressed_text, or of raw_text where that is null or blank.  Tokens are
     estimated_tokens, or a quarter of the characters, rounded up, where that is null or not positive.  Rows
-    delivered again count once; of differing rows with one key the larger sizes count.
+    delivered again count once; of differing rows with one key the larger sizes count.  Rows without a key are told
+    apart by their content, the hash of which is ``_own``.
     """
     used = F.when(F.length(F.trim("compressed_text")) > 0, F.col("compressed_text")).otherwise(F.coalesce("raw_text", F.lit("")))
     chars = F.length(used).cast("long")
     tokens = F.when(F.col("estimated_tokens") > 0, F.col("estimated_tokens").cast("long")).otherwise(F.ceil(chars / CHARS_PER_TOKEN))
-    return chunks.select("source_order", tokens.alias("_t"), chars.alias("_c")).groupBy("source_order").agg(F.max("_t").alias("tokens"), F.max("_c").alias("chars"))
+    content = [c for c in ("id", "chunk_id", "file_name", "page", "raw_text", "compressed_text", "estimated_tokens") if c in chunks.columns]
+    parts = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in content))  # a hash leaves nulls out
+    own = F.when(F.col("source_order").isNull(), F.xxhash64(parts))
+    return chunks.select("source_order", own.alias("_own"), tokens.alias("_t"), chars.alias("_c")).groupBy("source_order", "_own").agg(F.max("_t").alias("tokens"), F.max("_c").alias("chars"))
 
 
 def pack_chunks(chunks: DataFrame, limits: DataFrame, seed: int = 2) -> DataFrame:
     """(limit_id, source_order, piece, pieces, size, batch_number): the batch, from 1, of every piece of every chunk under every limit.
 
     ``piece`` counts from 0; ``pieces`` is 1 but for a chunk beyond the capacity alone.  A chunk without any text
-    has size 0 and goes to the first batch.  Limits with a null or non-positive capacity or an unknown unit give no rows.
+    has size 0 and goes to the first batch.  Chunks with a null source_order are packed like others, each different
+    one on its own.  Limits with a null or non-positive capacity or an unknown unit give no rows.
     """
     sizes = chunk_sizes(chunks)
     known = limits.where("capacity > 0").select("limit_id", F.lower(F.trim("unit")).alias("unit"), F.col("capacity").cast("long")).where("unit in ('tokens', 'chars')")
-    by_unit = sizes.select("source_order", F.expr("stack(2, 'tokens', tokens, 'chars', chars) as (unit, whole)"))
+    by_unit = sizes.select("source_order", "_own", F.expr("stack(2, 'tokens', tokens, 'chars', chars) as (unit, whole)"))
     cut = by_unit.join(known, "unit").withColumn("pieces", F.greatest(F.ceil(F.col("whole") / F.col("capacity")), F.lit(1)).cast("long"))
-    pieces = cut.select("limit_id", "capacity", "source_order", "pieces", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    pieces = cut.select("limit_id", "capacity", "source_order", "_own", "pieces", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
     pieces = pieces.withColumn("size", F.least(F.col("capacity"), F.col("whole") - F.col("piece") * F.col("capacity"))).drop("whole")
     keys = ["limit_id", "size"]
-    salted = with_salt(pieces, [F.col("source_order"), F.col("piece")], seed)
+    salted = with_salt(pieces, [F.col("source_order"), F.col("piece"), F.col("_own")], seed)
     places = cells(salted.select("limit_id", "size", "_salt"), keys)
     histogram = places.groupBy(*keys).agg(F.sum("_count").alias("_n")).join(known.select("limit_id", "capacity"), "limit_id")
     plan = histogram.groupBy("limit_id").applyInPandas(_plan, "limit_id int, size long, _from long, _to long, _bin long, _each long")
     slots = places.join(plan, keys).where("_from < _before + _count and _to > _before").drop("_count")
-    placed = rank_in_cell(salted, keys, ["source_order", "piece"]).join(slots, [*keys, "_salt"]).withColumn("_at", F.col("_rank") + F.col("_before"))
+    placed = rank_in_cell(salted, keys, ["source_order", "piece", "_own"]).join(slots, [*keys, "_salt"]).withColumn("_at", F.col("_rank") + F.col("_before"))
     placed = placed.where("_at >= _from and _at < _to")
     number = F.col("_bin") + F.floor((F.col("_at") - F.col("_from")) / F.col("_each")) + 1
     return placed.select("limit_id", "source_order", "piece", "pieces", "size", number.cast("long").alias("batch_number"))

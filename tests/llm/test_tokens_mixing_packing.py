@@ -148,3 +148,17 @@ def test_ranks_without_gaps(spark):
     df = with_salt(spark.range(1000).select("id", F.lit("k").alias("k")), [F.col("id")], 5)
     ranked = rank_in_cell(df, ["k"], ["id"]).join(cells(df, ["k"]), ["k", "_salt"]).select((F.col("_rank") + F.col("_before")).alias("r"))
     assert sorted(r["r"] for r in ranked.collect()) == [*range(1000)]
+
+
+def test_chunks_without_a_key_are_all_packed(spark):
+    rows = [(None, "a" * 30, None, None), (None, "b" * 30, None, None), (None, "c" * 250, None, None), (None, "c" * 250, None, None), (1, "d" * 20, None, None), (None, None, "e" * 30, None), (None, "e" * 30, None, None)]
+    chunks = spark.createDataFrame(rows, "source_order long, raw_text string, compressed_text string, estimated_tokens int")
+    limits = spark.createDataFrame([(1, "chars", 100)], "limit_id int, unit string, capacity int")
+    packed = packing.pack_chunks(chunks, limits)
+    assert packed.columns == ["limit_id", "source_order", "piece", "pieces", "size", "batch_number"]
+    got = packed.collect()
+    assert sorted((r["size"], r["piece"], r["pieces"]) for r in got) == [(20, 0, 1), (30, 0, 1), (30, 0, 1), (30, 0, 1), (30, 0, 1), (50, 2, 3), (100, 0, 3), (100, 1, 3)]
+    used = {}
+    for r in got:
+        used[r["batch_number"]] = used.get(r["batch_number"], 0) + r["size"]
+    assert max(used.values()) <= 100
