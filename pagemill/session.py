@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,29 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Run-time settings, and the package as a zip for executors that don't have it installed; once a session is enough."""
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="pagemill-ship-"), "pagemill.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 

@@ -12,8 +12,5 @@ from pagemill.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, 4, "4g")
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    # plans over a few rows run faster than their code compiles
-    session.conf.set("spark.sql.codegen.wholeStage", "false")
-    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
