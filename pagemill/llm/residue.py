@@ -1,9 +1,11 @@
 """Problem 8: documents with unfilled template slots, or made of filler, error messages or demands for scripts.
 
-A document is read as units (sentences within lines).  A linear classifier over hashed word n-grams, length and
-title features tells slot units and residue units from ordinary ones.  It is fitted on a bounded sample by weak
-labels (status lines, phrases, slot shapes) and measured on all documents of sources it never saw.  A document is found if it has a
-slot unit, or residue units and at most one ordinary sentence besides titles and site lines.
+A document is read as units (sentences within lines).  A linear classifier over hashed word n-grams, length, title and
+shape features tells slot units and residue units from ordinary ones, and it alone decides.  It is fitted on a bounded
+sample: weak labels are response statuses and a short list of general phrases and notations; what stands beside a
+labelled unit in a document without other text, and what the classifier then takes for residue itself, is learnt in
+further rounds.  It is measured on all documents of sources it never saw.  A document is found if it has a slot unit,
+or residue units and at most one ordinary sentence besides titles and site lines.
 """
 
 from __future__ import annotations
@@ -20,57 +22,54 @@ from pyspark.sql import functions as F
 
 from pagemill.session import spread
 
-#: Documents the classifier is fitted on, at most; every document is classified.
+#: Documents the classifier is fitted on, about; every document is classified.
 SAMPLE = 6_000
-#: Of the sample's ordinary units, those kept for fitting, at most (seeded by hash); all slot and residue units stay.
-ORDINARY_KEPT = 30_000
+#: Of each document of the sample, the units it is fitted on, at most: all over the text, by seeded hash, those with a weak label first.
+SAMPLE_UNITS = 16
+#: Units longer than this are no examples; they are judged like all others.
+SAMPLE_UNIT_CHARS = 1_000
 #: Sources are unseen, for validation, if their hash falls in one part of so many.
 HELD_OUT = 5
+#: Rounds of fitting; in each but the first the classifier labels what the weak labels leave open.
+ROUNDS = 4
+#: Of the units of ordinary text, of unseen sources, the share that lies below the margin of residue, and below that of what stands beside residue.
+SURE, NEAR = 0.9995, 0.99
+#: A document with so many ordinary sentences is no residue for certain, so its units are examples of ordinary text.
+SURELY_ORDINARY = 6
 BUCKETS = 1 << 17
 UNIT_BATCH = 400
 
-#: Words that filler copy in mock Latin is made of.
-MOCK_LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo "
-    "consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+#: Filler in mock Latin, by its best known words.
+MOCK_LATIN = re.compile(r"\blorem ipsum\b|\bdolor sit amet\b|\bconsectetur\b")
+#: Notations of the common template languages and of form letters.
+NOTATIONS = re.compile(
+    r"\{\{ ?[a-z]\w*(?:[. _]\w+)* ?\}\}|[$#]\{ ?[a-z]\w* ?\}|<%=? ?[a-z]\w* ?%>|\{% ?[a-z]\w*(?: \w+)? ?%\}|<<[a-z]\w*>>|\[\[ ?[a-z]\w* ?\]\]|(?<![\w%])%[a-z]\w*%(?!\w)|(?<!\w)__[a-z]\w*__(?!\w)|&lt;[a-z]\w*&gt;"
+    r"|@{1,2}[a-z]\w*@{1,2}(?!\w)|\bX{3,} ?[a-z]\w*(?: \w+)? ?X{3,}\b|[\[(](?:insert|enter|your|name of)\b[^\]\[()]*[\])]|\[(?:add|todo|tbd|name|date|title)\b[^\]\[]*\]|(?-i:\[[A-Z]{2,}(?:[ _][A-Z]+)*\])",
+    re.I,
 )
-#: Slots as the common template languages and form letters write them; the inside is a name, not a formula.
-_NAME = r"\s*[A-Za-z][\w.\-]*(?:[ _.\-]\w+){0,4}\s*"
-SLOT = re.compile(
-    rf"\{{\{{{_NAME}\}}\}}|[$#]\{{{_NAME}\}}|<%=?{_NAME}%>|\{{%{_NAME}%\}}|<<{_NAME}>>|\[\[\s*[A-Za-z][\w.\-]*(?:[ _.\-]\w+)*\s*\]\]|&lt;{_NAME}&gt;|<[a-z]\w*(?:[ _]\w+)*>|\{{[A-Za-z]\w*(?:_\w+)*\}}|(?<![\w%])%[A-Za-z]\w*%(?!\w)"
-    rf"|(?<![\w_])__[A-Za-z]\w*__(?!\w)|\[(?i:insert|enter|your|add|choose|fill in|name of|type|select|put|placeholder|tbd|todo|date|xx+)\b[^\]\[]*\]|\((?i:insert|enter|your|add|type|fill in|name of)\b[^()]*(?:here|name|date|company|school|title)?\)"
-    r"|\bX{3,} ?\w+ ?X{3,}\b|\[[A-Z][A-Z]+(?:[ _:\-][A-Z]+)*\]|\[[A-Z]{2,}: ?\w+\]|\[[a-z]+(?:[ _][a-z]+)+\]|(?<![\w$])\$[a-z][a-z_]*\$(?!\w)|@@\w+@@"
+#: Response statuses.
+STATUS = re.compile(r"^(?:error:? |http )?[45]\d\d\b(?! ?[,;%])(?=(?: \w+){1,4}(?:[.!]|$))")
+#: A short list of phrases, in the languages at hand, that error messages, demands for scripts and filler everywhere consist of.
+PHRASES = re.compile(
+    r"\b(?:not found|access denied|forbidden|service unavailable|something went wrong|an error occurred|too many requests|timed? out|has expired|try again|no results|could not be (?:loaded|opened|found)|unable to (?:load|open)|do not have permission|fatal|traceback|exception|connection|database"
+    r"|(?:enable|activate|turn on|switch on|allow|accept|requires?) (?:javascript|scripts?|cookies)|(?:javascript|cookies) (?:is|are) (?:disabled|off|required)|checking your browser|you are (?:a )?human|not a robot"
+    r"|(?:sample|dummy|placeholder) (?:text|title|content)|your (?:text|title|content) here|coming soon|under construction|click to (?:add|edit)|x{4,} x{4,}"
+    r"|nicht gefunden|ein fehler|zugriff verweigert|javascript aktivieren|aktivieren sie|platzhaltertext|blindtext|ihr text|introuvable|une erreur|accès refusé|activer javascript|texte de remplissage|votre texte"
+    r"|no se encontr\w+|un error|acceso denegado|activ[ea]r? javascript|habilit[ea]r? javascript|texto de relleno|su texto|não encontrad[ao]|um erro|acesso negado|seu texto)\b"
 )
-#: Without one of these there is no slot.
-_SLOT_MARK = re.compile(r"[\[{<%($@&]|__|XXX")
-#: What residue says of itself: statuses and error messages, demands for scripts and checks, filler.
-RESIDUE = re.compile(
-    r"^(error:? )?(http )?[45]\d\d[ :.-]|not found\b|wurde nicht gefunden|no se (ha )?encontr|introuvable|n'existe pas|não (foi )?encontrad|access (is )?denied|zugriff verweigert|acc[eè]s (refusé|denegado)|acesso negado|forbidden|service unavailable|bad gateway|internal server error|gateway timeout"
-    r"|went wrong|too many requests|(session|page|link) (has )?(timed out|expired)|timed out|timeout|time-out|try again|please (sign|log) in|(sign|log) in again|slow down and|retry|wait (for|after) \d|unable to (load|open|read|display|find|connect)|could not be (loaded|repaired|opened|found|displayed|shown|read)"
-    r"|can(no|')t be (loaded|repaired|opened|found|displayed|shown|read)|failed to|traceback|null pointer|undefined (key|variable|index|offset)|exception|stack ?trace|^\s*at \w+[.(]|database (connection|error)|connection (lost|refused|reset|timed)|server took too long|maintenance|wartung|limit reached|quota exceeded"
-    r"|(do not|don't) have permission|lack permission|no tienes? permiso|session (has )?(ended|expired)|could not (load|fetch|open|find|read)|unable to fetch|failed to respond|ocorreu um erro|se ha producido un error|une erreur|ein fehler|no encontrad|no (está )?disponible|indispon[ií]\w+|nicht verfügbar"
-    r"|no results|not available in your|has been (withdrawn|removed|deleted|moved)|may have been (moved|removed|renamed|deleted)|(you followed|link) is (broken|out of date)|contact the administrator|quote reference|error code|^(ref|code) [a-z]*-?\d|^(whoops|oops|uh-oh)|\b(whoops|oops|uh-oh)!|is damaged"
-    r"|(enable|activate|turn(ed)? on|switch(ed)? on|allow|accept|unblock|requires?|needs?) (\w+ ){0,3}(javascript|scripts?|scripting|cookies)|(javascript|scripts?|scripting|cookies) (\w+ ){0,3}(is|are|was|were|seems?|must|required|blocked|disabled|off)\b|noscript|does not support the|allow them for|activate scripting"
-    r"|(activer|activez|habilit[ea]r?|activ[ea]r?|aktivier\w*|ativ[ea]r?) \S*\s?(javascript|les cookies|cookies|scripts?)|(javascript|cookies|skripte?) (\S+ ){0,3}aktivier|drawn by a script|checking your browser|verifying your browser|browser (check|before)|not a robot|you are human|^loading ?\.{2,}|client-side"
-    r"|your (own )?(text|title|content|paragraph|notes|words|heading|caption|subtitle|summary) (goes )?(here|goes)|replace this|with your own|goes (in|here)|(sample|dummy|stub|placeholder|body|filler) (text|copy|content)|text text text|blah blah|x{3,} x{3,}|(asdf|qwer|hjkl)|test test|coming soon|to be (written|added|completed|announced) ?\.|not been written yet"
-    r"|\b(answer|option|question) \w+, (answer|option|question) \w+\b|insert (learning|your|a|the|text)|click (here )?to (add|edit)|^add your|write something about|(caption|title|heading|teaser|subtitle|body) text|texto de (ejemplo|relleno|exemplo|muestra|preenchimento)|texte (d'exemple|de remplissage|factice)|(beispiel|blind|platzhalter|füll)text|hier steht|votre (texte|titre|contenu|paragraphe)|(su|tu) (texto|título|contenido) aquí|escrib[ae] (su|tu|aquí)|insira o seu|o seu (texto|título)|ihr (text|titel|absatz)\b|lorem ipsum"
-)
-#: What matches RESIDUE has one of these, or begins with a digit or with "at"; spares the long pattern most sentences.
-_HINTS = (
-    "not found", "gefunden", "encontr", "introuvable", "n'existe", "denied", "verweigert", "refus", "denegado", "negado", "forbidden", "unavailable", "bad gateway", "took too long", "server error", "wrong", "requests", "expired", "timed out", "timeout", "time-out", "again", "log in", "sign in",
-    "slow down", "retry", "wait ", "unable", "could not", "cannot be", "can't be", "failed", "traceback", "null pointer", "undefined", "exception", "stack", "database", "connection ", "maintenance", "wartung", "limit reached", "quota", "no results", "not available", "has been", "may have been",
-    "you followed", "link is", "administrator", "quote reference", "error", "ref ", "code ", "oops", "uh-oh", "damaged", "permission", "permiso", "session has", "session ended", "respond", "erro", "erreur", "fehler", "disponible", "indispon", "verfügbar", "script", "cookies", "does not support", "allow them",
-    "checking your", "verifying your", "robot", "human", "loading", "client-side", "browser", "your ", "replace this", "goes ", "text text", "sample ", "dummy ", "stub ", "placeholder ", "body ", "filler ", "caption ", "title text", "heading ", "teaser ", "subtitle ", "texto", "texte", "ülltext", "beispieltext", "blindtext", "platzhaltertext", "blah", "xxx", "asdf", "qwer", "hjkl", "test test", "coming soon", "to be written", "to be added", "to be completed", "to be announced", "not been written", "insert", "click", "add your", "write something",
-    "hier steht", "votre", "aquí", "escrib", "insira", "ihr ", "lorem", ", answer", ", option", ", question",
-)
-#: Speaking of, quoting or explaining such things is ordinary text.
-SPEAKS_OF = re.compile(r"[\"“”„«»`]|\b(means? that|belongs? to|syntax|notation|such as|answered|tells? the|is used in|denotes?|designers|typesetters|printer|readers? (turn|judge)|keep cookies|so that|helps? nobody|called|defines?|definition|explains?|edition)\b", re.I)
-SITE_LINE = re.compile(r"^(?:[^.!?]{1,40}\|)+[^.!?|]{0,40}$|[©®]|^copyright\b|^all rights reserved|^https?://\S+$", re.I)
+#: Words of speaking about texts: who quotes, defines or explains a message or a notation doesn't give it.
+SPEAKING = re.compile(r"[\"“”„«»`]|\b(?:means?|meaning|called|notation|syntax|denot\w+|defin\w+|refers? to|stands? for|such as|for example|e\.g\.|explain\w*|describ\w+|quot(?:es|ed|ing|ations?)|template languages?)\b", re.I)
+SITE_LINE = re.compile(r"^(?:[^.!?]{1,40}\|)+[^.!?|]{0,40}$|^[^.!?]{0,60}[©®][^.!?]{0,40}$|^copyright\b|^all rights reserved|^https?://\S+$", re.I)
 HEADING = re.compile(r"^(?:unit|lesson|part|section|chapter|module|kapitel|capítulo|chapitre|unidade?|lección|leçon|lektion|teil)\s+[\w.]+\b[:.]?\s*", re.I)
 _UNITS = re.compile(r"(?<=[.!?…]) +|\n+|(?<=[。！？])")
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
+_WORDS = re.compile(r"\w+")
+#: A short run of words between signs, as slots of any notation are written.
+_ENCLOSED = re.compile(r"([^\w\s\"'.,;:!?“”„«»`]{1,4}|(?<!\w)__|\bX{3,} ?)\s?([A-Za-z]\w*(?:[ .:\-]{1,2}\w+){0,4}?)\s?([^\w\s\"'.,;:!?“”„«»`]{1,4}|__(?!\w)|;?&gt;| ?X{3,}\b)")
+_SIGNS = re.compile(r"[\[{<%($@&#*|~^]|__|XXX")
 _DIGITS = str.maketrans("123456789", "000000000")
 _QUIZ_JSON = re.compile(r"[\"'](?:questions?|correctAnswer|options)[\"']\s*:")
+_HAN = re.compile(r"[぀-鿿]")
 
 
 class Units(NamedTuple):
@@ -86,57 +85,60 @@ def units_of(text: str) -> Units:
 def is_ordinary(unit: str) -> bool:
     """Whether a unit that is no residue counts as a sentence rather than a title, a heading, a site line or a scrap."""
     rest = HEADING.sub("", unit)
-    words = re.findall(r"\w+", rest)
     if SITE_LINE.search(unit):
         return False
-    if re.search(r"[぀-鿿]", rest):
+    if _HAN.search(rest):
         return len(rest) > 5
-    return len(words) >= 4 and rest[-1] in ".!?;:\"”)…" or len(words) > 12
+    words = len(_WORDS.findall(rest))
+    return words >= 4 and rest[-1] in ".!?;:\"”)…" or words > 12
 
 
 def weak_label(unit: str) -> int:
-    """0 ordinary, 1 slot, 2 residue, by shapes, statuses and phrases alone."""
-    speaks = SPEAKS_OF.search(unit)
-    if SLOT.search(unit) and not speaks:
-        return 1
-    words = re.findall(r"\w+", unit.lower())
-    if words and not speaks and sum(w in MOCK_LATIN for w in words) * 10 >= len(words) * 7 and len(words) > 2:
-        return 2
+    """0 none, 1 slot, 2 residue, by notations, statuses and phrases alone; 3 where words or signs tell that something is spoken of."""
+    if SPEAKING.search(unit):
+        return 3
     low = unit.lower()
-    hinted = low[:1].isdigit() or low.startswith("at ") or any(h in low for h in _HINTS)
-    return 2 if len(words) < 22 and not speaks and hinted and RESIDUE.search(low) else 0
+    return 1 if _SIGNS.search(unit) and NOTATIONS.search(unit) else 2 if STATUS.match(low) or len(low) < 160 and PHRASES.search(low) or MOCK_LATIN.search(low) else 0
+
+
+class _Hashes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        found = self[token] = zlib.crc32(token.encode("utf-8", "replace"))
+        return found
+
+
+def shapes(text: str) -> list[str]:
+    """Features of what stands between signs: the signs, and the form of the words between them, whatever the words."""
+    out = []
+    for before, inside, after in _ENCLOSED.findall(text):
+        form = "x" if len(inside) == 1 else ("A" if inside.isupper() else "a" if inside.islower() else "Aa") + ("_" if "_" in inside else "") + (" " if " " in inside else "")
+        out += [f"\x01shape {before.strip()}{form}{after.strip()}", f"\x01form {form}", f"\x01opens {before.strip()} {inside.split()[0].lower()}"]
+    return out
 
 
 class Model:
-    """Hashed n-gram weights of the two classes against ordinary text."""
+    """Hashed n-gram weights of the two classes against ordinary text, and the margins above which they count."""
 
-    def __init__(self, weights: np.ndarray) -> None:
+    def __init__(self, weights: np.ndarray, cut: np.ndarray | None = None) -> None:
         self.weights = weights
-        self._hashes: dict[str, int] = {}
-
-    def _hash(self, token: str) -> int:
-        found = self._hashes.get(token)
-        if found is None:
-            if len(self._hashes) > 400_000:
-                self._hashes.clear()
-            found = self._hashes[token] = zlib.crc32(token.encode("utf-8", "replace"))
-        return found
+        self.cut = np.zeros(2, np.float32) if cut is None else cut
+        self._hashes = _Hashes()
 
     def features(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """(buckets of all features, start of each unit's)."""
         flat: list[int] = []
         starts: list[int] = []
+        hashes = self._hashes
         for text, first in zip(units.texts, units.first, strict=True):
             starts.append(len(flat))
             tokens = _TOKENS.findall(text.lower().translate(_DIGITS))
-            flat.append(self._hash(f"\x01length {min(len(tokens), 30) // 2}"))
-            flat.append(self._hash(f"\x01title {first} {text[-1] in '.!?'} {text[:1].isupper()}"))
-            if _SLOT_MARK.search(text) and SLOT.search(text):
-                flat.append(self._hash("\x01slot"))
-            flat.extend(map(self._hash, tokens))
-            if len(tokens) > 2 and not MOCK_LATIN.isdisjoint(tokens):
-                mock = sum(t in MOCK_LATIN for t in tokens) * 4 // len(tokens)
-                flat.append(self._hash(f"\x01mock {mock}"))
+            flat.append(hashes[f"\x01length {min(len(tokens), 30) // 2}"])
+            flat.append(hashes[f"\x01title {first} {text[-1] in '.!?'} {text[:1].isupper()}"])
+            if _SIGNS.search(text):
+                flat += [hashes[s] for s in shapes(text)]
+            flat += [hashes[t] for t in tokens]
         one = np.array(flat, np.uint64)
         begins = np.array(starts, np.int64)
         # a unit's neighbours in order give its bigrams; across units they are marked off by the length feature
@@ -154,24 +156,29 @@ class Model:
         buckets, starts = self.features(units)
         return np.add.reduceat(self.weights[buckets], starts, axis=0)
 
+    def found(self, units: Units) -> np.ndarray:
+        """Whether each unit is a slot unit, and whether it is residue."""
+        return self.scores(units) > self.cut
+
 
-def fit(units: Units, labels: np.ndarray, epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, seed: int = 8) -> Model:
-    """Logistic regression for each class with AdaGrad steps and an L2 penalty."""
+def fit(units: Units, labels: np.ndarray, epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, seed: int = 8, made: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """Logistic regression for each class with AdaGrad steps and an L2 penalty; labels 0 ordinary, 1 slot, 2 residue, -1 left out; ``made`` are the units' features."""
     model = Model(np.zeros((BUCKETS, 2), np.float32))
-    buckets, starts = model.features(units)
+    buckets, starts = made or model.features(units)
     ends = np.append(starts[1:], len(buckets))
     wanted = np.stack([labels == 1, labels == 2], axis=1).astype(np.float32)
     rarity = np.where(wanted.any(axis=1), min(10.0, max(1.0, (labels == 0).sum() / max(1, (labels > 0).sum()) / 3)), 1.0).astype(np.float32)
     squares = np.full((BUCKETS, 2), 1e-2, np.float32)
-    order, rng = np.arange(len(starts)), np.random.default_rng(seed)
+    order, rng = np.flatnonzero(labels >= 0), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         for at in range(0, len(order), 256):
             rows = order[at : at + 256]
             lengths = ends[rows] - starts[rows]
-            index = np.repeat(starts[rows] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+            begins = np.append(0, np.cumsum(lengths)[:-1])
+            index = np.repeat(starts[rows] - begins, lengths) + np.arange(lengths.sum())
             used = buckets[index]
-            margins = np.add.reduceat(model.weights[used], np.append(0, np.cumsum(lengths)[:-1]), axis=0)
+            margins = np.add.reduceat(model.weights[used], begins, axis=0)
             off = (1 / (1 + np.exp(-np.clip(margins, -30, 30))) - wanted[rows]) * rarity[rows, None]
             touched, place = np.unique(used, return_inverse=True)
             step = np.stack([np.bincount(place, np.repeat(off[:, c], lengths), len(touched)) for c in (0, 1)], axis=1).astype(np.float32) / len(rows) * 16 + l2 * model.weights[touched]
@@ -180,26 +187,15 @@ def fit(units: Units, labels: np.ndarray, epochs: int = 6, rate: float = 0.5, l2
     return model
 
 
-def sample_units(documents: DataFrame, sample: int, seed: int) -> tuple[Units, np.ndarray, np.ndarray]:
-    """Different units of about ``sample`` seeded documents at most, with weak labels and whether their source is held out."""
-    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "source", "text")
-    total = max(1, documents.count())
-    share = min(1.0, sample / total)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("source", F.substring("text", 1, 4000).alias("text")).limit(2 * sample).collect()
-    texts, first, labels, held, seen = [], [], [], [], set()
-    for source, text in ((r["source"], r["text"]) for r in drawn):
-        unseen = is_unseen(source)
-        if _QUIZ_JSON.search(text):
-            continue
-        for unit, top in zip(*units_of(text), strict=True):
-            key = (unit.translate(_DIGITS), top, unseen)
-            if key not in seen:
-                seen.add(key)
-                texts.append(unit)
-                first.append(top)
-                labels.append(weak_label(unit))
-                held.append(unseen)
-    return Units(texts, first), np.array(labels, np.int64), np.array(held, bool)
+class Examples(NamedTuple):
+    """Units of the sample: text, whether it is its document's first, weak label, ordinary sentences of the document, whether the source is unseen, document."""
+
+    texts: list[str]
+    first: list[bool]
+    labels: np.ndarray
+    ordinary: np.ndarray
+    unseen: np.ndarray
+    documents: np.ndarray
 
 
 def is_unseen(source: str | None) -> bool:
@@ -207,22 +203,92 @@ def is_unseen(source: str | None) -> bool:
     return zlib.crc32((source or "").strip().lower().encode()) % HELD_OUT == 0
 
 
+def examples_of(text: str) -> list[tuple[str, bool, int, int]]:
+    """(unit, first, weak label, ordinary sentences of the text) of the units of one text that the classifier may be fitted on."""
+    if _QUIZ_JSON.search(text):
+        return []
+    units = units_of(text)
+    labels = [weak_label(u) for u in units.texts]
+    ordinary = sum(is_ordinary(u) for u, k in zip(units.texts, labels, strict=True) if k in (0, 3))
+    order = sorted((k == 0, zlib.crc32(u.encode("utf-8", "replace")), i) for i, (u, k) in enumerate(zip(units.texts, labels, strict=True)) if len(u) <= SAMPLE_UNIT_CHARS)
+    return [(units.texts[i], units.first[i], labels[i], ordinary) for _, _, i in order[:SAMPLE_UNITS]]
+
+
+EXAMPLES = "doc long, unit string, first boolean, label int, ordinary int, unseen boolean"
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(doc, *x, is_unseen(source)) for doc, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in examples_of(text)]
+        columns = [*zip(*rows, strict=True)] if rows else [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "unit", "first", "label", "ordinary", "unseen"])
+
+
+def sample_examples(documents: DataFrame, sample: int, seed: int) -> Examples:
+    """Units of about ``sample`` seeded documents, twice as many at most; whole texts are read, by the executors."""
+    share = min(1.0, sample / max(1, documents.count()))
+    rows = documents.where("text is not null and doc_id is not null").select("doc_id", "source", "text")
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
+    got = spread(drawn).mapInArrow(_examples, EXAMPLES).toPandas().sort_values(["doc", "unit"], kind="stable")
+    return Examples(got["unit"].tolist(), got["first"].tolist(), got["label"].to_numpy(np.int64), got["ordinary"].to_numpy(np.int64), got["unseen"].to_numpy(bool), np.unique(got["doc"].to_numpy(), return_inverse=True)[1])
+
+
+def learn(rows: Examples, seed: int = 8) -> Model:
+    """The classifier of the seen sources' units.
+
+    Certainly ordinary are unlabelled units of documents with much ordinary text and no labelled unit, and units that
+    speak of residue or of notations; in a corpus of short documents only, those without a labelled unit instead.  All
+    other unlabelled units are open at first.  After each round those count as
+    residue or slots that the classifier takes for such, and as residue also those that stand beside residue in a
+    document with little else and look like no ordinary text; units with signs that it doesn't take for slots are ordinary.
+    """
+    if not len(rows.labels) or rows.unseen.all():
+        return Model(np.zeros((BUCKETS, 2), np.float32))
+    labels, documents = rows.labels, rows.documents
+    n = documents.max() + 1
+    labelled = np.bincount(documents, (labels == 1) | (labels == 2), n) > 0
+    alone = (rows.ordinary < SURELY_ORDINARY) | labelled[documents]
+    enclosed = np.array([bool(_SIGNS.search(t) and _ENCLOSED.search(t)) for t in rows.texts])
+    undecided = (labels == 0) & (alone | enclosed)
+    if ((labels == 0) & ~undecided & ~rows.unseen).sum() < ((labels == 1) | (labels == 2)).sum():
+        undecided &= labelled[documents] | enclosed
+    apart = (labels == 0) & ~undecided & rows.unseen
+    known = np.where(labels == 3, 0, labels)
+    made = Model(np.zeros((1, 2), np.float32)).features(Units(rows.texts, rows.first))
+    now = np.where(undecided | rows.unseen, -1, known)
+    for _ in range(ROUNDS):
+        model = fit(Units(rows.texts, rows.first), now, seed=seed, made=made)
+        margins = np.add.reduceat(model.weights[made[0]], made[1], axis=0)
+        # a share can't be told from fewer units than make it up
+        low, high = (np.quantile(margins[apart, 1], q) if apart.sum() * (1 - q) >= 1 else 0.0 for q in (NEAR, SURE))
+        model.cut[1] = min(0.0, high)
+        over = margins - model.cut
+        beside = np.bincount(documents, (labels == 2) | undecided & (over[:, 1] > 0), n) > 0
+        best = np.where((over > 0).any(axis=1), over.argmax(axis=1) + 1, -1)
+        best[(best == -1) & alone & beside[documents] & (margins[:, 1] > low)] = 2
+        best[(best == -1) & enclosed & ~alone] = 0
+        now = np.where(rows.unseen, -1, np.where(undecided, best, known))
+    return model
+
+
 def fitted(documents: DataFrame, sample: int = SAMPLE, seed: int = 8) -> tuple[Model, bool]:
     """The classifier, fitted on a sample of the seen sources, and whether sources were held out: not if the sample has no others."""
-    units, labels, held = sample_units(documents, sample, seed)
-    pick = lambda mask: Units([u for u, m in zip(units.texts, mask, strict=True) if m], [f for f, m in zip(units.first, mask, strict=True) if m])
-    apart = bool((~held).any())
-    if not apart:
-        held = np.zeros_like(held)
-    share = min(1.0, ORDINARY_KEPT / max(1, int((labels == 0).sum())))
-    kept = (labels > 0) | (np.array([zlib.crc32(u.encode("utf-8", "replace")) % 10_000 for u in units.texts]) < share * 10_000)
-    model = fit(pick(~held & kept), labels[~held & kept]) if len(labels) else Model(np.zeros((BUCKETS, 2), np.float32))
-    return model, apart
+    rows = sample_examples(documents, sample, seed)
+    apart = not rows.unseen.all()
+    return learn(rows if apart else rows._replace(unseen=np.zeros_like(rows.unseen)), seed), apart
+
+
+TALLY = ["units", "held_out_units", *(f"{name}_{what}" for name in ("slot", "residue") for what in ("true", "found", "both")), "ordinary", "ordinary_found"]
 
 
 def tally(texts: list[str], unseen: list[bool], model: Model) -> np.ndarray:
-    """Counts over all units of whole documents: units, those of unseen sources, and for slot and residue those true, found and both among the latter."""
-    out = np.zeros(8, np.int64)
+    """Counts over all units of whole documents, as TALLY names them; all but the first over unseen sources.
+
+    For slot and residue: units with that weak label, found by the classifier, and both.  Ordinary units are those of
+    documents with much ordinary text and no labelled unit.
+    """
+    out = np.zeros(len(TALLY), np.int64)
     for text, own in zip(texts, unseen, strict=True):
         if _QUIZ_JSON.search(text):
             continue
@@ -230,22 +296,29 @@ def tally(texts: list[str], unseen: list[bool], model: Model) -> np.ndarray:
         out[0] += len(units.texts)
         if own and units.texts:
             out[1] += len(units.texts)
-            labels, found = np.array([weak_label(u) for u in units.texts]), model.scores(units) > 0
+            labels, found = np.array([weak_label(u) for u in units.texts]), model.found(units)
             for c in (0, 1):
                 true, got = labels == c + 1, found[:, c]
                 out[2 + 3 * c : 5 + 3 * c] += (true.sum(), got.sum(), (true & got).sum())
+            if not np.isin(labels, (1, 2)).any() and sum(map(is_ordinary, units.texts)) >= SURELY_ORDINARY:
+                out[8:] += (len(units.texts), found.any(axis=1).sum())
     return out
 
 
-TALLY = ["units", "held_out_units", *(f"{name}_{what}" for name in ("slot", "residue") for what in ("true", "found", "both"))]
+def _shared(documents: DataFrame, model: Model):
+    return documents.sparkSession.sparkContext.broadcast((model.weights, model.cut))
 
 
 def validation(documents: DataFrame, model: Model, apart: bool = True) -> dict[str, float]:
-    """Precision and recall against weak labels over every unit of all whole documents of unseen sources, a repeated unit as often as it stands."""
-    shared = documents.sparkSession.sparkContext.broadcast(model.weights)
+    """The classifier on every unit of all whole documents of unseen sources, a repeated unit as often as it stands.
+
+    Recall is that of the weak labels; ``*_labelled`` is the share of the units found that have one, low where the
+    classifier goes beyond them; ``ordinary_found`` is the share found of the units of ordinary text.
+    """
+    shared = _shared(documents, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Model(shared.value), np.zeros(8, np.int64)
+        own, total = Model(*shared.value), np.zeros(len(TALLY), np.int64)
         for batch in batches:
             total += tally(batch.column(1).to_pylist(), [apart and is_unseen(s) for s in batch.column(0).to_pylist()], own)
         yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int64()) for n in total], TALLY)
@@ -255,12 +328,12 @@ def validation(documents: DataFrame, model: Model, apart: bool = True) -> dict[s
     report = {c: float(n[c]) for c in TALLY[:2]}
     for name in ("slot", "residue"):
         both = n[f"{name}_both"]
-        report |= {f"{name}_precision": both / max(1, n[f"{name}_found"]), f"{name}_recall": both / max(1, n[f"{name}_true"])}
-    return report
+        report |= {f"{name}_labelled": both / max(1, n[f"{name}_found"]), f"{name}_recall": both / max(1, n[f"{name}_true"])}
+    return report | {"ordinary_found": n["ordinary_found"] / max(1, n["ordinary"])}
 
 
 def train(documents: DataFrame, sample: int = SAMPLE, seed: int = 8) -> tuple[Model, dict[str, float]]:
-    """The classifier, fitted on seen sources, and its precision and recall against weak labels on all of the unseen ones."""
+    """The classifier, fitted on seen sources, and its measures on all of the unseen ones."""
     model, apart = fitted(documents, sample, seed)
     return model, validation(documents, model, apart)
 
@@ -269,16 +342,14 @@ def judge(texts: list[str | None], model: Model) -> list[bool]:
     """Whether each document is to be excluded."""
     split = [units_of(t) if t else Units([], []) for t in texts]
     joined = Units([u for s in split for u in s.texts], [f for s in split for f in s.first])
-    margins = model.scores(joined)
+    taken = model.found(joined)
     out, at = [], 0
     for text, units in zip(texts, split, strict=True):
-        own = margins[at : at + len(units.texts)] > 0
+        own = taken[at : at + len(units.texts)]
         at += len(units.texts)
-        found = False
-        if own.any() and not _QUIZ_JSON.search(text):
-            slots = any(s and SLOT.search(u) for u, s in zip(units.texts, own[:, 0], strict=True))
-            residue = np.array([bool(r) and not SITE_LINE.search(u) for u, r in zip(units.texts, own[:, 1], strict=True)])
-            found = slots or bool(residue.any()) and sum(is_ordinary(u) for u, r in zip(units.texts, residue, strict=True) if not r) <= 1
+        found = bool(own.any()) and not _QUIZ_JSON.search(text)
+        if found and not own[:, 0].any():
+            found = sum(is_ordinary(u) for u, r in zip(units.texts, own[:, 1], strict=True) if not r) <= 1
         out.append(found)
     return out
 
@@ -290,10 +361,10 @@ def residue_documents(documents: DataFrame, sample: int = SAMPLE, seed: int = 8)
     Whole texts are classified, in one narrow stage; the model (1 MB) goes along with the tasks.
     """
     model, _ = fitted(documents, sample, seed)
-    shared = documents.sparkSession.sparkContext.broadcast(model.weights)
+    shared = _shared(documents, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(shared.value)
+        own = Model(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, UNIT_BATCH):
                 part = batch.slice(at, UNIT_BATCH)

@@ -52,6 +52,9 @@ def test_residue_documents(spark):
     rows = [(i, t, "s1") for i, (t, _) in enumerate(CASES)]
     filler = ["403 Forbidden", "Access denied.", "Please sign in again.", "Sample text sample text sample text.", "You need to turn on JavaScript to run this app.", "Hello ${user}, your result for {{ quiz }} is ready.", "Something went wrong.", "Lorem ipsum dolor sit amet."]
     rows += [(1000 + k, ORDINARY[k % 36] if k % 2 else filler[k // 2 % 8], f"src{k % 7}") for k in range(200)] + [(None, "404 Not Found", None)]
+    # the classifier has to have met texts that speak of such things
+    speaking = ["Status 500 means that a server has failed.", 'A reply such as "access denied" is no answer.', "The notation {{y}} stands for a name.", "Error 403 means that a reader may not see the page.", "The entry B[k] and the set {a, b} stand in exercise 4."]
+    rows += [(2000 + k, f"{speaking[k % 5]} {ORDINARY[k % 36]}" if k % 3 else speaking[k % 5], f"src{k % 7}") for k in range(60)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, found int")
     found = residue.residue_documents(df)
     got = {r["doc_id"] for r in found.collect()}
