@@ -76,9 +76,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
-    """A broadcast hint when ``df`` is counted to hold at most ``most_rows`` rows, else ``df`` as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def broadcast_if_small(df: DataFrame, most_rows: int = 20_000, most_bytes: int = 8 << 20) -> DataFrame:
+    """A broadcast hint when ``df`` is counted to hold at most so many rows and bytes, else ``df`` as it is (a shuffle join)."""
+    width = F.lit(8 * len(df.columns))
+    for field in df.schema.fields:
+        if field.dataType.simpleString() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+    n, size = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and size <= most_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:
