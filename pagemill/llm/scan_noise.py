@@ -2,22 +2,25 @@
 
 Words are counted over all pages, apart for files that were scanned and files that were not.  A word of a scanned
 text that no other file has is looked up by an automaton in the trie of the vocabulary; a far more frequent word
-within the confusions of recognition, or else within edits of any letter, makes it a misreading.  Line ends are judged by whether the joined word is
-one, furniture by its place and form and by the titles of the file.  Only suspects are shuffled, never texts.
+within the confusions of recognition, or else within edits of any letter, makes it a misreading.  Suspects and words
+meet by pieces that two errors must leave whole, so no task holds the vocabulary.  Line ends are judged by whether the
+joined word is one, furniture by its place and form and by the titles of the file.  Only suspects are shuffled, never texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.spelling import DIGITS, LETTERS, Trie, skeleton
+from pagemill.llm.spelling import DIGITS, LETTERS, Trie, skeleton, token_pieces, word_pieces
 from pagemill.session import broadcast_if_small, cut_lineage, spread
 
 #: The most frequent words known from unscanned files go along with the tasks, so that they need no join; all others are joined.
@@ -28,11 +31,16 @@ RATIO = {1: 5, 2: 20}
 EDIT_RATIO = {1: 20, 2: 100}
 #: From so many letters on, that many edits of any letter still tell one word; below, unrelated words are as near.
 EDIT_LENGTH = {1: 4, 2: 8}
-#: Suspect words looked up against one trie in a task.
-BLOCK = 20_000
+#: Suspects looked up, and words in the trie, in one task, at most.
+BLOCK, SHARD = 2_000, 20_000
+#: Bits, as a power of two, of the map of words whose neighbours are counted; two words with one bit cost counts, no rows.
+MAP_BITS = 25
 
 _INSIDE = "*^~¬†§¢@|!$€£©®¥µ\u00ad"
 _RUN = re.compile(rf"[^\W_{re.escape(_INSIDE)}]+(?:[{re.escape(_INSIDE)}]+[^\W_]+)*[†§¢@|]*|[†§¢@|!][^\W_]+(?:[{re.escape(_INSIDE)}]+[^\W_]+)*[†§¢@|]*|[†§¢@|]+(?=[^\W_])")
+_PLAIN = re.compile(r"[^\W_]+")
+#: A line without these is nothing but plain words.
+_MARKED = re.compile(rf"[{re.escape(_INSIDE)}]|[-\u2010\u2011]$")
 _BREAK = re.compile(r"([^\W\d_](?:[^\W_]|[*^~†§¢@|!](?=[^\W_]))*)([-\u2010\u2011\u00ad¬])$")
 _REST = re.compile(r"[^\W_](?:[^\W_]|[*^~¬†§¢@|!](?=[^\W_])|[†§¢@|])*|[†§¢@|!](?:[^\W_]|[*^~¬†§¢@|](?=[^\W_]))+")
 _COMPOUND = re.compile(r"([^\W\d_]+)[-\u2010\u2011](?=[^\W\d_])")
@@ -55,14 +63,18 @@ def file_key(name: str | None) -> str:
     return title_key(re.sub(r"(_\d+)?(\.\w{2,4})?$", "", (name or "").strip()))
 
 
-def _words_of(lines: list[str]) -> Iterator[tuple[int, str, str | None]]:
-    """(line, word, first piece if the word is joined over the line's end), in lower case.
+def _words_of(lines: list[str]) -> Iterator[tuple[int, list[str], str | None]]:
+    """(line, words, first and second piece if the one word is joined over the line's end), in lower case.
 
-    A joined word belongs to the line it begins on.  The words of a line that is nothing but a number are left out.
+    A joined word belongs to the line it begins on.
     """
     taken = 0
     for i, line in enumerate(lines):
         bare = line.strip()
+        if not taken and not _MARKED.search(bare):
+            if bare:
+                yield i, _PLAIN.findall(bare.lower()), None
+            continue
         start, taken = taken, 0
         body = bare[start:]
         cut = _BREAK.search(bare)
@@ -71,13 +83,10 @@ def _words_of(lines: list[str]) -> Iterator[tuple[int, str, str | None]]:
             cut = None
         if cut:
             body = bare[start : cut.start(1)] if cut.start(1) >= start else ""
-        for run in _RUN.findall(body):
-            word = run.strip("*^~¬\u00ad").rstrip("!").lower()
-            if word:
-                yield i, word, None
+        yield i, [word for run in _RUN.findall(body) if (word := run.strip("*^~¬\u00ad").rstrip("!").lower())], None
         if cut:
             taken = follow.end()
-            yield i, cut[1].lower() + follow[0].lower(), cut[1].lower() + "\x00" + follow[0].lower()
+            yield i, [cut[1].lower() + follow[0].lower()], cut[1].lower() + "\x00" + follow[0].lower()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +94,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = {True: Counter(), False: Counter()}
         for text, scanned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lines = text.split("\n")
             own = counts[bool(scanned)]
-            own.update(w for _, w, joined in _words_of(lines) if not joined)
+            for _, words, joined in _words_of(text.split("\n")):
+                if not joined:
+                    own.update(words)
             if not scanned:
                 own.update(f"{x}-".lower() for x in _COMPOUND.findall(text))
         words = [*{**counts[True], **counts[False]}]
@@ -138,21 +148,25 @@ def _scan(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator
                 for i in filled:
                     if len(lines[i]) < 140 and (opening := _OPENING.match(lines[i])):
                         put(i, "title", title_key(opening[1]))
-            seen = set()
-            words = [*_words_of(lines)]
-            for n, (i, word, joined) in enumerate(words):
+            runs = [*_words_of(lines)]
+            flat = [w for _, words, _ in runs for w in words]
+            n = 0
+            for i, words, joined in runs:
+                at, n = n, n + len(words)
                 if i in numbers:
                     continue
-                if not joined:
-                    if word not in common and (i, word) not in seen and not word.isdigit():
-                        seen.add((i, word))
-                        put(i, "word", word, f"{words[n - 1][1] if n else ''} {words[n + 1][1] if n + 1 < len(words) else ''}")
-                    continue
-                first = joined.partition("\x00")[0]
-                if word in common:
-                    put(i, "sure", "hyphen_break")
-                else:
-                    put(i, "tied" if first[-1:].isdigit() else "join", word, first)
+                if joined:
+                    first = joined.partition("\x00")[0]
+                    if words[0] in common:
+                        put(i, "sure", "hyphen_break")
+                    else:
+                        put(i, "tied" if first[-1:].isdigit() else "join", words[0], first)
+                elif not common.issuperset(words):
+                    seen = set()
+                    for k, word in enumerate(words, at):
+                        if word not in common and word not in seen and not word.isdigit():
+                            seen.add(word)
+                            put(i, "word", word, f"{flat[k - 1] if k else ''} {flat[k + 1] if k + 1 < len(flat) else ''}")
         columns = [*zip(*out, strict=True)] if out else [()] * 7
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ITEMS)
@@ -162,32 +176,98 @@ ITEMS = ["record_table", "record_id", "file_index", "line_no", "kind", "word", "
 ITEM_TYPES = "record_table string, record_id long, file_index int, line_no int, kind string, word string, extra string"
 
 
-def candidates(token: str, own: int, trie: Trie, counts: dict[str, int]) -> dict[str, int]:
-    """The words that a suspect standing ``own`` times may be a misreading of, with their errors.
+def confused(token: str, own: int, trie: Trie, counts: dict[str, int]) -> list[tuple[str, int]]:
+    """(word, errors): the words within the confusions of recognition of a suspect that stands ``own`` times."""
+    letters = token.isalpha()
+    return [(fix, n) for fix, n in trie.search(token).items() if n and (not letters or counts[fix] >= RATIO[n] * own)]
 
-    Words within the confusions of recognition come first; only if there is none, words within as many edits of any
-    letter.  A suspect that is itself in the vocabulary, or a word with a plain number before or after it, is none of the latter.
+
+def edited(token: str, own: int, trie: Trie, counts: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(word, errors, place): the words within edits of any letter; those with the least place count.
+
+    They are asked for only where no word is within the confusions.  A word with a plain number before or after it has none.
     """
     letters = token.isalpha()
-    found = {fix: n for fix, n in trie.search(token).items() if n and (not letters or counts[fix] >= RATIO[n] * own)}
-    if found or token in counts:
-        return found
-    if not letters and len(token) > 5:
-        found = {fix: n for fix, n in trie.search(token, 1, plain=True).items() if n}
-    if found or not letters and (_LABEL.match(token) or sum(map(str.isalpha, token)) < EDIT_LENGTH[1]):
+    found = [(fix, n, 0) for fix, n in trie.search(token, 1, plain=True).items() if n] if not letters and len(token) > 5 else []
+    if not letters and (_LABEL.match(token) or sum(map(str.isalpha, token)) < EDIT_LENGTH[1]):
         return found
     near = trie.search(token, max((n for n, least in EDIT_LENGTH.items() if len(token) >= least), default=0), plain=True)
-    return {fix: n for fix, n in near.items() if n and counts[fix] >= EDIT_RATIO[n] * own}
+    return found + [(fix, n, 1) for fix, n in near.items() if n and counts[fix] >= EDIT_RATIO[n] * own]
+
+
+def _look_up(plain: bool):
+    """Candidates of each suspect of a shard among its words."""
 
+    def run(_: tuple, suspects: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        counts = dict(zip(words["word"], words["n"], strict=True))
+        trie = Trie(counts)
+        rows = []
+        for token, own in zip(suspects["word"], suspects["n"], strict=True):
+            made = edited(token, own, trie, counts) if plain else [(fix, n, 0) for fix, n in confused(token, own, trie, counts)]
+            rows.extend((token, fix, n, counts[fix], place) for fix, n, place in made)
+        return pd.DataFrame(rows, columns=["word", "fix", "errors", "times", "place"]).astype({"word": object, "fix": object, "errors": "int32", "times": "int64", "place": "int32"})
 
-def _look_up(_: tuple, suspects: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """The likeliest candidates of each suspect of a block, best first: fewest errors, then most frequent."""
-    counts = dict(zip(words["word"], words["n"], strict=True))
-    trie = Trie(counts)
-    rows = []
-    for token, own in zip(suspects["word"], suspects["n"], strict=True):
-        rows.extend((token, fix, errors, counts[fix]) for fix, errors in candidates(token, own, trie, counts).items())
-    return pd.DataFrame(rows, columns=["word", "fix", "errors", "times"]).astype({"word": object, "fix": object, "errors": "int32", "times": "int64"})
+    return run
+
+
+def _shards(rows: DataFrame, pieces, shards: int) -> DataFrame:
+    """(word, n, shard): each word in the shards of all its pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ns, at = [], [], []
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for shard in {zlib.crc32(key.encode("utf-8", "replace")) % shards for key in pieces(word)} if shards > 1 else (0,):
+                    words.append(word)
+                    ns.append(n)
+                    at.append(shard)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ns, pa.int64()), pa.array(at, pa.int32())], ["word", "n", "shard"])
+
+    return rows.select("word", "n").mapInArrow(run, "word string, n long, shard int")
+
+
+def look_up(suspects: DataFrame, words: DataFrame, plain: bool = False) -> DataFrame:
+    """(word, fix, errors, times, place), distinct: candidates of suspects (word, n) among words (word, n).
+
+    Both are sent to the shards of their pieces.  A shard that a common piece fills is cut into parts of its words and
+    of its suspects that meet part by part, so that no task has more than SHARD words and BLOCK suspects, or about.
+    """
+    shards = max(1, -(-8 * words.count() // SHARD)) if words.count() > SHARD else 1
+    asked, known = _shards(suspects, token_pieces, shards), _shards(words, word_pieces, shards)
+    per = lambda rows, most, name: rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    parts = cut_lineage(per(asked, BLOCK, "_blocks").join(per(known, SHARD, "_parts"), "shard"))
+    parts = broadcast_if_small(parts, 100_000)
+    own = lambda n: F.pmod(F.hash("word"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(parts, "shard").withColumn("_block", own("_blocks")).withColumn("_part", every("_parts"))
+    right = known.join(parts, "shard").withColumn("_part", own("_parts")).withColumn("_block", every("_blocks"))
+    keys = ["shard", "_block", "_part"]
+    met = left.select("word", "n", *keys).groupBy(*keys).cogroup(right.select("word", "n", *keys).groupBy(*keys))
+    return met.applyInPandas(_look_up(plain), "word string, fix string, errors int, times long, place int").distinct()
+
+
+def word_map(words: DataFrame) -> np.ndarray:
+    """A map of 2 ** MAP_BITS bits (4 MB, whatever the number of words) with the bit of each word set."""
+    bits = words.select(F.shiftright(F.crc32("word"), 32 - MAP_BITS).alias("_bit"))
+    cells = bits.groupBy(F.expr("shiftright(_bit, 5)").alias("_cell")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit & 31 as int)))").alias("_bits"))
+    out = np.zeros(1 << MAP_BITS - 5, np.uint32)
+    for cell, bits in cells.toPandas().itertuples(index=False):
+        out[cell] = bits
+    return out
+
+
+class _Mapped(dict):
+    """Whether a word's bit is set in the map, kept for words met before."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 400_000:
+            self.clear()
+        bit = zlib.crc32(word.encode("utf-8", "replace")) >> 32 - MAP_BITS
+        found = self[word] = bool(self.bits[bit >> 5] >> (bit & 31) & 1)
+        return found
 
 
 def scanned_files(pages: DataFrame) -> DataFrame:
@@ -254,14 +334,13 @@ class Noise:
         the letters these stand for, null if a digit is left that stands for none.
         """
         suspects = self.items.where("kind in ('word', 'join')").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        suspects = cut_lineage(suspects.join(self.words.where("clean > 0"), "word", "left_anti").withColumn("_length", F.length("word")))
-        blocks = max(1, -(-suspects.count() // BLOCK))
-        sent = suspects.select("word", "n", "_length", F.pmod(F.hash("word"), F.lit(blocks)).alias("_block"))
-        lengths = F.sequence(F.length("word") - 2, F.length("word") + 2)
-        letters = self.words.where("(clean > 0 or scanned >= 5) and word rlike '^\\\\p{L}{2,}$'").select("word", (F.col("clean") + F.col("scanned")).alias("n"))
-        sent_words = letters.select("word", "n", F.explode(lengths).alias("_length")).select("word", "n", "_length", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-        keys = ["_length", "_block"]
-        found = sent.groupBy(*keys).cogroup(sent_words.groupBy(*keys)).applyInPandas(_look_up, "word string, fix string, errors int, times long")
+        suspects = cut_lineage(suspects.join(self.words.where("clean > 0").select("word"), "word", "left_anti"))
+        letters = cut_lineage(self.words.where("(clean > 0 or scanned >= 5) and word rlike '^\\\\p{L}{2,}$'").select("word", (F.col("clean") + F.col("scanned")).alias("n")))
+        first = cut_lineage(look_up(suspects, letters).select("word", "fix", "errors", "times"))
+        rest = suspects.join(first.select("word").distinct(), "word", "left_anti").join(letters.select("word"), "word", "left_anti")
+        then = look_up(cut_lineage(rest), letters, plain=True)
+        least = then.groupBy("word").agg(F.min("place").alias("place"))
+        found = first.unionByName(then.join(least, ["word", "place"]).select("word", "fix", "errors", "times"))
         digits = F.translate(F.regexp_replace("word", "[*^~¬]", ""), "li|!os§bgqzat†e", "111105569924773")
         number = F.col("word").rlike("[0-9]") & digits.rlike("^[0-9]{2,}$") & ~F.col("word").rlike("^[0-9]+$")
         letters_of = F.length(F.regexp_replace("word", "[^\\p{L}]", ""))
@@ -275,7 +354,7 @@ class Noise:
 
     def _titles(self, known: DataFrame) -> DataFrame:
         """(file_index, word): keys of the titles of works and chapters, and of lines that head several pages."""
-        key = F.udf(file_key, "string")
+        key = F.pandas_udf(lambda names: names.map(file_key), "string")
         names = known.select("file_index", key("file_name").alias("word"))
         openings = self.items.where("kind = 'title'").select("file_index", "word")
         heads = self.items.where("kind = 'head' and record_table = 'pdf_pages'").groupBy("file_index", "word").agg(F.countDistinct("record_id").alias("n")).where("n >= 3")
@@ -314,16 +393,20 @@ class Noise:
         options = cut_lineage(options.select(*record, "fix", "times", beside[0].alias("_before"), beside[1].alias("_after")))
         several = least.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
         wanted = least.join(several, "word").select("fix").distinct()
-        few = wanted.limit(COMMON + 1).collect()
-        near = None if len(few) > COMMON else frozenset(r["fix"] for r in few)
-        shared = self.spark.sparkContext.broadcast(near)
+        shared = self.spark.sparkContext.broadcast(word_map(wanted.withColumnRenamed("fix", "word")))
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = _Mapped(shared.value)
             for batch in batches:
                 counts = Counter()
                 for text in batch.column(0).to_pylist():
-                    words = [w for _, w, _ in _words_of(text.split("\n"))]
-                    counts.update((a, b) for a, b in zip(words, words[1:], strict=False) if shared.value is None or a in shared.value or b in shared.value)
+                    words = [w for _, own, _ in _words_of(text.split("\n")) for w in own]
+                    for k, word in enumerate(words):
+                        if near[word]:
+                            if k:
+                                counts[words[k - 1], word] += 1
+                            if k + 1 < len(words) and not near[words[k + 1]]:
+                                counts[word, words[k + 1]] += 1
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["a", "b", "n"])
 
         seen = self.clean_texts.mapInArrow(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -355,6 +438,10 @@ def reflow(text: str, notes: dict[int, set[str]], fixes: dict[str, str]) -> str:
         shown = fix.upper() if len(word) > 1 and word.upper() == word and any(c.isalpha() for c in word) and not any(c.islower() for c in word) else fix.capitalize() if word[:1].isupper() else fix
         return shown + tail
 
+    def mend(line: str) -> str:
+        low = line.lower()
+        return _RUN.sub(lambda m: mended(m[0]), line) if any(w in low for w in fixes) else line
+
     lines = text.split("\n")
     blocks: list[str] = []
     held, fresh = "", True
@@ -375,7 +462,7 @@ def reflow(text: str, notes: dict[int, set[str]], fixes: dict[str, str]) -> str:
             bare, _, held = bare.rpartition(" ")
             if not bare:
                 continue
-        bare = _RUN.sub(lambda m: mended(m[0]), bare)
+        bare = mend(bare)
         alone = not broken and bool(_TABLE.match(line.strip()) or _OPENING.match(line.strip()))
         if blocks and not fresh and not alone:
             own_hyphen = re.search(r"[^\W_]-$", blocks[-1])  # of a compound or a range
@@ -384,7 +471,7 @@ def reflow(text: str, notes: dict[int, set[str]], fixes: dict[str, str]) -> str:
             blocks.append(bare)
         fresh = alone
     if held:
-        last = _RUN.sub(lambda m: mended(m[0]), held)
+        last = mend(held)
         blocks.append(last) if fresh or not blocks else blocks.__setitem__(-1, f"{blocks[-1]} {last}")
     return "\n\n".join(blocks)
 

@@ -19,6 +19,43 @@ DIGITS = str.maketrans("lLiI|!oOsS§bBgGqQzZaAtT†eE", "11111100555689690224477
 LETTERS = {seen: meant[0] for seen, meant in CONFUSIONS.items() if not seen.isalpha()}
 
 
+#: Words up to this length have no piece that two errors must leave whole; they share one key.
+SHORT = 5
+
+
+def word_pieces(word: str) -> set[str]:
+    """Keys of a vocabulary word: of its beginning, middle and end, at least one stands whole in every token within two errors.
+
+    An error (a confusion, a mark or an edit) touches two letters of the word at most.  Each of the two cuts may lie at
+    two places, of which no error covers both; so with the right cuts two errors lie in two of the three pieces.
+    """
+    n = len(word)
+    if n <= SHORT:
+        return {"\x01"}
+    a = n // 3
+    cuts = (a, a + 1)
+    return {f"^{word[:c]}" for c in cuts} | {f"{word[n - c :]}$" for c in cuts} | {f"-{word[c : n - d]}" for c in cuts for d in cuts}
+
+
+def token_pieces(token: str) -> set[str]:
+    """All keys by which a word within two errors of the token may be found.
+
+    An error changes the length by one at most, and the middle is needed only if one error lies before and one behind it.
+    """
+    m = len(token)
+    keys = {"\x01"} if m <= SHORT + ERRORS else set()
+    for n in range(max(SHORT + 1, m - ERRORS), m + ERRORS + 1):
+        for c in (n // 3, n // 3 + 1):
+            keys |= {f"^{token[:c]}", f"{token[max(0, m - c) :]}$"}
+    for before in (-1, 0, 1):
+        for behind in (-1, 0, 1):
+            n = m - before - behind
+            if n > SHORT:
+                a = n // 3
+                keys |= {f"-{token[c + before : max(0, m - d - behind)]}" for c in (a, a + 1) for d in (a, a + 1)}
+    return keys
+
+
 class Trie:
     """Words as nested maps; the empty key marks an end."""
 

@@ -155,9 +155,17 @@ def test_misreadings_off_the_table_of_confusions(spark):
         assert {w: n for w in words if (n := distance(token, w)) <= 2} == Trie(words).search(token, 2, plain=True)
 
     counts = {"modern": 300, "recognition": 300, "record": 300, "the": 900, "section": 300, "records": 3}
-    near = lambda token: scan_noise.candidates(token, 1, Trie(counts), counts)
+
+
+    def near(token, own=1):
+        found = {fix: n for fix, n in scan_noise.confused(token, own, Trie(counts), counts)}
+        if found or token in counts:
+            return found
+        made = scan_noise.edited(token, own, Trie(counts), counts)
+        return {fix: n for fix, n, place in made if place == min(p for *_, p in made)}
+
     assert near("moderni") == {"modern": 1} and near("recgnition") == {"recognition": 1} and near("rocord") == {"record": 1} and near("rekogniton") == {"recognition": 2}
-    assert near("toe") == {} and near("section12") == {} and near("records") == {} and scan_noise.candidates("moderni", 20, Trie(counts), counts) == {}
+    assert near("toe") == {} and near("section12") == {} and near("records") == {} and near("moderni", 20) == {}
 
     pages, chunks = noise_tables(spark)
     more = spark.createDataFrame([(104, 1, "the_river_1.pdf", 9, 9, "The generl record follows the textbok\nand the marcket ends here.", True, 9)], pages.schema)
@@ -218,3 +226,38 @@ def test_validation_covers_whole_documents(spark):
 )
 def test_every_defect_of_one_answer(answer, wanted):
     assert {d for d, tail in pair_defects.defects(Q, O, answer, "The text links both terms in the chapter.") if tail is None} == wanted
+
+
+def test_shards_lose_no_candidate(spark, monkeypatch):
+    import random
+
+    from pagemill.llm.spelling import CONFUSIONS
+
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcdlimnrue") for _ in range(rng.randint(2, 12))) for _ in range(400)})
+
+    def noisy(word):
+        for _ in range(rng.randint(1, 2)):
+            seen, meant = rng.choice([(s, m) for s, ms in CONFUSIONS.items() for m in ms])
+            at = rng.randrange(len(word))
+            word = rng.choice([word.replace(meant, seen, 1), word[:at] + "*" + word[at:], word[:at] + "x" + word[at + 1 :], word[:at] + word[at + 1 :] or "x"])
+        return word
+
+    tokens = sorted({noisy(w) for w in words for _ in range(2)})
+    counts = dict.fromkeys(words, 10_000)
+    trie = Trie(words)
+    confused = {(t, w, n) for t in tokens for w, n in scan_noise.confused(t, 1, trie, counts)}
+    edited = {(t, *x) for t in tokens for x in scan_noise.edited(t, 1, trie, counts)}
+    given = spark.createDataFrame([(t, 1) for t in tokens], "word string, n long"), spark.createDataFrame([*counts.items()], "word string, n long")
+    for shard, block in ((20_000, 2_000), (40, 30)):
+        monkeypatch.setattr(scan_noise, "SHARD", shard)
+        monkeypatch.setattr(scan_noise, "BLOCK", block)
+        assert {tuple(r) for r in scan_noise.look_up(*given).select("word", "fix", "errors").collect()} == confused
+        assert {tuple(r) for r in scan_noise.look_up(*given, plain=True).select("word", "fix", "errors", "place").collect()} == edited
+    assert scan_noise.look_up(given[0].limit(0), given[1]).count() == scan_noise.look_up(given[0], given[1].limit(0)).count() == 0
+
+
+def test_word_map_holds_every_word(spark):
+    words = [f"wörd{k}" for k in range(500)] + ["", "日本"]
+    near = scan_noise._Mapped(scan_noise.word_map(spark.createDataFrame([(w,) for w in words], "word string")))
+    assert all(near[w] for w in words) and sum(near[f"other{k}"] for k in range(500)) < 5
