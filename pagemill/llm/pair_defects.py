@@ -7,7 +7,8 @@ vocabulary, in a join.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import spread
+from pagemill.session import cut_lineage, spread
 
 #: What stands for "nothing here", without punctuation and in lower case.
 NOTHING = (
@@ -53,8 +54,8 @@ REFUSALS = (
     r"\b(i|we)( am|'m| are|'re)( very| so| really)? (sorry|afraid|unable|not (able|in a position|allowed|permitted|comfortable|willing|going to))\b",
     r"\b(i|we)( must| have to| will| would| do| should)?( respectfully| regretfully| also)? (cannot|can not|can't|could not|couldn't|won't|will not|decline|refuse|rather not|prefer not|not feel comfortable|don't feel comfortable|don't have (access|enough)|not have (access|enough)|not wish|don't wish|'d rather not)\b",
     r"\bi'd rather not\b|\bi'll have to (decline|pass)\b|\bi would rather not\b|\brather not (answer|discuss|say)\b|\bmy apologies\b|^(apologies|regrettably|unfortunately|sorry)\b.{0,30}\b(i|we|this|that)\b",
-    r"\bas an? (ai|artificial|large language|language) |\bthe assistant (has|cannot|can't|declines?|refuses?|is|will|chose|does)\b",
-    r"\b(this|the|your) (request|prompt|content|query)( for this item)? (was|is|has been|had to be|can't be|cannot be|can not be|could not be|couldn't be|won't be|will not be) (declined|refused|generated|produced|provided|blocked|rejected|answered|fulfilled|completed|processed|denied|created)",
+    r"\bas an? (ai|artificial|large language|language) |\bthe assistant\b.{0,20}\b(cannot|can't|declin\w+|refus\w+|unable|not|won't)\b",
+    r"\b(this|the|your) (request|prompt|content|query)( \w+){0,3} (was|is|has been|had to be|can't be|cannot be|can not be|could not be|couldn't be|won't be|will not be) (declined|refused|generated|produced|provided|blocked|rejected|answered|fulfilled|completed|processed|denied|created)",
     r"\bno (answer|explanation|content|response) (can|could|will|may) be (produced|given|provided|generated|offered)\b|\bagainst (my|our|the) (guidelines|policy|policies|rules|principles)\b|\bnot be appropriate for (me|us)\b|\bnot (something|a topic|able) i (can|am)\b",
     r"\bno (puedo|podemos)\b|\bno me (es|resulta) posible\b|\blo (siento|lamento)\b|\bprefiero no\b|\bno (estoy|soy) (en condiciones|capaz|autorizad[oa])\b|\bcomo (un )?modelo de lenguaje\b|\bno tengo acceso\b|\bme niego\b|\bdisculp[ea]\b|\bcomo (una )?ia\b|\bno estoy en\b",
     r"\bje ne (peux|puis|suis|saurais|souhaite|dispose)\b|\bje (suis )?désolée?\b|^désolée?\b|\bje préfère ne\b|\ben tant que? (modèle|ia|intelligence|qu'ia|qu'intelligence)\b|\ben tant qu'\s?(ia|intelligence)\b|\bje n'ai pas (accès|le droit)\b|\bil m'est impossible\b|\bje refuse\b|\bje regrette\b|\bje m'excuse\b",
@@ -63,6 +64,11 @@ REFUSALS = (
     r"(?<!\pL)(я|мы) не (могу|можем|смогу|имею|готов)|(?<!\pL)извините|к сожалению|(?<!\pL)простите|как языковая модель|не имею доступа",
     r"抱歉|对不起|我无法|我不能|无法回答|作为.{0,12}(模型|人工智能)|不便回答",
 )
+#: Each way of declining holds one of these words, or letters of another script; spares the long pattern most texts.
+DECLINING = (
+    "i we my our me us rather apologies regrettably unfortunately sorry ai artificial language assistant request prompt content query answer explanation response against something topic able "
+    "puedo podemos posible siento lamento prefiero estoy soy modelo acceso niego disculpa disculpe ia je désolé désolée tant impossible ich leid ki sprachmodell künstliche leider mir entschuldigung não desculpe sinto prefiro infelizmente recuso"
+).split()
 #: Words of dress around a question given back.
 DRESS = "the question is was asks asked you we i answer answering to about that says reads repeat again here as follows q a la pregunta es die frage lautet question est pergunta é".split()
 #: A word stands so often inside texts before its never ending one counts as proof that more must follow.
@@ -73,6 +79,10 @@ FORMULA_HITS = 3
 
 _NOTHING, _DRESS, _OPEN = frozenset(NOTHING), frozenset(DRESS), frozenset(OPEN_WORDS)
 _COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
+_LANGUAGES = {w: [k for k, own in _COMMON.items() if w in own] for own in _COMMON.values() for w in own}
+_DECLINING = frozenset(DECLINING)
+_SCRIPTS = [regex.compile(rf"\p{{Is{x}}}") for x in ("Latin", "Cyrillic", "Han")]
+_WORD_ASCII, _PURE_ASCII = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z]+")
 _NAMED = {k: regex.compile(rf"(?i)(?<!\pL)(?:{v})(?!\pL)") for k, v in NAMES.items()}
 _REFUSAL = regex.compile("|".join(f"(?:{r})" for r in REFUSALS))
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
@@ -87,15 +97,23 @@ def _flat(text: str | None) -> str:
     return " ".join((text or "").replace("\u200b", " ").replace("\ufeff", " ").split())
 
 
+def _words(text: str) -> list[str]:
+    return (_WORD_ASCII if text.isascii() else _WORD).findall(text)
+
+
 def language(text: str, words: list[str]) -> str | None:
     """The language of a text, or None if it can't be told: by script, else by the common words, one language leading."""
-    latin, cyrillic, han = (len(regex.findall(rf"\p{{Is{s}}}", text)) for s in ("Latin", "Cyrillic", "Han")) if not text.isascii() else (1, 0, 0)
+    latin, cyrillic, han = (len(x.findall(text)) for x in _SCRIPTS) if not text.isascii() else (1, 0, 0)
     if cyrillic > max(latin, 2):
         return "ru"
     if han * 2 > latin and han > 1:
         return "zh"
-    hits = sorted(((sum(w in own for w in words), k) for k, own in _COMMON.items()), reverse=True)
-    return hits[0][1] if hits[0][0] > hits[1][0] else None
+    hits = dict.fromkeys(_COMMON, 0)
+    for w in words:
+        for k in _LANGUAGES.get(w, ()):
+            hits[k] += 1
+    first, second = sorted(((n, k) for k, n in hits.items()), reverse=True)[:2]
+    return first[1] if first[0] > second[0] else None
 
 
 def _wrapped(words: list[str]) -> str:
@@ -115,7 +133,7 @@ def copies(text: str, words: list[str], q_words: list[str]) -> bool:
 def refuses(text: str) -> bool:
     """Whether the text declines to answer; what it only quotes doesn't count."""
     rest = _QUOTED.sub(" ", text)
-    said = (rest if len(_WORD.findall(rest)) > 2 else text).lower()
+    said = (rest if len(_words(rest)) > 2 else text).lower()
     return bool(_REFUSAL.search(regex.sub("[’`´]", "'", said).strip()))
 
 
@@ -133,19 +151,19 @@ def ends_openly(text: str) -> tuple[bool, str]:
 def defects(question: str | None, options: list[str | None] | None, answer: str | None, explanation: str | None) -> Iterator[tuple[str, str | None]]:
     """Each (defect, None) of one record, and ("truncated", last word) where the vocabulary has to tell."""
     asked = _flat(question)
-    q_words = _WORD.findall(asked.lower())
+    q_words = _words(asked.lower())
     q_lang = language(asked, q_words)
     offered = {_flat(o).lower() for o in options or ()}
     complete = {o.rstrip(".…") for o in offered}
     for part, raw in ("answer", answer), ("explanation", explanation):
         text = _flat(raw)
-        words = _WORD.findall(text.lower())
+        words = _words(text.lower())
         is_option = part == "answer" and text.lower() in offered
         if not words or " ".join(words) in _NOTHING and not is_option:
             yield "empty_answer", None
             continue
         copied = copies(text, words, q_words)
-        declined = not copied and refuses(text)
+        declined = not copied and (not text.isascii() or not _DECLINING.isdisjoint(words)) and refuses(text)
         if copied:
             yield "copies_question", None
         elif declined:
@@ -163,45 +181,41 @@ def defects(question: str | None, options: list[str | None] | None, answer: str
                 yield "truncated", None if sure else tail
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, rows = [], []
-        for key, *record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for row in dict.fromkeys(defects(*record)):
-                ids.append(key)
-                rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["question_id", "defect", "tail"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words inside texts and at an end, counted within the batch."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The defects of each record, and the words inside texts and at an end, counted within the batch, in one table."""
     for batch in batches:
-        inside, ending = defaultdict(int), defaultdict(int)
-        for question, options, *texts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        found, inside, ending = [], Counter(), Counter()
+        for key, question, options, answer, explanation in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found += [(key, *row) for row in dict.fromkeys(defects(question, options, answer, explanation))]
             known = [f"{_flat(o).rstrip('.…')}." for o in options or () if o]
-            for text in (question, *texts, *known):
-                for sentence in _SENTENCE.split(_flat(text)):
-                    words = _PURE.findall(sentence.lower())
+            for text in (_flat(question), _flat(answer), _flat(explanation), *known):
+                for sentence in _SENTENCE.split(text) if ". " in text or "! " in text or "? " in text or not text.isascii() or any(c in text for c in _CLOSERS) else (text,):
+                    words = (_PURE_ASCII if sentence.isascii() else _PURE).findall(sentence.lower())
                     if words:
                         last = words.pop()
                         if sentence.rstrip(_CLOSERS)[-1:] in _STOPS and not sentence.endswith(".."):
                             ending[last] += 1
-                        for w in words:
-                            inside[w] += 1
+                        inside.update(words)
         words = [*{**inside, **ending}]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([inside.get(w, 0) for w in words], pa.int64()), pa.array([ending.get(w, 0) for w in words], pa.int64())], ["word", "inside", "ending"])
+        ids, kinds, tails = zip(*found, strict=True) if found else ((), (), ())
+        blank, unfound = [None] * len(found), [None] * len(words)
+        columns = ((pa.int64(), [*ids, *unfound]), (pa.string(), [*kinds, *unfound]), (pa.string(), [*tails, *unfound]), (pa.string(), [*blank, *words]), (pa.int64(), [*blank, *(inside[w] for w in words)]), (pa.int64(), [*blank, *(ending[w] for w in words)]))
+        yield pa.RecordBatch.from_arrays([pa.array(values, kind) for kind, values in columns], ["question_id", "defect", "tail", "word", "inside", "ending"])
 
 
 COLUMNS = ["question_id", "question", "options", "correct_answer", "explanation"]
 
 
-def vocabulary(questions: DataFrame) -> DataFrame:
-    """(word, inside, ending): how often a word stands inside texts, and at the end of a sentence or of an option, over the whole bank.
+def read_records(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(question_id, defect, tail) of every record, and (word, inside, ending) over the whole bank, from one pass.
 
-    The last word of a text without a stop counts in neither, as it may be a piece.
+    Counted is how often a word stands inside texts, and at the end of a sentence or of an option.  The last word of a
+    text without a stop counts in neither, as it may be a piece.
     """
-    counted = spread(questions.select(COLUMNS)).mapInArrow(_count, "word string, inside long, ending long")
-    return counted.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("ending").alias("ending"))
+    kinds = "question_id long, defect string, tail string, word string, inside long, ending long"
+    both = cut_lineage(spread(questions.select(COLUMNS)).mapInArrow(_read, kinds))
+    words = both.where("word is not null").groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("ending").alias("ending"))
+    return both.where("defect is not null").select("question_id", "defect", "tail"), words
 
 
 def pair_defects(questions: DataFrame) -> DataFrame:
@@ -214,10 +228,10 @@ def pair_defects(questions: DataFrame) -> DataFrame:
     ends after a comma or a word of OPEN_WORDS, or, without a stop, after a word that never ends a sentence though
     it is frequent, or after an unknown word with which a longer one begins.
     """
-    judged = spread(questions.select(COLUMNS)).mapInArrow(_judge, "question_id long, defect string, tail string")
+    judged, words = read_records(questions)
     sure = judged.where("tail is null").select("question_id", "defect")
     open_ends = judged.where("tail is not null").withColumn("word", F.lower("tail"))
-    words = vocabulary(questions)
+    words = cut_lineage(words)
     begun = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))
     pieces = words.where("length(word) > 1").select(F.explode(begun).alias("word")).distinct().withColumn("piece", F.lit(True))
     met = open_ends.join(words, "word", "left").join(pieces, "word", "left").fillna(0, ["inside", "ending"])

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import cut_lineage, spread
+
 #: Fixed values of the test-data contract.
 LEAST_PAGES, LEAST_SHARE = 10, 0.25
-#: White space as Unicode has it.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: White space as Unicode has it, but for the blank and the line feed.
+_ODD = r"\t\x0B\f\r\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: What collapsing changes: runs of white space within a line, and single white space that is no blank.
+_LOOSE = f"[ {_ODD}]{{2,}}|[{_ODD}]"
 
 
-def normalized_line(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(line, f"{SPACE}+", " "), "^ | $", ""))
+def line_keys(text: Column) -> Column:
+    """The normalized lines of a text as 64-bit hashes, 0 for a blank one; the text is normalized as a whole, once."""
+    lines = F.split(F.lower(F.regexp_replace(text, _LOOSE, " ")), "\n", -1)
+    return F.transform(F.transform(lines, lambda x: F.trim(x)), lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x)))
 
 
 def _keys(pages: DataFrame) -> DataFrame:
-    """page_id, file_index and the page's normalized lines as hashes, 0 for a blank one."""
-    lines = F.split(F.col("text"), "\n", -1)
-    key = F.transform(lines, lambda x: F.when(normalized_line(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(normalized_line(x))))
-    return pages.where(F.col("text").isNotNull() & F.col("text").rlike(f"[^{SPACE[1:-1]}]")).select("page_id", "file_index", key.alias("_keys"))
+    """page_id, file_index and the keys of every page that has a line; made once, for counting and for finding."""
+    given = spread(pages.where("text is not null").select("page_id", "file_index", "text"))
+    return cut_lineage(given.select("page_id", "file_index", line_keys(F.col("text")).alias("_keys")).where(F.exists("_keys", lambda k: k != 0)))
 
 
 def repeated_lines(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
