@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions.jsstr import js_trim
+from pagemill.operators.running import running
 
 # fixed value: share of one position from which the answers count as skewed
 SKEW = 0.6
@@ -87,9 +88,9 @@ def offsets_before(questions: DataFrame, order: list[str]) -> DataFrame:
     """(batch_number, offset): the bank's size before each batch, as the number of stems first seen in earlier ones."""
     rows = questions.withColumn("stem", T.stem_key(F.coalesce("question", F.lit(""))))
     first = rows.groupBy("stem").agg(F.min("batch_number").alias("batch_number")).groupBy("batch_number").agg(F.count(F.lit(1)).alias("_new"))
-    every = rows.select("batch_number").distinct().join(first, "batch_number", "left")
-    earlier = F.sum(F.coalesce("_new", F.lit(0))).over(Window.orderBy("batch_number").rowsBetween(Window.unboundedPreceding, -1))
-    return every.select("batch_number", F.coalesce(earlier, F.lit(0)).alias("offset"))
+    every = rows.select("batch_number").distinct().join(first, "batch_number", "left").select("batch_number", F.coalesce("_new", F.lit(0)).alias("_new"))
+    totals = running(every, [], [F.asc("batch_number")], {"_held": F.col("_new")})
+    return totals.select("batch_number", (F.col("_held") - F.col("_new")).alias("offset"))
 
 
 def accept_batches(questions: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions.jsstr import js_trim, let
+from pagemill.operators.running import ranked
 
 # fixed values
 TARGET, OVERLAP, LEAST = 1200, 220, 320
@@ -73,8 +74,6 @@ def chunk_pages(pages: DataFrame, focus: str | None = None) -> DataFrame:
 
 
 def with_source_order(chunks: DataFrame) -> DataFrame:
-    """Numbers chunks from 0 by (file_index, page_seq, chunk_index): counts by file are added up, ranks are taken within files."""
-    files = chunks.groupBy("file_index").agg(F.count(F.lit(1)).alias("_n"))
-    before = files.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("file_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("file_index").orderBy("page_seq", "chunk_index"))
-    return chunks.join(before.select("file_index", "_before"), "file_index").withColumn("source_order", F.col("_before") + rank - 1).drop("_before")
+    """Numbers chunks from 0 by (file_index, page_seq, chunk_index), range by range."""
+    numbered = ranked(chunks, [], [F.asc("file_index"), F.asc("page_seq"), F.asc("chunk_index")], "source_order")
+    return numbered.withColumn("source_order", F.col("source_order") - 1)

@@ -64,13 +64,80 @@ def correct_index(value: Column, options: int) -> Column:
     return F.when((letter >= 0) & (letter < options), letter).otherwise(whole)
 
 
-def _missing(value: str, path: str, message: str) -> Column:
+def _at(i: Column, path: str, message: str) -> Column:
+    return F.concat(F.lit("questions."), i.cast("string"), F.lit(f".{path}: {message}"))
+
+
+def _missing(i: Column, value: Column, path: str, message: str) -> Column:
     """A message if a text is absent, of another type or empty."""
-    return F.when(F.col(value).isNull(), _at(path, "Required")).when(F.col(value) == "", _at(path, message))
+    return F.when(value.isNull(), _at(i, path, "Required")).when(value == "", _at(i, path, message))
+
+
+def _fields(item: Column, paths: dict[str, str], use) -> Column:
+    """``use`` of the typed fields of one question; each is read once, in a struct that its lambda binds."""
+    read = {k: let(_get(item, p), _text_or_number if k == "page" else _text) for k, p in paths.items() if k not in ("items", "index")}
+    read["page"] = js_trim(read["page"])
+    read["items"] = F.try_variant_get(item, paths["items"], "array<variant>")
+    if "index" in paths:
+        read |= {"index": _get(item, paths["index"]), "five": F.size(F.try_variant_get(item, "$", "array<variant>")), "three": F.size(F.try_variant_get(item, "$[4]", "array<variant>"))}
+    whole = F.struct(*(c.alias(k) for k, c in read.items()))
+    return let(whole, lambda f: let(F.transform(f["items"], _text), lambda options: use(f, options)))
+
+
+def _checked(i: Column, f: Column, options: Column, errors: Column, answer: Column) -> Column:
+    """(errors, row) of one question."""
+    source = F.struct(js_trim(f["file"]).alias("file"), F.when(f["page"] == "", "unknown").otherwise(f["page"]).alias("page"), js_trim(f["chunk"]).alias("chunk_id"))
+    row = F.struct(i.alias("q_index"), js_trim(f["question"]).alias("question"), F.transform(options, js_trim).alias("options"), js_trim(answer).alias("correct_answer"), js_trim(f["explanation"]).alias("explanation"), source.alias("source"))
+    return F.struct(errors.alias("errors"), row.alias("row"))
+
+
+def _told(*errors: Column) -> Column:
+    return F.filter(F.array(*errors), lambda e: e.isNotNull())
+
+
+def _standard(item: Column, i: Column, n: int) -> Column:
+    """(errors, row) of a question in the standard format."""
+
+    def use(f: Column, options: Column) -> Column:
+        untyped = f["question"].isNull() | f["explanation"].isNull() | f["file"].isNull() | f["chunk"].isNull() | f["page"].isNull() | f["answer"].isNull() | f["items"].isNull() | F.exists(options, lambda o: o.isNull())
+        errors = _told(
+            _missing(i, f["question"], "question", "question is required"),
+            F.when(f["items"].isNull(), _at(i, "options", "Required")).when(F.size(f["items"]) != n, _at(i, "options", f"each question needs {n} options")),
+            F.when(F.exists(options, lambda o: o.isNull()), _at(i, "options", "Expected string")).when(F.exists(options, lambda o: o == ""), _at(i, "options", "options cannot be empty")),
+            _missing(i, f["answer"], "correctAnswer", "correctAnswer is required"),
+            _missing(i, f["explanation"], "explanation", "explanation is required"),
+            _missing(i, f["file"], "source.file", "source.file is required"),
+            _missing(i, f["page"], "source.page", "source.page is required"),
+            _missing(i, f["chunk"], "source.chunkId", "source.chunkId is required"),
+            F.when(~untyped & ~F.array_contains(options, f["answer"]), _at(i, "correctAnswer", "correctAnswer must match one of the options")),
+        )
+        return _checked(i, f, options, errors, f["answer"])
+
+    paths = {"question": "$.question", "items": "$.options", "answer": "$.correctAnswer", "explanation": "$.explanation", "file": "$.source.file", "page": "$.source.page", "chunk": "$.source.chunkId"}
+    return _fields(item, paths, use)
+
+
+def _compact(item: Column, i: Column, n: int) -> Column:
+    """(errors, row) of a question in the compact format, a list of five."""
+
+    def use(f: Column, options: Column) -> Column:
+        early = _told(
+            F.when(F.coalesce(f["five"], F.lit(-1)) != 5, F.concat(F.lit("questions."), i.cast("string"), F.lit(": Expected array of 5"))),
+            _missing(i, f["question"], "0", "compact question text is required"),
+            F.when(f["items"].isNull(), _at(i, "1", "Required")).when(F.size(f["items"]) != n, _at(i, "1", f"compact question needs {n} options")),
+            F.when(F.exists(options, lambda o: o.isNull() | (o == "")), _at(i, "1", "compact options cannot be empty")),
+            F.when(_text_or_number(f["index"]).isNull(), _at(i, "2", "Invalid input")),
+            _missing(i, f["explanation"], "3", "compact explanation is required"),
+            F.when((F.coalesce(f["three"], F.lit(-1)) != 3) | (F.coalesce(f["file"], F.lit("")) == "") | (F.coalesce(f["chunk"], F.lit("")) == "") | f["page"].isNull(), _at(i, "4", "Invalid source")),
+        )
 
+        def with_index(index: Column) -> Column:
+            errors = let(early, lambda told: F.when((F.size(told) == 0) & index.isNull(), F.array(F.lit(BAD_INDEX))).otherwise(told))
+            return _checked(i, f, options, errors, F.try_element_at(options, index + 1))
 
-def _at(path: str, message: str) -> Column:
-    return F.concat(F.lit("questions."), F.col("q_index").cast("string"), F.lit(f".{path}: {message}"))
+        return let(correct_index(f["index"], n), with_index)
+
+    return _fields(item, {"question": "$[0]", "items": "$[1]", "index": "$[2]", "explanation": "$[3]", "file": "$[4][0]", "page": "$[4][1]", "chunk": "$[4][2]"}, use)
 
 
 def _computed(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -79,109 +146,45 @@ def _computed(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
-def _fields(rows: DataFrame, paths: dict[str, str]) -> DataFrame:
-    """Typed fields of each question, each in a column of its own so that nothing is read twice."""
-    keep = [c for c in rows.columns]
-    rows = rows.withColumns({f"_v_{k}": _get(F.col("_item"), p) for k, p in paths.items() if k != "items"} | {"_items": F.try_variant_get("_item", paths["items"], "array<variant>")})
-    rows = _computed(rows, keep)
-    rows = rows.withColumn("_options", F.transform("_items", _text)).withColumn("_page", js_trim(_text_or_number(F.col("_v_page"))))
-    rows = rows.withColumns({f"_{k}": _text(F.col(f"_v_{k}")) for k in paths if k in ("question", "answer", "explanation", "file", "chunk")})
-    return _computed(rows, keep)
-
-
-def _standard(rows: DataFrame, n: int) -> DataFrame:
-    """Adds ``_errors`` and ``_row`` for standard questions."""
-    rows = _fields(rows, {"question": "$.question", "items": "$.options", "answer": "$.correctAnswer", "explanation": "$.explanation", "file": "$.source.file", "page": "$.source.page", "chunk": "$.source.chunkId"})
-    c = F.col
-    untyped = c("_question").isNull() | c("_explanation").isNull() | c("_file").isNull() | c("_chunk").isNull() | c("_page").isNull() | c("_answer").isNull() | c("_items").isNull() | F.exists("_options", lambda o: o.isNull())
-    errors = F.array(
-        _missing("_question", "question", "question is required"),
-        F.when(c("_items").isNull(), _at("options", "Required")).when(F.size("_items") != n, _at("options", f"each question needs {n} options")),
-        F.when(F.exists("_options", lambda o: o.isNull()), _at("options", "Expected string")).when(F.exists("_options", lambda o: o == ""), _at("options", "options cannot be empty")),
-        _missing("_answer", "correctAnswer", "correctAnswer is required"),
-        _missing("_explanation", "explanation", "explanation is required"),
-        _missing("_file", "source.file", "source.file is required"),
-        _missing("_page", "source.page", "source.page is required"),
-        _missing("_chunk", "source.chunkId", "source.chunkId is required"),
-        F.when(~untyped & ~F.array_contains("_options", c("_answer")), _at("correctAnswer", "correctAnswer must match one of the options")),
-    )
-    return _finished(rows, errors, c("_answer"))
-
-
-def _compact(rows: DataFrame, n: int) -> DataFrame:
-    """Adds ``_errors`` and ``_row`` for compact questions, lists of five."""
-    rows = _fields(rows, {"question": "$[0]", "items": "$[1]", "index": "$[2]", "explanation": "$[3]", "file": "$[4][0]", "page": "$[4][1]", "chunk": "$[4][2]"})
-    rows = rows.withColumns({"_five": F.size(F.try_variant_get("_item", "$", "array<variant>")), "_three": F.size(F.try_variant_get("_item", "$[4]", "array<variant>")), "_index": correct_index(F.col("_v_index"), n), "_raw_index": _text_or_number(F.col("_v_index"))})
-    rows = _computed(rows, ["q_index"])
-    c = F.col
-    errors = F.array(
-        F.when(F.coalesce("_five", F.lit(-1)) != 5, F.concat(F.lit("questions."), c("q_index").cast("string"), F.lit(": Expected array of 5"))),
-        _missing("_question", "0", "compact question text is required"),
-        F.when(c("_items").isNull(), _at("1", "Required")).when(F.size("_items") != n, _at("1", f"compact question needs {n} options")),
-        F.when(F.exists("_options", lambda o: o.isNull() | (o == "")), _at("1", "compact options cannot be empty")),
-        F.when(c("_raw_index").isNull(), _at("2", "Invalid input")),
-        _missing("_explanation", "3", "compact explanation is required"),
-        F.when((F.coalesce("_three", F.lit(-1)) != 3) | (F.coalesce("_file", F.lit("")) == "") | (F.coalesce("_chunk", F.lit("")) == "") | c("_page").isNull(), _at("4", "Invalid source")),
-    )
-    kept = F.filter(errors, lambda e: e.isNotNull())
-    late = F.when((F.size(kept) == 0) & c("_index").isNull(), F.array(F.lit(BAD_INDEX)))
-    return _finished(rows, F.coalesce(late, kept), F.try_element_at("_options", c("_index") + 1))
-
-
-def _finished(rows: DataFrame, errors: Column, answer: Column) -> DataFrame:
-    source = F.struct(js_trim(F.col("_file")).alias("file"), F.when(F.col("_page") == "", "unknown").otherwise(F.col("_page")).alias("page"), js_trim(F.col("_chunk")).alias("chunk_id"))
-    made = F.struct(js_trim(F.col("_question")).alias("question"), F.transform("_options", js_trim).alias("options"), js_trim(answer).alias("correct_answer"), js_trim(F.col("_explanation")).alias("explanation"), source.alias("source"))
-    done = rows.withColumn("_errors", F.filter(errors, lambda e: e.isNotNull())).withColumn("_row", made)
-    return _computed(done, ["q_index"])
-
-
-def _opened(responses: DataFrame, key: str, raw: str) -> DataFrame:
-    """Each response's JSON as VARIANT and its questions; nothing else of the table is carried."""
+def verdicts(responses: DataFrame, key: str, response_format: str = "standard", options: int = 4, raw: str = "raw") -> DataFrame:
+    """(key, errors, compact, rows): the verdict on each response with its questions, made in its row, without a join.
+
+    In the standard format a response that is only valid in the compact one is taken, and else the standard errors
+    are told.  Null and blank responses, invalid JSON and responses without a question have defined errors; keys
+    beyond the schema are dropped; the last of repeated keys counts (spark.sql.variant.allowDuplicateKeys).
+    """
+    nothing = F.array().cast("array<string>")
     rows = _computed(responses.select(key, candidate_json(F.col(raw)).alias("_json")), [key])
     rows = _computed(rows.withColumn("_v", parse_json(F.col("_json"))), [key])
-    return _computed(rows.withColumn("_q", F.try_variant_get("_v", "$.questions", "array<variant>")), [key])
 
+    def judged(check, few: str) -> Column:
+        def of(questions: Column) -> Column:
+            none = F.when(F.col("_json") == "", F.array(F.lit(EMPTY))).when(F.col("_v").isNull(), F.array(F.lit(NO_JSON))).when(questions.isNull(), F.array(F.lit("questions: Required"))).when(F.size(questions) == 0, F.array(F.lit(few)))
+            told = let(F.transform(questions, lambda item, i: check(item, i, options)), lambda each: F.struct(F.flatten(F.transform(each, lambda x: x["errors"])).alias("errors"), F.transform(each, lambda x: x["row"]).alias("rows")))
+            return let(told, lambda t: F.struct(F.coalesce(none, t["errors"], nothing).alias("errors"), t["rows"].alias("rows")))
 
-def _checked(opened: DataFrame, key: str, check, options: int) -> DataFrame:
-    rows = opened.where("_q is not null").select(key, F.posexplode("_q").alias("q_index", "_item"))
-    return check(rows, options).select(key, "q_index", "_errors", "_row")
+        return let(F.try_variant_get("_v", "$.questions", "array<variant>"), of)
 
+    compact = judged(_compact, "questions: compact questions must contain at least 1 item")
+    tagged = lambda v, kind: F.struct(v["errors"].alias("errors"), F.lit(kind).alias("compact"), v["rows"].alias("rows"))
+    if response_format == "compact":
+        verdict = let(compact, lambda c: F.struct(c["errors"].alias("errors"), (F.size(c["errors"]) == 0).alias("compact"), c["rows"].alias("rows")))
+    else:
+        standard = judged(_standard, "questions: questions must contain at least 1 item")
+        otherwise = lambda s: let(compact, lambda c: F.when(F.size(c["errors"]) == 0, tagged(c, True)).otherwise(tagged(s, False)))
+        verdict = let(standard, lambda s: F.when(F.size(s["errors"]) == 0, tagged(s, False)).otherwise(otherwise(s)))
+    return _computed(rows.select(key, verdict.alias("_verdict")), [key]).select(key, "_verdict.*")
 
-def parse_responses(responses: DataFrame, key: str, response_format: str = "standard", options: int = 4, raw: str = "raw") -> DataFrame:
-    """(key, success, errors, compact): the verdict on each response, one row a key; ``compact`` tells in which format it was taken.
 
-    In the standard format a response that is only valid in the compact one is taken, and else the standard errors
-    are told.  Null and blank responses, invalid JSON and responses without a question have defined errors; keys
-    beyond the schema are dropped; the last of repeated keys counts (spark.sql.variant.allowDuplicateKeys).
-    """
-    opened = _opened(responses, key, raw)
-    nothing = F.array().cast("array<string>")
-    none = F.when(F.col("_json") == "", F.array(F.lit(EMPTY))).when(F.col("_v").isNull(), F.array(F.lit(NO_JSON))).when(F.col("_q").isNull(), F.array(F.lit("questions: Required")))
-    heads = opened.select(key, none.alias("_none"), F.coalesce(F.size("_q") == 0, F.lit(False)).alias("_no_question"))
-    parts = {"_s": (_standard, "questions: questions must contain at least 1 item"), "_c": (_compact, "questions: compact questions must contain at least 1 item")}
-    for name, (check, few) in parts.items():
-        if name == "_s" and response_format == "compact":
-            heads = heads.withColumn("_s", nothing)
-            continue
-        own = _checked(opened, key, check, options).where(F.size("_errors") > 0)
-        listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("q_index", "_errors"))), lambda x: x["_errors"]))
-        heads = heads.join(own.groupBy(key).agg(listed.alias(f"{name}_own")), key, "left")
-        heads = heads.withColumn(name, F.coalesce("_none", F.when(F.col("_no_question"), F.array(F.lit(few))), f"{name}_own", nothing)).drop(f"{name}_own")
-    compact = F.size("_c") == 0 if response_format == "compact" else (F.size("_s") > 0) & (F.size("_c") == 0)
-    errors = F.col("_c") if response_format == "compact" else F.when(compact, nothing).otherwise(F.col("_s"))
-    return heads.select(key, (F.size(errors) == 0).alias("success"), errors.alias("errors"), compact.alias("compact"))
+def parse_responses(responses: DataFrame, key: str, response_format: str = "standard", options: int = 4, raw: str = "raw") -> DataFrame:
+    """(key, success, errors, compact): the verdict on each response, one row a key; ``compact`` tells in which format it was taken."""
+    made = verdicts(responses, key, response_format, options, raw)
+    return made.select(key, (F.size("errors") == 0).alias("success"), "errors", "compact")
 
 
 def accepted_questions(responses: DataFrame, key: str, response_format: str = "standard", options: int = 4, raw: str = "raw") -> DataFrame:
     """(key, q_index, question, options, correct_answer, explanation, source) of the responses that are accepted."""
-    verdicts = parse_responses(responses, key, response_format, options, raw).where("success")
-    opened = _opened(responses, key, raw)
-    out = None
-    for check, taken in ((_standard, False), (_compact, True)):
-        rows = _checked(opened, key, check, options).join(verdicts.where(F.col("compact") == taken).select(key), key, "left_semi")
-        rows = rows.select(key, "q_index", "_row.*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return verdicts(responses, key, response_format, options, raw).where(F.size("errors") == 0).select(key, F.inline("rows"))
 
 
 def standard_json(questions: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.operators.running import ranked
+from pagemill.session import broadcast_if_small, cut_lineage
 from pagemill.settings import UNLIMITED, Limits
 
 
@@ -18,39 +20,57 @@ def with_fingerprint(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_words", words).withColumn("fingerprint", T.fingerprint(T.content_tokens(F.col("_words")))).drop("_words")
 
 
-def dedupe(chunks: DataFrame, within: list[str] | None = None) -> DataFrame:
-    """The best chunk of each fingerprint, the first of equals; adds ``position``, the first place of the fingerprint.
+def winners(chunks: DataFrame, within: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(within, source_order, position, carry): the best chunk of each fingerprint, the first of equals, and the fingerprint's first place.
 
     ``chunks`` has source_order, id, score and fingerprint.  Chunks with an empty fingerprint count by id, and the
-    last of them stays.  One exchange on the key: winner and first place come from one aggregate, which combines
+    last of them stays.  One exchange: winner and first place come from one aggregate over slim columns, which combines
     before the shuffle, so a fingerprint shared by most rows makes no hot task.
     """
     key = F.when(F.col("fingerprint") == "", F.concat(F.lit("id "), F.col("id"))).otherwise(F.concat(F.lit("fp "), F.col("fingerprint")))
     # the largest struct wins: score, then the earlier place; for an empty fingerprint the later place alone
     rank = F.when(F.col("fingerprint") == "", F.struct(F.lit(0.0).alias("a"), F.col("source_order").alias("b"))).otherwise(F.struct(F.coalesce("score", F.lit(float("-inf"))).alias("a"), (-F.col("source_order")).alias("b")))
-    keyed = chunks.withColumn("_key", F.xxhash64(key)).withColumn("_key2", F.hash(key)).withColumn("_rank", rank)
     groups = [*(within or []), "_key", "_key2"]
-    best = keyed.select(*groups, "_rank", "source_order").groupBy(*groups).agg(F.max(F.struct("_rank", "source_order"))["source_order"].alias("source_order"), F.min("source_order").alias("position"))
-    return keyed.join(best.select("source_order", "position"), "source_order", "left_semi").drop("_key", "_key2", "_rank").join(best.select("source_order", "position"), "source_order")
+    own = [*(within or []), "source_order", *(c for c in carry if c not in (within or []))]
+    keyed = chunks.select(*own, F.xxhash64(key).alias("_key"), F.hash(key).alias("_key2"), rank.alias("_rank"))
+    best = keyed.groupBy(*groups).agg(F.max(F.struct("_rank", *(c for c in own if c not in (within or [])))).alias("_best"), F.min("source_order").alias("position"))
+    return best.select(*(within or []), *(f"_best.{c}" for c in own if c not in (within or [])), "position")
+
+
+def dedupe(chunks: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """The whole rows of the winners, with ``position``: one join on source_order, by which texts are chosen last."""
+    return chunks.join(winners(chunks, within).select("source_order", "position"), "source_order")
 
 
 def best_of_file(chunks: DataFrame, k: int = UNLIMITED) -> DataFrame:
-    """Each file's chunks with ``file_rank`` up to k, by score, then position."""
-    order = Window.partitionBy("file_name").orderBy(F.desc("score"), "position")
-    return chunks.withColumn("file_rank", F.row_number().over(order)).where(F.col("file_rank") <= min(k, 2**31 - 1))
+    """Each file's chunks with ``file_rank`` up to k, by score, then position.
+
+    A top k is cut before the shuffle; a full ranking goes by ranges, as one file may hold most chunks.
+    """
+    order = [F.desc("score"), F.asc("position")]
+    if k < UNLIMITED:
+        rank = F.row_number().over(Window.partitionBy("file_name").orderBy(*order))
+        return chunks.withColumn("file_rank", rank).where(F.col("file_rank") <= k)
+    return ranked(chunks, ["file_name"], order, "file_rank").withColumn("file_rank", F.col("file_rank").cast("int"))
 
 
 def cover(chunks: DataFrame) -> DataFrame:
-    """Selection without budgets: each file's best chunk, and the best chunk of every id that no such chunk has.
+    """(source_order, covers): selection without budgets of (source_order, id, file_name, score, position).
 
-    Adds ``covers``.  The order of the result is (score descending, covers descending, position).
+    Each file's best chunk covers it; of every other id, the best chunk fills up.  Two aggregates over slim rows; the
+    texts of the chosen are for the caller to join.  The order of the result is (score descending, covers descending, position).
     """
-    best = chunks.groupBy("file_name").agg(F.max(F.struct(F.col("score"), (-F.col("position")).alias("_p"), F.col("source_order").alias("_o")))["_o"].alias("source_order"))
-    covering = chunks.join(best.select("source_order"), "source_order", "left_semi")
-    rest = chunks.join(covering.select("id").distinct(), "id", "left_anti")
-    first = rest.groupBy("id").agg(F.max(F.struct(F.col("score"), (-F.col("position")).alias("_p"), F.col("source_order").alias("_o")))["_o"].alias("source_order"))
-    filling = rest.join(first.select("source_order"), "source_order", "left_semi")
-    return covering.withColumn("covers", F.lit(True)).unionByName(filling.withColumn("covers", F.lit(False)))
+    slim = cut_lineage(chunks.select("source_order", "id", "file_name", "score", "position"))
+    place = F.struct("score", (-F.col("position")).alias("p"), F.col("source_order").alias("o"))
+    firsts = slim.groupBy("file_name").agg(F.max(place)["o"].alias("source_order")).select("source_order", F.lit(True).alias("covers"))
+    by_id = slim.join(broadcast_if_small(firsts, 100_000), "source_order", "left").groupBy("id").agg(F.max("covers").alias("_covered"), F.max(place)["o"].alias("source_order"))
+    filling = by_id.where("_covered is null").select("source_order", F.lit(False).alias("covers"))
+    return firsts.unionByName(filling)
+
+
+def compression_warning(before: int, after: int) -> str | None:
+    """What a run says if its selection left chunks out."""
+    return f"Compressed source set from {before} to {after} chunks to fit the planned prompt set." if before > after else None
 
 
 def cover_within(chunks: DataFrame, limits: Limits, by: str = "run") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.jsstr import js_round, lookup
+from pagemill.operators.running import running
 from pagemill.settings import Limits
 
 # fixed values
@@ -83,9 +84,10 @@ def progress(done: Column, total: Column) -> Column:
 
 def progress_events(files: DataFrame) -> DataFrame:
     """(file_index, processed_files, processed_bytes, total_bytes, percent) after each file, in order of the run's files."""
-    order = Window.orderBy("file_index")
-    rows = files.select("file_index", F.row_number().over(order).alias("processed_files"), F.sum("file_size").over(order).alias("processed_bytes"), F.sum("file_size").over(Window.partitionBy(F.lit(1))).alias("total_bytes"))
-    return rows.withColumn("percent", progress(F.col("processed_bytes"), F.col("total_bytes")))
+    sums = {"processed_files": F.lit(1).cast("long"), "processed_bytes": F.col("file_size")}
+    rows = running(files.select("file_index", "file_size"), [], [F.asc("file_index")], sums)
+    total = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    return rows.select("file_index", F.col("processed_files").cast("int").alias("processed_files"), "processed_bytes", F.lit(total).cast("long").alias("total_bytes")).withColumn("percent", progress(F.col("processed_bytes"), F.col("total_bytes")))
 
 
 def stage_label(stage: Column) -> Column:
