@@ -7,9 +7,12 @@ bounded by the limits of a run (files and bytes a file); different plans are mad
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.settings import QuizSettings
@@ -27,19 +30,23 @@ def balanced(lengths: list[int], buckets: int) -> list[int]:
 
 
 def sequential(lengths: list[int], buckets: int) -> list[int]:
-    """Lengths in order; the next bucket is begun at a threshold that grows by an even share each time.
+    """Lengths in order; a bucket ends before the length with which it would exceed its threshold.
 
-    The threshold is that of all buckets so far while only the current bucket is held against it, so later buckets
-    grow, and with no more lengths than buckets all stay in the first.
+    Thresholds grow by an even share from bucket to bucket, but only a bucket's own characters count, so later buckets
+    grow; a bucket is begun only while more lengths than buckets are left.  Each end is found in the prefix sums.
     """
-    share = sum(lengths) / max(buckets, 1)
-    at, held, inside, threshold, out = 0, 0, 0, share, []
-    for k, n in enumerate(lengths):
-        if at < buckets - 1 and inside and held + n > threshold and len(lengths) - k > buckets - at - 1:
-            at, held, inside, threshold = at + 1, 0, 0, threshold + share
-        held, inside = held + n, inside + 1
-        out.append(at)
-    return out
+    ends = [0, *accumulate(lengths)]
+    share = ends[-1] / max(buckets, 1)
+    starts, threshold = [0], 0.0
+    for left in range(buckets - 1, 0, -1):
+        threshold += share
+        over = bisect_right(ends, ends[starts[-1]] + math.floor(threshold)) - 1
+        start = max(over, starts[-1] + 1)
+        if len(lengths) - start <= left:
+            break
+        starts.append(start)
+    sizes = [b - a for a, b in zip(starts, [*starts[1:], len(lengths)], strict=True)]
+    return [i for i, n in enumerate(sizes) for _ in range(n)]
 
 
 def allocate(target: int, most: int, used: int) -> list[int]:
@@ -52,7 +59,8 @@ def plan(lengths: list[int], settings: QuizSettings) -> list[tuple[int, int, int
     """(batch number or 0 for none, questions, characters of the batch) of each length.
 
     Buckets are added one by one until the fullest fits the budget or each length has its own; the fullest is not
-    monotone in the number of buckets, so none but those below the average's bound are passed over.
+    monotone in the number of buckets, so none but those below the average's bound are passed over.  Where one length
+    alone is beyond the budget no number below that of the lengths fits, so none is tried.
     """
     if not lengths or settings.target_questions <= 0:
         return [(0, 0, 0)] * len(lengths)
@@ -60,7 +68,7 @@ def plan(lengths: list[int], settings: QuizSettings) -> list[tuple[int, int, int
     budget = settings.char_budget
     buckets = max(1, -(-settings.target_questions // settings.questions))
     if buckets < len(lengths):
-        buckets = max(buckets, min(len(lengths), -(-sum(lengths) // budget)))
+        buckets = len(lengths) if max(lengths) > budget else max(buckets, min(len(lengths), -(-sum(lengths) // budget)))
     while True:
         at = spread(lengths, buckets)
         loads = [0] * buckets
@@ -128,12 +136,28 @@ def next_pending(batch_rows: DataFrame) -> DataFrame:
     return batch_rows.where("status = 'pending'").agg(F.min("batch_number").alias("batch_number"))
 
 
-def batch_states(batch_rows: DataFrame, settings: QuizSettings) -> DataFrame:
-    """Batches with the fields of an unanswered one and the settings they were planned with."""
-    fresh = {"response": F.lit(""), "prompt_override": F.lit(None).cast("string"), "status": F.lit("pending"), "notes": F.array().cast("array<string>")}
-    snapshot = {"difficulty": settings.difficulty, "topic_focus": settings.topic_focus, "response_format": settings.response_format, "option_count": settings.options}
-    return batch_rows.withColumns(fresh | {k: F.lit(v) for k, v in snapshot.items()})
+def extra_prompts_note(planned: int, settings: QuizSettings) -> str:
+    """What a run says if its sources need more prompts than its questions would."""
+    more = planned - max(1, -(-settings.target_questions // settings.questions))
+    return f" Source volume required {more} extra prompt{'' if more == 1 else 's'} to keep each batch usable." if more > 0 else ""
 
 
-def numbered(batch_rows: DataFrame, order: list[str]) -> DataFrame:
-    return batch_rows.withColumn("batch_number", F.row_number().over(Window.orderBy(*order)))
+def parsed_batches(batch_rows: DataFrame, outcomes: DataFrame, option_range: str) -> DataFrame:
+    """Adds status, added, duplicates, notes and next_pending to (batch_number, question_count), by what came back.
+
+    ``outcomes`` is (batch_number, success, parsed, added, duplicates, skewed, repeated): questions in the response, new
+    to the bank and known there, whether positions were skewed, questions with repeated options.  A batch without an
+    outcome, or with one that failed, stays pending.
+    """
+    gap = F.col("parsed") - F.col("question_count")
+    target = F.concat(F.lit("Accepted "), F.col("parsed").cast("string"), F.lit(" questions for a target of "), F.col("question_count").cast("string"), F.lit(" ("), F.abs(gap).cast("string"))
+    repeated = F.concat(F.lit("Detected "), F.col("repeated").cast("string"), F.when(F.col("repeated") == 1, " question").otherwise(" questions"), F.lit(" with duplicate option text. Review before export."))
+    notes = F.array(
+        F.when(gap > 0, F.concat(target, F.lit(" over target)."))).when(gap < 0, F.concat(target, F.lit(" under target)."))),
+        F.when(F.col("skewed"), F.lit(f"Detected answer-position skew and redistributed correct options across {option_range}.")),
+        F.when(F.col("repeated") > 0, repeated),
+    )
+    taken = F.coalesce("success", F.lit(False))
+    rows = batch_rows.join(outcomes, "batch_number", "left").withColumn("status", F.when(taken, "parsed").otherwise("pending"))
+    told = F.when(taken, F.filter(notes, lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return rows.select(*batch_rows.columns, "status", *(F.when(taken, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("added", "duplicates")), told.alias("notes"))

@@ -13,6 +13,7 @@ TARGET_WIDTH, MOST_SCALE = 1800, 3
 LEAST_TEXT, SHORT_CONFIDENCE, LEAST_CONFIDENCE, LEAST_WORD_CONFIDENCE = 12, 68, 42, 45
 LEAST_ALNUM, MOST_SYMBOLS, LEAST_DICTIONARY, LEAST_CONFIDENT, LEAST_CLEAN = 0.55, 0.16, 0.18, 0.45, 0.55
 DEFAULT_THRESHOLD, ACCEPTED_AT_ONCE = 127, 90
+LOW_SHARE, HIGH_SHARE, NEAR_BLACK, NEAR_WHITE, OCR_BELOW = 0.02, 0.98, 12, 245, 24
 PUNCTUATION = "[.,;:!?'\"“”‘’()\\[\\]{}\\-–—/%&+=_*]"
 
 
@@ -44,20 +45,41 @@ def otsu_threshold(histogram: DataFrame, by: list[str]) -> DataFrame:
     return sums.groupBy(*by).agg(F.coalesce(-best["o"], F.lit(DEFAULT_THRESHOLD)).cast("int").alias("threshold"))
 
 
-def gray(red: Column, green: Column, blue: Column) -> Column:
-    return js_round(red * 0.299 + green * 0.587 + blue * 0.114)
-
-
-def stretch(value: Column, low: Column, high: Column) -> Column:
-    """Contrast between two percentiles, within 0 and 255."""
-    return F.greatest(F.lit(0), F.least(F.lit(255), js_round((value - low) * 255 / F.greatest(high - low, F.lit(1)))))
-
-
-def enhance(value: Column, threshold: Column | None = None) -> Column:
-    """Black and white at the threshold, or near-black and near-white snapped."""
-    if threshold is not None:
-        return F.when(value >= threshold, 255).otherwise(0)
-    return F.when(value <= 12, 0).when(value >= 245, 255).otherwise(value)
+def contrast(pixels: DataFrame, by: list[str], binary: bool = False) -> DataFrame:
+    """(by, place, value) of pixels (by, place, red, green, blue) of images, as recognition gets them.
+
+    Gray values are stretched between the 2nd and the 98th percentile of their image; then, if ``binary``, cut into black
+    and white at Otsu's threshold, else near-black and near-white are snapped.  Per image only a histogram of 256 values meets.
+    """
+    shade = js_round(F.col("red") * 0.299 + F.col("green") * 0.587 + F.col("blue") * 0.114).cast("int")
+    gray = pixels.select(*by, "place", shade.alias("value"))
+    counted = gray.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+    low, high = (histogram_percentile(counted, share, by).withColumnRenamed("value", name) for share, name in ((LOW_SHARE, "_low"), (HIGH_SHARE, "_high")))
+    bounds = low.join(high, by)
+    span = F.greatest(F.col("_high") - F.col("_low"), F.lit(1))
+    stretched = F.greatest(F.lit(0), F.least(F.lit(255), js_round((F.col("value") - F.col("_low")) * 255 / span))).cast("int")
+    rows = gray.join(bounds, by).select(*by, "place", stretched.alias("value"))
+    if not binary:
+        return rows.withColumn("value", F.when(F.col("value") <= NEAR_BLACK, 0).when(F.col("value") >= NEAR_WHITE, 255).otherwise(F.col("value")))
+    level = otsu_threshold(counted.join(bounds, by).select(*by, stretched.alias("value"), "n").groupBy(*by, "value").agg(F.sum("n").alias("n")), by)
+    return rows.join(level, by).select(*by, "place", F.when(F.col("value") >= F.col("threshold"), 255).otherwise(0).alias("value"))
+
+
+def ocr_fallback(pages: DataFrame) -> DataFrame:
+    """Adds ``text`` and ``from_ocr`` to (file_index, page_seq, layer, ocr_text, ocr_usable, ocr_failed); pages without a text are left out.
+
+    A page whose text layer is shorter than 24 characters takes recognised text too, if it is usable; after the first
+    page at which recognition failed no later page of the file does.  That page is an aggregate, so a large file makes no hot task.
+    """
+    asked = F.length("layer") < OCR_BELOW
+    broken = pages.where(asked & F.col("ocr_failed")).groupBy("file_index").agg(F.min("page_seq").alias("_broken"))
+    rows = pages.join(broken, "file_index", "left")
+    used = asked & F.col("ocr_usable") & (F.length("ocr_text") > 0) & (F.col("_broken").isNull() | (F.col("page_seq") < F.col("_broken")))
+    layer, ocr = F.lower("layer"), F.lower("ocr_text")
+    longer = F.when(F.length("layer") >= F.length("ocr_text"), F.col("layer")).otherwise(F.col("ocr_text"))
+    both = F.when(F.length("layer") == 0, F.col("ocr_text")).when(F.contains(layer, ocr) | F.contains(ocr, layer), longer).otherwise(normalize_extracted(F.concat("layer", F.lit(" "), "ocr_text")))
+    made = rows.withColumn("from_ocr", F.coalesce(used, F.lit(False))).withColumn("text", F.when(F.col("from_ocr"), both).otherwise(F.col("layer")))
+    return made.where(F.length("text") > 0).drop("_broken")
 
 
 def page_quality(pages: DataFrame) -> DataFrame:

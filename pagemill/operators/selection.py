@@ -14,6 +14,18 @@ from pagemill.session import broadcast_if_small, cut_lineage
 from pagemill.settings import UNLIMITED, Limits
 
 
+def once(table: DataFrame, key: str) -> DataFrame:
+    """One row of each key of a table read from files, the first by place in the files; rows without a key are left out.
+
+    Only the key is read to find keys that repeat, and only these are joined, so whole rows don't travel to be told apart.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    keyed = table.where(F.col(key).isNotNull())
+    repeated = keyed.select(key, place.alias("_p")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_first")).where("_n > 1").select(key, "_first")
+    joined = keyed.withColumn("_p", place).join(broadcast_if_small(repeated, 200_000), key, "left")
+    return joined.where(F.col("_first").isNull() | (F.col("_first") == F.col("_p"))).drop("_p", "_first")
+
+
 def with_fingerprint(chunks: DataFrame) -> DataFrame:
     """Adds the fingerprint of raw_text; a null text has the empty one."""
     words = T.tokens(F.coalesce("raw_text", F.lit("")))
@@ -81,6 +93,7 @@ def cover_within(chunks: DataFrame, limits: Limits, by: str = "run") -> DataFram
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(file_name=group["file_name"].fillna("\x00"))
         rows = group.sort_values(["score", "position"], ascending=[False, True], kind="stable")
         firsts = rows.drop_duplicates("file_name")
         seen = group.groupby("file_name")["position"].min()

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions.jsstr import collapse
 from pagemill.operators import bank, chunking, export, planning, prompts, recognition, responses, selection
+from pagemill.operators.running import ranked
 from pagemill.plans.sql import ORACLES
 from pagemill.session import read_table as _t
-from pagemill.session import spread
+from pagemill.session import broadcast_if_small, cut_lineage, spread
 from pagemill.settings import Limits, QuizSettings
 from pagemill.sources import files
 from pagemill.streaming import sessions
@@ -24,6 +25,7 @@ FOCUS = "river the port"
 BUCKETS = 4
 BUDGETS = Limits(max_total_chunks=120, max_prompt_chars=20_000)
 SETTINGS = QuizSettings(target_questions=40, questions_per_prompt=5, topic_focus="port", question_style="scenario", custom_instructions="Keep it short.\n\nNo trick questions.")
+COMPACT_SETTINGS = QuizSettings(target_questions=40, questions_per_prompt=5, response_format="compact", option_count=5, difficulty="mixed")
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -31,10 +33,17 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    """Each chunk of the table once, with its fingerprint; a missing score counts as computed."""
-    slim = _t(s, d, "chunks").select("source_order", "id", "chunk_id", "file_name", "page", "raw_text", "compressed_text", "score").where("source_order is not null")
-    once = slim.dropDuplicates(["source_order"])
-    return selection.with_fingerprint(once.withColumn("score", F.coalesce("score", F.lit(0.0))))
+    """Each chunk of the table once, with its fingerprint; a missing score counts as 0."""
+    columns = ["source_order", "id", "chunk_id", "file_name", "page", "raw_text", "compressed_text", "score"]
+    whole = selection.once(_t(s, d, "chunks"), "source_order").select(*columns)
+    return selection.with_fingerprint(whole.withColumn("score", F.coalesce("score", F.lit(0.0))))
+
+
+def _in_runs(s: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """Chunks with the run of their file: as many files as one run takes, by their index; -1 for files that no page has."""
+    named = _t(s, d, "pdf_pages").where("file_name is not null and file_index is not null").groupBy("file_name").agg(F.min("file_index").alias("_file"))
+    run = F.floor(F.col("_file") / Limits().max_files).cast("int")
+    return chunks.join(broadcast_if_small(named, 100_000), "file_name", "left").withColumn("run", F.coalesce(run, F.lit(-1))).drop("_file")
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -104,6 +113,27 @@ def file_totals(s: SparkSession, d: str) -> DataFrame:
     return files.file_totals(_pages(s, d))
 
 
+def low_text_files(s: SparkSession, d: str) -> DataFrame:
+    """The warning of each file with very little text."""
+    return files.file_totals(_pages(s, d)).where("low_text").select("file_index", "text_length", F.lit(files.LOW_TEXT).alias("warning"))
+
+
+def run_failures(s: SparkSession, d: str) -> DataFrame:
+    """What stops or warns of each run of files: too many of them in one, or no chunk in the end."""
+    named = _t(s, d, "file_status").groupBy("file_index").agg(F.max("chunks").alias("chunks"))
+    runs = named.groupBy(F.floor(F.col("file_index") / 100).cast("int").alias("run")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+    return runs.select("run", files.run_message(F.col("files"), F.col("chunks")).alias("message"))
+
+
+def ocr_fallback(s: SparkSession, d: str) -> DataFrame:
+    """Pages with a short text layer take recognised text, until recognition breaks in their file."""
+    pages = _pages(s, d).where("text is not null and file_index is not null")
+    whole = T.normalize_extracted(F.col("text"))
+    layer = F.when(F.col("page_id") % 3 == 0, F.substring(whole, 1, 12)).otherwise(whole)
+    given = pages.select("page_id", "file_index", "page_seq", layer.alias("layer"), whole.alias("ocr_text"), (F.col("page_id") % 5 > 0).alias("ocr_usable"), (F.col("page_id") % 31 == 0).alias("ocr_failed"))
+    return recognition.ocr_fallback(given).select("page_id", "text", "from_ocr")
+
+
 def file_filter_status(s: SparkSession, d: str) -> DataFrame:
     once = _t(s, d, "file_status").groupBy("file_index").agg(F.max(F.struct("file_name", "file_size")).alias("f")).select("file_index", "f.*")
     ranked = files.rejected(once)
@@ -128,32 +158,39 @@ def progress_events(s: SparkSession, d: str) -> DataFrame:
 
 
 def dedupe_within_file(s: SparkSession, d: str) -> DataFrame:
-    return selection.dedupe(_chunks(s, d), ["file_name"]).select("source_order", "position")
+    return selection.winners(_chunks(s, d), ["file_name"]).select("source_order", "position")
 
 
 def dedupe_global(s: SparkSession, d: str) -> DataFrame:
-    return selection.dedupe(_chunks(s, d)).select("source_order", "position")
+    return selection.winners(_chunks(s, d)).select("source_order", "position")
 
 
 def chunks_per_file(s: SparkSession, d: str) -> DataFrame:
-    return selection.dedupe(_chunks(s, d), ["file_name"]).groupBy("file_name").agg(F.count(F.lit(1)).alias("chunks"))
+    return selection.winners(_chunks(s, d), ["file_name"]).groupBy("file_name").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def _selectable(s: SparkSession, d: str) -> DataFrame:
+    return selection.winners(_chunks(s, d), carry=("id", "file_name", "score"))
 
 
 def top_chunks_per_file(s: SparkSession, d: str) -> DataFrame:
-    return selection.best_of_file(selection.dedupe(_chunks(s, d)), 5).select("file_name", "source_order", "file_rank")
+    return selection.best_of_file(_selectable(s, d), 5).select("file_name", "source_order", "file_rank")
 
 
 def coverage_selection(s: SparkSession, d: str) -> DataFrame:
-    return selection.cover(selection.dedupe(_chunks(s, d))).select("source_order", "covers")
+    return selection.cover(_selectable(s, d))
 
 
-def _with_run(chunks: DataFrame) -> DataFrame:
-    """Runs of as many files as one run takes, by a hash of the name."""
-    return chunks.withColumn("run", F.regexp_extract("file_name", r"(\d)\.\w+$", 1))
+def compression_note(s: SparkSession, d: str) -> DataFrame:
+    """How many chunks are left of all after selection, and what the run says of it."""
+    slim = cut_lineage(_selectable(s, d))
+    before, after = slim.count(), selection.cover(slim).count()
+    return s.createDataFrame([(before, after, selection.compression_warning(before, after))], "deduped long, selected long, warning string")
 
 
 def coverage_selection_budget(s: SparkSession, d: str) -> DataFrame:
-    return selection.cover_within(_with_run(selection.dedupe(_chunks(s, d))), BUDGETS, "run").select("run", "source_order", "covers")
+    chunks = _in_runs(s, d, selection.dedupe(_chunks(s, d)).select("source_order", "id", "file_name", "score", "position", F.coalesce("compressed_text", F.lit("")).alias("compressed_text")))
+    return selection.cover_within(chunks, BUDGETS, "run").select("run", "source_order", "covers")
 
 
 def order_best_match(s: SparkSession, d: str) -> DataFrame:
@@ -165,8 +202,13 @@ def order_random(s: SparkSession, d: str) -> DataFrame:
     return selection.ordered(_chunks(s, d), "random", 7).select("source_order", F.col("_first").alias("order_key"))
 
 
+def order_page(s: SparkSession, d: str) -> DataFrame:
+    """Each file's chunks in order of their pages, whatever order they were delivered in."""
+    return ranked(_t(s, d, "chunks").where("source_order is not null").select("file_name", "source_order").distinct(), ["file_name"], [F.asc("source_order")], "page_rank").select("source_order", "page_rank")
+
+
 def _spread(s: SparkSession, d: str, ordering: str, how: str) -> DataFrame:
-    return planning.distribute(selection.ordered(_chunks(s, d), ordering), "file_name", BUCKETS, how).select("source_order", "bucket")
+    return planning.distribute(_in_runs(s, d, selection.ordered(_chunks(s, d), ordering)), "run", BUCKETS, how).select("run", "source_order", "bucket")
 
 
 def pack_balanced(s: SparkSession, d: str) -> DataFrame:
@@ -177,21 +219,18 @@ def pack_sequential(s: SparkSession, d: str) -> DataFrame:
     return _spread(s, d, "page_order", "sequential")
 
 
-def _planned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chunks = selection.ordered(_chunks(s, d))
-    return planning.plan_chunks(chunks, "file_name", SETTINGS), chunks
-
-
 def batch_plan(s: SparkSession, d: str) -> DataFrame:
-    planned, _ = _planned(s, d)
-    return planned.where("batch_number > 0").groupBy("file_name", "batch_number").agg(F.max("question_count").alias("question_count"), F.count(F.lit(1)).alias("chunk_count"), F.sum("length").alias("estimated_chars"))
+    """The prompt batches of every run, with their files in order of appearance."""
+    chunks = cut_lineage(_in_runs(s, d, selection.ordered(_chunks(s, d))).select("run", "source_order", "file_name", "compressed_text", "_first", "_then"))
+    made = planning.batches(planning.plan_chunks(chunks, "run", SETTINGS), chunks, "run")
+    return made.withColumn("source_files", F.array_join("source_files", "|", "<null>"))
 
 
 def question_allocation(s: SparkSession, d: str) -> DataFrame:
-    """Questions of each bucket of the balanced packing of every file."""
-    used = pack_balanced(s, d).join(_chunks(s, d).select("source_order", "file_name"), "source_order").select("file_name", "bucket").distinct()
-    ranks = used.withColumn("r", F.row_number().over(planning.Window.partitionBy("file_name").orderBy("bucket")) - 1).withColumn("n", F.count(F.lit(1)).over(planning.Window.partitionBy("file_name")))
-    return ranks.select("file_name", "bucket", planning.questions_of(F.col("r"), F.col("n"), 7, 3).alias("questions"))
+    """Questions of each bucket of the balanced packing of every run."""
+    used = pack_balanced(s, d).select("run", "bucket").distinct()
+    ranks = used.withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy("bucket")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run")))
+    return ranks.select("run", "bucket", planning.questions_of(F.col("r"), F.col("n"), 7, 3).alias("questions"))
 
 
 def queue_metrics(s: SparkSession, d: str) -> DataFrame:
@@ -214,11 +253,48 @@ def master_prompts(s: SparkSession, d: str) -> DataFrame:
     return prompts.master_prompts(rows, SETTINGS, None, F.concat(F.lit("Batch "), F.col("batch_number").cast("string"))).select("batch_number", "prompt")
 
 
-def _responses(s: SparkSession, d: str, wrap: bool = True) -> DataFrame:
-    """One standard response for each question of the bank, fenced for every other one."""
-    raw = responses.standard_json(F.array(F.struct("question", "options", "correct_answer", "explanation", "source")))
-    fenced = F.concat(F.lit("Here it is:\n```json\n"), raw, F.lit("\n```\nDone."))
-    return _questions(s, d).select("question_id", F.when(F.col("question_id") % 2 == 0, fenced).otherwise(raw).alias("raw") if wrap else raw.alias("raw"))
+def prompt_queue(s: SparkSession, d: str) -> DataFrame:
+    """The prompts of the existing batches in the compact format with five options, with the last questions accepted; every tenth is overridden."""
+    table = _t(s, d, "prompt_batches")
+    override = F.when(F.col("batch_number") % 10 == 0, F.concat(F.lit("My own prompt "), F.col("batch_number").cast("string")))
+    rows = source_packets(s, d).join(table.select("batch_number", F.coalesce("question_count", F.lit(5)).alias("question_count"), override.alias("prompt_override")), "batch_number")
+    bank_rows = _questions(s, d).where("question is not null").select("question_id", "question")
+    return prompts.prompt_queue(rows, table.count(), COMPACT_SETTINGS, bank_rows, ["question_id"])
+
+
+def count_advice(s: SparkSession, d: str) -> DataFrame:
+    """What is advised for each existing batch by the questions that came back for it."""
+    back = _questions(s, d).groupBy("batch_number").agg(F.count(F.lit(1)).alias("back"))
+    rows = _t(s, d, "prompt_batches").where("question_count is not null").join(back, "batch_number")
+    return rows.select("batch_number", prompts.count_advice(F.col("question_count") - F.col("back"), SETTINGS).alias("advice"))
+
+
+def _grouped(s: SparkSession, d: str) -> DataFrame:
+    """(response, i, the question's fields): three questions a response."""
+    rows = _questions(s, d).select(F.floor(F.col("question_id") / 3).cast("long").alias("response"), "question_id", *export.FIELDS)
+    return rows
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    """Standard responses of three questions, in seven ways: plain, fenced, with a number page, with words around, cut off, empty, and compact."""
+    asked = F.transform(F.sort_array(F.collect_list(F.struct("question_id", F.struct(*export.FIELDS).alias("q")))), lambda x: x["q"])
+    rows = _grouped(s, d).groupBy("response").agg(asked.alias("q")).withColumn("raw", responses.standard_json(F.col("q")))
+    inner = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    index = lambda q: bank.correct_position(q["options"], q["correct_answer"]).cast("string")
+    options = lambda q: F.coalesce(F.to_json(q["options"]), F.lit("null"))
+    five = lambda q: F.concat(F.lit("["), inner(q["question"]), F.lit(","), options(q), F.lit(","), index(q), F.lit(","), inner(q["explanation"]), F.lit(",["), inner(q["source"]["file"]), F.lit(","), inner(q["source"]["page"]), F.lit(","), inner(q["source"]["chunk_id"]), F.lit("]]"))
+    compact = F.concat(F.lit('{"questions":['), F.array_join(F.transform("q", five), ","), F.lit("]}"))
+    kind = F.col("response") % 7
+    made = (
+        F.when(kind == 1, F.concat(F.lit("Here it is:\n```json\n"), F.col("raw"), F.lit("\n```\nDone.")))
+        .when(kind == 2, F.regexp_replace("raw", r'"page":"(\d{1,9})"', r'"page":$1'))
+        .when(kind == 3, F.concat(F.lit("Sure. "), F.col("raw"), F.lit(" That is all.")))
+        .when(kind == 4, F.expr("left(raw, length(raw) - 2)"))
+        .when(kind == 5, F.lit(" "))
+        .when(kind == 6, compact)
+        .otherwise(F.col("raw"))
+    )
+    return rows.select("response", made.alias("raw"))
 
 
 def _compact_responses(s: SparkSession, d: str) -> DataFrame:
@@ -230,8 +306,8 @@ def _compact_responses(s: SparkSession, d: str) -> DataFrame:
 
 
 def parse_standard(s: SparkSession, d: str) -> DataFrame:
-    rows = responses.accepted_questions(_responses(s, d), "question_id")
-    return rows.select("question_id", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
+    rows = responses.accepted_questions(_responses(s, d), "response")
+    return rows.select("response", "q_index", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
 
 
 def parse_compact(s: SparkSession, d: str) -> DataFrame:
@@ -240,8 +316,9 @@ def parse_compact(s: SparkSession, d: str) -> DataFrame:
 
 
 def parse_errors(s: SparkSession, d: str) -> DataFrame:
-    parsed = responses.parse_responses(_responses(s, d), "question_id")
-    return parsed.where("not success").select("question_id", F.array_contains("errors", "questions.0.options: each question needs 4 options").alias("wrong_count"))
+    """Every message of every response that is not accepted."""
+    parsed = responses.parse_responses(_responses(s, d), "response")
+    return parsed.where("not success").select("response", F.array_join("errors", "\n").alias("errors"))
 
 
 def correct_index(s: SparkSession, d: str) -> DataFrame:
@@ -267,7 +344,10 @@ def quality_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_options(s: SparkSession, d: str) -> DataFrame:
-    return _questions(s, d).where(bank.has_duplicate_options(F.col("options"))).select("question_id")
+    """Questions with options that repeat, in a bank where every fifth has its first option again, with blanks round it, as its second."""
+    again = F.concat(F.slice("options", 1, 1), F.array(F.concat(F.lit(" "), F.col("options")[0], F.lit(" "))), F.slice("options", 3, 99))
+    rows = _questions(s, d).withColumn("options", F.when((F.col("question_id") % 5 == 0) & (F.size("options") > 1), again).otherwise(F.col("options")))
+    return rows.where(bank.has_duplicate_options(F.col("options"))).select("question_id")
 
 
 def merge_bank(s: SparkSession, d: str) -> DataFrame:
@@ -286,6 +366,24 @@ def accept_batches(s: SparkSession, d: str) -> DataFrame:
     return bank.accept_batches(rows).select("question_id", F.array_join("options", "|", "<null>").alias("options"))
 
 
+def batch_notes(s: SparkSession, d: str) -> DataFrame:
+    """The existing batches after the questions of the bank came back: status, new and known questions, notes; every seventh batch failed."""
+    rows = _questions(s, d).where("batch_number is not null")
+    stem = T.stem_key(F.coalesce("question", F.lit("")))
+    first = rows.groupBy(stem.alias("_stem")).agg(F.min("batch_number").alias("_first"))
+    size = F.size("options")
+    place = bank.correct_position(F.col("options"), F.col("correct_answer"))
+    same = rows.select("batch_number", stem.alias("_stem"), F.coalesce(size, F.lit(0)).alias("k"), place.alias("place"), bank.has_duplicate_options(F.col("options")).cast("int").alias("repeated"))
+    new = same.groupBy("batch_number", "_stem").agg(F.count(F.lit(1)).alias("n")).join(first, "_stem").groupBy("batch_number").agg(F.sum((F.col("_first") == F.col("batch_number")).cast("long")).alias("added"))
+    counts = same.groupBy("batch_number").agg(F.count(F.lit(1)).alias("parsed"), F.max("k").alias("k"), F.sum("repeated").alias("repeated"))
+    most = same.where("place >= 0").groupBy("batch_number", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("batch_number").agg(F.max("n").alias("most"))
+    outcomes = counts.join(new, "batch_number").join(most, "batch_number", "left")
+    skewed = F.coalesce((F.col("parsed") >= F.col("k")) & (F.col("most") / F.col("parsed") >= bank.SKEW), F.lit(False))
+    outcomes = outcomes.select("batch_number", (F.col("batch_number") % 7 > 0).alias("success"), "parsed", "added", (F.col("parsed") - F.col("added")).alias("duplicates"), skewed.alias("skewed"), "repeated")
+    made = planning.parsed_batches(_t(s, d, "prompt_batches").where("question_count is not null").select("batch_number", "question_count"), outcomes, "A-D")
+    return made.withColumn("notes", F.array_join("notes", " "))
+
+
 def option_counts(s: SparkSession, d: str) -> DataFrame:
     return bank.option_counts(_questions(s, d))
 
@@ -301,17 +399,12 @@ def export_csv_lines(s: SparkSession, d: str) -> DataFrame:
 
 def export_json(s: SparkSession, d: str) -> DataFrame:
     """The payload of each batch as one JSON text."""
-    rows = _questions(s, d).where("batch_number is not null and source is not null")
+    rows = _questions(s, d).where("batch_number is not null")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("question_id", F.struct(*export.FIELDS).alias("q")))), lambda x: x["q"])
-    return rows.groupBy("batch_number").agg(responses.standard_json(listed).alias("payload")).select("batch_number", F.length("payload").alias("chars"), (F.size(F.split("payload", '"correctAnswer":')) - 1).alias("answers"))
+    return rows.groupBy("batch_number").agg(responses.standard_json(listed).alias("payload"))
 
 
 def storage_key_hash(s: SparkSession, d: str) -> DataFrame:
-    return _questions(s, d).where("question is not null").select("question_id", T.fnv1a(F.regexp_replace("question", "[^ -~]", "?")).alias("hash"))
-
-
-def storage_key_hash_whole(s: SparkSession, d: str) -> DataFrame:
-    """The hash of the questions as they are; storage_key_hash masks what its SQL can't hash."""
     return _questions(s, d).where("question is not null").select("question_id", T.fnv1a(F.col("question")).alias("hash"))
 
 
@@ -336,6 +429,17 @@ def next_missed(s: SparkSession, d: str) -> DataFrame:
     return sessions.next_missed(sessions.clean_events(_t(s, d, "quiz_events")))
 
 
+def next_question(s: SparkSession, d: str) -> DataFrame:
+    """The next question of a quiz of each batch, null at its end."""
+    rows = _questions(s, d).where("batch_number is not null and q_index is not null").select("batch_number", "q_index").distinct()
+    return sessions.next_question(rows, "batch_number")
+
+
+def state_snapshot(s: SparkSession, d: str) -> DataFrame:
+    """What is saved of each learner: answers and miss marks as JSON lists of pairs."""
+    return sessions.snapshots(sessions.clean_events(_t(s, d, "quiz_events")))
+
+
 def question_states(s: SparkSession, d: str) -> DataFrame:
     return sessions.question_states(sessions.clean_events(_t(s, d, "quiz_events"))).select("learner", "q_index", "status", "locked")
 
@@ -353,6 +457,19 @@ def histogram_percentile(s: SparkSession, d: str) -> DataFrame:
     return low.join(recognition.histogram_percentile(_histogram(s, d), 0.98, ["p_brand"]).withColumnRenamed("value", "high"), "p_brand")
 
 
+def _pixels(s: SparkSession, d: str) -> DataFrame:
+    colour = lambda c: F.pmod(c, F.lit(256))
+    return _t(s, d, "part").select("p_brand", F.col("p_partkey").alias("place"), colour(F.col("p_size") * 5).alias("red"), colour(F.col("p_partkey") * 7).alias("green"), colour(F.col("p_size") * 11).alias("blue"))
+
+
+def contrast(s: SparkSession, d: str) -> DataFrame:
+    return recognition.contrast(_pixels(s, d), ["p_brand"])
+
+
+def contrast_binary(s: SparkSession, d: str) -> DataFrame:
+    return recognition.contrast(_pixels(s, d), ["p_brand"], True)
+
+
 def ocr_quality(s: SparkSession, d: str) -> DataFrame:
     """Pages scored as recognition output, with confidences derived from the length of words."""
     pages = _pages(s, d).where("text is not null").select("page_id", "text", (F.lit(40.0) + F.pmod("page_id", F.lit(50))).alias("confidence"))
@@ -362,10 +479,10 @@ def ocr_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, file_filter_status, intake_files, file_states,
-    progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, coverage_selection_budget, order_best_match, order_random, pack_balanced, pack_sequential, batch_plan, question_allocation, queue_metrics,
-    source_packets, master_prompts, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, option_counts, keyed_edits, export_csv_lines,
-    export_json, storage_key_hash, storage_key_hash_whole, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, question_states, otsu_threshold, histogram_percentile, ocr_quality,
+    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, intake_files, file_states,
+    progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, question_allocation, queue_metrics,
+    source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, keyed_edits, export_csv_lines,
+    export_json, storage_key_hash, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, ocr_quality,
 ]
 
 

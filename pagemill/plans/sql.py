@@ -1,16 +1,13 @@
-"""The SQL that each query is compared with, written from the rules and for another engine.
+"""The SQL that each query is compared with, written from the rules and for another engine; nothing of the engine is used.
 
 Fragments in capitals are filled in by ``_sql``; lambdas fold lists where the rules are sequential.
 """
 
 from __future__ import annotations
 
-from pagemill.functions.text import STOP_WORDS
-from pagemill.operators.prompts import prompt_frame
-from pagemill.settings import QuizSettings
-from pagemill.sources.files import TOO_MANY, UNSUPPORTED
-
 W = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# fixed values: words without content
+STOP_WORDS = "the and or to a of in for on with at is are was were be this that an it as by from can will if not but into about".split()
 _STOPS = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
@@ -110,6 +107,31 @@ VALID = f"""qs AS (SELECT * FROM questions WHERE question_id IS NOT NULL),
  ok AS (SELECT * FROM qs WHERE question <> '' AND len(options) = 4 AND list_count(options) = 4 AND NOT list_contains(options, '') AND correct_answer <> '' AND explanation <> '' AND source.file <> '' AND source.chunk_id <> ''
    AND {trimmed("source.page")} <> '' AND list_contains(options, correct_answer))"""
 
+
+# fixed values: messages
+_EMPTY, _NO_JSON, _BAD_INDEX = "Paste the AI JSON output before parsing.", "JSON parse error: not one JSON value", "Compact JSON uses an invalid correct answer index."
+
+
+def _message(i: str, value: str, path: str, text: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN 'questions.' || {i} || '.{path}: Required' WHEN {value} = '' THEN 'questions.' || {i} || '.{path}: {text}' END"
+
+
+_RESPONSES = f"""q AS (SELECT question_id // 3 AS response, row_number() OVER (PARTITION BY question_id // 3 ORDER BY question_id) - 1 AS i, question, options, correct_answer AS answer, explanation, source.file AS file, source.chunk_id AS chunk, {trimmed("source.page")} AS page, source.page AS raw_page,
+   list_position(options, correct_answer) AS pos, len(options) <> list_count(options) AS gap, list_contains(options, '') AS blank FROM questions WHERE question_id IS NOT NULL),
+ m AS (SELECT *, response % 7 AS kind, list_filter([
+   {_message("i", "question", "question", "question is required")},
+   CASE WHEN options IS NULL THEN 'questions.' || i || '.options: Required' WHEN len(options) <> 4 THEN 'questions.' || i || '.options: each question needs 4 options' END,
+   CASE WHEN gap THEN 'questions.' || i || '.options: Expected string' WHEN blank THEN 'questions.' || i || '.options: options cannot be empty' END,
+   {_message("i", "answer", "correctAnswer", "correctAnswer is required")},
+   {_message("i", "explanation", "explanation", "explanation is required")},
+   {_message("i", "file", "source.file", "source.file is required")},
+   {_message("i", "page", "source.page", "source.page is required")},
+   {_message("i", "chunk", "source.chunkId", "source.chunkId is required")},
+   CASE WHEN question IS NOT NULL AND explanation IS NOT NULL AND file IS NOT NULL AND chunk IS NOT NULL AND page IS NOT NULL AND answer IS NOT NULL AND options IS NOT NULL AND NOT gap AND pos IS NULL THEN 'questions.' || i || '.correctAnswer: correctAnswer must match one of the options' END
+  ], lambda v: v IS NOT NULL) AS told,
+  question <> '' AND len(options) = 4 AND NOT gap AND NOT blank AND explanation <> '' AND file <> '' AND chunk <> '' AND raw_page IS NOT NULL AND pos IS NOT NULL AS compact FROM q),
+ v AS (SELECT response, any_value(kind) AS kind, flatten(list(told ORDER BY i)) AS told, bool_and(coalesce(compact, false)) AS compact FROM m GROUP BY 1),
+ judged AS (SELECT *, CASE WHEN kind = 4 THEN false WHEN kind = 5 THEN false WHEN kind = 6 THEN compact ELSE len(told) = 0 END AS ok FROM v)"""
 _TRIM_OPTIONS = f"array_to_string(list_transform(options, lambda v: {trimmed('v')}), '|')"
 STEM = f"{trimmed('''regexp_replace(lower(coalesce(question, '')), '[^a-z0-9]+', ' ', 'g')''')}"
 MOVED = """CASE WHEN options IS NULL OR len(options) = 0 THEN options WHEN coalesce(list_position(options, correct_answer), 0) = 0 OR correct_answer IS NULL THEN options ELSE list_concat(list_concat(o[1:t], [correct_answer]), o[t+1:]) END"""
@@ -126,14 +148,122 @@ def _cell(x: str) -> str:
 
 _CSV = " || ',' || ".join(["(question_id + 1)::VARCHAR", _cell("question"), *(_cell(f"options[{i}]") for i in range(1, 6)), _cell("correct_answer"), _cell("explanation"), _cell("source.file"), _cell("source.page"), _cell("source.chunk_id")])
 
-_LENGTHS = f"WITH {CHUNKS}, l AS (SELECT file_name, source_order, score, length(coalesce(compressed_text, '')) AS n FROM chunk_rows)"
+_RUNS = """fi AS (SELECT file_name, min(file_index) AS fx FROM pdf_pages WHERE file_name IS NOT NULL AND file_index IS NOT NULL GROUP BY 1)"""
+_RUN = "coalesce(fx // 60, -1)::INTEGER AS run"
+_LENGTHS = f"WITH {CHUNKS}, {_RUNS}, l AS (SELECT {_RUN}, c.file_name, source_order, score, length(coalesce(compressed_text, '')) AS n FROM chunk_rows c LEFT JOIN fi ON c.file_name = fi.file_name)"
 _BALANCED = f"""{_LENGTHS},
- p AS (SELECT file_name, list(source_order ORDER BY -score, source_order) AS ids, list({{'n': n, 'l': [0, 0, 0, 0]::BIGINT[], 'a': []::BIGINT[]}} ORDER BY -score, source_order) AS s FROM l GROUP BY 1),
- r AS (SELECT ids, list_reduce(s, lambda x, y: {{'n': 0, 'l': list_transform(x.l, lambda v, i: CASE WHEN i = list_position(x.l, list_min(x.l)) THEN v + y.n ELSE v END), 'a': list_append(x.a, list_position(x.l, list_min(x.l)) - 1)}},
+ p AS (SELECT run, list(source_order ORDER BY -score, source_order) AS ids, list({{'n': n, 'l': [0, 0, 0, 0]::BIGINT[], 'a': []::BIGINT[]}} ORDER BY -score, source_order) AS s FROM l GROUP BY 1),
+ r AS (SELECT run, ids, list_reduce(s, lambda x, y: {{'n': 0, 'l': list_transform(x.l, lambda v, i: CASE WHEN i = list_position(x.l, list_min(x.l)) THEN v + y.n ELSE v END), 'a': list_append(x.a, list_position(x.l, list_min(x.l)) - 1)}},
    {{'n': 0, 'l': [0, 0, 0, 0]::BIGINT[], 'a': []::BIGINT[]}}).a AS a FROM p),
- packed AS (SELECT unnest(ids) AS source_order, unnest(a)::INTEGER AS bucket FROM r)"""
+ packed AS (SELECT run, unnest(ids) AS source_order, unnest(a)::INTEGER AS bucket FROM r)"""
+# budget of characters of a prompt of five questions at standard density: 6500 * (0.6 + 5 / 10)
+_PLAN = f"""{_LENGTHS},
+ o AS (SELECT run, list(file_name ORDER BY -score, source_order) AS files, list(n ORDER BY -score, source_order) AS ns, sum(n) AS total, count(*) AS k FROM l GROUP BY 1),
+ c AS (SELECT run, files, ns, k, unnest(CASE WHEN list_max(ns) > 7150 THEN [greatest(8, k)] ELSE range(greatest(8, CASE WHEN k > 8 THEN least(k, ceil(total / 7150)::BIGINT) ELSE 8 END), greatest(8, CASE WHEN k > 8 THEN least(k, ceil(total / 7150)::BIGINT) ELSE 8 END) + 40) END) AS b FROM o),
+ t AS (SELECT run, files, ns, k, b, list_reduce(list_transform(ns, lambda v: {{'n': v::BIGINT, 'l': list_transform(range(b), lambda i: 0::BIGINT), 'a': []::BIGINT[]}}), lambda x, y: {{'n': 0::BIGINT, 'l': list_transform(x.l, lambda v, i: CASE WHEN i = list_position(x.l, list_min(x.l)) THEN v + y.n ELSE v END), 'a': list_append(x.a, list_position(x.l, list_min(x.l)))}},
+   {{'n': 0::BIGINT, 'l': list_transform(range(b), lambda i: 0::BIGINT), 'a': []::BIGINT[]}}) AS r FROM c),
+ f AS (SELECT * FROM t WHERE b >= k OR list_max(r.l) <= 7150 QUALIFY row_number() OVER (PARTITION BY run ORDER BY b) = 1),
+ u AS (SELECT run, unnest(range(len(ns))) AS i, unnest(ns) AS n, unnest(files) AS file_name, unnest(r.a) AS bucket FROM f),
+ w AS (SELECT run, bucket, count(*) AS chunk_count, sum(n)::INTEGER AS estimated_chars, list(coalesce(file_name, '<null>') ORDER BY i) AS files FROM u GROUP BY 1, 2),
+ x AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY bucket) AS batch_number, count(*) OVER (PARTITION BY run) AS used FROM w)
+ SELECT run, batch_number::INTEGER AS batch_number, (least(40, used * 5) // used + CASE WHEN batch_number - 1 < least(40, used * 5) % used THEN 1 ELSE 0 END)::INTEGER AS question_count, chunk_count, estimated_chars,
+  array_to_string(list_filter(files, lambda v, i: list_position(files, v) = i), '|') AS source_files FROM x WHERE least(40, used * 5) // used + CASE WHEN batch_number - 1 < least(40, used * 5) % used THEN 1 ELSE 0 END > 0"""
+
+# fixed values: the prompts, word for word
+_PROMPT = """You are a strict quiz-generation engine.
+
+TASK
+- Target about <n> multiple-choice questions (MCQs). A slightly lower or higher count is acceptable if it improves source-grounded quality.
+- Difficulty target: medium.
+- Prioritize this topic focus when selecting question material: "port".
+- Preferred question style: scenario.
+- Working batch: Batch <b>.
+
+HARD CONSTRAINTS
+1) Use ONLY facts that are explicitly present in SOURCE_PACKET. Do not infer facts that are not stated.
+2) Return JSON only. Do not use Markdown, code fences, commentary, or additional keys.
+3) Output must match the schema exactly.
+4) Aim for roughly <n> items in the "questions" array.
+5) Each question must contain exactly 4 options.
+6) "correctAnswer" must exactly match one of the 4 options.
+7) "explanation" must be concise and must reference why the correct option is supported by source text.
+8) "source.file" and "source.chunkId" are mandatory.
+9) If page is unknown, set "source.page" to "unknown" but still provide chunkId.
+10) Preserve source grounding. No hallucinations.
+11) Avoid generating question stems that substantially overlap with any prior accepted question listed below.
+
+
+CUSTOM INSTRUCTIONS
+- Keep it short.
+- No trick questions.
+
+
+REQUIRED JSON SCHEMA
+{
+  "questions": [
+    {
+      "question": "string",
+      "options": ["Option A", "Option B", "Option C", "Option D"],
+      "correctAnswer": "string",
+      "explanation": "string",
+      "source": {
+        "file": "string",
+        "page": "string",
+        "chunkId": "string"
+      }
+    }
+  ]
+}
 
-_FRAME, _MIDDLE = prompt_frame(QuizSettings(target_questions=40, questions_per_prompt=5, topic_focus="port", question_style="scenario", custom_instructions="Keep it short.\n\nNo trick questions."), "{batch}")
+QUALITY CHECK BEFORE YOU RETURN
+- Verify the response stays reasonably close to the target of <n> questions.
+- Verify every question has 4 options.
+- Verify each correctAnswer equals one of that question's options.
+- Verify each question includes source.file, source.page, and source.chunkId.
+
+
+SOURCE_PACKET_START
+"""
+_COMPACT_PROMPT = """You are a strict quiz-generation engine.
+
+TASK
+- Target about <n> multiple-choice questions (MCQs). A slightly lower or higher count is acceptable if it improves source-grounded quality.
+- Difficulty target: mixed levels (1-2 easy, 2-3 medium, up to 1 hard).
+- No explicit topic focus was supplied. Choose the most central concepts from the source packet.
+
+- Working batch: Prompt <b> of <all>.
+
+HARD CONSTRAINTS
+1) Use ONLY facts that are explicitly present in SOURCE_PACKET. Do not infer facts that are not stated.
+2) Return JSON only. Do not use Markdown, code fences, commentary, or additional keys.
+3) Output must match the schema exactly.
+4) Aim for roughly <n> items in the "questions" array.
+5) Each question must contain exactly 5 options.
+6) "correctAnswer" must exactly match one of the 5 options.
+7) "explanation" must be concise and must reference why the correct option is supported by source text.
+8) "source.file" and "source.chunkId" are mandatory.
+9) If page is unknown, set "source.page" to "unknown" but still provide chunkId.
+10) Preserve source grounding. No hallucinations.
+11) Avoid generating question stems that substantially overlap with any prior accepted question listed below.
+12) Use compact response mode.
+13) Return minified JSON on as few lines as possible.
+14) In compact mode, each question must be: ["question", ["A", "B", "C", "D", "E"], correctIndex, "short explanation", ["file","page","chunkId"]].
+15) "correctIndex" must be 0 through 4.
+16) Keep explanations short and factual.
+
+
+REQUIRED JSON SCHEMA
+{"questions":[["question",["A","B","C","D","E"],0,"short explanation",["file","page","chunkId"]]]}
+
+QUALITY CHECK BEFORE YOU RETURN
+- Verify the response stays reasonably close to the target of <n> questions.
+- Verify every question has 5 options.
+- Verify each correctIndex points to the intended correct option.
+- Verify each question includes source.file, source.page, and source.chunkId in the compact tuple.
+<previous>
+
+SOURCE_PACKET_START
+"""
 
 
 def _quoted(x: str) -> str:
@@ -146,13 +276,21 @@ _PACKETS = f"""WITH {CHUNKS}, b AS (SELECT batch_number, question_count, unnest(
  packets AS (SELECT batch_number, coalesce(any_value(question_count), 5) AS n, string_agg('SOURCE_' || k || chr(10) || 'file: ' || coalesce(file_name, '') || chr(10) || 'page: ' || CASE WHEN coalesce(page, 0) = 0 THEN 'unknown' ELSE page::VARCHAR END || chr(10) || 'chunkId: ' || coalesce(chunk_id, '') || chr(10) || 'content: ' || coalesce(compressed_text, ''), chr(10) || chr(10) ORDER BY k) AS packet FROM j GROUP BY 1)"""
 
 _SEQUENTIAL = f"""{_LENGTHS},
- e AS (SELECT *, (sum(n) OVER (PARTITION BY file_name))::DOUBLE / 4 AS share, count(*) OVER (PARTITION BY file_name) AS k FROM l),
- p AS (SELECT file_name, list(source_order ORDER BY source_order) AS ids, list({{'n': n::BIGINT, 'share': share, 'k': k, 'b': 0::BIGINT, 'h': 0::BIGINT, 'c': 0::BIGINT, 'i': 0::BIGINT, 'a': []::BIGINT[]}} ORDER BY source_order) AS s FROM e GROUP BY 1),
- r AS (SELECT ids, list_reduce(s, lambda x, y: CASE WHEN x.b < 3 AND x.c > 0 AND x.h + y.n > (x.b + 1) * y.share AND y.k - x.i > 3 - x.b
+ e AS (SELECT *, (sum(n) OVER (PARTITION BY run))::DOUBLE / 4 AS share, count(*) OVER (PARTITION BY run) AS k FROM l),
+ p AS (SELECT run, list(source_order ORDER BY source_order) AS ids, list({{'n': n::BIGINT, 'share': share, 'k': k, 'b': 0::BIGINT, 'h': 0::BIGINT, 'c': 0::BIGINT, 'i': 0::BIGINT, 'a': []::BIGINT[]}} ORDER BY source_order) AS s FROM e GROUP BY 1),
+ r AS (SELECT run, ids, list_reduce(s, lambda x, y: CASE WHEN x.b < 3 AND x.c > 0 AND x.h + y.n > (x.b + 1) * y.share AND y.k - x.i > 3 - x.b
    THEN {{'n': 0, 'share': 0, 'k': 0, 'b': x.b + 1, 'h': y.n, 'c': 1, 'i': x.i + 1, 'a': list_append(x.a, x.b + 1)}}
    ELSE {{'n': 0, 'share': 0, 'k': 0, 'b': x.b, 'h': x.h + y.n, 'c': x.c + 1, 'i': x.i + 1, 'a': list_append(x.a, x.b)}} END,
    {{'n': 0::BIGINT, 'share': 0::DOUBLE, 'k': 0::BIGINT, 'b': 0::BIGINT, 'h': 0::BIGINT, 'c': 0::BIGINT, 'i': 0::BIGINT, 'a': []::BIGINT[]}}).a AS a FROM p)
- SELECT unnest(ids) AS source_order, unnest(a)::INTEGER AS bucket FROM r"""
+ SELECT run, unnest(ids) AS source_order, unnest(a)::INTEGER AS bucket FROM r"""
+_BUDGET = f"""{HEAD}{deduped()}, {_RUNS}, d AS (SELECT {_RUN}, d.source_order, d.id, coalesce(d.file_name, chr(1)) AS file_name, d.score, d.position, length(coalesce(d.compressed_text, ''))::BIGINT AS n FROM deduped d LEFT JOIN fi ON d.file_name = fi.file_name),
+ g AS (SELECT *, row_number() OVER (PARTITION BY run, file_name ORDER BY score DESC, position) = 1 AS first, min(position) OVER (PARTITION BY run, file_name) AS seen FROM d),
+ i AS (SELECT run, source_order, id, n, true AS covers, seen::DOUBLE AS o1, 0 AS o2 FROM g WHERE first UNION ALL SELECT run, source_order, id, n, false, -score, position FROM g),
+ p AS (SELECT run, list({{'id': id, 'o': source_order, 'v': n, 'covers': covers, 'n': 0::BIGINT, 'c': 0::BIGINT, 'ids': []::VARCHAR[], 'a': []::BIGINT[], 'b': []::BIGINT[]}} ORDER BY covers DESC, o1, o2) AS s FROM i GROUP BY 1),
+ r AS (SELECT run, list_reduce(s, lambda x, y: CASE WHEN (NOT y.covers AND list_contains(x.ids, y.id)) OR x.n >= 120 OR x.c + y.v > 20000 THEN x
+   ELSE {{'id': '', 'o': 0, 'v': 0, 'covers': false, 'n': x.n + 1, 'c': x.c + y.v, 'ids': list_append(x.ids, y.id), 'a': CASE WHEN y.covers THEN list_append(x.a, y.o) ELSE x.a END, 'b': CASE WHEN y.covers THEN x.b ELSE list_append(x.b, y.o) END}} END,
+   {{'id': '', 'o': 0::BIGINT, 'v': 0::BIGINT, 'covers': false, 'n': 0::BIGINT, 'c': 0::BIGINT, 'ids': []::VARCHAR[], 'a': []::BIGINT[], 'b': []::BIGINT[]}}) AS r FROM p)
+ SELECT run, unnest(r.a) AS source_order, true AS covers FROM r UNION ALL SELECT run, unnest(r.b), false FROM r"""
 _SLUG = "regexp_replace(regexp_replace(lower(coalesce(file_name, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 _FILE_ID = f"CASE WHEN {_SLUG} = '' THEN 'file-' || (file_index + 1) ELSE {_SLUG} END || '-' || CASE WHEN page_number IS NULL THEN 'unknown' ELSE 'p' || page_number END"
 _OWN_CHUNKS = f"""{chunked("pdf_pages", "page_id")}, own AS (SELECT c.*, file_index, page_seq, {_FILE_ID} AS label, (row_number() OVER (ORDER BY file_index, page_seq, chunk_index) - 1)::BIGINT AS source_order FROM cut c JOIN pdf_pages USING (page_id))"""
@@ -165,6 +303,12 @@ def _positions(source: str, options: str) -> str:
         LEFT JOIN (SELECT coalesce(list_position({options}, correct_answer), 0) - 1 AS position FROM {source}) p ON p.position = r.position GROUP BY 1))"""
 
 
+_CONTRAST = """WITH px AS (SELECT p_brand, p_partkey, floor((p_size * 5 % 256) * 0.299::DOUBLE + (p_partkey * 7 % 256) * 0.587::DOUBLE + (p_size * 11 % 256) * 0.114::DOUBLE + 0.5)::INTEGER AS g FROM part),
+        h AS (SELECT p_brand, g, count(*) AS n FROM px GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY p_brand ORDER BY g) AS run, sum(n) OVER (PARTITION BY p_brand) AS total FROM h),
+        lh AS (SELECT p_brand, min(g) FILTER (run >= total * 0.02::DOUBLE) AS lo, min(g) FILTER (run >= total * 0.98::DOUBLE) AS hi FROM r GROUP BY 1),
+        st AS (SELECT p_brand, p_partkey, greatest(0, least(255, floor((g - lo) * 255 / greatest(hi - lo, 1) + 0.5)))::INTEGER AS v FROM px JOIN lh USING (p_brand))"""
+
+
 ORACLES: dict[str, str] = {
     "pack_sequential": _SEQUENTIAL,
     "chunk_ids": f"WITH {_OWN_CHUNKS} SELECT source_order, label || '-' || (chunk_index + 1) AS id, label || '-c' || (chunk_index + 1) AS chunk_id FROM own",
@@ -193,7 +337,7 @@ ORACLES: dict[str, str] = {
     "file_totals": "SELECT file_index, count(*) AS pages, sum(length(text))::BIGINT AS text_length, sum(length(text)) < 220 AS low_text FROM pdf_pages WHERE length(text) > 0 GROUP BY 1",
     "file_filter_status": f"""WITH f AS (SELECT file_index, arg_max((file_name, file_size), (file_name, file_size)) AS f FROM file_status GROUP BY 1), g AS (SELECT file_index, f[1] AS name, f[2] AS size FROM f)
         SELECT file_index, CASE WHEN lower(coalesce(name, '')) LIKE '%.pdf' THEN 'pdf' WHEN lower(coalesce(name, '')) LIKE '%.docx' THEN 'docx' ELSE 'image' END AS format,
-        CASE WHEN file_index >= 60 THEN '{TOO_MANY}' WHEN NOT regexp_matches(lower(coalesce(name, '')), '\\.(pdf|docx|png|jpe?g|webp|gif|bmp|tiff?)$') THEN '{UNSUPPORTED}' WHEN size > 31457280 THEN 'File is too large (>30 MB).' END AS message,
+        CASE WHEN file_index >= 60 THEN 'Skipped because max file limit was reached.' WHEN NOT regexp_matches(lower(coalesce(name, '')), '\\.(pdf|docx|png|jpe?g|webp|gif|bmp|tiff?)$') THEN 'Unsupported file type (PDF, DOCX, and common image files only).' WHEN size > 31457280 THEN 'File is too large (>30 MB).' END AS message,
         CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024) ELSE printf('%.1f MB', size / 1048576) END AS size FROM g""",
     "intake_files": "SELECT file_index, file_name, file_size FROM (SELECT DISTINCT file_index, file_name, file_size, updated_at FROM file_status) QUALIFY row_number() OVER (PARTITION BY file_name, file_size, updated_at ORDER BY file_index) = 1",
     "file_states": """SELECT file_index, CASE WHEN c = 0 OR w > 0 THEN 'warning' ELSE 'completed' END AS state, CASE WHEN c = 0 THEN 'No usable chunks extracted from this file.' WHEN w > 0 THEN 'Completed with warning (' || c || ' chunks).' ELSE 'Completed (' || c || ' chunks).' END AS message
@@ -207,22 +351,51 @@ ORACLES: dict[str, str] = {
     "coverage_selection": f"""{HEAD}{deduped()}, best AS (SELECT * FROM deduped QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY score DESC, position) = 1),
         fill AS (SELECT * FROM deduped WHERE id NOT IN (SELECT id FROM best) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, position) = 1) SELECT source_order, true AS covers FROM best UNION ALL SELECT source_order, false FROM fill""",
     "order_best_match": f"WITH {CHUNKS} SELECT source_order, (row_number() OVER (PARTITION BY file_name ORDER BY score DESC, source_order))::INTEGER AS file_rank FROM chunk_rows",
-    "pack_balanced": f"{_BALANCED} SELECT source_order, bucket FROM packed",
-    "question_allocation": f"""{_BALANCED}, u AS (SELECT DISTINCT file_name, bucket FROM packed JOIN l USING (source_order)), k AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY bucket) - 1 AS r, count(*) OVER (PARTITION BY file_name) AS n FROM u)
-        SELECT file_name, bucket, (least(7, n * 3) // n + CASE WHEN r < least(7, n * 3) % n THEN 1 ELSE 0 END)::INTEGER AS questions FROM k""",
+    "pack_balanced": f"{_BALANCED} SELECT run, source_order, bucket FROM packed",
+    "batch_plan": _PLAN,
+    "coverage_selection_budget": _BUDGET,
+    "order_page": "SELECT source_order, row_number() OVER (PARTITION BY file_name ORDER BY source_order) AS page_rank FROM (SELECT DISTINCT file_name, source_order FROM chunks WHERE source_order IS NOT NULL)",
+    "compression_note": f"""{HEAD}{deduped()}, best AS (SELECT * FROM deduped QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY score DESC, position) = 1), n AS (SELECT (SELECT count(*) FROM deduped) AS a,
+        (SELECT count(*) FROM best) + (SELECT count(DISTINCT id) FROM deduped WHERE id NOT IN (SELECT id FROM best)) AS b) SELECT a AS deduped, b AS selected, CASE WHEN a > b THEN 'Compressed source set from ' || a || ' to ' || b || ' chunks to fit the planned prompt set.' END AS warning FROM n""",
+    "low_text_files": "SELECT file_index, sum(length(text))::BIGINT AS text_length, 'Very little extractable text found.' AS warning FROM pdf_pages WHERE length(text) > 0 GROUP BY 1 HAVING sum(length(text)) < 220",
+    "run_failures": """WITH f AS (SELECT file_index, max(chunks) AS c FROM file_status GROUP BY 1) SELECT (file_index // 100)::INTEGER AS run, CASE WHEN coalesce(sum(c), 0) = 0 THEN 'No valid source text could be extracted from the uploaded PDFs, DOCX files, or images.'
+        WHEN count(*) > 60 THEN 'Received ' || count(*) || ' files. Only the first 60 files were processed to keep performance stable.' END AS message FROM f GROUP BY 1""",
+    "ocr_fallback": f"""WITH g AS (SELECT page_id, file_index, page_seq, {normal("text")} AS whole FROM pdf_pages WHERE text IS NOT NULL AND file_index IS NOT NULL),
+        p AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN left(whole, 12) ELSE whole END AS layer FROM g), b AS (SELECT file_index, min(page_seq) AS broken FROM p WHERE length(layer) < 24 AND page_id % 31 = 0 GROUP BY 1),
+        u AS (SELECT p.*, length(layer) < 24 AND page_id % 5 > 0 AND length(whole) > 0 AND (broken IS NULL OR page_seq < broken) AS from_ocr FROM p LEFT JOIN b USING (file_index))
+        SELECT page_id, CASE WHEN from_ocr THEN whole ELSE layer END AS text, coalesce(from_ocr, false) AS from_ocr FROM u WHERE length(CASE WHEN from_ocr THEN whole ELSE layer END) > 0""",
+    "question_allocation": f"""{_BALANCED}, u AS (SELECT DISTINCT run, bucket FROM packed), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY bucket) - 1 AS r, count(*) OVER (PARTITION BY run) AS n FROM u)
+        SELECT run, bucket, (least(7, n * 3) // n + CASE WHEN r < least(7, n * 3) % n THEN 1 ELSE 0 END)::INTEGER AS questions FROM k""",
     "queue_metrics": """SELECT (SELECT sum(question_count)::BIGINT FROM prompt_batches) AS planned_questions, (SELECT count(*) FROM prompt_batches WHERE batch_number % 3 = 0) AS parsed_batches, (SELECT min(batch_number)::BIGINT FROM prompt_batches WHERE batch_number % 3 <> 0) AS next_pending,
         (SELECT count(DISTINCT coalesce(file_index, -1)) FROM file_status) AS files, (SELECT sum(z)::BIGINT FROM (SELECT max(file_size) AS z FROM file_status GROUP BY file_index)) AS source_bytes""",
     "source_packets": f"{_PACKETS} SELECT batch_number, packet FROM packets",
-    "master_prompts": f"{_PACKETS} SELECT batch_number, replace(replace({_quoted(_FRAME)}, '{{n}}', n::VARCHAR), '{{batch}}', '- Working batch: Batch ' || batch_number || '.') || {_quoted(_MIDDLE)} || packet || chr(10) || 'SOURCE_PACKET_END' AS prompt FROM packets",
-    "parse_standard": f"WITH {VALID} SELECT question_id, {trimmed('question')} AS question, {_TRIM_OPTIONS} AS options, {trimmed('correct_answer')} AS correct_answer, {trimmed('source.page')} AS page FROM ok",
+    "master_prompts": f"{_PACKETS} SELECT batch_number, replace(replace({_quoted(_PROMPT)}, '<n>', n::VARCHAR), '<b>', batch_number::VARCHAR) || packet || chr(10) || 'SOURCE_PACKET_END' AS prompt FROM packets",
+    "prompt_queue": f"""{_PACKETS}, last AS (SELECT question, question_id FROM questions WHERE question IS NOT NULL AND question_id IS NOT NULL ORDER BY question_id DESC LIMIT 25), lined AS (SELECT 'PREVIOUS_QUESTION_' || row_number() OVER (ORDER BY question_id) || ': ' || question AS line, question_id FROM last),
+        previous AS (SELECT chr(10) || 'AVOID_DUPLICATES_WITH_PREVIOUS_BATCHES' || chr(10) || string_agg(line, chr(10) ORDER BY question_id) || chr(10) AS block FROM lined)
+        SELECT batch_number, CASE WHEN batch_number % 10 = 0 THEN 'My own prompt ' || batch_number ELSE replace(replace(replace(replace({_quoted(_COMPACT_PROMPT)}, '<n>', n::VARCHAR), '<b>', batch_number::VARCHAR), '<all>', (SELECT count(*) FROM prompt_batches)::VARCHAR), '<previous>', (SELECT block FROM previous)) || packet || chr(10) || 'SOURCE_PACKET_END' END AS prompt FROM packets""",
+    "count_advice": """WITH b AS (SELECT batch_number, count(*) AS back FROM questions WHERE question_id IS NOT NULL GROUP BY 1) SELECT batch_number, CASE WHEN question_count > back THEN 'This model returned too few questions for the current batch. Try Light mode at 3 questions per prompt. If it still struggles, turn on compact response mode.'
+        WHEN question_count < back THEN 'This model returned too many questions for the current batch. Try Light mode at 3 questions per prompt. If it still struggles, turn on compact response mode.' END AS advice FROM prompt_batches JOIN b USING (batch_number) WHERE question_count IS NOT NULL""",
+    "parse_standard": f"""WITH {_RESPONSES} SELECT response, i::INTEGER AS q_index, {trimmed("question")} AS question, {_TRIM_OPTIONS} AS options, {trimmed("answer")} AS correct_answer, CASE WHEN page = '' THEN 'unknown' ELSE page END AS page FROM m JOIN judged USING (response) WHERE ok""",
     "parse_compact": f"""WITH {VALID.replace(f"AND {trimmed('source.page')} <> ''", "AND source.page IS NOT NULL")} SELECT question_id, {trimmed('question')} AS question, {_TRIM_OPTIONS} AS options, {trimmed('correct_answer')} AS correct_answer, CASE WHEN {trimmed('source.page')} = '' THEN 'unknown' ELSE {trimmed('source.page')} END AS page FROM ok""",
-    "parse_errors": f"WITH {VALID} SELECT question_id, coalesce(len(options) <> 4, false) AS wrong_count FROM qs WHERE question_id NOT IN (SELECT question_id FROM ok)",
+    "parse_errors": f"""WITH {_RESPONSES} SELECT response, CASE kind WHEN 4 THEN '{_NO_JSON}' WHEN 5 THEN '{_EMPTY}' ELSE array_to_string(told, chr(10)) END AS errors FROM judged WHERE NOT ok AND kind <> 6
+        UNION ALL SELECT response, array_to_string(list_transform(range(n), lambda i: array_to_string(['questions.' || i || '.question: Required', 'questions.' || i || '.options: Required', 'questions.' || i || '.correctAnswer: Required', 'questions.' || i || '.explanation: Required', 'questions.' || i || '.source.file: Required', 'questions.' || i || '.source.page: Required', 'questions.' || i || '.source.chunkId: Required'], chr(10))), chr(10))
+        FROM judged JOIN (SELECT response, count(*) AS n FROM m GROUP BY 1) USING (response) WHERE NOT ok AND kind = 6""",
     "correct_index": """SELECT question_id, (CASE q_index % 4 WHEN 0 THEN CASE WHEN question_id % 7 - 1 BETWEEN 0 AND 3 THEN question_id % 7 - 1 WHEN question_id % 7 - 1 = 4 THEN 3 END WHEN 1 THEN CASE WHEN question_id % 6 < 4 THEN question_id % 6 END
         WHEN 2 THEN CASE WHEN question_id % 6 < 4 THEN question_id % 6 WHEN question_id % 6 = 4 THEN 3 END END)::INTEGER AS correct_index FROM questions WHERE q_index IS NOT NULL AND question_id IS NOT NULL""",
     "rebalance_answers": f"SELECT question_id, array_to_string(list_transform(new_options, lambda v: coalesce(v, '<null>')), '|') AS options FROM {moved('question_id', 'questions')} WHERE question_id IS NOT NULL",
     "position_histogram": """WITH p AS (SELECT coalesce(list_position(options, correct_answer), 0) - 1 AS position FROM questions), r AS (SELECT unnest(range((SELECT max(len(options)) FROM questions)))::INTEGER AS position)
         SELECT r.position, count(p.position) AS n FROM r LEFT JOIN p ON p.position = r.position GROUP BY 1""",
-    "duplicate_options": f"SELECT question_id FROM questions WHERE len(list_distinct(list_transform(options, lambda v: lower({trimmed('v')})))) + CASE WHEN list_count(options) < len(options) THEN 1 ELSE 0 END < len(options)",
+    "duplicate_options": f"""SELECT question_id FROM (SELECT question_id, CASE WHEN question_id % 5 = 0 AND len(options) > 1 THEN list_concat(list_concat(options[1:1], [' ' || options[1] || ' ']), options[3:]) ELSE options END AS options FROM questions WHERE question_id IS NOT NULL)
+        WHERE len(list_distinct(list_transform(options, lambda v: lower({trimmed("v")})))) + CASE WHEN list_count(options) < len(options) THEN 1 ELSE 0 END < len(options)""",
+    "batch_notes": f"""WITH q AS (SELECT batch_number, {STEM} AS stem, coalesce(len(options), 0) AS k, list_position(options, correct_answer) AS pos,
+          coalesce(len(list_distinct(list_transform(options, lambda v: lower({trimmed("v")})))) + CASE WHEN list_count(options) < len(options) THEN 1 ELSE 0 END < len(options), false) AS rep FROM questions WHERE batch_number IS NOT NULL AND question_id IS NOT NULL),
+        f AS (SELECT stem, min(batch_number) AS first FROM q GROUP BY 1), a AS (SELECT batch_number, count(DISTINCT stem) FILTER (first = batch_number) AS added FROM q JOIN f USING (stem) GROUP BY 1),
+        c AS (SELECT batch_number, count(*) AS parsed, max(k) AS k, count_if(rep) AS rep FROM q GROUP BY 1), t AS (SELECT batch_number, max(n) AS most FROM (SELECT batch_number, pos, count(*) AS n FROM q WHERE pos > 0 GROUP BY 1, 2) GROUP BY 1),
+        o AS (SELECT p.batch_number, p.question_count, c.*, added, most, coalesce(c.batch_number % 7 > 0, false) AS ok FROM prompt_batches p LEFT JOIN c USING (batch_number) LEFT JOIN a USING (batch_number) LEFT JOIN t USING (batch_number) WHERE p.question_count IS NOT NULL)
+        SELECT batch_number, question_count, CASE WHEN ok THEN 'parsed' ELSE 'pending' END AS status, (CASE WHEN ok THEN added ELSE 0 END)::BIGINT AS added, (CASE WHEN ok THEN parsed - added ELSE 0 END)::BIGINT AS duplicates, CASE WHEN NOT ok THEN '' ELSE array_to_string(list_filter([
+          CASE WHEN parsed > question_count THEN 'Accepted ' || parsed || ' questions for a target of ' || question_count || ' (' || (parsed - question_count) || ' over target).' WHEN parsed < question_count THEN 'Accepted ' || parsed || ' questions for a target of ' || question_count || ' (' || (question_count - parsed) || ' under target).' END,
+          CASE WHEN parsed >= k AND most / parsed >= 0.6 THEN 'Detected answer-position skew and redistributed correct options across A-D.' END,
+          CASE WHEN rep > 0 THEN 'Detected ' || rep || CASE WHEN rep = 1 THEN ' question' ELSE ' questions' END || ' with duplicate option text. Review before export.' END], lambda v: v IS NOT NULL), ' ') END AS notes FROM o""",
     "merge_bank": f"SELECT question_id, {STEM} AS stem FROM questions WHERE question_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {STEM} ORDER BY question_id) = 1",
     "merge_report": f"""WITH s AS (SELECT {STEM} AS stem, coalesce(batch_number <= 20, false) AS old FROM questions) SELECT count(DISTINCT stem) AS kept, count(DISTINCT stem) - count_if(old)::BIGINT AS added, count(*) - count(DISTINCT stem) AS duplicates FROM s""",
     "accept_batches": f"""WITH q AS (SELECT *, {STEM} AS stem FROM questions WHERE batch_number IS NOT NULL), f AS (SELECT stem, min(batch_number) AS b FROM q GROUP BY 1),
@@ -231,14 +404,27 @@ ORACLES: dict[str, str] = {
     "option_counts": "SELECT DISTINCT len(options)::INTEGER AS option_count FROM questions WHERE options IS NOT NULL",
     "keyed_edits": "SELECT question_id, question, CASE WHEN question_id % 10 = 0 THEN 'Edited.' ELSE explanation END AS explanation FROM questions WHERE question_id IS NOT NULL",
     "export_csv_lines": f"SELECT question_id + 1 AS number, {_CSV} AS line FROM questions WHERE question_id IS NOT NULL",
-    "storage_key_hash": """WITH s AS (SELECT question_id, regexp_replace(question, '[^ -~]', '?', 'g') AS t FROM questions WHERE question IS NOT NULL AND question_id IS NOT NULL)
-        SELECT question_id, lower(to_base(list_reduce(list_transform(range(1, length(t) + 1), lambda i: ascii(t[i])::BIGINT), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT, 2166136261::BIGINT), 36)) AS hash FROM s""",
+    "storage_key_hash": """WITH s AS (SELECT question_id, flatten(list_transform(range(1, length(question) + 1), lambda i: CASE WHEN unicode(substring(question, i::BIGINT, 1)) < 65536 THEN [unicode(substring(question, i::BIGINT, 1))::BIGINT]
+          ELSE [((unicode(substring(question, i::BIGINT, 1)) - 65536) // 1024 + 55296)::BIGINT, ((unicode(substring(question, i::BIGINT, 1)) - 65536) % 1024 + 56320)::BIGINT] END)) AS u FROM questions WHERE question IS NOT NULL AND question_id IS NOT NULL)
+        SELECT question_id, lower(to_base(list_reduce(u, lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT, 2166136261::BIGINT), 36)) AS hash FROM s""",
+    "export_json": """WITH o AS (SELECT batch_number, question_id, '{' || array_to_string(list_filter([CASE WHEN question IS NOT NULL THEN '"question":' || to_json(question)::VARCHAR END, CASE WHEN options IS NOT NULL THEN '"options":' || to_json(options)::VARCHAR END,
+          CASE WHEN correct_answer IS NOT NULL THEN '"correctAnswer":' || to_json(correct_answer)::VARCHAR END, CASE WHEN explanation IS NOT NULL THEN '"explanation":' || to_json(explanation)::VARCHAR END,
+          '"source":{' || array_to_string(list_filter([CASE WHEN source.file IS NOT NULL THEN '"file":' || to_json(source.file)::VARCHAR END, CASE WHEN source.page IS NOT NULL THEN '"page":' || to_json(source.page)::VARCHAR END, CASE WHEN source.chunk_id IS NOT NULL THEN '"chunkId":' || to_json(source.chunk_id)::VARCHAR END], lambda v: v IS NOT NULL), ',') || '}'], lambda v: v IS NOT NULL), ',') || '}' AS j
+          FROM questions WHERE batch_number IS NOT NULL AND question_id IS NOT NULL) SELECT batch_number, '{"questions":[' || string_agg(j, ',' ORDER BY question_id) || ']}' AS payload FROM o GROUP BY 1""",
     "text_escapes": """SELECT question_id, replace(replace(replace(replace(replace(explanation, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
         replace(replace(replace(explanation, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS script, regexp_replace(regexp_replace(lower(coalesce(source.file, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM questions WHERE explanation IS NOT NULL AND question_id IS NOT NULL""",
     "quiz_state": f"WITH {EVENTS} SELECT * FROM an",
     "miss_marks": f"WITH {EVENTS} SELECT * FROM ma",
     "missed_summary": f"WITH {EVENTS} SELECT learner, count(*) AS missed, count_if(NOT coalesce(correct, false))::BIGINT AS pending, count_if(coalesce(correct, false))::BIGINT AS corrected FROM ma LEFT JOIN an USING (learner, q_index) GROUP BY 1",
     "next_missed": f"WITH {EVENTS} SELECT learner, q_index, lead(q_index) OVER (PARTITION BY learner ORDER BY q_index) AS next_index FROM ma",
+    "next_question": """WITH q AS (SELECT DISTINCT batch_number, q_index FROM questions WHERE batch_number IS NOT NULL AND q_index IS NOT NULL AND question_id IS NOT NULL)
+        SELECT batch_number, q_index, lead(q_index) OVER w AS next_index, 'Question ' || row_number() OVER w || ' of ' || count(*) OVER (PARTITION BY batch_number) AS label FROM q WINDOW w AS (PARTITION BY batch_number ORDER BY q_index)""",
+    "state_snapshot": f"""WITH {EVENTS}, a AS (SELECT learner, string_agg('[' || q_index || ',{{' || CASE WHEN selected IS NULL THEN '' ELSE '"selected":' || to_json(selected)::VARCHAR || ',' END || '"correct":' || correct || ',"attempts":' || attempts || '}}]', ',' ORDER BY q_index) AS a FROM an GROUP BY 1),
+        m AS (SELECT learner, string_agg('[' || q_index || ',' || marks || ']', ',' ORDER BY q_index) AS m FROM ma GROUP BY 1) SELECT learner, '{{"answers":[' || coalesce(a, '') || '],"missMarks":[' || coalesce(m, '') || ']}}' AS state FROM a FULL JOIN m USING (learner)""",
+    "contrast": f"{_CONTRAST} SELECT p_brand, p_partkey AS place, (CASE WHEN v <= 12 THEN 0 WHEN v >= 245 THEN 255 ELSE v END)::INTEGER AS value FROM st",
+    "contrast_binary": f"""{_CONTRAST}, h2 AS (SELECT p_brand, v, count(*) AS n FROM st GROUP BY 1, 2), r2 AS (SELECT *, (sum(n) OVER w)::DOUBLE AS wb, (sum(v * n) OVER w)::DOUBLE AS sb, (sum(n) OVER p)::DOUBLE AS nn, (sum(v * n) OVER p)::DOUBLE AS tt FROM h2 WINDOW w AS (PARTITION BY p_brand ORDER BY v), p AS (PARTITION BY p_brand)),
+        b AS (SELECT p_brand, v AS level FROM r2 WHERE nn > wb QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY wb * (nn - wb) * (sb / wb - (tt - sb) / (nn - wb)) * (sb / wb - (tt - sb) / (nn - wb)) DESC, v) = 1)
+        SELECT p_brand, p_partkey AS place, CASE WHEN v >= coalesce(level, 127) THEN 255 ELSE 0 END AS value FROM st LEFT JOIN b USING (p_brand)""",
     "histogram_percentile": """WITH h AS (SELECT p_brand, p_size AS v, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY p_brand ORDER BY v) AS run, sum(n) OVER (PARTITION BY p_brand) AS total FROM h)
         SELECT p_brand, min(v) FILTER (run >= total * 0.02::DOUBLE) AS low, min(v) FILTER (run >= total * 0.98::DOUBLE) AS high FROM r GROUP BY 1""",
     "otsu_threshold": """WITH h AS (SELECT p_brand, p_size AS v, count(*) AS n FROM part GROUP BY 1, 2),

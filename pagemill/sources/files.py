@@ -14,7 +14,8 @@ SUPPORTED = r"(?i)\.(pdf|docx|png|jpe?g|webp|gif|bmp|tiff?)$"
 TOO_MANY = "Skipped because max file limit was reached."
 UNSUPPORTED = "Unsupported file type (PDF, DOCX, and common image files only)."
 LOW_TEXT = "Very little extractable text found."
-NO_CHUNKS = "No usable chunks were found."
+NO_FILES = "Upload at least one PDF, DOCX, or image before generating a prompt."
+NO_TEXT = "No valid source text could be extracted from the uploaded PDFs, DOCX files, or images."
 STAGES = {"idle": "Ready", "uploading": "Uploading files", "extracting": "Extracting file text", "analyzing": "Analyzing and compressing chunks", "building_prompt": "Building prompt queue", "waiting_for_ai": "Waiting for pasted AI batch output", "parsed_success": "Quiz parsed successfully", "failed": "Failed"}
 ORDERINGS = {"page_order": "page order", "random": "randomized"}
 
@@ -71,10 +72,10 @@ def final_state(chunks: Column, warnings: Column, ocr_pages: Column) -> Column:
     return F.when(chunks == 0, none).when(F.size(warnings) > 0, warned).otherwise(done)
 
 
-def run_warnings(total: int, limits: Limits = Limits()) -> list[str]:  # noqa: B008
-    if total == 0:
-        raise ValueError("Upload at least one PDF, DOCX, or image before generating a prompt.")
-    return [f"Received {total} files. Only the first {limits.max_files} files were processed to keep performance stable."] if total > limits.max_files else []
+def run_message(total: Column, chunks: Column, limits: Limits = Limits()) -> Column:  # noqa: B008
+    """What stops a run of ``total`` files or, if none, warns of it; null where neither is the case."""
+    many = F.concat(F.lit("Received "), total.cast("string"), F.lit(f" files. Only the first {limits.max_files} files were processed to keep performance stable."))
+    return F.when(total == 0, NO_FILES).when(chunks == 0, NO_TEXT).when(total > limits.max_files, many)
 
 
 def progress(done: Column, total: Column) -> Column:

@@ -85,8 +85,39 @@ def next_missed(events: DataFrame) -> DataFrame:
     return miss_marks(events).select(*KEYS, F.lead("q_index").over(Window.partitionBy("learner").orderBy("q_index")).alias("next_index"))
 
 
-def progress_label(index: Column, count: Column) -> Column:
-    return F.concat(F.lit("Question "), (index + 1).cast("string"), F.lit(" of "), count.cast("string"))
+def next_question(questions: DataFrame, quiz: str) -> DataFrame:
+    """(quiz, q_index, next_index, label) of the questions of each quiz: the next in order, null where it ends, and the place in it.
+
+    A quiz is bounded by what one learner answers.
+    """
+    whole = Window.partitionBy(quiz)
+    place = F.row_number().over(whole.orderBy("q_index")).cast("string")
+    label = F.concat(F.lit("Question "), place, F.lit(" of "), F.count(F.lit(1)).over(whole).cast("string"))
+    return questions.select(quiz, "q_index", F.lead("q_index").over(whole.orderBy("q_index")).alias("next_index"), label.alias("label"))
+
+
+def snapshots(events: DataFrame) -> DataFrame:
+    """(learner, state): what a session saves, {"answers":[[index,{"selected","correct","attempts"}]],"missMarks":[[index,n]]}, by index.
+
+    A learner's state is bounded by the questions of a bank, not by events.
+    """
+    answer = F.to_json(F.struct("selected", "correct", "attempts"))
+    pair = lambda value: F.concat(F.lit("["), F.col("q_index").cast("string"), F.lit(","), value, F.lit("]"))
+    own = answers(events).select("learner", "q_index", pair(answer).alias("answer"), F.lit(None).cast("string").alias("mark"))
+    marks = miss_marks(events).select("learner", "q_index", F.lit(None).cast("string").alias("answer"), pair(F.col("marks").cast("string")).alias("mark"))
+    listed = lambda c: F.array_join(F.transform(F.sort_array(F.filter(F.collect_list(F.struct("q_index", c)), lambda x: x[c].isNotNull())), lambda x: x[c]), ",")
+    made = own.unionByName(marks).groupBy("learner").agg(listed("answer").alias("_a"), listed("mark").alias("_m"))
+    return made.select("learner", F.concat(F.lit('{"answers":['), F.col("_a"), F.lit('],"missMarks":['), F.col("_m"), F.lit("]}")).alias("state"))
+
+
+def save_snapshots(states: DataFrame, path: str) -> None:
+    """A batch of snapshots beside those saved before, one folder a batch; the last of a learner counts when it is read back."""
+    states.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def saved_snapshots(spark, path: str) -> DataFrame:
+    """(learner, state): the last snapshot of each learner."""
+    return spark.read.parquet(path).groupBy("learner").agg(F.max(F.struct("saved_at", "state"))["state"].alias("state"))
 
 
 def restored(saved: DataFrame, questions: DataFrame) -> DataFrame:

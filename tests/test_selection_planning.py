@@ -111,7 +111,8 @@ def test_packets_and_prompt(spark):
     made = prompts.master_prompts(packet.withColumn("question_count", F.lit(3)), QuizSettings(response_format="compact"), F.array(F.lit("Old {n}?")), F.lit("B")).first()["prompt"]
     assert "Target about 3 multiple-choice" in made and "- Working batch: B." in made and "PREVIOUS_QUESTION_1: Old {n}?" in made and made.endswith("SOURCE_PACKET_END")
     assert '{"questions":[["question",["A","B","C","D"],0,"short explanation",["file","page","chunkId"]]]}' in made
-    assert "returned too few questions" in prompts.failure_advice(5, 3, QuizSettings())
+    advice = spark.createDataFrame([(2,), (0,), (-1,)], "missing int").select(prompts.count_advice(F.col("missing"), QuizSettings(density="dense", questions_per_prompt=8))).collect()
+    assert advice[0][0] == "This model returned too few questions for the current batch. Try Standard mode at 5 questions per prompt. If it still struggles, turn on compact response mode." and advice[1][0] is None and "too many" in advice[2][0]
 
 
 @pytest.mark.parametrize("ordering", ["best_match", "page_order", "random"])
