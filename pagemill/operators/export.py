@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Iterable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagemill.functions import text as T
 from pagemill.operators.prompts import labels
@@ -51,14 +53,24 @@ def html_page(title: str, payload: str, key: str) -> str:
     return f'<!doctype html>\n<html lang="en">\n<head><meta charset="utf-8"><title>{shown}</title></head>\n<body>\n<h1>{shown}</h1>\n<script type="application/json" id="quiz" data-key="{key}">{data}</script>\n</body>\n</html>\n'
 
 
-def html_file_name(questions: int) -> str:
-    return f"interactive-quiz-{questions}-questions.html"
+def csv_text(lines: DataFrame, header: str) -> DataFrame:
+    """One row: the header and the lines (number, line) in order, without a newline at the end; a bank is bounded by what one person answers."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("number", "line"))), lambda x: x["line"])
+    return lines.agg(listed.alias("_l")).select(F.array_join(F.concat(F.array(F.lit(header)), F.col("_l")), "\n").alias("text"))
 
 
 def write_csv(lines: DataFrame, header: str, path: str) -> None:
-    """Writes the header and the lines in order as one text, without a newline at the end, row by row from the sorted partitions."""
-    rows: Iterable = lines.orderBy("number").toLocalIterator(prefetchPartitions=True)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(header)
-        for r in rows:
-            out.write("\n" + r["line"])
+    """Writes (number, line) in order as text files of one folder, by the executors; each file begins with the header.
+
+    Ranges of numbers make the files, whose names are in the order of the ranges; reading them as CSV with a header gives the bank.
+    """
+    schema = StructType([StructField("value", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            held = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([header, *held] if first else held, pa.string())], ["value"])
+            first = False
+
+    lines.repartitionByRange("number").sortWithinPartitions("number").select("line").mapInArrow(run, schema).write.mode("overwrite").text(path)

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from pagemill.settings import QuizSettings
 
+# fixed values
+ORDERINGS = {"page_order": "page order", "random": "randomized"}
+
 
 def balanced(lengths: list[int], buckets: int) -> list[int]:
     """Each length, in order, to the bucket with the fewest characters, the first of equals."""
@@ -136,10 +139,15 @@ def next_pending(batch_rows: DataFrame) -> DataFrame:
     return batch_rows.where("status = 'pending'").agg(F.min("batch_number").alias("batch_number"))
 
 
-def extra_prompts_note(planned: int, settings: QuizSettings) -> str:
-    """What a run says if its sources need more prompts than its questions would."""
+def prepared_note(planned: Column, questions: Column, settings: QuizSettings) -> Column:
+    """What a run says of its prompts, and if its sources need more of them than its questions would."""
     more = planned - max(1, -(-settings.target_questions // settings.questions))
-    return f" Source volume required {more} extra prompt{'' if more == 1 else 's'} to keep each batch usable." if more > 0 else ""
+    several = lambda n: F.when(n == 1, "").otherwise("s")
+    form = "compact" if settings.response_format == "compact" else "standard"
+    rest = f" planned questions at {settings.questions} per prompt in {settings.density.capitalize()} mode using {form} JSON with {settings.options} choices per question and "
+    extra = F.concat(F.lit(" Source volume required "), more.cast("string"), F.lit(" extra prompt"), several(more), F.lit(" to keep each batch usable."))
+    told = F.concat(F.lit("Prepared "), planned.cast("string"), F.lit(" prompt"), several(planned), F.lit(" for "), questions.cast("string"), F.lit(rest), F.lit(ORDERINGS.get(settings.ordering, "best-match order")), F.lit("."))
+    return F.concat(told, F.when(more > 0, extra).otherwise(""))
 
 
 def parsed_batches(batch_rows: DataFrame, outcomes: DataFrame, option_range: str) -> DataFrame:

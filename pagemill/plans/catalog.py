@@ -140,6 +140,11 @@ def file_filter_status(s: SparkSession, d: str) -> DataFrame:
     return ranked.select("file_index", files.file_format(F.col("file_name")).alias("format"), "message", T.format_bytes(F.col("file_size")).alias("size"))
 
 
+def stage_labels(s: SparkSession, d: str) -> DataFrame:
+    """The label of each state that files are in."""
+    return _t(s, d, "file_status").select(F.lower(F.trim("state")).alias("state")).distinct().select("state", files.stage_label(F.col("state")).alias("label"))
+
+
 def intake_files(s: SparkSession, d: str) -> DataFrame:
     rows = _t(s, d, "file_status").select("file_index", "file_name", "file_size", F.col("updated_at").alias("modified"))
     return files.intake(rows.distinct()).select("file_index", "file_name", "file_size")
@@ -233,6 +238,12 @@ def question_allocation(s: SparkSession, d: str) -> DataFrame:
     return ranks.select("run", "bucket", planning.questions_of(F.col("r"), F.col("n"), 7, 3).alias("questions"))
 
 
+def prepared_notes(s: SparkSession, d: str) -> DataFrame:
+    """What each run says of its prompts."""
+    runs = batch_plan(s, d).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("question_count").alias("q"))
+    return runs.select("run", planning.prepared_note(F.col("n"), F.col("q"), SETTINGS).alias("note"))
+
+
 def queue_metrics(s: SparkSession, d: str) -> DataFrame:
     batches = _t(s, d, "prompt_batches").select("batch_number", "question_count", F.when(F.col("batch_number") % 3 == 0, "parsed").otherwise("pending").alias("status"))
     sizes = _t(s, d, "file_status").groupBy("file_index").agg(F.max("file_size").alias("file_size"))
@@ -408,6 +419,11 @@ def storage_key_hash(s: SparkSession, d: str) -> DataFrame:
     return _questions(s, d).where("question is not null").select("question_id", T.fnv1a(F.col("question")).alias("hash"))
 
 
+def storage_keys(s: SparkSession, d: str) -> DataFrame:
+    """The names under which pages of each batch keep their answers."""
+    return export_json(s, d).select("batch_number", export.storage_key(F.lit("Quiz"), F.col("payload")).alias("key"))
+
+
 def text_escapes(s: SparkSession, d: str) -> DataFrame:
     rows = _questions(s, d).where("explanation is not null")
     return rows.select("question_id", T.html_escape(F.col("explanation")).alias("html"), T.script_safe(F.col("explanation")).alias("script"), T.slug(F.coalesce("source.file", F.lit(""))).alias("slug"))
@@ -470,6 +486,11 @@ def contrast_binary(s: SparkSession, d: str) -> DataFrame:
     return recognition.contrast(_pixels(s, d), ["p_brand"], True)
 
 
+def scale_factors(s: SparkSession, d: str) -> DataFrame:
+    """How much images of these widths are enlarged before recognition."""
+    return _t(s, d, "part").select("p_partkey", F.round(recognition.scale_factor(F.col("p_size") * 53), 6).alias("factor"))
+
+
 def ocr_quality(s: SparkSession, d: str) -> DataFrame:
     """Pages scored as recognition output, with confidences derived from the length of words."""
     pages = _pages(s, d).where("text is not null").select("page_id", "text", (F.lit(40.0) + F.pmod("page_id", F.lit(50))).alias("confidence"))
@@ -479,10 +500,10 @@ def ocr_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, intake_files, file_states,
-    progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, question_allocation, queue_metrics,
+    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, stage_labels, intake_files, file_states,
+    progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, prepared_notes, question_allocation, queue_metrics,
     source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, keyed_edits, export_csv_lines,
-    export_json, storage_key_hash, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, ocr_quality,
+    export_json, storage_key_hash, storage_keys, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, scale_factors, ocr_quality,
 ]
 
 

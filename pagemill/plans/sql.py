@@ -303,6 +303,19 @@ def _positions(source: str, options: str) -> str:
         LEFT JOIN (SELECT coalesce(list_position({options}, correct_answer), 0) - 1 AS position FROM {source}) p ON p.position = r.position GROUP BY 1))"""
 
 
+_PAYLOADS = """WITH o AS (SELECT batch_number, question_id, '{' || array_to_string(list_filter([CASE WHEN question IS NOT NULL THEN '"question":' || to_json(question)::VARCHAR END, CASE WHEN options IS NOT NULL THEN '"options":' || to_json(options)::VARCHAR END,
+          CASE WHEN correct_answer IS NOT NULL THEN '"correctAnswer":' || to_json(correct_answer)::VARCHAR END, CASE WHEN explanation IS NOT NULL THEN '"explanation":' || to_json(explanation)::VARCHAR END,
+          '"source":{' || array_to_string(list_filter([CASE WHEN source.file IS NOT NULL THEN '"file":' || to_json(source.file)::VARCHAR END, CASE WHEN source.page IS NOT NULL THEN '"page":' || to_json(source.page)::VARCHAR END, CASE WHEN source.chunk_id IS NOT NULL THEN '"chunkId":' || to_json(source.chunk_id)::VARCHAR END], lambda v: v IS NOT NULL), ',') || '}'], lambda v: v IS NOT NULL), ',') || '}' AS j
+          FROM questions WHERE batch_number IS NOT NULL AND question_id IS NOT NULL) SELECT batch_number, '{"questions":[' || string_agg(j, ',' ORDER BY question_id) || ']}' AS payload FROM o GROUP BY 1"""
+
+
+def hashed(x: str) -> str:
+    """FNV-1a of 32 bits over UTF-16 units, in base 36."""
+    code = f"unicode(substring({x}, i::BIGINT, 1))"
+    units = f"flatten(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN {code} < 65536 THEN [{code}::BIGINT] ELSE [(({code} - 65536) // 1024 + 55296)::BIGINT, (({code} - 65536) % 1024 + 56320)::BIGINT] END))"
+    return f"lower(to_base(list_reduce({units}, lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT, 2166136261::BIGINT), 36))"
+
+
 _CONTRAST = """WITH px AS (SELECT p_brand, p_partkey, floor((p_size * 5 % 256) * 0.299::DOUBLE + (p_partkey * 7 % 256) * 0.587::DOUBLE + (p_size * 11 % 256) * 0.114::DOUBLE + 0.5)::INTEGER AS g FROM part),
         h AS (SELECT p_brand, g, count(*) AS n FROM px GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY p_brand ORDER BY g) AS run, sum(n) OVER (PARTITION BY p_brand) AS total FROM h),
         lh AS (SELECT p_brand, min(g) FILTER (run >= total * 0.02::DOUBLE) AS lo, min(g) FILTER (run >= total * 0.98::DOUBLE) AS hi FROM r GROUP BY 1),
@@ -339,6 +352,8 @@ ORACLES: dict[str, str] = {
         SELECT file_index, CASE WHEN lower(coalesce(name, '')) LIKE '%.pdf' THEN 'pdf' WHEN lower(coalesce(name, '')) LIKE '%.docx' THEN 'docx' ELSE 'image' END AS format,
         CASE WHEN file_index >= 60 THEN 'Skipped because max file limit was reached.' WHEN NOT regexp_matches(lower(coalesce(name, '')), '\\.(pdf|docx|png|jpe?g|webp|gif|bmp|tiff?)$') THEN 'Unsupported file type (PDF, DOCX, and common image files only).' WHEN size > 31457280 THEN 'File is too large (>30 MB).' END AS message,
         CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024) ELSE printf('%.1f MB', size / 1048576) END AS size FROM g""",
+    "stage_labels": """SELECT DISTINCT lower(trim(state)) AS state, CASE lower(trim(state)) WHEN 'idle' THEN 'Ready' WHEN 'uploading' THEN 'Uploading files' WHEN 'extracting' THEN 'Extracting file text' WHEN 'analyzing' THEN 'Analyzing and compressing chunks' WHEN 'building_prompt' THEN 'Building prompt queue'
+        WHEN 'waiting_for_ai' THEN 'Waiting for pasted AI batch output' WHEN 'parsed_success' THEN 'Quiz parsed successfully' WHEN 'failed' THEN 'Failed' ELSE 'Working' END AS label FROM file_status""",
     "intake_files": "SELECT file_index, file_name, file_size FROM (SELECT DISTINCT file_index, file_name, file_size, updated_at FROM file_status) QUALIFY row_number() OVER (PARTITION BY file_name, file_size, updated_at ORDER BY file_index) = 1",
     "file_states": """SELECT file_index, CASE WHEN c = 0 OR w > 0 THEN 'warning' ELSE 'completed' END AS state, CASE WHEN c = 0 THEN 'No usable chunks extracted from this file.' WHEN w > 0 THEN 'Completed with warning (' || c || ' chunks).' ELSE 'Completed (' || c || ' chunks).' END AS message
         FROM (SELECT file_index, max(chunks) AS c, max(coalesce(len(warnings), 0)) AS w FROM file_status WHERE chunks IS NOT NULL GROUP BY 1)""",
@@ -353,6 +368,8 @@ ORACLES: dict[str, str] = {
     "order_best_match": f"WITH {CHUNKS} SELECT source_order, (row_number() OVER (PARTITION BY file_name ORDER BY score DESC, source_order))::INTEGER AS file_rank FROM chunk_rows",
     "pack_balanced": f"{_BALANCED} SELECT run, source_order, bucket FROM packed",
     "batch_plan": _PLAN,
+    "prepared_notes": f"""SELECT run, 'Prepared ' || n || ' prompt' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' for ' || q || ' planned questions at 5 per prompt in Standard mode using standard JSON with 4 choices per question and best-match order.'
+        || CASE WHEN n > 8 THEN ' Source volume required ' || (n - 8) || ' extra prompt' || CASE WHEN n = 9 THEN '' ELSE 's' END || ' to keep each batch usable.' ELSE '' END AS note FROM (SELECT run, count(*) AS n, sum(question_count) AS q FROM ({_PLAN}) GROUP BY 1)""",
     "coverage_selection_budget": _BUDGET,
     "order_page": "SELECT source_order, row_number() OVER (PARTITION BY file_name ORDER BY source_order) AS page_rank FROM (SELECT DISTINCT file_name, source_order FROM chunks WHERE source_order IS NOT NULL)",
     "compression_note": f"""{HEAD}{deduped()}, best AS (SELECT * FROM deduped QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY score DESC, position) = 1), n AS (SELECT (SELECT count(*) FROM deduped) AS a,
@@ -404,13 +421,9 @@ ORACLES: dict[str, str] = {
     "option_counts": "SELECT DISTINCT len(options)::INTEGER AS option_count FROM questions WHERE options IS NOT NULL",
     "keyed_edits": "SELECT question_id, question, CASE WHEN question_id % 10 = 0 THEN 'Edited.' ELSE explanation END AS explanation FROM questions WHERE question_id IS NOT NULL",
     "export_csv_lines": f"SELECT question_id + 1 AS number, {_CSV} AS line FROM questions WHERE question_id IS NOT NULL",
-    "storage_key_hash": """WITH s AS (SELECT question_id, flatten(list_transform(range(1, length(question) + 1), lambda i: CASE WHEN unicode(substring(question, i::BIGINT, 1)) < 65536 THEN [unicode(substring(question, i::BIGINT, 1))::BIGINT]
-          ELSE [((unicode(substring(question, i::BIGINT, 1)) - 65536) // 1024 + 55296)::BIGINT, ((unicode(substring(question, i::BIGINT, 1)) - 65536) % 1024 + 56320)::BIGINT] END)) AS u FROM questions WHERE question IS NOT NULL AND question_id IS NOT NULL)
-        SELECT question_id, lower(to_base(list_reduce(u, lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT, 2166136261::BIGINT), 36)) AS hash FROM s""",
-    "export_json": """WITH o AS (SELECT batch_number, question_id, '{' || array_to_string(list_filter([CASE WHEN question IS NOT NULL THEN '"question":' || to_json(question)::VARCHAR END, CASE WHEN options IS NOT NULL THEN '"options":' || to_json(options)::VARCHAR END,
-          CASE WHEN correct_answer IS NOT NULL THEN '"correctAnswer":' || to_json(correct_answer)::VARCHAR END, CASE WHEN explanation IS NOT NULL THEN '"explanation":' || to_json(explanation)::VARCHAR END,
-          '"source":{' || array_to_string(list_filter([CASE WHEN source.file IS NOT NULL THEN '"file":' || to_json(source.file)::VARCHAR END, CASE WHEN source.page IS NOT NULL THEN '"page":' || to_json(source.page)::VARCHAR END, CASE WHEN source.chunk_id IS NOT NULL THEN '"chunkId":' || to_json(source.chunk_id)::VARCHAR END], lambda v: v IS NOT NULL), ',') || '}'], lambda v: v IS NOT NULL), ',') || '}' AS j
-          FROM questions WHERE batch_number IS NOT NULL AND question_id IS NOT NULL) SELECT batch_number, '{"questions":[' || string_agg(j, ',' ORDER BY question_id) || ']}' AS payload FROM o GROUP BY 1""",
+    "storage_key_hash": f"""SELECT question_id, {hashed("question")} AS hash FROM questions WHERE question IS NOT NULL AND question_id IS NOT NULL""",
+    "export_json": _PAYLOADS,
+    "storage_keys": f"""SELECT batch_number, 'quiz-export-state-' || {hashed("'Quiz|' || payload")} AS key FROM ({_PAYLOADS})""",
     "text_escapes": """SELECT question_id, replace(replace(replace(replace(replace(explanation, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
         replace(replace(replace(explanation, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS script, regexp_replace(regexp_replace(lower(coalesce(source.file, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM questions WHERE explanation IS NOT NULL AND question_id IS NOT NULL""",
     "quiz_state": f"WITH {EVENTS} SELECT * FROM an",
@@ -421,6 +434,7 @@ ORACLES: dict[str, str] = {
         SELECT batch_number, q_index, lead(q_index) OVER w AS next_index, 'Question ' || row_number() OVER w || ' of ' || count(*) OVER (PARTITION BY batch_number) AS label FROM q WINDOW w AS (PARTITION BY batch_number ORDER BY q_index)""",
     "state_snapshot": f"""WITH {EVENTS}, a AS (SELECT learner, string_agg('[' || q_index || ',{{' || CASE WHEN selected IS NULL THEN '' ELSE '"selected":' || to_json(selected)::VARCHAR || ',' END || '"correct":' || correct || ',"attempts":' || attempts || '}}]', ',' ORDER BY q_index) AS a FROM an GROUP BY 1),
         m AS (SELECT learner, string_agg('[' || q_index || ',' || marks || ']', ',' ORDER BY q_index) AS m FROM ma GROUP BY 1) SELECT learner, '{{"answers":[' || coalesce(a, '') || '],"missMarks":[' || coalesce(m, '') || ']}}' AS state FROM a FULL JOIN m USING (learner)""",
+    "scale_factors": "SELECT p_partkey, round(least(3.0::DOUBLE, greatest(1.0::DOUBLE, 1800 / greatest(p_size * 53, 1))), 6) AS factor FROM part",
     "contrast": f"{_CONTRAST} SELECT p_brand, p_partkey AS place, (CASE WHEN v <= 12 THEN 0 WHEN v >= 245 THEN 255 ELSE v END)::INTEGER AS value FROM st",
     "contrast_binary": f"""{_CONTRAST}, h2 AS (SELECT p_brand, v, count(*) AS n FROM st GROUP BY 1, 2), r2 AS (SELECT *, (sum(n) OVER w)::DOUBLE AS wb, (sum(v * n) OVER w)::DOUBLE AS sb, (sum(n) OVER p)::DOUBLE AS nn, (sum(v * n) OVER p)::DOUBLE AS tt FROM h2 WINDOW w AS (PARTITION BY p_brand ORDER BY v), p AS (PARTITION BY p_brand)),
         b AS (SELECT p_brand, v AS level FROM r2 WHERE nn > wb QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY wb * (nn - wb) * (sb / wb - (tt - sb) / (nn - wb)) * (sb / wb - (tt - sb) / (nn - wb)) DESC, v) = 1)

@@ -17,7 +17,6 @@ LOW_TEXT = "Very little extractable text found."
 NO_FILES = "Upload at least one PDF, DOCX, or image before generating a prompt."
 NO_TEXT = "No valid source text could be extracted from the uploaded PDFs, DOCX files, or images."
 STAGES = {"idle": "Ready", "uploading": "Uploading files", "extracting": "Extracting file text", "analyzing": "Analyzing and compressing chunks", "building_prompt": "Building prompt queue", "waiting_for_ai": "Waiting for pasted AI batch output", "parsed_success": "Quiz parsed successfully", "failed": "Failed"}
-ORDERINGS = {"page_order": "page order", "random": "randomized"}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +92,3 @@ def progress_events(files: DataFrame) -> DataFrame:
 
 def stage_label(stage: Column) -> Column:
     return lookup(stage, STAGES, "Working")
-
-
-def ordering_label(ordering: Column) -> Column:
-    return lookup(ordering, ORDERINGS, "best-match order")

@@ -115,5 +115,9 @@ def test_export_round_trip(spark, tmp_path):
     assert "</script><" not in export.html_page("T <1>", raw.replace("Stem", "</script>"), "k").split("application/json")[1].split("</script>")[0]
     lines = export.csv_lines(questions(spark, [('a "q", b', ["x", "y\nz"], "x", 1, 0)]), 3, F.lit(1))
     assert lines.first()["line"] == '1,"a ""q"", b",x,y z,,x,e,f,1,c'
-    export.write_csv(lines, export.csv_header(3), str(tmp_path / "x.csv"))
-    assert (tmp_path / "x.csv").read_text().startswith("questionIndex,question,optionA,optionB,optionC,correctAnswer") and not (tmp_path / "x.csv").read_text().endswith("\n")
+    text = export.csv_text(lines, export.csv_header(3)).first()["text"]
+    assert text.startswith("questionIndex,question,optionA,optionB,optionC,correctAnswer") and text.endswith("\n" + lines.first()["line"])
+    many = spark.range(500).select(F.col("id").alias("number"), F.concat(F.lit("x"), F.col("id")).alias("line"))
+    export.write_csv(many, "head", str(tmp_path / "out"))
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "out").glob("part-*")) if p.read_text()]
+    assert all(p[0] == "head" for p in parts) and [x for p in parts for x in p[1:]] == [f"x{k}" for k in range(500)]

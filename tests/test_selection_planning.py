@@ -122,3 +122,26 @@ def test_orders_and_plans_run(spark, ordering):
     assert planned.count() == 8
     assert planning.batches(planned, t, "file_name").agg(F.sum("chunk_count")).first()[0] == planned.where("batch_number > 0").count()
     assert planning.plan_chunks(t.limit(0), "file_name", QuizSettings()).count() == 0
+
+
+def test_batches_after_answers(spark):
+    batches = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, 5)], "batch_number int, question_count int")
+    outcomes = spark.createDataFrame([(1, True, 7, 6, 1, True, 1), (2, False, 5, 5, 0, False, 0), (3, True, 5, 5, 0, False, 0)], "batch_number int, success boolean, parsed long, added long, duplicates long, skewed boolean, repeated long")
+    got = {r["batch_number"]: r for r in planning.parsed_batches(batches, outcomes, "A-D").collect()}
+    assert [got[k]["status"] for k in (1, 2, 3, 4)] == ["parsed", "pending", "parsed", "pending"] and got[3]["notes"] == [] and got[4]["added"] == 0
+    assert got[1]["notes"] == ["Accepted 7 questions for a target of 5 (2 over target).", "Detected answer-position skew and redistributed correct options across A-D.", "Detected 1 question with duplicate option text. Review before export."]
+    assert planning.next_pending(planning.parsed_batches(batches, outcomes, "A-D")).first()[0] == 2
+
+
+def test_queue_of_prompts(spark):
+    packets = spark.createDataFrame([(1, "P1", 3, None), (2, "P2", 3, "mine")], "batch_number int, packet string, question_count int, prompt_override string")
+    bank = spark.createDataFrame([(k, f"Stem {k}?") for k in range(30)], "k int, question string")
+    got = {r["batch_number"]: r["prompt"] for r in prompts.prompt_queue(packets, 2, QuizSettings(), bank, ["k"]).collect()}
+    assert got[2] == "mine" and "- Working batch: Prompt 1 of 2." in got[1] and "PREVIOUS_QUESTION_1: Stem 5?" in got[1] and "PREVIOUS_QUESTION_25: Stem 29?" in got[1] and "PREVIOUS_QUESTION_26" not in got[1]
+    bare = prompts.prompt_queue(packets, 2, QuizSettings(), bank.limit(0), ["k"]).where("batch_number = 1").first()["prompt"]
+    assert "AVOID_DUPLICATES" not in bare
+
+
+def test_a_length_beyond_the_budget_has_each_its_own_batch():
+    lengths = [9000, 10, 20, 30]
+    assert len({b for b, _, _ in planning.plan(lengths, QuizSettings(target_questions=4, questions_per_prompt=2))}) == 4

@@ -85,3 +85,18 @@ def test_stream_equals_batch(spark, tmp_path):
         query.stop()
     want = {k: ((v[0].lower() if v[0] else None), *v[1:]) for k, v in by_hand(rows).items()}
     assert {k: v for k, v in got.items() if v != (None, None, 0, 0, False)} == {k: v for k, v in want.items() if v != (None, None, 0, 0, False)}
+
+
+def test_snapshots_are_saved_and_read_back(spark, tmp_path):
+    rows = [(1, "a", 2, "answer", "B", False, 1), (2, "a", 2, "answer", "C", True, 2), (3, "a", 0, "answer", None, True, 3), (4, "b", 1, "retry", None, None, 4)]
+    events = spark.createDataFrame(rows, "event_id long, learner string, q_index int, kind string, selected string, correct boolean, t int").withColumn("ts", F.timestamp_seconds("t"))
+    made = sessions.snapshots(sessions.clean_events(events))
+    assert {r["learner"]: r["state"] for r in made.collect()} == {"a": '{"answers":[[0,{"correct":true,"attempts":1}],[2,{"selected":"C","correct":true,"attempts":2}]],"missMarks":[[2,1]]}'}
+    sessions.save_snapshots(made, str(tmp_path / "s"))
+    sessions.save_snapshots(made.withColumn("state", F.lit("later")), str(tmp_path / "s"))
+    assert [tuple(r) for r in sessions.saved_snapshots(spark, str(tmp_path / "s")).collect()] == [("a", "later")]
+
+
+def test_next_question(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 2), (2, 0)], "quiz int, q_index int")
+    assert {tuple(r) for r in sessions.next_question(rows, "quiz").collect()} == {(1, 2, 5, "Question 1 of 2"), (1, 5, None, "Question 2 of 2"), (2, 0, None, "Question 1 of 1")}
