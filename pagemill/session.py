@@ -27,6 +27,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -78,8 +79,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset a folder
-    is chosen here: a temporary one in local mode, one under the SQL warehouse otherwise.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only in local mode, where that is unset, a
+    temporary one is made; a cluster without the setting is an error, as no other folder is known to be shared.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -87,7 +88,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-            folder = tempfile.mkdtemp(prefix="pagemill-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+            if not local:
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pagemill-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
