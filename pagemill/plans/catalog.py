@@ -140,6 +140,14 @@ def file_filter_status(s: SparkSession, d: str) -> DataFrame:
     return ranked.select("file_index", files.file_format(F.col("file_name")).alias("format"), "message", T.format_bytes(F.col("file_size")).alias("size"))
 
 
+def file_formats(s: SparkSession, d: str) -> DataFrame:
+    """The format of each file by its media type or its name, and whether it is read; every other name has lost its extension."""
+    once = _t(s, d, "file_status").groupBy("file_index").agg(F.max("file_name").alias("file_name"))
+    kinds = F.array(*map(F.lit, ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "image/png", "text/plain")), F.lit(None))
+    rows = once.select("file_index", F.when(F.col("file_index") % 2 == 0, F.regexp_replace("file_name", r"\.\w+$", "")).otherwise(F.col("file_name")).alias("name"), F.get(kinds, F.col("file_index") % 5).alias("mime"))
+    return rows.select("file_index", files.file_format(F.col("name"), F.col("mime")).alias("format"), files.supported(F.col("name"), F.col("mime")).alias("supported"))
+
+
 def stage_labels(s: SparkSession, d: str) -> DataFrame:
     """The label of each state that files are in."""
     return _t(s, d, "file_status").select(F.lower(F.trim("state")).alias("state")).distinct().select("state", files.stage_label(F.col("state")).alias("label"))
@@ -399,6 +407,17 @@ def option_counts(s: SparkSession, d: str) -> DataFrame:
     return bank.option_counts(_questions(s, d))
 
 
+def choice_texts(s: SparkSession, d: str) -> DataFrame:
+    """How the options of each batch are described: their numbers, and the labels of the longest list."""
+    sizes = _questions(s, d).where("batch_number is not null and size(options) > 0").groupBy("batch_number").agg(F.sort_array(F.collect_set(F.size("options"))).alias("n"))
+    return sizes.select("batch_number", T.choice_text(F.col("n")).alias("text"), T.option_range(F.array_max("n")).alias("labels"))
+
+
+def sample_questions(s: SparkSession, d: str) -> DataFrame:
+    """The questions of a made-up response in the compact format, read back in the standard mode."""
+    return responses.accepted_questions(responses.sample_responses(s, 40, "compact"), "raw").select("q_index", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
+
+
 def keyed_edits(s: SparkSession, d: str) -> DataFrame:
     edits = _questions(s, d).where("question_id % 10 = 0").select("question_id", F.lit("Edited.").alias("explanation"))
     return bank.with_edits(_questions(s, d).select("question_id", "question", "explanation"), edits, "question_id", ["explanation"])
@@ -500,9 +519,9 @@ def ocr_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, stage_labels, intake_files, file_states,
+    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, file_formats, stage_labels, intake_files, file_states,
     progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, prepared_notes, question_allocation, queue_metrics,
-    source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, keyed_edits, export_csv_lines,
+    source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, choice_texts, sample_questions, keyed_edits, export_csv_lines,
     export_json, storage_key_hash, storage_keys, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, scale_factors, ocr_quality,
 ]
 

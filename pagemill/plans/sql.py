@@ -352,6 +352,20 @@ ORACLES: dict[str, str] = {
         SELECT file_index, CASE WHEN lower(coalesce(name, '')) LIKE '%.pdf' THEN 'pdf' WHEN lower(coalesce(name, '')) LIKE '%.docx' THEN 'docx' ELSE 'image' END AS format,
         CASE WHEN file_index >= 60 THEN 'Skipped because max file limit was reached.' WHEN NOT regexp_matches(lower(coalesce(name, '')), '\\.(pdf|docx|png|jpe?g|webp|gif|bmp|tiff?)$') THEN 'Unsupported file type (PDF, DOCX, and common image files only).' WHEN size > 31457280 THEN 'File is too large (>30 MB).' END AS message,
         CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024) ELSE printf('%.1f MB', size / 1048576) END AS size FROM g""",
+    "file_formats": """WITH f AS (SELECT file_index, max(file_name) AS file_name FROM file_status GROUP BY 1), g AS (SELECT file_index, lower(coalesce(CASE WHEN file_index % 2 = 0 THEN regexp_replace(file_name, '\\.\\w+$', '') ELSE file_name END, '')) AS name,
+          CASE file_index % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 2 THEN 'image/png' WHEN 3 THEN 'text/plain' ELSE '' END AS mime FROM f WHERE file_index IS NOT NULL)
+        SELECT file_index, CASE WHEN mime = 'application/pdf' OR name LIKE '%.pdf' THEN 'pdf' WHEN mime LIKE '%wordprocessingml%' OR name LIKE '%.docx' THEN 'docx' ELSE 'image' END AS format, regexp_matches(name, '\\.(pdf|docx|png|jpe?g|webp|gif|bmp|tiff?)$') OR mime NOT IN ('', 'text/plain') AS supported FROM g""",
+    "choice_texts": """WITH n AS (SELECT batch_number, min(len(options)) AS a, max(len(options)) AS b FROM questions WHERE question_id IS NOT NULL AND batch_number IS NOT NULL AND len(options) > 0 GROUP BY 1)
+        SELECT batch_number, CASE WHEN a = b THEN a || CASE WHEN a = 1 THEN ' answer choice each' ELSE ' answer choices each' END ELSE a || '-' || b || ' answer choices' END AS text, CASE WHEN b = 1 THEN 'A' ELSE 'A-' || chr((64 + b)::INTEGER) END AS labels FROM n""",
+    "sample_questions": """SELECT (i - 1)::INTEGER AS q_index, 'Sample question ' || i || '?' AS question, array_to_string(list_transform(['A', 'B', 'C', 'D'], lambda v: 'Sample option ' || v || i), '|') AS options, 'Sample option A' || i AS correct_answer, i::VARCHAR AS page FROM range(1, 41) t(i)""",
+    "ocr_quality": f"""WITH p AS (SELECT page_id, {normal("text")} AS t, 40.0::DOUBLE + page_id % 50 AS conf, list_filter(list_transform(list_filter(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '), lambda v: v <> ''),
+          lambda v: {{'t': regexp_replace(v, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'c': 30.0::DOUBLE + length(v) * 5, 'd': length(v) % 2 = 0}}), lambda v: v.t <> '') AS ws FROM pdf_pages WHERE text IS NOT NULL),
+        c AS (SELECT *, len(ws) AS n, {count("ws", "regexp_matches(w.t, '[A-Za-z]')")} AS alpha, length(regexp_replace(t, '\\s+', '', 'g')) AS seen, len(regexp_extract_all(t, '[A-Za-z0-9]')) AS alnum, len(regexp_extract_all(t, '[.,;:!?''"“”‘’()\\[\\]{{}}\\-–—/%&+=_*]')) AS marks,
+          {count("ws", "regexp_matches(w.t, '^[A-Za-z0-9]+(?:[’''/-][A-Za-z0-9]+)*$')")} AS clean, {count("ws", "w.c >= 55")} AS sure, {count("ws", "regexp_matches(w.t, '[A-Za-z]') AND w.d AND length(w.t) >= 3")} AS known, coalesce(list_sum(list_transform(ws, lambda v: v.c)), 0) AS total FROM p),
+        r AS (SELECT *, CASE WHEN n > 0 THEN total / n ELSE conf END AS average, CASE WHEN seen > 0 THEN alnum / seen ELSE 0 END AS alnums, CASE WHEN seen > 0 THEN greatest(0, seen - alnum - marks) / seen ELSE 1 END AS symbols, CASE WHEN n > 0 THEN sure / n ELSE 0 END AS sures,
+          CASE WHEN n > 0 THEN clean / n ELSE 0 END AS cleans, CASE WHEN alpha > 0 THEN known / alpha ELSE 0 END AS knowns, length(t) < 12 OR n < 3 AND alpha < 2 AS short FROM c),
+        u AS (SELECT *, length(t) > 0 AND (conf >= 68 AND alnums >= 0.7 AND symbols <= 0.08 OR NOT short AND alnums >= 0.55 AND symbols <= 0.16 AND (knowns >= 0.18 AND average >= 38 OR conf >= 42 AND average >= 45 AND sures >= 0.45 AND cleans >= 0.55)) AS usable FROM r)
+        SELECT page_id, usable, round(conf * 0.45::DOUBLE + average * 0.25::DOUBLE + sures * 22 + cleans * 12 + knowns * 16 + alnums * 10 - symbols * 60 + least(length(t), 240) * 0.05::DOUBLE + CASE WHEN usable THEN 18 ELSE -25 END, 6) AS quality_score FROM u""",
     "stage_labels": """SELECT DISTINCT lower(trim(state)) AS state, CASE lower(trim(state)) WHEN 'idle' THEN 'Ready' WHEN 'uploading' THEN 'Uploading files' WHEN 'extracting' THEN 'Extracting file text' WHEN 'analyzing' THEN 'Analyzing and compressing chunks' WHEN 'building_prompt' THEN 'Building prompt queue'
         WHEN 'waiting_for_ai' THEN 'Waiting for pasted AI batch output' WHEN 'parsed_success' THEN 'Quiz parsed successfully' WHEN 'failed' THEN 'Failed' ELSE 'Working' END AS label FROM file_status""",
     "intake_files": "SELECT file_index, file_name, file_size FROM (SELECT DISTINCT file_index, file_name, file_size, updated_at FROM file_status) QUALIFY row_number() OVER (PARTITION BY file_name, file_size, updated_at ORDER BY file_index) = 1",
