@@ -18,7 +18,9 @@ from pagemill.llm.ranks import cells, rank_in_cell, with_salt
 from pagemill.llm.tokens import VOCABULARY, count_tokens
 from pagemill.session import broadcast_if_small, cut_lineage
 
-#: Tokens up to which the rest of a budget is left to the exact knapsack.
+#: Tokens up to which the rest of a budget is left to the exact knapsack; what is beyond is drafted over counts first, so
+#: that the knapsack's work doesn't grow with the budget.  With many different lengths the sum still comes as near the budget
+#: as counts allow; with very few it may miss that by less than the greatest length.
 KNAPSACK = 1 << 15
 
 
@@ -53,7 +55,7 @@ def nearest_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.n
     return taken
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int) -> tuple[int, np.ndarray]:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int, knapsack: int = KNAPSACK) -> tuple[int, np.ndarray]:
     """Whole passes over all documents, and how many documents of each length are used once more."""
     total = int((lengths * counts).sum())
     passes = min(most, budget // total) if total else 0
@@ -63,13 +65,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int)
     draft = (counts * (rest / total)).astype(np.int64)
     gap = rest - int((draft * lengths).sum())
     for i in np.argsort(-lengths):  # what rounding down left over, but for the knapsack's part
-        more = min(int(counts[i] - draft[i]), max(0, gap - KNAPSACK) // int(lengths[i]))
+        more = min(int(counts[i] - draft[i]), max(0, gap - knapsack) // int(lengths[i]))
         draft[i] += more
         gap -= more * int(lengths[i])
     for i in np.argsort(lengths):  # room for the knapsack to choose in
-        if gap >= min(rest, 4 * int(lengths.max()), KNAPSACK):
+        if gap >= min(rest, 4 * int(lengths.max()), knapsack):
             break
-        back = min(int(draft[i]), -(-(min(rest, 4 * int(lengths.max()), KNAPSACK) - gap) // int(lengths[i])))
+        back = min(int(draft[i]), -(-(min(rest, 4 * int(lengths.max()), knapsack) - gap) // int(lengths[i])))
         draft[i] -= back
         gap += back * int(lengths[i])
     return passes, draft + nearest_subset(lengths, counts - draft, gap)

@@ -162,3 +162,22 @@ def test_chunks_without_a_key_are_all_packed(spark):
     for r in got:
         used[r["batch_number"]] = used.get(r["batch_number"], 0) + r["size"]
     assert max(used.values()) <= 100
+
+
+def test_budgets_beyond_the_knapsack_as_by_brute_force():
+    rng = random.Random(9)
+    for k in range(200):
+        many = k % 2
+        lengths = np.array(sorted(rng.sample(range(1, 40), 20 if many else rng.randint(2, 6))), np.int64)
+        counts = np.array([rng.randint(3 if many else 1, 60) for _ in lengths], np.int64)
+        total = int((lengths * counts).sum())
+        budget = rng.randint(1, total)
+        sums = 1
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(c):
+                sums |= sums << n
+        best = min(abs(budget - x) for x in range(total + 1) if sums >> x & 1)
+        passes, extra = mixing.fit_budget(lengths, counts, budget, 5, knapsack=120)
+        assert (extra >= 0).all() and (extra <= counts).all()
+        gap = abs(budget - passes * total - int((extra * lengths).sum()))
+        assert gap == best if many else gap <= best + lengths.max()
