@@ -113,6 +113,11 @@ def file_totals(s: SparkSession, d: str) -> DataFrame:
     return files.file_totals(_pages(s, d))
 
 
+def source_files(s: SparkSession, d: str) -> DataFrame:
+    """The files of the folder of tables, by name and size, no byte of them read."""
+    return files.read_files(s, d).where("length > 0").select("file_name", "length")
+
+
 def low_text_files(s: SparkSession, d: str) -> DataFrame:
     """The warning of each file with very little text."""
     return files.file_totals(_pages(s, d)).where("low_text").select("file_index", "text_length", F.lit(files.LOW_TEXT).alias("warning"))
@@ -475,6 +480,15 @@ def state_snapshot(s: SparkSession, d: str) -> DataFrame:
     return sessions.snapshots(sessions.clean_events(_t(s, d, "quiz_events")))
 
 
+def restored_states(s: SparkSession, d: str) -> DataFrame:
+    """Saved answers and marks as they come back for a bank in which every question has four options."""
+    events = sessions.clean_events(_t(s, d, "quiz_events"))
+    whole = [F.col(c).cast("double").alias(c) for c in ("q_index", "attempts", "marks")]
+    saved = sessions.answers(events).join(sessions.miss_marks(events), sessions.KEYS, "full").select("learner", "selected", "correct", *whole)
+    bank_rows = _questions(s, d).where("q_index is not null").select("q_index").distinct().withColumn("options", F.array(*map(F.lit, "ABCD")))
+    return sessions.restored(saved, bank_rows)
+
+
 def question_states(s: SparkSession, d: str) -> DataFrame:
     return sessions.question_states(sessions.clean_events(_t(s, d, "quiz_events"))).select("learner", "q_index", "status", "locked")
 
@@ -510,19 +524,29 @@ def scale_factors(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", F.round(recognition.scale_factor(F.col("p_size") * 53), 6).alias("factor"))
 
 
-def ocr_quality(s: SparkSession, d: str) -> DataFrame:
-    """Pages scored as recognition output, with confidences derived from the length of words."""
-    pages = _pages(s, d).where("text is not null").select("page_id", "text", (F.lit(40.0) + F.pmod("page_id", F.lit(50))).alias("confidence"))
+def _recognised(s: SparkSession, d: str, confidence) -> DataFrame:
+    """Pages as recognition output, with confidences of words derived from their length."""
+    pages = _pages(s, d).where("text is not null").select("page_id", "text", confidence(F.pmod("page_id", F.lit(50))).alias("confidence"))
     word = lambda w: F.struct(w.alias("text"), (F.lit(30.0) + F.length(w) * 5).alias("confidence"), (F.length(w) % 2 == 0).alias("in_dictionary"))
-    rows = pages.withColumn("words", F.transform(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), word))
-    return recognition.page_quality(rows).select("page_id", "usable", F.round("quality_score", 6).alias("quality_score"))
+    return recognition.page_quality(pages.withColumn("words", F.transform(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), word)))
+
+
+def ocr_quality(s: SparkSession, d: str) -> DataFrame:
+    """How usable each page is as recognition output."""
+    return _recognised(s, d, lambda k: F.lit(40.0) + k).select("page_id", "usable", F.round("quality_score", 6).alias("quality_score"))
+
+
+def best_attempts(s: SparkSession, d: str) -> DataFrame:
+    """The better of two attempts at each page."""
+    first, second = _recognised(s, d, lambda k: F.lit(40.0) + k), _recognised(s, d, lambda k: F.lit(90.0) - k)
+    return recognition.best_attempt(first, second, "page_id").select("page_id", "confidence", "usable", F.length("text").alias("chars"), F.round("quality_score", 6).alias("quality_score"))
 
 
 QUERIES: list[Query] = [
-    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, file_formats, stage_labels, intake_files, file_states,
+    normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, source_files, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, file_formats, stage_labels, intake_files, file_states,
     progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, prepared_notes, question_allocation, queue_metrics,
     source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, choice_texts, sample_questions, keyed_edits, export_csv_lines,
-    export_json, storage_key_hash, storage_keys, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, scale_factors, ocr_quality,
+    export_json, storage_key_hash, storage_keys, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, restored_states, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, scale_factors, ocr_quality, best_attempts,
 ]
 
 

@@ -322,6 +322,18 @@ _CONTRAST = """WITH px AS (SELECT p_brand, p_partkey, floor((p_size * 5 % 256) *
         st AS (SELECT p_brand, p_partkey, greatest(0, least(255, floor((g - lo) * 255 / greatest(hi - lo, 1) + 0.5)))::INTEGER AS v FROM px JOIN lh USING (p_brand))"""
 
 
+def quality(conf: str) -> str:
+    """Usability and score of pages as recognition output, with the confidence given."""
+    return f"""WITH p AS (SELECT page_id, {normal("text")} AS t, {conf} AS conf, list_filter(list_transform(list_filter(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '), lambda v: v <> ''),
+          lambda v: {{'t': regexp_replace(v, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'c': 30.0::DOUBLE + length(v) * 5, 'd': length(v) % 2 = 0}}), lambda v: v.t <> '') AS ws FROM pdf_pages WHERE text IS NOT NULL),
+        c AS (SELECT *, len(ws) AS n, {count("ws", "regexp_matches(w.t, '[A-Za-z]')")} AS alpha, length(regexp_replace(t, '\\s+', '', 'g')) AS seen, len(regexp_extract_all(t, '[A-Za-z0-9]')) AS alnum, len(regexp_extract_all(t, '[.,;:!?''"“”‘’()\\[\\]{{}}\\-–—/%&+=_*]')) AS marks,
+          {count("ws", "regexp_matches(w.t, '^[A-Za-z0-9]+(?:[’''/-][A-Za-z0-9]+)*$')")} AS clean, {count("ws", "w.c >= 55")} AS sure, {count("ws", "regexp_matches(w.t, '[A-Za-z]') AND w.d AND length(w.t) >= 3")} AS known, coalesce(list_sum(list_transform(ws, lambda v: v.c)), 0) AS total FROM p),
+        r AS (SELECT *, CASE WHEN n > 0 THEN total / n ELSE conf END AS average, CASE WHEN seen > 0 THEN alnum / seen ELSE 0 END AS alnums, CASE WHEN seen > 0 THEN greatest(0, seen - alnum - marks) / seen ELSE 1 END AS symbols, CASE WHEN n > 0 THEN sure / n ELSE 0 END AS sures,
+          CASE WHEN n > 0 THEN clean / n ELSE 0 END AS cleans, CASE WHEN alpha > 0 THEN known / alpha ELSE 0 END AS knowns, length(t) < 12 OR n < 3 AND alpha < 2 AS short FROM c),
+        u AS (SELECT *, length(t) > 0 AND (conf >= 68 AND alnums >= 0.7 AND symbols <= 0.08 OR NOT short AND alnums >= 0.55 AND symbols <= 0.16 AND (knowns >= 0.18 AND average >= 38 OR conf >= 42 AND average >= 45 AND sures >= 0.45 AND cleans >= 0.55)) AS usable FROM r)
+        SELECT page_id, t, conf, usable, conf * 0.45::DOUBLE + average * 0.25::DOUBLE + sures * 22 + cleans * 12 + knowns * 16 + alnums * 10 - symbols * 60 + least(length(t), 240) * 0.05::DOUBLE + CASE WHEN usable THEN 18 ELSE -25 END AS quality_score FROM u"""
+
+
 ORACLES: dict[str, str] = {
     "pack_sequential": _SEQUENTIAL,
     "chunk_ids": f"WITH {_OWN_CHUNKS} SELECT source_order, label || '-' || (chunk_index + 1) AS id, label || '-c' || (chunk_index + 1) AS chunk_id FROM own",
@@ -358,14 +370,12 @@ ORACLES: dict[str, str] = {
     "choice_texts": """WITH n AS (SELECT batch_number, min(len(options)) AS a, max(len(options)) AS b FROM questions WHERE question_id IS NOT NULL AND batch_number IS NOT NULL AND len(options) > 0 GROUP BY 1)
         SELECT batch_number, CASE WHEN a = b THEN a || CASE WHEN a = 1 THEN ' answer choice each' ELSE ' answer choices each' END ELSE a || '-' || b || ' answer choices' END AS text, CASE WHEN b = 1 THEN 'A' ELSE 'A-' || chr((64 + b)::INTEGER) END AS labels FROM n""",
     "sample_questions": """SELECT (i - 1)::INTEGER AS q_index, 'Sample question ' || i || '?' AS question, array_to_string(list_transform(['A', 'B', 'C', 'D'], lambda v: 'Sample option ' || v || i), '|') AS options, 'Sample option A' || i AS correct_answer, i::VARCHAR AS page FROM range(1, 41) t(i)""",
-    "ocr_quality": f"""WITH p AS (SELECT page_id, {normal("text")} AS t, 40.0::DOUBLE + page_id % 50 AS conf, list_filter(list_transform(list_filter(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '), lambda v: v <> ''),
-          lambda v: {{'t': regexp_replace(v, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), 'c': 30.0::DOUBLE + length(v) * 5, 'd': length(v) % 2 = 0}}), lambda v: v.t <> '') AS ws FROM pdf_pages WHERE text IS NOT NULL),
-        c AS (SELECT *, len(ws) AS n, {count("ws", "regexp_matches(w.t, '[A-Za-z]')")} AS alpha, length(regexp_replace(t, '\\s+', '', 'g')) AS seen, len(regexp_extract_all(t, '[A-Za-z0-9]')) AS alnum, len(regexp_extract_all(t, '[.,;:!?''"“”‘’()\\[\\]{{}}\\-–—/%&+=_*]')) AS marks,
-          {count("ws", "regexp_matches(w.t, '^[A-Za-z0-9]+(?:[’''/-][A-Za-z0-9]+)*$')")} AS clean, {count("ws", "w.c >= 55")} AS sure, {count("ws", "regexp_matches(w.t, '[A-Za-z]') AND w.d AND length(w.t) >= 3")} AS known, coalesce(list_sum(list_transform(ws, lambda v: v.c)), 0) AS total FROM p),
-        r AS (SELECT *, CASE WHEN n > 0 THEN total / n ELSE conf END AS average, CASE WHEN seen > 0 THEN alnum / seen ELSE 0 END AS alnums, CASE WHEN seen > 0 THEN greatest(0, seen - alnum - marks) / seen ELSE 1 END AS symbols, CASE WHEN n > 0 THEN sure / n ELSE 0 END AS sures,
-          CASE WHEN n > 0 THEN clean / n ELSE 0 END AS cleans, CASE WHEN alpha > 0 THEN known / alpha ELSE 0 END AS knowns, length(t) < 12 OR n < 3 AND alpha < 2 AS short FROM c),
-        u AS (SELECT *, length(t) > 0 AND (conf >= 68 AND alnums >= 0.7 AND symbols <= 0.08 OR NOT short AND alnums >= 0.55 AND symbols <= 0.16 AND (knowns >= 0.18 AND average >= 38 OR conf >= 42 AND average >= 45 AND sures >= 0.45 AND cleans >= 0.55)) AS usable FROM r)
-        SELECT page_id, usable, round(conf * 0.45::DOUBLE + average * 0.25::DOUBLE + sures * 22 + cleans * 12 + knowns * 16 + alnums * 10 - symbols * 60 + least(length(t), 240) * 0.05::DOUBLE + CASE WHEN usable THEN 18 ELSE -25 END, 6) AS quality_score FROM u""",
+    "ocr_quality": f"SELECT page_id, usable, round(quality_score, 6) AS quality_score FROM ({quality('40.0::DOUBLE + page_id % 50')})",
+    "best_attempts": f"""WITH a AS (SELECT *, 0 AS try FROM ({quality("40.0::DOUBLE + page_id % 50")}) UNION ALL SELECT *, -1 FROM ({quality("90.0::DOUBLE - page_id % 50")})),
+        g AS (SELECT page_id FROM a WHERE try = 0 AND usable AND quality_score >= 90), k AS (SELECT * FROM a WHERE try = 0 OR page_id NOT IN (SELECT page_id FROM g) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY quality_score DESC, try DESC) = 1)
+        SELECT page_id, conf AS confidence, usable, (CASE WHEN usable THEN length(t) ELSE 0 END)::INTEGER AS chars, round(quality_score, 6) AS quality_score FROM k""",
+    "restored_states": f"""WITH {EVENTS}, b AS (SELECT DISTINCT q_index FROM questions WHERE q_index IS NOT NULL AND question_id IS NOT NULL), j AS (SELECT learner, q_index, selected, correct, attempts, marks, coalesce(selected IN ('A', 'B', 'C', 'D'), false) AS known FROM an FULL JOIN ma USING (learner, q_index) JOIN b USING (q_index))
+        SELECT learner, q_index::BIGINT AS q_index, CASE WHEN known THEN selected END AS selected, CASE WHEN known THEN correct END AS correct, CASE WHEN known THEN greatest(1, attempts)::INTEGER END AS attempts, coalesce(marks, 0)::INTEGER AS marks FROM j WHERE known OR marks > 0""",
     "stage_labels": """SELECT DISTINCT lower(trim(state)) AS state, CASE lower(trim(state)) WHEN 'idle' THEN 'Ready' WHEN 'uploading' THEN 'Uploading files' WHEN 'extracting' THEN 'Extracting file text' WHEN 'analyzing' THEN 'Analyzing and compressing chunks' WHEN 'building_prompt' THEN 'Building prompt queue'
         WHEN 'waiting_for_ai' THEN 'Waiting for pasted AI batch output' WHEN 'parsed_success' THEN 'Quiz parsed successfully' WHEN 'failed' THEN 'Failed' ELSE 'Working' END AS label FROM file_status""",
     "intake_files": "SELECT file_index, file_name, file_size FROM (SELECT DISTINCT file_index, file_name, file_size, updated_at FROM file_status) QUALIFY row_number() OVER (PARTITION BY file_name, file_size, updated_at ORDER BY file_index) = 1",
