@@ -18,10 +18,15 @@ from pagemill.functions import text as T
 KEYS = ["learner", "q_index"]
 
 
-def clean_events(events: DataFrame) -> DataFrame:
-    """Each event once, its kind in lower case; events without id, learner, kind or time are left out."""
+def named_events(events: DataFrame) -> DataFrame:
+    """Events of a table or stream, kinds in lower case and labels in upper; those without id, learner, kind or time are left out."""
     named = events.withColumn("kind", F.lower(F.trim("kind"))).where("event_id is not null and learner is not null and kind is not null and ts is not null")
-    slim = named.select("event_id", "learner", "q_index", "kind", F.upper(F.trim("selected")).alias("selected"), "correct", "ts")
+    return named.select("event_id", "learner", "q_index", "kind", F.upper(F.trim("selected")).alias("selected"), "correct", "ts")
+
+
+def clean_events(events: DataFrame) -> DataFrame:
+    """Each event of a table once."""
+    slim = named_events(events)
     return slim.groupBy("event_id").agg(F.min(F.struct("learner", "q_index", "kind", "selected", "correct", "ts")).alias("_e")).select("event_id", "_e.*")
 
 
@@ -171,7 +176,7 @@ class SessionProcessor(StatefulProcessor):
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         touched: dict[int, tuple] = {}
         for e in events.itertuples(index=False):
-            kind = (e.kind or "").strip().lower()
+            kind = e.kind
             if kind == "restart":
                 known = {q for (q,), _ in self._questions.iterator()} | set(touched)
                 self._questions.clear()
@@ -197,10 +202,10 @@ class SessionProcessor(StatefulProcessor):
 def stream_states(events: DataFrame) -> DataFrame:
     """Changed states of a stream of events, in update mode; needs the RocksDB state store.
 
-    Events are taken in order within a trigger; the watermark that drops repeated and late ones is set by the caller
-    (``with_watermark``), as an extension.
+    Unlike a table, a stream is read as it comes: events are in order within a trigger, but one that arrives after
+    younger ones were handled is applied then, and a repeated one counts again unless ``with_watermark`` is put before.
     """
-    return events.groupBy("learner").transformWithStateInPandas(SessionProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    return named_events(events).groupBy("learner").transformWithStateInPandas(SessionProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
 
 
 def with_watermark(events: DataFrame, late: str = "7 days") -> DataFrame:
