@@ -101,6 +101,8 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 20_000, most_bytes: int =
     for field in df.schema.fields:
         if field.dataType.simpleString() in ("string", "binary"):
             width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        elif field.dataType.typeName() == "array":
+            width = width + F.coalesce(F.size(field.name), F.lit(0)) * 32
     n, size = df.limit(most_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(df) if n <= most_rows and size <= most_bytes else df
 
