@@ -46,8 +46,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
-    pages = _t(spark, d, "pdf_pages")
-    return site_lines.without_lines(pages, site_lines.repeated_lines(pages))
+    return site_lines.clean_pages(_t(spark, d, "pdf_pages"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

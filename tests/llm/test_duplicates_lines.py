@@ -101,4 +101,5 @@ def test_repeated_lines_as_by_hand(spark):
     clean = {r["page_id"]: r["text"] for r in site_lines.without_lines(df, found).collect()}
     gone = lines_by_hand(rows)
     assert clean == {p: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (p, i) not in gone) for p, _, t in rows}
-    assert site_lines.repeated_lines(df.limit(0)).count() == 0
+    assert {r["page_id"]: r["text"] for r in site_lines.clean_pages(df).collect()} == clean
+    assert site_lines.repeated_lines(df.limit(0)).count() == site_lines.clean_pages(df.limit(0)).count() == 0
