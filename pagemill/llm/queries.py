@@ -67,8 +67,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_corpus(spark: SparkSession, d: str) -> DataFrame:
-    documents = _t(spark, d, "documents")
-    return residue.without_residue(documents, residue.residue_documents(documents)).select("doc_id", "source", "text")
+    return residue.corpus(_t(spark, d, "documents"), ["doc_id", "source", "text"])
 
 
 def p8_validation(spark: SparkSession, d: str) -> DataFrame:

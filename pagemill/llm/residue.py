@@ -373,6 +373,27 @@ def residue_documents(documents: DataFrame, sample: int = SAMPLE, seed: int = 8)
     return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text")).mapInArrow(run, "doc_id long")
 
 
+def corpus(documents: DataFrame, keep: list[str], sample: int = SAMPLE, seed: int = 8) -> DataFrame:
+    """The columns ``keep``, text among them, of the documents that are not found, each judged where it lies, without a join.
+
+    Null texts and rows with a null id stay.
+    """
+    model, _ = fitted(documents, sample, seed)
+    shared = _shared(documents, model)
+    given = documents.select(F.col("doc_id").isNotNull().alias("_known"), F.col("text").alias("_text"), *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, UNIT_BATCH):
+                part = batch.slice(at, UNIT_BATCH)
+                found = judge(part.column(1).to_pylist(), own)
+                stay = pa.array([not (f and k) for f, k in zip(found, part.column(0).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(stay) for c in part.columns[2:]], keep)
+
+    return spread(given).mapInArrow(run, given.select(*keep).schema)
+
+
 def without_residue(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The corpus without the documents found."""
     return documents.join(found, "doc_id", "left_anti")

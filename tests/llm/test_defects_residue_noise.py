@@ -61,6 +61,8 @@ def test_residue_documents(spark):
     for i, (text, wanted) in enumerate(CASES):
         assert (i in got) == wanted, text
     assert residue.without_residue(df, found).where("doc_id < 100").count() == sum(not w for _, w in CASES)
+    stays = residue.without_residue(df, found)
+    assert sorted(map(str, residue.corpus(df, ["doc_id", "text", "found"]).collect())) == sorted(map(str, stays.select("doc_id", "text", "found").collect()))
     _, report = residue.train(df)
     assert report["slot_recall"] >= 0.9 or report["held_out_units"] < 5
     assert residue.residue_documents(df.limit(0)).count() == 0
