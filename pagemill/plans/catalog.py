@@ -299,15 +299,20 @@ def _grouped(s: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def _compact_question(q, index):
+    """A question as a list of five, its index written by ``index`` from the right option's place."""
+    inner = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    source = [inner(q["source"][c]) for c in ("file", "page", "chunk_id")]
+    options = F.coalesce(F.to_json(q["options"]), F.lit("null"))
+    parts = [inner(q["question"]), options, index(bank.correct_position(q["options"], q["correct_answer"])), inner(q["explanation"]), F.concat(F.lit("["), F.concat_ws(",", *source), F.lit("]"))]
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
 def _responses(s: SparkSession, d: str) -> DataFrame:
     """Standard responses of three questions, in seven ways: plain, fenced, with a number page, with words around, cut off, empty, and compact."""
     asked = F.transform(F.sort_array(F.collect_list(F.struct("question_id", F.struct(*export.FIELDS).alias("q")))), lambda x: x["q"])
     rows = _grouped(s, d).groupBy("response").agg(asked.alias("q")).withColumn("raw", responses.standard_json(F.col("q")))
-    inner = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
-    index = lambda q: bank.correct_position(q["options"], q["correct_answer"]).cast("string")
-    options = lambda q: F.coalesce(F.to_json(q["options"]), F.lit("null"))
-    five = lambda q: F.concat(F.lit("["), inner(q["question"]), F.lit(","), options(q), F.lit(","), index(q), F.lit(","), inner(q["explanation"]), F.lit(",["), inner(q["source"]["file"]), F.lit(","), inner(q["source"]["page"]), F.lit(","), inner(q["source"]["chunk_id"]), F.lit("]]"))
-    compact = F.concat(F.lit('{"questions":['), F.array_join(F.transform("q", five), ","), F.lit("]}"))
+    compact = F.concat(F.lit('{"questions":['), F.array_join(F.transform("q", lambda q: _compact_question(q, lambda place: place.cast("string"))), ","), F.lit("]}"))
     kind = F.col("response") % 7
     made = (
         F.when(kind == 1, F.concat(F.lit("Here it is:\n```json\n"), F.col("raw"), F.lit("\n```\nDone.")))
@@ -322,11 +327,19 @@ def _responses(s: SparkSession, d: str) -> DataFrame:
 
 
 def _compact_responses(s: SparkSession, d: str) -> DataFrame:
-    inner = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
-    index = bank.correct_position(F.col("options"), F.col("correct_answer")).cast("string")
-    source = F.concat(F.lit("["), inner(F.col("source.file")), F.lit(","), inner(F.col("source.page")), F.lit(","), inner(F.col("source.chunk_id")), F.lit("]"))
-    raw = F.concat(F.lit('{"questions":[['), inner(F.col("question")), F.lit(","), F.to_json("options"), F.lit(","), index, F.lit(","), inner(F.col("explanation")), F.lit(","), source, F.lit("]]}"))
-    return _questions(s, d).select("question_id", F.coalesce(raw, F.lit("")).alias("raw"))
+    """Compact responses of three questions; the index is a number, fenced, a letter, a number as text, or out of range."""
+    asked = F.transform(F.sort_array(F.collect_list(F.struct("question_id", F.struct(*export.FIELDS).alias("q")))), lambda x: x["q"])
+    rows = _grouped(s, d).groupBy("response").agg(asked.alias("q"))
+    kind = F.col("response") % 5
+
+    def index(place):
+        letter = F.when(place >= 0, F.char(place + 97)).otherwise(place.cast("string"))
+        quoted = F.concat(F.lit('"'), F.when(kind == 2, letter).otherwise(place.cast("string")), F.lit('"'))
+        return F.when(kind == 4, "9").when(kind.isin(2, 3), quoted).otherwise(place.cast("string"))
+
+    listed = F.array_join(F.transform("q", lambda q: _compact_question(q, index)), ",")
+    raw = F.concat(F.lit('{"questions":['), listed, F.lit("]}"))
+    return rows.select("response", F.when(kind == 1, F.concat(F.lit("```\n"), raw, F.lit("\n```"))).otherwise(raw).alias("raw"))
 
 
 def parse_standard(s: SparkSession, d: str) -> DataFrame:
@@ -335,8 +348,14 @@ def parse_standard(s: SparkSession, d: str) -> DataFrame:
 
 
 def parse_compact(s: SparkSession, d: str) -> DataFrame:
-    rows = responses.accepted_questions(_compact_responses(s, d), "question_id", "compact")
-    return rows.select("question_id", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
+    rows = responses.accepted_questions(_compact_responses(s, d), "response", "compact")
+    return rows.select("response", "q_index", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
+
+
+def compact_errors(s: SparkSession, d: str) -> DataFrame:
+    """Every message of every compact response that is not accepted."""
+    parsed = responses.parse_responses(_compact_responses(s, d), "response", "compact")
+    return parsed.where("not success").select("response", F.array_join("errors", "\n").alias("errors"))
 
 
 def parse_errors(s: SparkSession, d: str) -> DataFrame:
@@ -545,7 +564,7 @@ def best_attempts(s: SparkSession, d: str) -> DataFrame:
 QUERIES: list[Query] = [
     normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, source_files, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, file_formats, stage_labels, intake_files, file_states,
     progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, prepared_notes, question_allocation, queue_metrics,
-    source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, choice_texts, sample_questions, keyed_edits, export_csv_lines,
+    source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, compact_errors, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, choice_texts, sample_questions, keyed_edits, export_csv_lines,
     export_json, storage_key_hash, storage_keys, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, restored_states, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, scale_factors, ocr_quality, best_attempts,
 ]
 

@@ -132,6 +132,15 @@ _RESPONSES = f"""q AS (SELECT question_id // 3 AS response, row_number() OVER (P
   question <> '' AND len(options) = 4 AND NOT gap AND NOT blank AND explanation <> '' AND file <> '' AND chunk <> '' AND raw_page IS NOT NULL AND pos IS NOT NULL AS compact FROM q),
  v AS (SELECT response, any_value(kind) AS kind, flatten(list(told ORDER BY i)) AS told, bool_and(coalesce(compact, false)) AS compact FROM m GROUP BY 1),
  judged AS (SELECT *, CASE WHEN kind = 4 THEN false WHEN kind = 5 THEN false WHEN kind = 6 THEN compact ELSE len(told) = 0 END AS ok FROM v)"""
+_COMPACT = f"""{_RESPONSES},
+ ce AS (SELECT *, list_filter([
+   {_message("i", "question", "0", "compact question text is required")},
+   CASE WHEN options IS NULL THEN 'questions.' || i || '.1: Required' WHEN len(options) <> 4 THEN 'questions.' || i || '.1: compact question needs 4 options' END,
+   CASE WHEN gap OR blank THEN 'questions.' || i || '.1: compact options cannot be empty' END,
+   {_message("i", "explanation", "3", "compact explanation is required")},
+   CASE WHEN coalesce(file, '') = '' OR coalesce(chunk, '') = '' OR page IS NULL THEN 'questions.' || i || '.4: Invalid source' END], lambda v: v IS NOT NULL) AS early FROM q),
+ cm AS (SELECT response, i, question, options, answer, page, CASE WHEN len(early) = 0 AND (pos IS NULL OR pos = 0 OR response % 5 = 4) THEN ['{_BAD_INDEX}'] ELSE early END AS t FROM ce),
+ cv AS (SELECT response, flatten(list(t ORDER BY i)) AS told FROM cm GROUP BY 1)"""
 _TRIM_OPTIONS = f"array_to_string(list_transform(options, lambda v: {trimmed('v')}), '|')"
 STEM = f"{trimmed('''regexp_replace(lower(coalesce(question, '')), '[^a-z0-9]+', ' ', 'g')''')}"
 MOVED = """CASE WHEN options IS NULL OR len(options) = 0 THEN options WHEN coalesce(list_position(options, correct_answer), 0) = 0 OR correct_answer IS NULL THEN options ELSE list_concat(list_concat(o[1:t], [correct_answer]), o[t+1:]) END"""
@@ -417,7 +426,8 @@ ORACLES: dict[str, str] = {
     "count_advice": """WITH b AS (SELECT batch_number, count(*) AS back FROM questions WHERE question_id IS NOT NULL GROUP BY 1) SELECT batch_number, CASE WHEN question_count > back THEN 'This model returned too few questions for the current batch. Try Light mode at 3 questions per prompt. If it still struggles, turn on compact response mode.'
         WHEN question_count < back THEN 'This model returned too many questions for the current batch. Try Light mode at 3 questions per prompt. If it still struggles, turn on compact response mode.' END AS advice FROM prompt_batches JOIN b USING (batch_number) WHERE question_count IS NOT NULL""",
     "parse_standard": f"""WITH {_RESPONSES} SELECT response, i::INTEGER AS q_index, {trimmed("question")} AS question, {_TRIM_OPTIONS} AS options, {trimmed("answer")} AS correct_answer, CASE WHEN page = '' THEN 'unknown' ELSE page END AS page FROM m JOIN judged USING (response) WHERE ok""",
-    "parse_compact": f"""WITH {VALID.replace(f"AND {trimmed('source.page')} <> ''", "AND source.page IS NOT NULL")} SELECT question_id, {trimmed('question')} AS question, {_TRIM_OPTIONS} AS options, {trimmed('correct_answer')} AS correct_answer, CASE WHEN {trimmed('source.page')} = '' THEN 'unknown' ELSE {trimmed('source.page')} END AS page FROM ok""",
+    "parse_compact": f"""WITH {_COMPACT} SELECT response, i::INTEGER AS q_index, {trimmed("question")} AS question, {_TRIM_OPTIONS} AS options, {trimmed("answer")} AS correct_answer, CASE WHEN page = '' THEN 'unknown' ELSE page END AS page FROM cm JOIN cv USING (response) WHERE len(told) = 0""",
+    "compact_errors": f"WITH {_COMPACT} SELECT response, array_to_string(told, chr(10)) AS errors FROM cv WHERE len(told) > 0",
     "parse_errors": f"""WITH {_RESPONSES} SELECT response, CASE kind WHEN 4 THEN '{_NO_JSON}' WHEN 5 THEN '{_EMPTY}' ELSE array_to_string(told, chr(10)) END AS errors FROM judged WHERE NOT ok AND kind <> 6
         UNION ALL SELECT response, array_to_string(list_transform(range(n), lambda i: array_to_string(['questions.' || i || '.question: Required', 'questions.' || i || '.options: Required', 'questions.' || i || '.correctAnswer: Required', 'questions.' || i || '.explanation: Required', 'questions.' || i || '.source.file: Required', 'questions.' || i || '.source.page: Required', 'questions.' || i || '.source.chunkId: Required'], chr(10))), chr(10))
         FROM judged JOIN (SELECT response, count(*) AS n FROM m GROUP BY 1) USING (response) WHERE NOT ok AND kind = 6""",
