@@ -391,7 +391,7 @@ def corpus(documents: DataFrame, keep: list[str], sample: int = SAMPLE, seed: in
                 stay = pa.array([not (f and k) for f, k in zip(found, part.column(0).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([c.filter(stay) for c in part.columns[2:]], keep)
 
-    return spread(given).mapInArrow(run, given.select(*keep).schema)
+    return spread(given).mapInArrow(run, documents.select(*keep).schema)
 
 
 def without_residue(documents: DataFrame, found: DataFrame) -> DataFrame:

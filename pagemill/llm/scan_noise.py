@@ -354,7 +354,11 @@ class Noise:
 
     def _titles(self, known: DataFrame) -> DataFrame:
         """(file_index, word): keys of the titles of works and chapters, and of lines that head several pages."""
-        key = F.pandas_udf(lambda names: names.map(file_key), "string")
+
+        @F.pandas_udf("string")
+        def key(names: pd.Series) -> pd.Series:
+            return names.map(file_key)
+
         names = known.select("file_index", key("file_name").alias("word"))
         openings = self.items.where("kind = 'title'").select("file_index", "word")
         heads = self.items.where("kind = 'head' and record_table = 'pdf_pages'").groupBy("file_index", "word").agg(F.countDistinct("record_id").alias("n")).where("n >= 3")
