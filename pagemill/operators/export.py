@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import json
 from collections.abc import Iterator
 
@@ -46,11 +45,11 @@ def storage_key(title: Column, payload: Column) -> Column:
     return F.concat(F.lit("quiz-export-state-"), T.fnv1a(F.concat(title, F.lit("|"), payload)))
 
 
-def html_page(title: str, payload: str, key: str) -> str:
-    """A plain page that carries the bank as data; presentation and sounds are left to the reader's own template."""
-    data = payload.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
-    shown = html.escape(title, quote=True).replace("&#x27;", "&#39;")
-    return f'<!doctype html>\n<html lang="en">\n<head><meta charset="utf-8"><title>{shown}</title></head>\n<body>\n<h1>{shown}</h1>\n<script type="application/json" id="quiz" data-key="{key}">{data}</script>\n</body>\n</html>\n'
+def html_page(title: Column, payload: Column) -> Column:
+    """A plain page that carries the bank as data, under the key of its title and data; presentation and sounds are left to the reader's own template."""
+    shown = T.html_escape(title)
+    head = F.concat(F.lit('<!doctype html>\n<html lang="en">\n<head><meta charset="utf-8"><title>'), shown, F.lit("</title></head>\n<body>\n<h1>"), shown, F.lit("</h1>\n"))
+    return F.concat(head, F.lit('<script type="application/json" id="quiz" data-key="'), storage_key(title, payload), F.lit('">'), T.script_safe(payload), F.lit("</script>\n</body>\n</html>\n"))
 
 
 def csv_text(lines: DataFrame, header: str) -> DataFrame:

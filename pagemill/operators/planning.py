@@ -150,6 +150,14 @@ def prepared_note(planned: Column, questions: Column, settings: QuizSettings) ->
     return F.concat(told, F.when(more > 0, extra).otherwise(""))
 
 
+def new_batches(planned: DataFrame, settings: QuizSettings) -> DataFrame:
+    """Planned batches as a queue keeps them: unanswered, with the settings they were planned under."""
+    text = lambda x: F.lit(x).cast("string")
+    fresh = {"response": text(""), "prompt_override": text(None), "status": text("pending"), "added": F.lit(0).cast("long"), "duplicates": F.lit(0).cast("long"), "notes": F.array().cast("array<string>")}
+    kept = {"difficulty": settings.difficulty, "topic_focus": settings.topic_focus, "response_format": settings.response_format, "question_style": settings.question_style, "custom_instructions": settings.custom_instructions}
+    return planned.withColumns(fresh | {k: text(v) for k, v in kept.items()} | {"option_count": F.lit(settings.options)})
+
+
 def parsed_batches(batch_rows: DataFrame, outcomes: DataFrame, option_range: str) -> DataFrame:
     """Adds status, added, duplicates, notes and next_pending to (batch_number, question_count), by what came back.
 
@@ -166,6 +174,7 @@ def parsed_batches(batch_rows: DataFrame, outcomes: DataFrame, option_range: str
         F.when(F.col("repeated") > 0, repeated),
     )
     taken = F.coalesce("success", F.lit(False))
-    rows = batch_rows.join(outcomes, "batch_number", "left").withColumn("status", F.when(taken, "parsed").otherwise("pending"))
+    before = batch_rows.drop("status", "added", "duplicates", "notes")
+    rows = before.join(outcomes, "batch_number", "left").withColumn("status", F.when(taken, "parsed").otherwise("pending"))
     told = F.when(taken, F.filter(notes, lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>"))
-    return rows.select(*batch_rows.columns, "status", *(F.when(taken, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("added", "duplicates")), told.alias("notes"))
+    return rows.select(*before.columns, "status", *(F.when(taken, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("added", "duplicates")), told.alias("notes"))

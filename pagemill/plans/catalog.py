@@ -251,6 +251,19 @@ def question_allocation(s: SparkSession, d: str) -> DataFrame:
     return ranks.select("run", "bucket", planning.questions_of(F.col("r"), F.col("n"), 7, 3).alias("questions"))
 
 
+def new_batches(s: SparkSession, d: str) -> DataFrame:
+    """The existing plan as a queue of unanswered batches."""
+    made = planning.new_batches(_t(s, d, "prompt_batches").select("batch_number", "question_count"), SETTINGS)
+    return made.withColumn("notes", F.size("notes"))
+
+
+def char_budgets(s: SparkSession, d: str) -> DataFrame:
+    """Questions and characters of a prompt under every density and format, for numbers of questions in and out of range."""
+    asked = [-3.0, 0.4, 0.5, 2.5, *map(float, range(1, 101)), 250.0]
+    made = [(q, density, form, QuizSettings(questions_per_prompt=q, density=density, response_format=form)) for q in asked for density in ("light", "standard", "dense") for form in ("standard", "compact")]
+    return s.createDataFrame([(q, density, form, x.questions, x.char_budget) for q, density, form, x in made], "asked double, density string, format string, questions int, chars int")
+
+
 def prepared_notes(s: SparkSession, d: str) -> DataFrame:
     """What each run says of its prompts."""
     runs = batch_plan(s, d).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("question_count").alias("q"))
@@ -467,6 +480,12 @@ def storage_keys(s: SparkSession, d: str) -> DataFrame:
     return export_json(s, d).select("batch_number", export.storage_key(F.lit("Quiz"), F.col("payload")).alias("key"))
 
 
+def html_pages(s: SparkSession, d: str) -> DataFrame:
+    """A page of each batch."""
+    title = F.concat(F.lit("Quiz <"), F.col("batch_number").cast("string"), F.lit("> & \"more\""))
+    return export_json(s, d).select("batch_number", export.html_page(title, F.col("payload")).alias("page"))
+
+
 def text_escapes(s: SparkSession, d: str) -> DataFrame:
     rows = _questions(s, d).where("explanation is not null")
     return rows.select("question_id", T.html_escape(F.col("explanation")).alias("html"), T.script_safe(F.col("explanation")).alias("script"), T.slug(F.coalesce("source.file", F.lit(""))).alias("slug"))
@@ -563,9 +582,9 @@ def best_attempts(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: list[Query] = [
     normalize_text, tokenize_stats, sentence_split, sentence_scores, chunk_pages, chunk_documents, top_chunks, chunk_ids, info_scores, fingerprints, compress_chunks, topic_scores, source_files, file_totals, low_text_files, run_failures, ocr_fallback, file_filter_status, file_formats, stage_labels, intake_files, file_states,
-    progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, prepared_notes, question_allocation, queue_metrics,
+    progress_events, dedupe_within_file, dedupe_global, chunks_per_file, top_chunks_per_file, coverage_selection, compression_note, coverage_selection_budget, order_best_match, order_page, order_random, pack_balanced, pack_sequential, batch_plan, new_batches, char_budgets, prepared_notes, question_allocation, queue_metrics,
     source_packets, master_prompts, prompt_queue, count_advice, parse_standard, parse_compact, compact_errors, parse_errors, correct_index, rebalance_answers, position_histogram, quality_report, duplicate_options, merge_bank, merge_report, accept_batches, batch_notes, option_counts, choice_texts, sample_questions, keyed_edits, export_csv_lines,
-    export_json, storage_key_hash, storage_keys, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, restored_states, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, scale_factors, ocr_quality, best_attempts,
+    export_json, storage_key_hash, storage_keys, html_pages, text_escapes, quiz_state, miss_marks, missed_summary, next_missed, next_question, state_snapshot, restored_states, question_states, otsu_threshold, histogram_percentile, contrast, contrast_binary, scale_factors, ocr_quality, best_attempts,
 ]
 
 

@@ -401,6 +401,11 @@ ORACLES: dict[str, str] = {
     "order_best_match": f"WITH {CHUNKS} SELECT source_order, (row_number() OVER (PARTITION BY file_name ORDER BY score DESC, source_order))::INTEGER AS file_rank FROM chunk_rows",
     "pack_balanced": f"{_BALANCED} SELECT run, source_order, bucket FROM packed",
     "batch_plan": _PLAN,
+    "new_batches": """SELECT batch_number, question_count, '' AS response, NULL::VARCHAR AS prompt_override, 'pending' AS status, 0::BIGINT AS added, 0::BIGINT AS duplicates, 0 AS notes, 'medium' AS difficulty, 'port' AS topic_focus, 'standard' AS response_format, 'scenario' AS question_style,
+        'Keep it short.' || chr(10) || chr(10) || 'No trick questions.' AS custom_instructions, 4 AS option_count FROM prompt_batches""",
+    "char_budgets": """WITH a AS (SELECT unnest([-3, 0.4, 0.5, 2.5, 250]::DOUBLE[]) AS asked UNION ALL SELECT i::DOUBLE FROM range(1, 101) t(i)), q AS (SELECT asked, greatest(1, least(100, floor(asked + 0.5)))::INTEGER AS questions FROM a)
+        SELECT asked, density, format, questions, floor(6500 * least(3.2::DOUBLE, greatest(0.9::DOUBLE, 0.6::DOUBLE + questions / 10)) * CASE density WHEN 'light' THEN 0.85::DOUBLE WHEN 'dense' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * CASE format WHEN 'compact' THEN 1.35::DOUBLE ELSE 1.0::DOUBLE END + 0.5::DOUBLE)::INTEGER AS chars
+        FROM q, (SELECT unnest(['light', 'standard', 'dense']) AS density), (SELECT unnest(['standard', 'compact']) AS format)""",
     "prepared_notes": f"""SELECT run, 'Prepared ' || n || ' prompt' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' for ' || q || ' planned questions at 5 per prompt in Standard mode using standard JSON with 4 choices per question and best-match order.'
         || CASE WHEN n > 8 THEN ' Source volume required ' || (n - 8) || ' extra prompt' || CASE WHEN n = 9 THEN '' ELSE 's' END || ' to keep each batch usable.' ELSE '' END AS note FROM (SELECT run, count(*) AS n, sum(question_count) AS q FROM ({_PLAN}) GROUP BY 1)""",
     "coverage_selection_budget": _BUDGET,
@@ -457,6 +462,8 @@ ORACLES: dict[str, str] = {
     "export_csv_lines": f"SELECT question_id + 1 AS number, {_CSV} AS line FROM questions WHERE question_id IS NOT NULL",
     "storage_key_hash": f"""SELECT question_id, {hashed("question")} AS hash FROM questions WHERE question IS NOT NULL AND question_id IS NOT NULL""",
     "export_json": _PAYLOADS,
+    "html_pages": f"""SELECT batch_number, '<!doctype html>' || chr(10) || '<html lang="en">' || chr(10) || '<head><meta charset="utf-8"><title>Quiz &lt;' || batch_number || '&gt; &amp; &quot;more&quot;</title></head>' || chr(10) || '<body>' || chr(10) || '<h1>Quiz &lt;' || batch_number || '&gt; &amp; &quot;more&quot;</h1>' || chr(10)
+        || '<script type="application/json" id="quiz" data-key="quiz-export-state-' || {hashed("'Quiz <' || batch_number || '> & \"more\"|' || payload")} || '">' || replace(replace(replace(payload, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || '</script>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS page FROM ({_PAYLOADS})""",
     "storage_keys": f"""SELECT batch_number, 'quiz-export-state-' || {hashed("'Quiz|' || payload")} AS key FROM ({_PAYLOADS})""",
     "text_escapes": """SELECT question_id, replace(replace(replace(replace(replace(explanation, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
         replace(replace(replace(explanation, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS script, regexp_replace(regexp_replace(lower(coalesce(source.file, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM questions WHERE explanation IS NOT NULL AND question_id IS NOT NULL""",

@@ -112,7 +112,8 @@ def test_export_round_trip(spark, tmp_path):
     verdict, back = parse(spark, [raw])[0]
     assert verdict["success"] and [r["question"] for r in back] == [f"Stem {i}?" for i in range(5)]
     assert json.loads(export.pretty_json(raw)) == json.loads(raw)
-    assert "</script><" not in export.html_page("T <1>", raw.replace("Stem", "</script>"), "k").split("application/json")[1].split("</script>")[0]
+    page = spark.createDataFrame([("T <1>", raw.replace("Stem", "</script>"))], "t string, p string").select(export.html_page(F.col("t"), F.col("p"))).first()[0]
+    assert "</script><" not in page.split("application/json")[1].split("</script>")[0] and "<h1>T &lt;1&gt;</h1>" in page and 'data-key="quiz-export-state-' in page
     lines = export.csv_lines(questions(spark, [('a "q", b', ["x", "y\nz"], "x", 1, 0)]), 3, F.lit(1))
     assert lines.first()["line"] == '1,"a ""q"", b",x,y z,,x,e,f,1,c'
     text = export.csv_text(lines, export.csv_header(3)).first()["text"]
