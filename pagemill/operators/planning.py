@@ -89,7 +89,8 @@ def plan(lengths: list[int], settings: QuizSettings) -> list[tuple[int, int, int
 def _by_group(chunks: DataFrame, by: str, make, columns: str) -> DataFrame:
     """Calls ``make`` with each plan's rows, by (_first, _then)."""
     kind = chunks.schema[by].dataType.simpleString()
-    slim = chunks.select(by, "source_order", "_first", "_then", F.length(F.coalesce("compressed_text", F.lit(""))).alias("length"))
+    length = F.col("length") if "length" in chunks.columns else F.length(F.coalesce("compressed_text", F.lit("")))
+    slim = chunks.select(by, "source_order", "_first", "_then", length.alias("length"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["_first", "_then"], kind="stable")

@@ -82,8 +82,8 @@ def chunk_documents(s: SparkSession, d: str) -> DataFrame:
 
 def top_chunks(s: SparkSession, d: str) -> DataFrame:
     """Pages to chunks, scored and without duplicates; the ten best by score."""
-    made = chunking.with_source_order(chunking.chunk_pages(_pages(s, d)))
-    best = selection.dedupe(made.select("source_order", "id", "chunk_id", "score", "fingerprint", F.length("raw_text").alias("chars")))
+    slim = chunking.chunk_pages(_pages(s, d)).select("file_index", "page_seq", "chunk_index", "id", "chunk_id", "score", "fingerprint", F.length("raw_text").alias("chars"))
+    best = selection.winners(chunking.with_source_order(slim), carry=("chunk_id", "score", "chars"))
     return best.orderBy(F.desc("score"), "source_order").limit(10).select("chunk_id", F.round("score", 6).alias("score"), "chars")
 
 
@@ -213,7 +213,8 @@ def coverage_selection_budget(s: SparkSession, d: str) -> DataFrame:
 
 def order_best_match(s: SparkSession, d: str) -> DataFrame:
     """Each file's chunks ranked by score."""
-    return selection.best_of_file(_chunks(s, d).withColumn("position", F.col("source_order"))).select("source_order", "file_rank")
+    slim = _chunks(s, d).select("source_order", "file_name", "score", F.col("source_order").alias("position"))
+    return selection.best_of_file(slim).select("source_order", "file_rank")
 
 
 def order_random(s: SparkSession, d: str) -> DataFrame:
@@ -239,7 +240,7 @@ def pack_sequential(s: SparkSession, d: str) -> DataFrame:
 
 def batch_plan(s: SparkSession, d: str) -> DataFrame:
     """The prompt batches of every run, with their files in order of appearance."""
-    chunks = cut_lineage(_in_runs(s, d, selection.ordered(_chunks(s, d))).select("run", "source_order", "file_name", "compressed_text", "_first", "_then"))
+    chunks = cut_lineage(_in_runs(s, d, selection.ordered(_chunks(s, d))).select("run", "source_order", "file_name", F.length(F.coalesce("compressed_text", F.lit(""))).alias("length"), "_first", "_then"))
     made = planning.batches(planning.plan_chunks(chunks, "run", SETTINGS), chunks, "run")
     return made.withColumn("source_files", F.array_join("source_files", "|", "<null>"))
 
