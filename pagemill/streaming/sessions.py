@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagemill.functions import text as T
+from pagemill.session import cut_lineage
 
 KEYS = ["learner", "q_index"]
 
@@ -38,21 +39,24 @@ def last_session(events: DataFrame) -> DataFrame:
     return joined.where(F.col("_last").isNull() | (moment > F.col("_last"))).drop("_who", "_last")
 
 
-def answers(events: DataFrame) -> DataFrame:
-    """(learner, q_index, selected, correct, attempts) of the last session: the last answer and how many there were."""
-    rows = last_session(events).where("kind = 'answer'")
+def answers(events: DataFrame, session: DataFrame | None = None) -> DataFrame:
+    """(learner, q_index, selected, correct, attempts) of the last session: the last answer and how many there were.
+
+    ``session`` is what last_session makes of the events, where the caller has it already.
+    """
+    rows = (last_session(events) if session is None else session).where("kind = 'answer'")
     last = F.max(F.struct("ts", "event_id", "selected", F.coalesce("correct", F.lit(False)).alias("correct")))
     return rows.groupBy(*KEYS).agg(last.alias("_l"), F.count(F.lit(1)).alias("attempts")).select(*KEYS, "_l.selected", "_l.correct", "attempts")
 
 
-def miss_marks(events: DataFrame) -> DataFrame:
+def miss_marks(events: DataFrame, session: DataFrame | None = None) -> DataFrame:
     """(learner, q_index, marks) above 0 of the last session.
 
     Marks are a walk that stops at zero: its end is the sum of steps less the lowest running sum, if that is below
     zero.  A clearing begins the walk anew.
     """
     wrong = (F.col("kind") == "answer") & ~F.coalesce("correct", F.lit(False))
-    steps = last_session(events).withColumn("_step", F.when(wrong, 1).when(F.col("kind") == "remove_mark", -1)).where("_step is not null or kind = 'clear_marks'")
+    steps = (last_session(events) if session is None else session).withColumn("_step", F.when(wrong, 1).when(F.col("kind") == "remove_mark", -1)).where("_step is not null or kind = 'clear_marks'")
     cleared = steps.where("kind = 'clear_marks'").groupBy(*KEYS).agg(F.max(F.struct("ts", "event_id")).alias("_clear"))
     rest = steps.join(cleared, KEYS, "left").where(F.col("_step").isNotNull() & (F.col("_clear").isNull() | (F.struct("ts", "event_id") > F.col("_clear"))))
     running = F.sum("_step").over(Window.partitionBy(*KEYS).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
@@ -60,9 +64,9 @@ def miss_marks(events: DataFrame) -> DataFrame:
     return ends.where("marks > 0")
 
 
-def retrying(events: DataFrame) -> DataFrame:
+def retrying(events: DataFrame, session: DataFrame | None = None) -> DataFrame:
     """(learner, q_index) whose last of retry and answer is retry: an answer there may be given again."""
-    rows = last_session(events).where("kind in ('retry', 'answer')")
+    rows = (last_session(events) if session is None else session).where("kind in ('retry', 'answer')")
     return rows.groupBy(*KEYS).agg(F.max(F.struct("ts", "event_id", "kind"))["kind"].alias("_kind")).where("_kind = 'retry'").select(*KEYS)
 
 
@@ -74,14 +78,16 @@ def status_text(marks: Column, correct: Column) -> Column:
 
 def question_states(events: DataFrame) -> DataFrame:
     """Answers and marks side by side, with the text shown for each question."""
-    both = answers(events).join(miss_marks(events), KEYS, "full").join(retrying(events).withColumn("retry", F.lit(True)), KEYS, "left")
+    session = cut_lineage(last_session(events))
+    both = answers(events, session).join(miss_marks(events, session), KEYS, "full").join(retrying(events, session).withColumn("retry", F.lit(True)), KEYS, "left")
     return both.withColumn("marks", F.coalesce("marks", F.lit(0))).withColumn("locked", F.col("selected").isNotNull() & F.col("retry").isNull()).drop("retry").withColumn("status", status_text(F.col("marks"), F.col("correct")))
 
 
 def missed_summary(events: DataFrame) -> DataFrame:
     """(learner, missed, pending, corrected) over questions with marks."""
     right = F.coalesce("correct", F.lit(False))
-    states = miss_marks(events).join(answers(events).select(*KEYS, "correct"), KEYS, "left")
+    session = cut_lineage(last_session(events))
+    states = miss_marks(events, session).join(answers(events, session).select(*KEYS, "correct"), KEYS, "left")
     return states.groupBy("learner").agg(F.count(F.lit(1)).alias("missed"), F.count_if(~right).alias("pending"), F.count_if(right).alias("corrected"))
 
 
@@ -108,8 +114,9 @@ def snapshots(events: DataFrame) -> DataFrame:
     """
     answer = F.to_json(F.struct("selected", "correct", "attempts"))
     pair = lambda value: F.concat(F.lit("["), F.col("q_index").cast("string"), F.lit(","), value, F.lit("]"))
-    own = answers(events).select("learner", "q_index", pair(answer).alias("answer"), F.lit(None).cast("string").alias("mark"))
-    marks = miss_marks(events).select("learner", "q_index", F.lit(None).cast("string").alias("answer"), pair(F.col("marks").cast("string")).alias("mark"))
+    session = cut_lineage(last_session(events))
+    own = answers(events, session).select("learner", "q_index", pair(answer).alias("answer"), F.lit(None).cast("string").alias("mark"))
+    marks = miss_marks(events, session).select("learner", "q_index", F.lit(None).cast("string").alias("answer"), pair(F.col("marks").cast("string")).alias("mark"))
     listed = lambda c: F.array_join(F.transform(F.sort_array(F.filter(F.collect_list(F.struct("q_index", c)), lambda x: x[c].isNotNull())), lambda x: x[c]), ",")
     made = own.unionByName(marks).groupBy("learner").agg(listed("answer").alias("_a"), listed("mark").alias("_m"))
     return made.select("learner", F.concat(F.lit('{"answers":['), F.col("_a"), F.lit('],"missMarks":['), F.col("_m"), F.lit("]}")).alias("state"))
