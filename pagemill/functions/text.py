@@ -62,7 +62,9 @@ def information_score(text: Column, words: Column) -> Column:
     """``words`` are the text's tokens, held in a column of their own."""
     n = F.size(words)
     headings = F.regexp_count(text, F.lit("(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]+:"))
-    made = n * F.lit(0.6) + (F.size(F.array_distinct(words)) / n) * F.lit(40.0) + _long(words) * F.lit(1.1) + _numeric(words) * F.lit(1.4) + headings * F.lit(2.0)
+    made = n * F.lit(0.6) + (
+        F.size(F.array_distinct(words)) / n
+    ) * F.lit(40.0) + _long(words) * F.lit(1.1) + _numeric(words) * F.lit(1.4) + headings * F.lit(2.0)
     return F.when(n > 0, made).otherwise(F.lit(0.0))
 
 
@@ -171,7 +173,9 @@ def choice_text(counts: Column) -> Column:
     """Describes the sorted distinct option counts of a bank."""
     first, last = counts[0].cast("string"), F.element_at(counts, -1).cast("string")
     one = F.concat(first, F.when(counts[0] == 1, " answer choice each").otherwise(" answer choices each"))
-    return F.when(F.size(counts) == 0, "No answer choices").when(F.size(counts) == 1, one).otherwise(F.concat(first, F.lit("-"), last, F.lit(" answer choices")))
+    return F.when(F.size(counts) == 0, "No answer choices").when(F.size(counts) == 1, one).otherwise(
+        F.concat(first, F.lit("-"), last, F.lit(" answer choices"))
+    )
 
 
 def miss_preview(count: Column) -> Column:

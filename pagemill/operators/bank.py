@@ -43,7 +43,10 @@ def moved_options(options: Column, answer: Column, target: Column) -> Column:
 def rebalance(questions: DataFrame, place: Column) -> DataFrame:
     """Moves right answers round the positions; ``place`` is the question's number, with those of the bank before it."""
     target = F.when(F.size("options") > 0, F.pmod(place, F.size("options")).cast("int"))
-    return questions.withColumn("options", F.when(F.size("options") > 0, moved_options(F.col("options"), F.col("correct_answer"), target)).otherwise(F.col("options")))
+    return questions.withColumn(
+        "options",
+        F.when(F.size("options") > 0, moved_options(F.col("options"), F.col("correct_answer"), target)).otherwise(F.col("options"))
+    )
 
 
 def quality_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -53,7 +56,10 @@ def quality_report(before: DataFrame, after: DataFrame) -> DataFrame:
         listed = F.transform(F.sort_array(F.collect_list(F.struct("position", "n"))), lambda x: x["n"])
         return position_counts(df).agg(listed.alias(name)).withColumn("_one", F.lit(1))
 
-    size = before.agg(F.count(F.lit(1)).alias("_n"), F.count_if(has_duplicate_options(F.col("options"))).alias("duplicate_option_questions")).withColumn("_one", F.lit(1))
+    size = before.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(has_duplicate_options(F.col("options"))).alias("duplicate_option_questions")
+    ).withColumn("_one", F.lit(1))
     joined = counts(before, "original_counts").join(counts(after, "balanced_counts"), "_one").join(size, "_one")
     width = F.size("original_counts")
     skew = (width > 0) & (F.col("_n") >= width) & (F.array_max("original_counts") / F.col("_n") >= SKEW)
@@ -66,7 +72,9 @@ def merged(existing: DataFrame | None, incoming: DataFrame, order: list[str]) ->
     Stems are compared by letters a-z and digits, so questions in other scripts all have the empty stem and only the
     first stays.  One exchange on the stem; the first of each is an aggregate, not a window over a hot stem.
     """
-    rows = incoming.withColumn("_side", F.lit(1)) if existing is None else existing.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
+    rows = incoming.withColumn("_side", F.lit(1)) if existing is None else existing.withColumn("_side", F.lit(0)).unionByName(
+        incoming.withColumn("_side", F.lit(1))
+    )
     rows = rows.withColumn("stem", T.stem_key(F.coalesce("question", F.lit(""))))
     first = rows.groupBy("stem").agg(F.min(F.struct("_side", *order)).alias("_first"))
     same = [rows["stem"] == first["stem"], *(rows[c].eqNullSafe(first[f"_first.{c}"]) for c in ("_side", *order))]
@@ -79,7 +87,9 @@ def merged(existing: DataFrame | None, incoming: DataFrame, order: list[str]) ->
 def merge_report(existing: DataFrame | None, incoming: DataFrame, order: list[str]) -> DataFrame:
     """One row: questions kept, added (negative if edits made stems of the bank equal) and found to repeat."""
     kept = merged(existing, incoming, order).agg(F.count(F.lit(1)).alias("kept")).withColumn("_one", F.lit(1))
-    sides = incoming.select(F.lit(1).alias("_new")) if existing is None else existing.select(F.lit(0).alias("_new")).unionByName(incoming.select(F.lit(1).alias("_new")))
+    sides = incoming.select(F.lit(1).alias("_new")) if existing is None else existing.select(F.lit(0).alias("_new")).unionByName(
+        incoming.select(F.lit(1).alias("_new"))
+    )
     sizes = sides.agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_new") == 0).alias("_old")).withColumn("_one", F.lit(1))
     return kept.join(sizes, "_one").select("kept", (F.col("kept") - F.col("_old")).alias("added"), (F.col("_all") - F.col("kept")).alias("duplicates"))
 

@@ -56,7 +56,13 @@ def chunk_pages(pages: DataFrame, focus: str | None = None) -> DataFrame:
     The order of chunks is (file_index, page_seq, chunk_index); ``with_source_order`` numbers it where asked for.
     A page with a null or blank text gives no chunk.
     """
-    cut = pages.where("text is not null").select("file_index", "file_name", "page_seq", "page_number", F.posexplode(chunk_array(T.normalize_extracted(F.col("text")))).alias("chunk_index", "raw_text"))
+    cut = pages.where("text is not null").select(
+        "file_index",
+        "file_name",
+        "page_seq",
+        "page_number",
+        F.posexplode(chunk_array(T.normalize_extracted(F.col("text")))).alias("chunk_index", "raw_text")
+    )
     own = T.slug(F.coalesce("file_name", F.lit("")))
     file_id = F.when(own == "", F.concat(F.lit("file-"), (F.col("file_index") + 1).cast("string"))).otherwise(own)
     label = F.when(F.col("page_number").isNull(), "unknown").otherwise(F.concat(F.lit("p"), F.col("page_number").cast("string")))

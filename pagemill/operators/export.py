@@ -18,14 +18,32 @@ FIELDS = ("question", "options", "correct_answer", "explanation", "source")
 
 
 def csv_header(most_options: int) -> str:
-    return ",".join(["questionIndex", "question", *(f"option{x}" for x in labels(most_options)[:most_options]), "correctAnswer", "explanation", "sourceFile", "sourcePage", "sourceChunkId"])
+    return ",".join(
+        [
+            "questionIndex",
+            "question",
+            *(f"option{x}" for x in labels(most_options)[:most_options]),
+            "correctAnswer",
+            "explanation",
+            "sourceFile",
+            "sourcePage",
+            "sourceChunkId"
+        ]
+    )
 
 
 def csv_lines(questions: DataFrame, most_options: int, number: Column) -> DataFrame:
     """(number, line) of each question, short option lists padded with empty cells; nulls are empty cells."""
     cell = lambda c: T.csv_cell(F.coalesce(c.cast("string"), F.lit("")))
     options = [cell(F.try_element_at("options", F.lit(i + 1))) for i in range(most_options)]
-    cells = [number.cast("string"), cell(F.col("question")), *options, cell(F.col("correct_answer")), cell(F.col("explanation")), *(cell(F.col(f"source.{x}")) for x in ("file", "page", "chunk_id"))]
+    cells = [
+        number.cast("string"),
+        cell(F.col("question")),
+        *options,
+        cell(F.col("correct_answer")),
+        cell(F.col("explanation")),
+        *(cell(F.col(f"source.{x}")) for x in ("file", "page", "chunk_id"))
+    ]
     return questions.select(number.alias("number"), F.concat_ws(",", *cells).alias("line"))
 
 
@@ -48,8 +66,21 @@ def storage_key(title: Column, payload: Column) -> Column:
 def html_page(title: Column, payload: Column) -> Column:
     """A plain page that carries the bank as data, under the key of its title and data; presentation and sounds are left to the reader's own template."""
     shown = T.html_escape(title)
-    head = F.concat(F.lit('<!doctype html>\n<html lang="en">\n<head><meta charset="utf-8"><title>'), shown, F.lit("</title></head>\n<body>\n<h1>"), shown, F.lit("</h1>\n"))
-    return F.concat(head, F.lit('<script type="application/json" id="quiz" data-key="'), storage_key(title, payload), F.lit('">'), T.script_safe(payload), F.lit("</script>\n</body>\n</html>\n"))
+    head = F.concat(
+        F.lit('<!doctype html>\n<html lang="en">\n<head><meta charset="utf-8"><title>'),
+        shown,
+        F.lit("</title></head>\n<body>\n<h1>"),
+        shown,
+        F.lit("</h1>\n")
+    )
+    return F.concat(
+        head,
+        F.lit('<script type="application/json" id="quiz" data-key="'),
+        storage_key(title, payload),
+        F.lit('">'),
+        T.script_safe(payload),
+        F.lit("</script>\n</body>\n</html>\n")
+    )
 
 
 def csv_text(lines: DataFrame, header: str) -> DataFrame:

@@ -94,7 +94,9 @@ def _by_group(chunks: DataFrame, by: str, make, columns: str) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["_first", "_then"], kind="stable")
-        return pd.DataFrame({by: rows[by].to_numpy(), "source_order": rows["source_order"].to_numpy(), "length": rows["length"].to_numpy()} | make(rows["length"].tolist()))
+        return pd.DataFrame(
+            {by: rows[by].to_numpy(), "source_order": rows["source_order"].to_numpy(), "length": rows["length"].to_numpy()} | make(rows["length"].tolist())
+        )
 
     return slim.groupBy(by).applyInPandas(run, f"{by} {kind}, source_order long, length int, {columns}")
 
@@ -119,7 +121,12 @@ def batches(planned: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
     """(by, batch_number, question_count, chunk_count, estimated_chars, source_files): one row a batch, files in order of appearance."""
     joined = planned.where("batch_number > 0").join(chunks.select("source_order", F.col("file_name").alias("_file"), "_first", "_then"), "source_order")
     files = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("_first", "_then", "_file"))), lambda x: x["_file"]))
-    return joined.groupBy(by, "batch_number").agg(F.max("question_count").alias("question_count"), F.count(F.lit(1)).alias("chunk_count"), F.max("estimated_chars").alias("estimated_chars"), files.alias("source_files"))
+    return joined.groupBy(by, "batch_number").agg(
+        F.max("question_count").alias("question_count"),
+        F.count(F.lit(1)).alias("chunk_count"),
+        F.max("estimated_chars").alias("estimated_chars"),
+        files.alias("source_files")
+    )
 
 
 def questions_of(rank: Column, used: Column, target: int, most: int) -> Column:
@@ -131,9 +138,27 @@ def questions_of(rank: Column, used: Column, target: int, most: int) -> Column:
 def queue_metrics(batch_rows: DataFrame, files: DataFrame) -> DataFrame:
     """One row: planned questions, parsed batches, the next pending batch (the first of that state), source files and bytes."""
     none = F.lit(None).cast("long")
-    rows = batch_rows.select(F.col("question_count").cast("long").alias("q"), (F.col("status") == "parsed").alias("done"), F.when(F.col("status") == "pending", F.col("batch_number").cast("long")).alias("next"), none.alias("bytes"), F.lit(0).alias("file"))
-    sizes = files.select(none.alias("q"), F.lit(False).alias("done"), none.alias("next"), F.col("file_size").cast("long").alias("bytes"), F.lit(1).alias("file"))
-    return rows.unionByName(sizes).agg(F.sum("q").alias("planned_questions"), F.count_if("done").alias("parsed_batches"), F.min("next").alias("next_pending"), F.sum("file").alias("files"), F.sum("bytes").alias("source_bytes"))
+    rows = batch_rows.select(
+        F.col("question_count").cast("long").alias("q"),
+        (F.col("status") == "parsed").alias("done"),
+        F.when(F.col("status") == "pending", F.col("batch_number").cast("long")).alias("next"),
+        none.alias("bytes"),
+        F.lit(0).alias("file")
+    )
+    sizes = files.select(
+        none.alias("q"),
+        F.lit(False).alias("done"),
+        none.alias("next"),
+        F.col("file_size").cast("long").alias("bytes"),
+        F.lit(1).alias("file")
+    )
+    return rows.unionByName(sizes).agg(
+        F.sum("q").alias("planned_questions"),
+        F.count_if("done").alias("parsed_batches"),
+        F.min("next").alias("next_pending"),
+        F.sum("file").alias("files"),
+        F.sum("bytes").alias("source_bytes")
+    )
 
 
 def next_pending(batch_rows: DataFrame) -> DataFrame:
@@ -147,15 +172,38 @@ def prepared_note(planned: Column, questions: Column, settings: QuizSettings) ->
     form = "compact" if settings.response_format == "compact" else "standard"
     rest = f" planned questions at {settings.questions} per prompt in {settings.density.capitalize()} mode using {form} JSON with {settings.options} choices per question and "
     extra = F.concat(F.lit(" Source volume required "), more.cast("string"), F.lit(" extra prompt"), several(more), F.lit(" to keep each batch usable."))
-    told = F.concat(F.lit("Prepared "), planned.cast("string"), F.lit(" prompt"), several(planned), F.lit(" for "), questions.cast("string"), F.lit(rest), F.lit(ORDERINGS.get(settings.ordering, "best-match order")), F.lit("."))
+    told = F.concat(
+        F.lit("Prepared "),
+        planned.cast("string"),
+        F.lit(" prompt"),
+        several(planned),
+        F.lit(" for "),
+        questions.cast("string"),
+        F.lit(rest),
+        F.lit(ORDERINGS.get(settings.ordering, "best-match order")),
+        F.lit(".")
+    )
     return F.concat(told, F.when(more > 0, extra).otherwise(""))
 
 
 def new_batches(planned: DataFrame, settings: QuizSettings) -> DataFrame:
     """Planned batches as a queue keeps them: unanswered, with the settings they were planned under."""
     text = lambda x: F.lit(x).cast("string")
-    fresh = {"response": text(""), "prompt_override": text(None), "status": text("pending"), "added": F.lit(0).cast("long"), "duplicates": F.lit(0).cast("long"), "notes": F.array().cast("array<string>")}
-    kept = {"difficulty": settings.difficulty, "topic_focus": settings.topic_focus, "response_format": settings.response_format, "question_style": settings.question_style, "custom_instructions": settings.custom_instructions}
+    fresh = {
+        "response": text(""),
+        "prompt_override": text(None),
+        "status": text("pending"),
+        "added": F.lit(0).cast("long"),
+        "duplicates": F.lit(0).cast("long"),
+        "notes": F.array().cast("array<string>")
+    }
+    kept = {
+        "difficulty": settings.difficulty,
+        "topic_focus": settings.topic_focus,
+        "response_format": settings.response_format,
+        "question_style": settings.question_style,
+        "custom_instructions": settings.custom_instructions
+    }
     return planned.withColumns(fresh | {k: text(v) for k, v in kept.items()} | {"option_count": F.lit(settings.options)})
 
 
@@ -167,8 +215,20 @@ def parsed_batches(batch_rows: DataFrame, outcomes: DataFrame, option_range: str
     outcome, or with one that failed, stays pending.
     """
     gap = F.col("parsed") - F.col("question_count")
-    target = F.concat(F.lit("Accepted "), F.col("parsed").cast("string"), F.lit(" questions for a target of "), F.col("question_count").cast("string"), F.lit(" ("), F.abs(gap).cast("string"))
-    repeated = F.concat(F.lit("Detected "), F.col("repeated").cast("string"), F.when(F.col("repeated") == 1, " question").otherwise(" questions"), F.lit(" with duplicate option text. Review before export."))
+    target = F.concat(
+        F.lit("Accepted "),
+        F.col("parsed").cast("string"),
+        F.lit(" questions for a target of "),
+        F.col("question_count").cast("string"),
+        F.lit(" ("),
+        F.abs(gap).cast("string")
+    )
+    repeated = F.concat(
+        F.lit("Detected "),
+        F.col("repeated").cast("string"),
+        F.when(F.col("repeated") == 1, " question").otherwise(" questions"),
+        F.lit(" with duplicate option text. Review before export.")
+    )
     notes = F.array(
         F.when(gap > 0, F.concat(target, F.lit(" over target)."))).when(gap < 0, F.concat(target, F.lit(" under target)."))),
         F.when(F.col("skewed"), F.lit(f"Detected answer-position skew and redistributed correct options across {option_range}.")),
@@ -178,4 +238,9 @@ def parsed_batches(batch_rows: DataFrame, outcomes: DataFrame, option_range: str
     before = batch_rows.drop("status", "added", "duplicates", "notes")
     rows = before.join(outcomes, "batch_number", "left").withColumn("status", F.when(taken, "parsed").otherwise("pending"))
     told = F.when(taken, F.filter(notes, lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>"))
-    return rows.select(*before.columns, "status", *(F.when(taken, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("added", "duplicates")), told.alias("notes"))
+    return rows.select(
+        *before.columns,
+        "status",
+        *(F.when(taken, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("added", "duplicates")),
+        told.alias("notes")
+    )

@@ -77,7 +77,9 @@ def ocr_fallback(pages: DataFrame) -> DataFrame:
     used = asked & F.col("ocr_usable") & (F.length("ocr_text") > 0) & (F.col("_broken").isNull() | (F.col("page_seq") < F.col("_broken")))
     layer, ocr = F.lower("layer"), F.lower("ocr_text")
     longer = F.when(F.length("layer") >= F.length("ocr_text"), F.col("layer")).otherwise(F.col("ocr_text"))
-    both = F.when(F.length("layer") == 0, F.col("ocr_text")).when(F.contains(layer, ocr) | F.contains(ocr, layer), longer).otherwise(normalize_extracted(F.concat("layer", F.lit(" "), "ocr_text")))
+    both = F.when(F.length("layer") == 0, F.col("ocr_text")).when(F.contains(layer, ocr) | F.contains(ocr, layer), longer).otherwise(
+        normalize_extracted(F.concat("layer", F.lit(" "), "ocr_text"))
+    )
     made = rows.withColumn("from_ocr", F.coalesce(used, F.lit(False))).withColumn("text", F.when(F.col("from_ocr"), both).otherwise(F.col("layer")))
     return made.where(F.length("text") > 0).drop("_broken")
 
@@ -85,7 +87,10 @@ def ocr_fallback(pages: DataFrame) -> DataFrame:
 def page_quality(pages: DataFrame) -> DataFrame:
     """Adds text, usable, warning and quality_score to (text, confidence, words of text, confidence and in_dictionary)."""
     clean = lambda w: F.struct(F.regexp_replace(w["text"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "").alias("text"), w["confidence"].alias("confidence"), w["in_dictionary"].alias("known"))
-    rows = pages.withColumn("text", normalize_extracted(F.coalesce("text", F.lit("")))).withColumn("_words", F.filter(F.transform("words", clean), lambda w: w["text"] != ""))
+    rows = pages.withColumn("text", normalize_extracted(F.coalesce("text", F.lit("")))).withColumn(
+        "_words",
+        F.filter(F.transform("words", clean), lambda w: w["text"] != "")
+    )
     count = lambda cond: F.size(F.filter("_words", cond))
     ratio = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
     alpha = lambda w: w["text"].rlike("[A-Za-z]")
@@ -113,7 +118,9 @@ def page_quality(pages: DataFrame) -> DataFrame:
     short = (c("_length") < LEAST_TEXT) | (c("_n") < 3) & (c("_alpha") < 2)
     short_fine = (c("confidence") >= SHORT_CONFIDENCE) & (c("_alnum_ratio") >= 0.7) & (c("_symbols") <= 0.08)
     lexical = (c("_known_ratio") >= LEAST_DICTIONARY) & (c("_average") >= 38)
-    confident = (c("confidence") >= LEAST_CONFIDENCE) & (c("_average") >= LEAST_WORD_CONFIDENCE) & (c("_sure_ratio") >= LEAST_CONFIDENT) & (c("_clean_ratio") >= LEAST_CLEAN)
+    confident = (c("confidence") >= LEAST_CONFIDENCE) & (
+        c("_average") >= LEAST_WORD_CONFIDENCE
+    ) & (c("_sure_ratio") >= LEAST_CONFIDENT) & (c("_clean_ratio") >= LEAST_CLEAN)
     usable = (c("_length") > 0) & (short_fine | ~short & (c("_alnum_ratio") >= LEAST_ALNUM) & (c("_symbols") <= MOST_SYMBOLS) & (lexical | confident))
     low = F.concat(F.lit("Ignored low-confidence OCR output ("), js_round(c("confidence")).cast("string"), F.lit("% confidence)."))
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
@@ -127,4 +134,11 @@ def best_attempt(first: DataFrame, second: DataFrame, by: str) -> DataFrame:
     good = first.where(F.col("usable") & (F.col("quality_score") >= ACCEPTED_AT_ONCE))
     both = first.withColumn("_try", F.lit(0)).unionByName(second.join(good.select(by), by, "left_anti").withColumn("_try", F.lit(-1)))
     best = both.groupBy(by).agg(F.max(F.struct("quality_score", "_try", "text", "confidence", "usable", "warning")).alias("_b"))
-    return best.select(by, F.when(F.col("_b.usable"), F.col("_b.text")).otherwise("").alias("text"), F.col("_b.confidence").alias("confidence"), F.col("_b.usable").alias("usable"), F.col("_b.warning").alias("warning"), F.col("_b.quality_score").alias("quality_score"))
+    return best.select(
+        by,
+        F.when(F.col("_b.usable"), F.col("_b.text")).otherwise("").alias("text"),
+        F.col("_b.confidence").alias("confidence"),
+        F.col("_b.usable").alias("usable"),
+        F.col("_b.warning").alias("warning"),
+        F.col("_b.quality_score").alias("quality_score")
+    )

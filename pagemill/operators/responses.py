@@ -79,15 +79,30 @@ def _fields(item: Column, paths: dict[str, str], use) -> Column:
     read["page"] = js_trim(read["page"])
     read["items"] = F.try_variant_get(item, paths["items"], "array<variant>")
     if "index" in paths:
-        read |= {"index": _get(item, paths["index"]), "five": F.size(F.try_variant_get(item, "$", "array<variant>")), "three": F.size(F.try_variant_get(item, "$[4]", "array<variant>"))}
+        read |= {
+            "index": _get(item, paths["index"]),
+            "five": F.size(F.try_variant_get(item, "$", "array<variant>")),
+            "three": F.size(F.try_variant_get(item, "$[4]", "array<variant>"))
+        }
     whole = F.struct(*(c.alias(k) for k, c in read.items()))
     return let(whole, lambda f: let(F.transform(f["items"], _text), lambda options: use(f, options)))
 
 
 def _checked(i: Column, f: Column, options: Column, errors: Column, answer: Column) -> Column:
     """(errors, row) of one question."""
-    source = F.struct(js_trim(f["file"]).alias("file"), F.when(f["page"] == "", "unknown").otherwise(f["page"]).alias("page"), js_trim(f["chunk"]).alias("chunk_id"))
-    row = F.struct(i.alias("q_index"), js_trim(f["question"]).alias("question"), F.transform(options, js_trim).alias("options"), js_trim(answer).alias("correct_answer"), js_trim(f["explanation"]).alias("explanation"), source.alias("source"))
+    source = F.struct(
+        js_trim(f["file"]).alias("file"),
+        F.when(f["page"] == "", "unknown").otherwise(f["page"]).alias("page"),
+        js_trim(f["chunk"]).alias("chunk_id")
+    )
+    row = F.struct(
+        i.alias("q_index"),
+        js_trim(f["question"]).alias("question"),
+        F.transform(options, js_trim).alias("options"),
+        js_trim(answer).alias("correct_answer"),
+        js_trim(f["explanation"]).alias("explanation"),
+        source.alias("source")
+    )
     return F.struct(errors.alias("errors"), row.alias("row"))
 
 
@@ -103,7 +118,10 @@ def _standard(item: Column, i: Column, n: int) -> Column:
         errors = _told(
             _missing(i, f["question"], "question", "question is required"),
             F.when(f["items"].isNull(), _at(i, "options", "Required")).when(F.size(f["items"]) != n, _at(i, "options", f"each question needs {n} options")),
-            F.when(F.exists(options, lambda o: o.isNull()), _at(i, "options", "Expected string")).when(F.exists(options, lambda o: o == ""), _at(i, "options", "options cannot be empty")),
+            F.when(F.exists(options, lambda o: o.isNull()), _at(i, "options", "Expected string")).when(
+                F.exists(options, lambda o: o == ""),
+                _at(i, "options", "options cannot be empty")
+            ),
             _missing(i, f["answer"], "correctAnswer", "correctAnswer is required"),
             _missing(i, f["explanation"], "explanation", "explanation is required"),
             _missing(i, f["file"], "source.file", "source.file is required"),
@@ -113,7 +131,15 @@ def _standard(item: Column, i: Column, n: int) -> Column:
         )
         return _checked(i, f, options, errors, f["answer"])
 
-    paths = {"question": "$.question", "items": "$.options", "answer": "$.correctAnswer", "explanation": "$.explanation", "file": "$.source.file", "page": "$.source.page", "chunk": "$.source.chunkId"}
+    paths = {
+        "question": "$.question",
+        "items": "$.options",
+        "answer": "$.correctAnswer",
+        "explanation": "$.explanation",
+        "file": "$.source.file",
+        "page": "$.source.page",
+        "chunk": "$.source.chunkId"
+    }
     return _fields(item, paths, use)
 
 
@@ -128,7 +154,12 @@ def _compact(item: Column, i: Column, n: int) -> Column:
             F.when(F.exists(options, lambda o: o.isNull() | (o == "")), _at(i, "1", "compact options cannot be empty")),
             F.when(_text_or_number(f["index"]).isNull(), _at(i, "2", "Invalid input")),
             _missing(i, f["explanation"], "3", "compact explanation is required"),
-            F.when((F.coalesce(f["three"], F.lit(-1)) != 3) | (F.coalesce(f["file"], F.lit("")) == "") | (F.coalesce(f["chunk"], F.lit("")) == "") | f["page"].isNull(), _at(i, "4", "Invalid source")),
+            F.when(
+                (F.coalesce(f["three"], F.lit(-1)) != 3) | (F.coalesce(f["file"], F.lit("")) == "") | (
+                    F.coalesce(f["chunk"], F.lit("")) == ""
+                ) | f["page"].isNull(),
+                _at(i, "4", "Invalid source")
+            ),
         )
 
         def with_index(index: Column) -> Column:
@@ -137,7 +168,11 @@ def _compact(item: Column, i: Column, n: int) -> Column:
 
         return let(correct_index(f["index"], n), with_index)
 
-    return _fields(item, {"question": "$[0]", "items": "$[1]", "index": "$[2]", "explanation": "$[3]", "file": "$[4][0]", "page": "$[4][1]", "chunk": "$[4][2]"}, use)
+    return _fields(
+        item,
+        {"question": "$[0]", "items": "$[1]", "index": "$[2]", "explanation": "$[3]", "file": "$[4][0]", "page": "$[4][1]", "chunk": "$[4][2]"},
+        use
+    )
 
 
 def _computed(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -159,8 +194,14 @@ def verdicts(responses: DataFrame, key: str, response_format: str = "standard",
 
     def judged(check, few: str) -> Column:
         def of(questions: Column) -> Column:
-            none = F.when(F.col("_json") == "", F.array(F.lit(EMPTY))).when(F.col("_v").isNull(), F.array(F.lit(NO_JSON))).when(questions.isNull(), F.array(F.lit("questions: Required"))).when(F.size(questions) == 0, F.array(F.lit(few)))
-            told = let(F.transform(questions, lambda item, i: check(item, i, options)), lambda each: F.struct(F.flatten(F.transform(each, lambda x: x["errors"])).alias("errors"), F.transform(each, lambda x: x["row"]).alias("rows")))
+            none = F.when(F.col("_json") == "", F.array(F.lit(EMPTY))).when(F.col("_v").isNull(), F.array(F.lit(NO_JSON))).when(
+                questions.isNull(),
+                F.array(F.lit("questions: Required"))
+            ).when(F.size(questions) == 0, F.array(F.lit(few)))
+            told = let(
+                F.transform(questions, lambda item, i: check(item, i, options)),
+                lambda each: F.struct(F.flatten(F.transform(each, lambda x: x["errors"])).alias("errors"), F.transform(each, lambda x: x["row"]).alias("rows"))
+            )
             return let(told, lambda t: F.struct(F.coalesce(none, t["errors"], nothing).alias("errors"), t["rows"].alias("rows")))
 
         return let(F.try_variant_get("_v", "$.questions", "array<variant>"), of)
@@ -189,7 +230,20 @@ def accepted_questions(responses: DataFrame, key: str, response_format: str = "s
 
 def standard_json(questions: Column) -> Column:
     """A response in the standard format from an array of question structs."""
-    return F.to_json(F.struct(F.transform(questions, lambda q: F.struct(q["question"].alias("question"), q["options"].alias("options"), q["correct_answer"].alias("correctAnswer"), q["explanation"].alias("explanation"), F.struct(q["source"]["file"].alias("file"), q["source"]["page"].alias("page"), q["source"]["chunk_id"].alias("chunkId")).alias("source"))).alias("questions")))
+    return F.to_json(
+        F.struct(
+            F.transform(
+                questions,
+                lambda q: F.struct(
+                    q["question"].alias("question"),
+                    q["options"].alias("options"),
+                    q["correct_answer"].alias("correctAnswer"),
+                    q["explanation"].alias("explanation"),
+                    F.struct(q["source"]["file"].alias("file"), q["source"]["page"].alias("page"), q["source"]["chunk_id"].alias("chunkId")).alias("source")
+                )
+            ).alias("questions")
+        )
+    )
 
 
 def sample_responses(spark, count: int, response_format: str = "standard", options: int = 4) -> DataFrame:
@@ -200,8 +254,25 @@ def sample_responses(spark, count: int, response_format: str = "standard", optio
     if response_format == "compact":
         quoted = lambda c: F.to_json(F.array(c))
         inner = lambda c: F.regexp_extract(quoted(c), r"^\[(.*)\]$", 1)
-        line = F.concat(F.lit("["), inner(say("Sample question ", "?")), F.lit(","), F.to_json(F.array(*made)), F.lit(",0,"), inner(say("Sample explanation ", ".")), F.lit(","), F.to_json(F.array(F.lit("Sample.pdf"), number, say("sample-chunk-"))), F.lit("]"))
+        line = F.concat(
+            F.lit("["),
+            inner(say("Sample question ", "?")),
+            F.lit(","),
+            F.to_json(F.array(*made)),
+            F.lit(",0,"),
+            inner(say("Sample explanation ", ".")),
+            F.lit(","),
+            F.to_json(F.array(F.lit("Sample.pdf"), number, say("sample-chunk-"))),
+            F.lit("]")
+        )
         listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("s")))), lambda x: x["s"]), ",")
         return spark.range(count).agg(F.concat(F.lit('{"questions":['), listed, F.lit("]}")).alias("raw"))
-    row = F.struct("id", say("Sample question ", "?").alias("question"), F.array(*made).alias("options"), made[0].alias("correct_answer"), say("Sample explanation ", ".").alias("explanation"), F.struct(F.lit("Sample.pdf").alias("file"), number.alias("page"), say("sample-chunk-").alias("chunk_id")).alias("source"))
+    row = F.struct(
+        "id",
+        say("Sample question ", "?").alias("question"),
+        F.array(*made).alias("options"),
+        made[0].alias("correct_answer"),
+        say("Sample explanation ", ".").alias("explanation"),
+        F.struct(F.lit("Sample.pdf").alias("file"), number.alias("page"), say("sample-chunk-").alias("chunk_id")).alias("source")
+    )
     return spark.range(count).agg(F.sort_array(F.collect_list(row)).alias("q")).select(standard_json(F.col("q")).alias("raw"))

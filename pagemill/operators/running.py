@@ -19,7 +19,11 @@ def running(rows: DataFrame, by: list[str], order: list[Column], totals: dict[st
     placed = cut_lineage(named.repartitionByRange(*(F.col(c).asc() for c in by), *order).withColumn("_part", F.spark_partition_id()))
     parts = placed.groupBy(*by, "_part").agg(*(F.sum(f"_own_{k}").alias(f"_sum_{k}") for k in totals))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_at"), *(F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_before_{k}") for k in totals))
+    before = parts.select(
+        *(F.col(c).alias(f"_by_{c}") for c in by),
+        F.col("_part").alias("_at"),
+        *(F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_before_{k}") for k in totals)
+    )
     same = F.col("_part") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))

@@ -21,7 +21,10 @@ def once(table: DataFrame, key: str) -> DataFrame:
     """
     place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
     keyed = table.where(F.col(key).isNotNull())
-    repeated = keyed.select(key, place.alias("_p")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_first")).where("_n > 1").select(key, "_first")
+    repeated = keyed.select(key, place.alias("_p")).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_p").alias("_first")
+    ).where("_n > 1").select(key, "_first")
     joined = keyed.withColumn("_p", place).join(broadcast_if_small(repeated, 200_000), key, "left")
     return joined.where(F.col("_first").isNull() | (F.col("_first") == F.col("_p"))).drop("_p", "_first")
 
@@ -41,11 +44,16 @@ def winners(chunks: DataFrame, within: list[str] | None = None, carry: tuple[str
     """
     key = F.when(F.col("fingerprint") == "", F.concat(F.lit("id "), F.col("id"))).otherwise(F.concat(F.lit("fp "), F.col("fingerprint")))
     # the largest struct wins: score, then the earlier place; for an empty fingerprint the later place alone
-    rank = F.when(F.col("fingerprint") == "", F.struct(F.lit(0.0).alias("a"), F.col("source_order").alias("b"))).otherwise(F.struct(F.coalesce("score", F.lit(float("-inf"))).alias("a"), (-F.col("source_order")).alias("b")))
+    rank = F.when(F.col("fingerprint") == "", F.struct(F.lit(0.0).alias("a"), F.col("source_order").alias("b"))).otherwise(
+        F.struct(F.coalesce("score", F.lit(float("-inf"))).alias("a"), (-F.col("source_order")).alias("b"))
+    )
     groups = [*(within or []), "_key", "_key2"]
     own = [*(within or []), "source_order", *(c for c in carry if c not in (within or []))]
     keyed = chunks.select(*own, F.xxhash64(key).alias("_key"), F.hash(key).alias("_key2"), rank.alias("_rank"))
-    best = keyed.groupBy(*groups).agg(F.max(F.struct("_rank", *(c for c in own if c not in (within or [])))).alias("_best"), F.min("source_order").alias("position"))
+    best = keyed.groupBy(*groups).agg(
+        F.max(F.struct("_rank", *(c for c in own if c not in (within or [])))).alias("_best"),
+        F.min("source_order").alias("position")
+    )
     return best.select(*(within or []), *(f"_best.{c}" for c in own if c not in (within or [])), "position")
 
 
@@ -75,7 +83,10 @@ def cover(chunks: DataFrame) -> DataFrame:
     slim = cut_lineage(chunks.select("source_order", "id", "file_name", "score", "position"))
     place = F.struct("score", (-F.col("position")).alias("p"), F.col("source_order").alias("o"))
     firsts = slim.groupBy("file_name").agg(F.max(place)["o"].alias("source_order")).select("source_order", F.lit(True).alias("covers"))
-    by_id = slim.join(broadcast_if_small(firsts, 100_000), "source_order", "left").groupBy("id").agg(F.max("covers").alias("_covered"), F.max(place)["o"].alias("source_order"))
+    by_id = slim.join(broadcast_if_small(firsts, 100_000), "source_order", "left").groupBy("id").agg(
+        F.max("covers").alias("_covered"),
+        F.max(place)["o"].alias("source_order")
+    )
     filling = by_id.where("_covered is null").select("source_order", F.lit(False).alias("covers"))
     return firsts.unionByName(filling)
 
@@ -122,5 +133,8 @@ def cover_within(chunks: DataFrame, limits: Limits, by: str = "run") -> DataFram
 
 def ordered(chunks: DataFrame, ordering: str = "best_match", seed: int = 1) -> DataFrame:
     """Adds ``_first`` and ``_then``, by which chunks are planned; random order is seeded by id and place."""
-    first = {"page_order": F.col("source_order").cast("double"), "random": F.xxhash64(F.lit(seed), "id", "source_order").cast("double")}.get(ordering, -F.col("score"))
+    first = {
+        "page_order": F.col("source_order").cast("double"),
+        "random": F.xxhash64(F.lit(seed), "id", "source_order").cast("double")
+    }.get(ordering, -F.col("score"))
     return chunks.withColumn("_first", first).withColumn("_then", F.col("position") if "position" in chunks.columns else F.col("source_order"))

@@ -24,7 +24,13 @@ FOCUS = "river the port"
 #: Buckets of the plain packing queries, and finite budgets of the budgeted selection.
 BUCKETS = 4
 BUDGETS = Limits(max_total_chunks=120, max_prompt_chars=20_000)
-SETTINGS = QuizSettings(target_questions=40, questions_per_prompt=5, topic_focus="port", question_style="scenario", custom_instructions="Keep it short.\n\nNo trick questions.")
+SETTINGS = QuizSettings(
+    target_questions=40,
+    questions_per_prompt=5,
+    topic_focus="port",
+    question_style="scenario",
+    custom_instructions="Keep it short.\n\nNo trick questions."
+)
 COMPACT_SETTINGS = QuizSettings(target_questions=40, questions_per_prompt=5, response_format="compact", option_count=5, difficulty="mixed")
 
 
@@ -56,7 +62,12 @@ def normalize_text(s: SparkSession, d: str) -> DataFrame:
 
 def tokenize_stats(s: SparkSession, d: str) -> DataFrame:
     words = _pages(s, d).select("page_id", T.tokens(F.col("text")).alias("w"))
-    return words.select("page_id", F.size("w").alias("tokens"), F.size(F.array_distinct("w")).alias("distinct_tokens"), F.size(T.content_tokens(F.col("w"))).alias("content_tokens")).where("tokens >= 0")
+    return words.select(
+        "page_id",
+        F.size("w").alias("tokens"),
+        F.size(F.array_distinct("w")).alias("distinct_tokens"),
+        F.size(T.content_tokens(F.col("w"))).alias("content_tokens")
+    ).where("tokens >= 0")
 
 
 def sentence_split(s: SparkSession, d: str) -> DataFrame:
@@ -70,7 +81,10 @@ def sentence_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_pages(s: SparkSession, d: str) -> DataFrame:
-    pages = _pages(s, d).where("text is not null").select("page_id", F.posexplode(chunking.chunk_array(T.normalize_extracted(F.col("text")))).alias("chunk_index", "chunk"))
+    pages = _pages(s, d).where("text is not null").select(
+        "page_id",
+        F.posexplode(chunking.chunk_array(T.normalize_extracted(F.col("text")))).alias("chunk_index", "chunk")
+    )
     return pages.select("page_id", "chunk_index", "chunk")
 
 
@@ -82,7 +96,16 @@ def chunk_documents(s: SparkSession, d: str) -> DataFrame:
 
 def top_chunks(s: SparkSession, d: str) -> DataFrame:
     """Pages to chunks, scored and without duplicates; the ten best by score."""
-    slim = chunking.chunk_pages(_pages(s, d)).select("file_index", "page_seq", "chunk_index", "id", "chunk_id", "score", "fingerprint", F.length("raw_text").alias("chars"))
+    slim = chunking.chunk_pages(_pages(s, d)).select(
+        "file_index",
+        "page_seq",
+        "chunk_index",
+        "id",
+        "chunk_id",
+        "score",
+        "fingerprint",
+        F.length("raw_text").alias("chars")
+    )
     best = selection.winners(chunking.with_source_order(slim), carry=("chunk_id", "score", "chars"))
     return best.orderBy(F.desc("score"), "source_order").limit(10).select("chunk_id", F.round("score", 6).alias("score"), "chars")
 
@@ -102,7 +125,10 @@ def fingerprints(s: SparkSession, d: str) -> DataFrame:
 
 
 def compress_chunks(s: SparkSession, d: str) -> DataFrame:
-    return _chunks(s, d).where("raw_text is not null").select("source_order", T.compress(F.col("raw_text")).alias("compressed")).withColumn("tokens", T.estimated_tokens(F.col("compressed")))
+    return _chunks(s, d).where("raw_text is not null").select(
+        "source_order",
+        T.compress(F.col("raw_text")).alias("compressed")
+    ).withColumn("tokens", T.estimated_tokens(F.col("compressed")))
 
 
 def topic_scores(s: SparkSession, d: str) -> DataFrame:
@@ -126,7 +152,10 @@ def low_text_files(s: SparkSession, d: str) -> DataFrame:
 def run_failures(s: SparkSession, d: str) -> DataFrame:
     """What stops or warns of each run of files: too many of them in one, or no chunk in the end."""
     named = _t(s, d, "file_status").groupBy("file_index").agg(F.max("chunks").alias("chunks"))
-    runs = named.groupBy(F.floor(F.col("file_index") / 100).cast("int").alias("run")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+    runs = named.groupBy(F.floor(F.col("file_index") / 100).cast("int").alias("run")).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks")
+    )
     return runs.select("run", files.run_message(F.col("files"), F.col("chunks")).alias("message"))
 
 
@@ -135,7 +164,15 @@ def ocr_fallback(s: SparkSession, d: str) -> DataFrame:
     pages = _pages(s, d).where("text is not null and file_index is not null")
     whole = T.normalize_extracted(F.col("text"))
     layer = F.when(F.col("page_id") % 3 == 0, F.substring(whole, 1, 12)).otherwise(whole)
-    given = pages.select("page_id", "file_index", "page_seq", layer.alias("layer"), whole.alias("ocr_text"), (F.col("page_id") % 5 > 0).alias("ocr_usable"), (F.col("page_id") % 31 == 0).alias("ocr_failed"))
+    given = pages.select(
+        "page_id",
+        "file_index",
+        "page_seq",
+        layer.alias("layer"),
+        whole.alias("ocr_text"),
+        (F.col("page_id") % 5 > 0).alias("ocr_usable"),
+        (F.col("page_id") % 31 == 0).alias("ocr_failed")
+    )
     return recognition.ocr_fallback(given).select("page_id", "text", "from_ocr")
 
 
@@ -148,9 +185,20 @@ def file_filter_status(s: SparkSession, d: str) -> DataFrame:
 def file_formats(s: SparkSession, d: str) -> DataFrame:
     """The format of each file by its media type or its name, and whether it is read; every other name has lost its extension."""
     once = _t(s, d, "file_status").groupBy("file_index").agg(F.max("file_name").alias("file_name"))
-    kinds = F.array(*map(F.lit, ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "image/png", "text/plain")), F.lit(None))
-    rows = once.select("file_index", F.when(F.col("file_index") % 2 == 0, F.regexp_replace("file_name", r"\.\w+$", "")).otherwise(F.col("file_name")).alias("name"), F.get(kinds, F.col("file_index") % 5).alias("mime"))
-    return rows.select("file_index", files.file_format(F.col("name"), F.col("mime")).alias("format"), files.supported(F.col("name"), F.col("mime")).alias("supported"))
+    kinds = F.array(
+        *map(F.lit, ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "image/png", "text/plain")),
+        F.lit(None)
+    )
+    rows = once.select(
+        "file_index",
+        F.when(F.col("file_index") % 2 == 0, F.regexp_replace("file_name", r"\.\w+$", "")).otherwise(F.col("file_name")).alias("name"),
+        F.get(kinds, F.col("file_index") % 5).alias("mime")
+    )
+    return rows.select(
+        "file_index",
+        files.file_format(F.col("name"), F.col("mime")).alias("format"),
+        files.supported(F.col("name"), F.col("mime")).alias("supported")
+    )
 
 
 def stage_labels(s: SparkSession, d: str) -> DataFrame:
@@ -165,7 +213,11 @@ def intake_files(s: SparkSession, d: str) -> DataFrame:
 
 def file_states(s: SparkSession, d: str) -> DataFrame:
     """The final state of each file from its chunks and warnings, by the rules of a finished run."""
-    once = _t(s, d, "file_status").where("chunks is not null").select("file_index", "chunks", F.coalesce(F.size("warnings"), F.lit(0)).alias("n")).groupBy("file_index").agg(F.max("chunks").alias("chunks"), F.max("n").alias("n"))
+    once = _t(s, d, "file_status").where("chunks is not null").select(
+        "file_index",
+        "chunks",
+        F.coalesce(F.size("warnings"), F.lit(0)).alias("n")
+    ).groupBy("file_index").agg(F.max("chunks").alias("chunks"), F.max("n").alias("n"))
     made = once.withColumn("w", F.array_repeat(F.lit("w"), F.greatest(F.col("n"), F.lit(0))))
     return made.select("file_index", files.final_state(F.col("chunks"), F.col("w"), F.lit(0)).alias("f")).select("file_index", "f.state", "f.message")
 
@@ -207,7 +259,18 @@ def compression_note(s: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_selection_budget(s: SparkSession, d: str) -> DataFrame:
-    chunks = _in_runs(s, d, selection.dedupe(_chunks(s, d)).select("source_order", "id", "file_name", "score", "position", F.coalesce("compressed_text", F.lit("")).alias("compressed_text")))
+    chunks = _in_runs(
+        s,
+        d,
+        selection.dedupe(_chunks(s, d)).select(
+            "source_order",
+            "id",
+            "file_name",
+            "score",
+            "position",
+            F.coalesce("compressed_text", F.lit("")).alias("compressed_text")
+        )
+    )
     return selection.cover_within(chunks, BUDGETS, "run").select("run", "source_order", "covers")
 
 
@@ -223,7 +286,12 @@ def order_random(s: SparkSession, d: str) -> DataFrame:
 
 def order_page(s: SparkSession, d: str) -> DataFrame:
     """Each file's chunks in order of their pages, whatever order they were delivered in."""
-    return ranked(_t(s, d, "chunks").where("source_order is not null").select("file_name", "source_order").distinct(), ["file_name"], [F.asc("source_order")], "page_rank").select("source_order", "page_rank")
+    return ranked(
+        _t(s, d, "chunks").where("source_order is not null").select("file_name", "source_order").distinct(),
+        ["file_name"],
+        [F.asc("source_order")],
+        "page_rank"
+    ).select("source_order", "page_rank")
 
 
 def _spread(s: SparkSession, d: str, ordering: str, how: str) -> DataFrame:
@@ -240,7 +308,16 @@ def pack_sequential(s: SparkSession, d: str) -> DataFrame:
 
 def batch_plan(s: SparkSession, d: str) -> DataFrame:
     """The prompt batches of every run, with their files in order of appearance."""
-    chunks = cut_lineage(_in_runs(s, d, selection.ordered(_chunks(s, d))).select("run", "source_order", "file_name", F.length(F.coalesce("compressed_text", F.lit(""))).alias("length"), "_first", "_then"))
+    chunks = cut_lineage(
+        _in_runs(s, d, selection.ordered(_chunks(s, d))).select(
+            "run",
+            "source_order",
+            "file_name",
+            F.length(F.coalesce("compressed_text", F.lit(""))).alias("length"),
+            "_first",
+            "_then"
+        )
+    )
     made = planning.batches(planning.plan_chunks(chunks, "run", SETTINGS), chunks, "run")
     return made.withColumn("source_files", F.array_join("source_files", "|", "<null>"))
 
@@ -248,7 +325,10 @@ def batch_plan(s: SparkSession, d: str) -> DataFrame:
 def question_allocation(s: SparkSession, d: str) -> DataFrame:
     """Questions of each bucket of the balanced packing of every run."""
     used = pack_balanced(s, d).select("run", "bucket").distinct()
-    ranks = used.withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy("bucket")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run")))
+    ranks = used.withColumn(
+        "r",
+        F.row_number().over(Window.partitionBy("run").orderBy("bucket")) - 1
+    ).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run")))
     return ranks.select("run", "bucket", planning.questions_of(F.col("r"), F.col("n"), 7, 3).alias("questions"))
 
 
@@ -261,8 +341,18 @@ def new_batches(s: SparkSession, d: str) -> DataFrame:
 def char_budgets(s: SparkSession, d: str) -> DataFrame:
     """Questions and characters of a prompt under every density and format, for numbers of questions in and out of range."""
     asked = [-3.0, 0.4, 0.5, 2.5, *map(float, range(1, 101)), 250.0]
-    made = [(q, density, form, QuizSettings(questions_per_prompt=q, density=density, response_format=form)) for q in asked for density in ("light", "standard", "dense") for form in ("standard", "compact")]
-    return s.createDataFrame([(q, density, form, x.questions, x.char_budget) for q, density, form, x in made], "asked double, density string, format string, questions int, chars int")
+    made = [
+        (
+            q,
+            density,
+            form,
+            QuizSettings(questions_per_prompt=q, density=density, response_format=form)
+        ) for q in asked for density in ("light", "standard", "dense") for form in ("standard", "compact")
+    ]
+    return s.createDataFrame(
+        [(q, density, form, x.questions, x.char_budget) for q, density, form, x in made],
+        "asked double, density string, format string, questions int, chars int"
+    )
 
 
 def prepared_notes(s: SparkSession, d: str) -> DataFrame:
@@ -272,7 +362,11 @@ def prepared_notes(s: SparkSession, d: str) -> DataFrame:
 
 
 def queue_metrics(s: SparkSession, d: str) -> DataFrame:
-    batches = _t(s, d, "prompt_batches").select("batch_number", "question_count", F.when(F.col("batch_number") % 3 == 0, "parsed").otherwise("pending").alias("status"))
+    batches = _t(s, d, "prompt_batches").select(
+        "batch_number",
+        "question_count",
+        F.when(F.col("batch_number") % 3 == 0, "parsed").otherwise("pending").alias("status")
+    )
     sizes = _t(s, d, "file_status").groupBy("file_index").agg(F.max("file_size").alias("file_size"))
     return planning.queue_metrics(batches, sizes)
 
@@ -295,7 +389,10 @@ def prompt_queue(s: SparkSession, d: str) -> DataFrame:
     """The prompts of the existing batches in the compact format with five options, with the last questions accepted; every tenth is overridden."""
     table = _t(s, d, "prompt_batches")
     override = F.when(F.col("batch_number") % 10 == 0, F.concat(F.lit("My own prompt "), F.col("batch_number").cast("string")))
-    rows = source_packets(s, d).join(table.select("batch_number", F.coalesce("question_count", F.lit(5)).alias("question_count"), override.alias("prompt_override")), "batch_number")
+    rows = source_packets(s, d).join(
+        table.select("batch_number", F.coalesce("question_count", F.lit(5)).alias("question_count"), override.alias("prompt_override")),
+        "batch_number"
+    )
     bank_rows = _questions(s, d).where("question is not null").select("question_id", "question")
     return prompts.prompt_queue(rows, table.count(), COMPACT_SETTINGS, bank_rows, ["question_id"])
 
@@ -318,7 +415,13 @@ def _compact_question(q, index):
     inner = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
     source = [inner(q["source"][c]) for c in ("file", "page", "chunk_id")]
     options = F.coalesce(F.to_json(q["options"]), F.lit("null"))
-    parts = [inner(q["question"]), options, index(bank.correct_position(q["options"], q["correct_answer"])), inner(q["explanation"]), F.concat(F.lit("["), F.concat_ws(",", *source), F.lit("]"))]
+    parts = [
+        inner(q["question"]),
+        options,
+        index(bank.correct_position(q["options"], q["correct_answer"])),
+        inner(q["explanation"]),
+        F.concat(F.lit("["), F.concat_ws(",", *source), F.lit("]"))
+    ]
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
@@ -326,7 +429,11 @@ def _responses(s: SparkSession, d: str) -> DataFrame:
     """Standard responses of three questions, in seven ways: plain, fenced, with a number page, with words around, cut off, empty, and compact."""
     asked = F.transform(F.sort_array(F.collect_list(F.struct("question_id", F.struct(*export.FIELDS).alias("q")))), lambda x: x["q"])
     rows = _grouped(s, d).groupBy("response").agg(asked.alias("q")).withColumn("raw", responses.standard_json(F.col("q")))
-    compact = F.concat(F.lit('{"questions":['), F.array_join(F.transform("q", lambda q: _compact_question(q, lambda place: place.cast("string"))), ","), F.lit("]}"))
+    compact = F.concat(
+        F.lit('{"questions":['),
+        F.array_join(F.transform("q", lambda q: _compact_question(q, lambda place: place.cast("string"))), ","),
+        F.lit("]}")
+    )
     kind = F.col("response") % 7
     made = (
         F.when(kind == 1, F.concat(F.lit("Here it is:\n```json\n"), F.col("raw"), F.lit("\n```\nDone.")))
@@ -380,7 +487,9 @@ def parse_errors(s: SparkSession, d: str) -> DataFrame:
 
 def correct_index(s: SparkSession, d: str) -> DataFrame:
     """The index that values of several kinds stand for, with four options."""
-    value = F.expr("CASE pmod(q_index, 4) WHEN 0 THEN cast(pmod(question_id, 7) - 1 as string) WHEN 1 THEN concat('\"', char(cast(97 + pmod(question_id, 6) as int)), '\"') WHEN 2 THEN concat('\"', pmod(question_id, 6), '\"') ELSE concat(pmod(question_id, 5), '.5') END")
+    value = F.expr(
+        "CASE pmod(q_index, 4) WHEN 0 THEN cast(pmod(question_id, 7) - 1 as string) WHEN 1 THEN concat('\"', char(cast(97 + pmod(question_id, 6) as int)), '\"') WHEN 2 THEN concat('\"', pmod(question_id, 6), '\"') ELSE concat(pmod(question_id, 5), '.5') END"
+    )
     rows = _questions(s, d).where("q_index is not null").select("question_id", F.try_parse_json(value).alias("v"))
     return rows.select("question_id", responses.correct_index(F.col("v"), 4).alias("correct_index"))
 
@@ -397,7 +506,12 @@ def position_histogram(s: SparkSession, d: str) -> DataFrame:
 def quality_report(s: SparkSession, d: str) -> DataFrame:
     before = _questions(s, d)
     made = bank.quality_report(before, bank.rebalance(before, F.col("question_id")))
-    return made.select(F.array_join("original_counts", ",").alias("original_counts"), F.array_join("balanced_counts", ",").alias("balanced_counts"), "skew_detected", "duplicate_option_questions")
+    return made.select(
+        F.array_join("original_counts", ",").alias("original_counts"),
+        F.array_join("balanced_counts", ",").alias("balanced_counts"),
+        "skew_detected",
+        "duplicate_option_questions"
+    )
 
 
 def duplicate_options(s: SparkSession, d: str) -> DataFrame:
@@ -430,13 +544,29 @@ def batch_notes(s: SparkSession, d: str) -> DataFrame:
     first = rows.groupBy(stem.alias("_stem")).agg(F.min("batch_number").alias("_first"))
     size = F.size("options")
     place = bank.correct_position(F.col("options"), F.col("correct_answer"))
-    same = rows.select("batch_number", stem.alias("_stem"), F.coalesce(size, F.lit(0)).alias("k"), place.alias("place"), bank.has_duplicate_options(F.col("options")).cast("int").alias("repeated"))
-    new = same.groupBy("batch_number", "_stem").agg(F.count(F.lit(1)).alias("n")).join(first, "_stem").groupBy("batch_number").agg(F.sum((F.col("_first") == F.col("batch_number")).cast("long")).alias("added"))
+    same = rows.select(
+        "batch_number",
+        stem.alias("_stem"),
+        F.coalesce(size, F.lit(0)).alias("k"),
+        place.alias("place"),
+        bank.has_duplicate_options(F.col("options")).cast("int").alias("repeated")
+    )
+    new = same.groupBy("batch_number", "_stem").agg(F.count(F.lit(1)).alias("n")).join(first, "_stem").groupBy("batch_number").agg(
+        F.sum((F.col("_first") == F.col("batch_number")).cast("long")).alias("added")
+    )
     counts = same.groupBy("batch_number").agg(F.count(F.lit(1)).alias("parsed"), F.max("k").alias("k"), F.sum("repeated").alias("repeated"))
     most = same.where("place >= 0").groupBy("batch_number", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("batch_number").agg(F.max("n").alias("most"))
     outcomes = counts.join(new, "batch_number").join(most, "batch_number", "left")
     skewed = F.coalesce((F.col("parsed") >= F.col("k")) & (F.col("most") / F.col("parsed") >= bank.SKEW), F.lit(False))
-    outcomes = outcomes.select("batch_number", (F.col("batch_number") % 7 > 0).alias("success"), "parsed", "added", (F.col("parsed") - F.col("added")).alias("duplicates"), skewed.alias("skewed"), "repeated")
+    outcomes = outcomes.select(
+        "batch_number",
+        (F.col("batch_number") % 7 > 0).alias("success"),
+        "parsed",
+        "added",
+        (F.col("parsed") - F.col("added")).alias("duplicates"),
+        skewed.alias("skewed"),
+        "repeated"
+    )
     made = planning.parsed_batches(_t(s, d, "prompt_batches").where("question_count is not null").select("batch_number", "question_count"), outcomes, "A-D")
     return made.withColumn("notes", F.array_join("notes", " "))
 
@@ -447,13 +577,21 @@ def option_counts(s: SparkSession, d: str) -> DataFrame:
 
 def choice_texts(s: SparkSession, d: str) -> DataFrame:
     """How the options of each batch are described: their numbers, and the labels of the longest list."""
-    sizes = _questions(s, d).where("batch_number is not null and size(options) > 0").groupBy("batch_number").agg(F.sort_array(F.collect_set(F.size("options"))).alias("n"))
+    sizes = _questions(s, d).where("batch_number is not null and size(options) > 0").groupBy("batch_number").agg(
+        F.sort_array(F.collect_set(F.size("options"))).alias("n")
+    )
     return sizes.select("batch_number", T.choice_text(F.col("n")).alias("text"), T.option_range(F.array_max("n")).alias("labels"))
 
 
 def sample_questions(s: SparkSession, d: str) -> DataFrame:
     """The questions of a made-up response in the compact format, read back in the standard mode."""
-    return responses.accepted_questions(responses.sample_responses(s, 40, "compact"), "raw").select("q_index", "question", F.array_join("options", "|").alias("options"), "correct_answer", F.col("source.page").alias("page"))
+    return responses.accepted_questions(responses.sample_responses(s, 40, "compact"), "raw").select(
+        "q_index",
+        "question",
+        F.array_join("options", "|").alias("options"),
+        "correct_answer",
+        F.col("source.page").alias("page")
+    )
 
 
 def keyed_edits(s: SparkSession, d: str) -> DataFrame:
@@ -489,7 +627,12 @@ def html_pages(s: SparkSession, d: str) -> DataFrame:
 
 def text_escapes(s: SparkSession, d: str) -> DataFrame:
     rows = _questions(s, d).where("explanation is not null")
-    return rows.select("question_id", T.html_escape(F.col("explanation")).alias("html"), T.script_safe(F.col("explanation")).alias("script"), T.slug(F.coalesce("source.file", F.lit(""))).alias("slug"))
+    return rows.select(
+        "question_id",
+        T.html_escape(F.col("explanation")).alias("html"),
+        T.script_safe(F.col("explanation")).alias("script"),
+        T.slug(F.coalesce("source.file", F.lit(""))).alias("slug")
+    )
 
 
 def quiz_state(s: SparkSession, d: str) -> DataFrame:
@@ -547,7 +690,13 @@ def histogram_percentile(s: SparkSession, d: str) -> DataFrame:
 
 def _pixels(s: SparkSession, d: str) -> DataFrame:
     colour = lambda c: F.pmod(c, F.lit(256))
-    return _t(s, d, "part").select("p_brand", F.col("p_partkey").alias("place"), colour(F.col("p_size") * 5).alias("red"), colour(F.col("p_partkey") * 7).alias("green"), colour(F.col("p_size") * 11).alias("blue"))
+    return _t(s, d, "part").select(
+        "p_brand",
+        F.col("p_partkey").alias("place"),
+        colour(F.col("p_size") * 5).alias("red"),
+        colour(F.col("p_partkey") * 7).alias("green"),
+        colour(F.col("p_size") * 11).alias("blue")
+    )
 
 
 def contrast(s: SparkSession, d: str) -> DataFrame:
@@ -578,7 +727,13 @@ def ocr_quality(s: SparkSession, d: str) -> DataFrame:
 def best_attempts(s: SparkSession, d: str) -> DataFrame:
     """The better of two attempts at each page."""
     first, second = _recognised(s, d, lambda k: F.lit(40.0) + k), _recognised(s, d, lambda k: F.lit(90.0) - k)
-    return recognition.best_attempt(first, second, "page_id").select("page_id", "confidence", "usable", F.length("text").alias("chars"), F.round("quality_score", 6).alias("quality_score"))
+    return recognition.best_attempt(first, second, "page_id").select(
+        "page_id",
+        "confidence",
+        "usable",
+        F.length("text").alias("chars"),
+        F.round("quality_score", 6).alias("quality_score")
+    )
 
 
 QUERIES: list[Query] = [

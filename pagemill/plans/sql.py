@@ -155,7 +155,18 @@ def _cell(x: str) -> str:
     return f"""CASE WHEN regexp_matches({plain}, '[",]') THEN '"' || replace({plain}, '"', '""') || '"' ELSE {plain} END"""
 
 
-_CSV = " || ',' || ".join(["(question_id + 1)::VARCHAR", _cell("question"), *(_cell(f"options[{i}]") for i in range(1, 6)), _cell("correct_answer"), _cell("explanation"), _cell("source.file"), _cell("source.page"), _cell("source.chunk_id")])
+_CSV = " || ',' || ".join(
+    [
+        "(question_id + 1)::VARCHAR",
+        _cell("question"),
+        *(_cell(f"options[{i}]") for i in range(1, 6)),
+        _cell("correct_answer"),
+        _cell("explanation"),
+        _cell("source.file"),
+        _cell("source.page"),
+        _cell("source.chunk_id")
+    ]
+)
 
 _RUNS = """fi AS (SELECT file_name, min(file_index) AS fx FROM pdf_pages WHERE file_name IS NOT NULL AND file_index IS NOT NULL GROUP BY 1)"""
 _RUN = "coalesce(fx // 60, -1)::INTEGER AS run"

@@ -16,7 +16,16 @@ UNSUPPORTED = "Unsupported file type (PDF, DOCX, and common image files only)."
 LOW_TEXT = "Very little extractable text found."
 NO_FILES = "Upload at least one PDF, DOCX, or image before generating a prompt."
 NO_TEXT = "No valid source text could be extracted from the uploaded PDFs, DOCX files, or images."
-STAGES = {"idle": "Ready", "uploading": "Uploading files", "extracting": "Extracting file text", "analyzing": "Analyzing and compressing chunks", "building_prompt": "Building prompt queue", "waiting_for_ai": "Waiting for pasted AI batch output", "parsed_success": "Quiz parsed successfully", "failed": "Failed"}
+STAGES = {
+    "idle": "Ready",
+    "uploading": "Uploading files",
+    "extracting": "Extracting file text",
+    "analyzing": "Analyzing and compressing chunks",
+    "building_prompt": "Building prompt queue",
+    "waiting_for_ai": "Waiting for pasted AI batch output",
+    "parsed_success": "Quiz parsed successfully",
+    "failed": "Failed"
+}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -41,20 +50,29 @@ def file_format(name: Column, mime: Column | None = None) -> Column:
 
 def supported(name: Column, mime: Column | None = None) -> Column:
     kind = F.coalesce(mime, F.lit("")) if mime is not None else F.lit("")
-    return F.coalesce(name, F.lit("")).rlike(SUPPORTED) | kind.startswith("image/") | kind.isin("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
+    return F.coalesce(name, F.lit("")).rlike(SUPPORTED) | kind.startswith("image/") | kind.isin(
+        "application/pdf",
+        "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    )
 
 
 def rejected(files: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Adds ``message``: why a file of (file_index, file_name, file_size) is not read, or null; the first reason counts."""
     size = F.concat(F.lit(f"File is too large (>{(limits.max_file_bytes + 524288) // 1048576} MB)."))
-    reason = F.when(F.col("file_index") >= limits.max_files, TOO_MANY).when(~supported(F.col("file_name")), UNSUPPORTED).when(F.col("file_size") > limits.max_file_bytes, size)
+    reason = F.when(
+        F.col("file_index") >= limits.max_files,
+        TOO_MANY
+    ).when(~supported(F.col("file_name")), UNSUPPORTED).when(F.col("file_size") > limits.max_file_bytes, size)
     return files.withColumn("message", reason)
 
 
 def file_totals(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """(file_index, pages, text_length, low_text) over pages with text."""
     filled = pages.where("length(text) > 0")
-    return filled.groupBy("file_index").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("text_length")).withColumn("low_text", F.col("text_length") < limits.low_text_chars)
+    return filled.groupBy("file_index").agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.sum(F.length("text")).alias("text_length")
+    ).withColumn("low_text", F.col("text_length") < limits.low_text_chars)
 
 
 def ocr_note(pages: Column) -> Column:
@@ -73,7 +91,11 @@ def final_state(chunks: Column, warnings: Column, ocr_pages: Column) -> Column:
 
 def run_message(total: Column, chunks: Column, limits: Limits = Limits()) -> Column:  # noqa: B008
     """What stops a run of ``total`` files or, if none, warns of it; null where neither is the case."""
-    many = F.concat(F.lit("Received "), total.cast("string"), F.lit(f" files. Only the first {limits.max_files} files were processed to keep performance stable."))
+    many = F.concat(
+        F.lit("Received "),
+        total.cast("string"),
+        F.lit(f" files. Only the first {limits.max_files} files were processed to keep performance stable.")
+    )
     return F.when(total == 0, NO_FILES).when(chunks == 0, NO_TEXT).when(total > limits.max_files, many)
 
 
@@ -87,7 +109,12 @@ def progress_events(files: DataFrame) -> DataFrame:
     sums = {"processed_files": F.lit(1).cast("long"), "processed_bytes": F.col("file_size")}
     rows = running(files.select("file_index", "file_size"), [], [F.asc("file_index")], sums)
     total = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
-    return rows.select("file_index", F.col("processed_files").cast("int").alias("processed_files"), "processed_bytes", F.lit(total).cast("long").alias("total_bytes")).withColumn("percent", progress(F.col("processed_bytes"), F.col("total_bytes")))
+    return rows.select(
+        "file_index",
+        F.col("processed_files").cast("int").alias("processed_files"),
+        "processed_bytes",
+        F.lit(total).cast("long").alias("total_bytes")
+    ).withColumn("percent", progress(F.col("processed_bytes"), F.col("total_bytes")))
 
 
 def stage_label(stage: Column) -> Column:

@@ -190,6 +190,12 @@ def read_pages(files: DataFrame, pdf: PdfPages | None = None, make_recognizer: C
                 if own:
                     own[0] = (*own[0][:6], made.warnings, made.ocr_pages)
                 rows += own
-            yield pd.DataFrame(rows, columns=["file_index", "file_name", "page_seq", "page_number", "text", "error", "warnings", "ocr_pages"]).astype({"page_seq": "Int32", "page_number": "Int32", "file_index": "int32", "ocr_pages": "int32"})
-
-    return files.select("file_index", "file_name", "format", "content").mapInPandas(run, "file_index int, file_name string, page_seq int, page_number int, text string, error string, warnings array<string>, ocr_pages int")
+            yield pd.DataFrame(
+                rows,
+                columns=["file_index", "file_name", "page_seq", "page_number", "text", "error", "warnings", "ocr_pages"]
+            ).astype({"page_seq": "Int32", "page_number": "Int32", "file_index": "int32", "ocr_pages": "int32"})
+
+    return files.select("file_index", "file_name", "format", "content").mapInPandas(
+        run,
+        "file_index int, file_name string, page_seq int, page_number int, text string, error string, warnings array<string>, ocr_pages int"
+    )

@@ -56,7 +56,10 @@ def miss_marks(events: DataFrame, session: DataFrame | None = None) -> DataFrame
     zero.  A clearing begins the walk anew.
     """
     wrong = (F.col("kind") == "answer") & ~F.coalesce("correct", F.lit(False))
-    steps = (last_session(events) if session is None else session).withColumn("_step", F.when(wrong, 1).when(F.col("kind") == "remove_mark", -1)).where("_step is not null or kind = 'clear_marks'")
+    steps = (last_session(events) if session is None else session).withColumn(
+        "_step",
+        F.when(wrong, 1).when(F.col("kind") == "remove_mark", -1)
+    ).where("_step is not null or kind = 'clear_marks'")
     cleared = steps.where("kind = 'clear_marks'").groupBy(*KEYS).agg(F.max(F.struct("ts", "event_id")).alias("_clear"))
     rest = steps.join(cleared, KEYS, "left").where(F.col("_step").isNotNull() & (F.col("_clear").isNull() | (F.struct("ts", "event_id") > F.col("_clear"))))
     running = F.sum("_step").over(Window.partitionBy(*KEYS).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
@@ -79,8 +82,15 @@ def status_text(marks: Column, correct: Column) -> Column:
 def question_states(events: DataFrame) -> DataFrame:
     """Answers and marks side by side, with the text shown for each question."""
     session = cut_lineage(last_session(events))
-    both = answers(events, session).join(miss_marks(events, session), KEYS, "full").join(retrying(events, session).withColumn("retry", F.lit(True)), KEYS, "left")
-    return both.withColumn("marks", F.coalesce("marks", F.lit(0))).withColumn("locked", F.col("selected").isNotNull() & F.col("retry").isNull()).drop("retry").withColumn("status", status_text(F.col("marks"), F.col("correct")))
+    both = answers(events, session).join(miss_marks(events, session), KEYS, "full").join(
+        retrying(events, session).withColumn("retry", F.lit(True)),
+        KEYS,
+        "left"
+    )
+    return both.withColumn("marks", F.coalesce("marks", F.lit(0))).withColumn(
+        "locked",
+        F.col("selected").isNotNull() & F.col("retry").isNull()
+    ).drop("retry").withColumn("status", status_text(F.col("marks"), F.col("correct")))
 
 
 def missed_summary(events: DataFrame) -> DataFrame:
@@ -116,7 +126,12 @@ def snapshots(events: DataFrame) -> DataFrame:
     pair = lambda value: F.concat(F.lit("["), F.col("q_index").cast("string"), F.lit(","), value, F.lit("]"))
     session = cut_lineage(last_session(events))
     own = answers(events, session).select("learner", "q_index", pair(answer).alias("answer"), F.lit(None).cast("string").alias("mark"))
-    marks = miss_marks(events, session).select("learner", "q_index", F.lit(None).cast("string").alias("answer"), pair(F.col("marks").cast("string")).alias("mark"))
+    marks = miss_marks(events, session).select(
+        "learner",
+        "q_index",
+        F.lit(None).cast("string").alias("answer"),
+        pair(F.col("marks").cast("string")).alias("mark")
+    )
     listed = lambda c: F.array_join(F.transform(F.sort_array(F.filter(F.collect_list(F.struct("q_index", c)), lambda x: x[c].isNotNull())), lambda x: x[c]), ",")
     made = own.unionByName(marks).groupBy("learner").agg(listed("answer").alias("_a"), listed("mark").alias("_m"))
     return made.select("learner", F.concat(F.lit('{"answers":['), F.col("_a"), F.lit('],"missMarks":['), F.col("_m"), F.lit("]}")).alias("state"))
@@ -145,7 +160,14 @@ def restored(saved: DataFrame, questions: DataFrame) -> DataFrame:
     rounded = lambda c: F.floor(F.col(c) + 0.5).cast("int")
     attempts = F.when(known, F.greatest(F.lit(1), F.coalesce(F.when(~F.isnan("attempts"), rounded("attempts")), F.lit(1))))
     marks = F.greatest(F.lit(0), F.coalesce(F.when(~F.isnan("marks"), rounded("marks")), F.lit(0)))
-    made = joined.select("learner", "q_index", F.when(known, F.col("selected")).alias("selected"), F.when(known, F.coalesce("correct", F.lit(False))).alias("correct"), attempts.alias("attempts"), marks.alias("marks"))
+    made = joined.select(
+        "learner",
+        "q_index",
+        F.when(known, F.col("selected")).alias("selected"),
+        F.when(known, F.coalesce("correct", F.lit(False))).alias("correct"),
+        attempts.alias("attempts"),
+        marks.alias("marks")
+    )
     return made.where("selected is not null or marks > 0")
 
 

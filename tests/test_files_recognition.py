@@ -40,7 +40,9 @@ def test_docx_pages_and_errors(spark, tmp_path):
     df = spark.createDataFrame(rows, "file_index int, file_name string, format string, content binary")
     got = [tuple(r) for r in readers.read_pages(df, limits=Limits(retries=1), wait=0).orderBy("file_index", "page_seq").collect()]
     assert got[0][2:5] == (0, None, "Hello world. Next one.") and got[1][2:5] == (1, None, "A note.")
-    assert got[2][5].startswith('Failed to process "b.docx" after 2 attempt(s): ') and got[3][5] == 'Failed to process "c.png" after 2 attempt(s): Image OCR is disabled, so "c.png" could not be read.'
+    assert got[2][5].startswith(
+        'Failed to process "b.docx" after 2 attempt(s): '
+    ) and got[3][5] == 'Failed to process "c.png" after 2 attempt(s): Image OCR is disabled, so "c.png" could not be read.'
 
 
 def test_merge_and_notes():
@@ -49,9 +51,16 @@ def test_merge_and_notes():
 
 
 def test_states_and_totals(spark):
-    row = spark.range(1).select(files.final_state(F.lit(0), F.array(), F.lit(1)).alias("a"), files.final_state(F.lit(2), F.array(F.lit("w")), F.lit(0)).alias("b"), files.final_state(F.lit(2), F.array(), F.lit(2)).alias("c")).first()
+    row = spark.range(1).select(
+        files.final_state(F.lit(0), F.array(), F.lit(1)).alias("a"),
+        files.final_state(F.lit(2), F.array(F.lit("w")), F.lit(0)).alias("b"),
+        files.final_state(F.lit(2), F.array(), F.lit(2)).alias("c")
+    ).first()
     assert tuple(row["a"]) == ("warning", "No usable chunks extracted from this file. OCR used on 1 page.")
-    assert tuple(row["b"]) == ("warning", "Completed with warning (2 chunks).") and tuple(row["c"]) == ("completed", "Completed (2 chunks). OCR used on 2 pages.")
+    assert tuple(row["b"]) == ("warning", "Completed with warning (2 chunks).") and tuple(row["c"]) == (
+        "completed",
+        "Completed (2 chunks). OCR used on 2 pages."
+    )
     pages = spark.createDataFrame([(0, "x" * 219), (0, ""), (0, None), (1, "y" * 220)], "file_index int, text string")
     assert {tuple(r) for r in files.file_totals(pages).collect()} == {(0, 1, 219, True), (1, 1, 220, False)}
 
@@ -66,7 +75,10 @@ def test_histograms(spark):
 
 def test_quality(spark):
     good = [("plain", 90.0, True), ("words", 88.0, True), ("here", 92.0, True)]
-    df = spark.createDataFrame([(1, "plain words here", 90.0, good), (2, "", 10.0, []), (3, "§§ ¤¤ ¤¤ ##", 20.4, [("§§", 5.0, False)])], "k int, text string, confidence double, words array<struct<text string, confidence double, in_dictionary boolean>>")
+    df = spark.createDataFrame(
+        [(1, "plain words here", 90.0, good), (2, "", 10.0, []), (3, "§§ ¤¤ ¤¤ ##", 20.4, [("§§", 5.0, False)])],
+        "k int, text string, confidence double, words array<struct<text string, confidence double, in_dictionary boolean>>"
+    )
     got = {r["k"]: r for r in recognition.page_quality(df).collect()}
     assert got[1]["usable"] and got[1]["warning"] is None and not got[2]["usable"] and got[2]["warning"] == "OCR did not detect readable text."
     assert got[3]["warning"] == "Ignored low-confidence OCR output (20% confidence)."
@@ -115,9 +127,17 @@ def test_images_and_media(spark):
     assert made.pages == [(None, "Body."), (None, "Seen")] and made.ocr_pages == 1
     assert made.warnings == ["OCR failed on embedded DOCX image 3: no engine", "Ignored low-quality OCR output on 1 embedded DOCX image (2)."]
     assert readers.read_docx("", buffer.getvalue()).warnings == ["Embedded DOCX images were found, but OCR is disabled."]
-    files_of = spark.createDataFrame([(0, "a.docx", "docx", buffer.getvalue()), (1, "b.pdf", "pdf", b"|?"), (2, "c.png", "image", b"Seen")], "file_index int, file_name string, format string, content binary")
+    files_of = spark.createDataFrame(
+        [(0, "a.docx", "docx", buffer.getvalue()), (1, "b.pdf", "pdf", b"|?"), (2, "c.png", "image", b"Seen")],
+        "file_index int, file_name string, format string, content binary"
+    )
     rows = readers.read_pages(files_of, pdf_of(), make_recognizer_of(), wait=0).orderBy("file_index", "page_seq").collect()
-    assert [(r["file_index"], r["page_seq"], r["text"], r["ocr_pages"]) for r in rows] == [(0, 0, "Body.", 1), (0, 1, "Seen", 0), (1, None, None, 0), (2, 0, "Seen", 1)]
+    assert [(r["file_index"], r["page_seq"], r["text"], r["ocr_pages"]) for r in rows] == [
+        (0, 0, "Body.", 1),
+        (0, 1, "Seen", 0),
+        (1, None, None, 0),
+        (2, 0, "Seen", 1)
+    ]
     assert rows[2]["warnings"] == ["Ignored low-quality OCR output on 1 page (1)."] and rows[2]["error"] is None
 
 
@@ -138,7 +158,16 @@ def make_recognizer_of():
 
 
 def test_fallback_of_tables_as_of_files(spark):
-    rows = [(0, 1, LONG, "x", True, False), (0, 2, "short", "Short text of a scan", True, False), (0, 3, "", "noise", False, False), (0, 4, "", "", False, True), (0, 5, "", "after", True, False), (0, 6, "short", "after", True, False), (1, 1, "", "fine", True, False), (1, 2, None, "fine", True, False)]
+    rows = [
+        (0, 1, LONG, "x", True, False),
+        (0, 2, "short", "Short text of a scan", True, False),
+        (0, 3, "", "noise", False, False),
+        (0, 4, "", "", False, True),
+        (0, 5, "", "after", True, False),
+        (0, 6, "short", "after", True, False),
+        (1, 1, "", "fine", True, False),
+        (1, 2, None, "fine", True, False)
+    ]
     df = spark.createDataFrame(rows, "file_index int, page_seq int, layer string, ocr_text string, ocr_usable boolean, ocr_failed boolean")
     got = {(r["file_index"], r["page_seq"]): (r["text"], r["from_ocr"]) for r in recognition.ocr_fallback(df).collect()}
     assert got == {(0, 1): (LONG, False), (0, 2): ("Short text of a scan", True), (0, 6): ("short", False), (1, 1): ("fine", True)}

@@ -62,7 +62,10 @@ def test_compact_responses(spark):
 
 def test_correct_index(spark):
     values = ["0", "4", '"b"', '"3"', "5", "-1", '"E"', "1.5", '"4"']
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", responses.correct_index(F.try_parse_json("v"), 4).alias("x"))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select(
+        "i",
+        responses.correct_index(F.try_parse_json("v"), 4).alias("x")
+    )
     assert [r["x"] for r in df.orderBy("i").collect()] == [0, 3, 1, 3, None, None, None, None, 3]
 
 
@@ -87,7 +90,10 @@ def test_golden_positions(spark):
 
 
 def test_stems(spark):
-    rows = questions(spark, [("What is X?", ["a"], "a", 1, 0), ("what  is x", ["a"], "a", 1, 1), ("数学", ["a"], "a", 1, 2), ("物理", ["a"], "a", 1, 3), (None, None, None, 1, 4)])
+    rows = questions(
+        spark,
+        [("What is X?", ["a"], "a", 1, 0), ("what  is x", ["a"], "a", 1, 1), ("数学", ["a"], "a", 1, 2), ("物理", ["a"], "a", 1, 3), (None, None, None, 1, 4)]
+    )
     assert {r["question_id"] for r in bank.merged(None, rows, ["question_id"]).collect()} == {0, 2}
     assert bank.merged(None, rows.limit(0), ["question_id"]).count() == 0
 
@@ -112,7 +118,10 @@ def test_export_round_trip(spark, tmp_path):
     verdict, back = parse(spark, [raw])[0]
     assert verdict["success"] and [r["question"] for r in back] == [f"Stem {i}?" for i in range(5)]
     assert json.loads(export.pretty_json(raw)) == json.loads(raw)
-    page = spark.createDataFrame([("T <1>", raw.replace("Stem", "</script>"))], "t string, p string").select(export.html_page(F.col("t"), F.col("p"))).first()[0]
+    page = spark.createDataFrame(
+        [("T <1>", raw.replace("Stem", "</script>"))],
+        "t string, p string"
+    ).select(export.html_page(F.col("t"), F.col("p"))).first()[0]
     assert "</script><" not in page.split("application/json")[1].split("</script>")[0] and "<h1>T &lt;1&gt;</h1>" in page and 'data-key="quiz-export-state-' in page
     lines = export.csv_lines(questions(spark, [('a "q", b', ["x", "y\nz"], "x", 1, 0)]), 3, F.lit(1))
     assert lines.first()["line"] == '1,"a ""q"", b",x,y z,,x,e,f,1,c'

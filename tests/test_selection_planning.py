@@ -15,7 +15,10 @@ def table(spark, rows):
 
 
 def test_tie_keeps_the_earlier_and_the_first_place(spark):
-    t = table(spark, [("a", "f", "Same words here", 5), ("b", "g", "Same words here", 5), ("c", "g", "Same words here", 7), ("d", "g", "of the", 1), ("d", "g", "the of", 0)])
+    t = table(
+        spark,
+        [("a", "f", "Same words here", 5), ("b", "g", "Same words here", 5), ("c", "g", "Same words here", 7), ("d", "g", "of the", 1), ("d", "g", "the of", 0)]
+    )
     got = {(r["source_order"], r["position"]) for r in selection.dedupe(t).collect()}
     assert got == {(2, 0), (4, 3)}
     assert {r["source_order"] for r in selection.dedupe(t, ["file_name"]).collect()} == {0, 2, 4}
@@ -104,14 +107,24 @@ def test_budget_and_questions():
 
 
 def test_packets_and_prompt(spark):
-    rows = spark.createDataFrame([(1, 0, None, "f.pdf", "c1", "One."), (1, 1, 2, "g.pdf", "c2", None)], "batch_number int, place int, page int, file_name string, chunk_id string, compressed_text string")
+    rows = spark.createDataFrame(
+        [(1, 0, None, "f.pdf", "c1", "One."), (1, 1, 2, "g.pdf", "c2", None)],
+        "batch_number int, place int, page int, file_name string, chunk_id string, compressed_text string"
+    )
     packet = prompts.source_packets(rows, ["batch_number"], ["place"])
     text = packet.first()["packet"]
     assert text == "SOURCE_1\nfile: f.pdf\npage: unknown\nchunkId: c1\ncontent: One.\n\nSOURCE_2\nfile: g.pdf\npage: 2\nchunkId: c2\ncontent: "
-    made = prompts.master_prompts(packet.withColumn("question_count", F.lit(3)), QuizSettings(response_format="compact"), F.array(F.lit("Old {n}?")), F.lit("B")).first()["prompt"]
+    made = prompts.master_prompts(
+        packet.withColumn("question_count", F.lit(3)),
+        QuizSettings(response_format="compact"),
+        F.array(F.lit("Old {n}?")),
+        F.lit("B")
+    ).first()["prompt"]
     assert "Target about 3 multiple-choice" in made and "- Working batch: B." in made and "PREVIOUS_QUESTION_1: Old {n}?" in made and made.endswith("SOURCE_PACKET_END")
     assert '{"questions":[["question",["A","B","C","D"],0,"short explanation",["file","page","chunkId"]]]}' in made
-    advice = spark.createDataFrame([(2,), (0,), (-1,)], "missing int").select(prompts.count_advice(F.col("missing"), QuizSettings(density="dense", questions_per_prompt=8))).collect()
+    advice = spark.createDataFrame([(2,), (0,), (-1,)], "missing int").select(
+        prompts.count_advice(F.col("missing"), QuizSettings(density="dense", questions_per_prompt=8))
+    ).collect()
     assert advice[0][0] == "This model returned too few questions for the current batch. Try Standard mode at 5 questions per prompt. If it still struggles, turn on compact response mode." and advice[1][0] is None and "too many" in advice[2][0]
 
 
@@ -126,10 +139,17 @@ def test_orders_and_plans_run(spark, ordering):
 
 def test_batches_after_answers(spark):
     batches = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, 5)], "batch_number int, question_count int")
-    outcomes = spark.createDataFrame([(1, True, 7, 6, 1, True, 1), (2, False, 5, 5, 0, False, 0), (3, True, 5, 5, 0, False, 0)], "batch_number int, success boolean, parsed long, added long, duplicates long, skewed boolean, repeated long")
+    outcomes = spark.createDataFrame(
+        [(1, True, 7, 6, 1, True, 1), (2, False, 5, 5, 0, False, 0), (3, True, 5, 5, 0, False, 0)],
+        "batch_number int, success boolean, parsed long, added long, duplicates long, skewed boolean, repeated long"
+    )
     got = {r["batch_number"]: r for r in planning.parsed_batches(batches, outcomes, "A-D").collect()}
     assert [got[k]["status"] for k in (1, 2, 3, 4)] == ["parsed", "pending", "parsed", "pending"] and got[3]["notes"] == [] and got[4]["added"] == 0
-    assert got[1]["notes"] == ["Accepted 7 questions for a target of 5 (2 over target).", "Detected answer-position skew and redistributed correct options across A-D.", "Detected 1 question with duplicate option text. Review before export."]
+    assert got[1]["notes"] == [
+        "Accepted 7 questions for a target of 5 (2 over target).",
+        "Detected answer-position skew and redistributed correct options across A-D.",
+        "Detected 1 question with duplicate option text. Review before export."
+    ]
     assert planning.next_pending(planning.parsed_batches(batches, outcomes, "A-D")).first()[0] == 2
 
 

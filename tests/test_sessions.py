@@ -22,7 +22,16 @@ def made_up(n=300, seed=4):
     for i in range(n):
         kind = rng.choice(kinds)
         right = rng.random() < 0.5
-        rows.append(event(i, f"l{rng.randint(0, 3)}", None if kind == "restart" else rng.randint(0, 5), kind, "ab"[right] if kind == "answer" else None, right if kind == "answer" else None))
+        rows.append(
+            event(
+                i,
+                f"l{rng.randint(0, 3)}",
+                None if kind == "restart" else rng.randint(0, 5),
+                kind,
+                "ab"[right] if kind == "answer" else None,
+                right if kind == "answer" else None
+            )
+        )
     return rows
 
 
@@ -38,7 +47,15 @@ def by_hand(rows):
 
 
 def test_wrong_then_right_then_marks_removed(spark):
-    rows = [event(1, "a", 0, "answer", "b", False), event(2, "a", 0, "Answer ", "a", True), event(3, "a", 0, "remove_mark"), event(4, "a", 0, "remove_mark"), event(4, "a", 0, "remove_mark"), event(5, None, 0, "answer"), event(6, "a", 0, None)]
+    rows = [
+        event(1, "a", 0, "answer", "b", False),
+        event(2, "a", 0, "Answer ", "a", True),
+        event(3, "a", 0, "remove_mark"),
+        event(4, "a", 0, "remove_mark"),
+        event(4, "a", 0, "remove_mark"),
+        event(5, None, 0, "answer"),
+        event(6, "a", 0, None)
+    ]
     events = sessions.clean_events(spark.createDataFrame(rows, SCHEMA))
     assert [tuple(r) for r in sessions.answers(events).collect()] == [("a", 0, "A", True, 2)]
     assert sessions.miss_marks(events).count() == 0
@@ -78,7 +95,10 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part * 40 : part * 40 + 40], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
     stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    query = sessions.stream_states(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = sessions.stream_states(stream).writeStream.outputMode("update").format("memory").queryName("states").option(
+        "checkpointLocation",
+        str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
     try:
         query.awaitTermination(120)
         assert query.exception() is None
@@ -90,10 +110,20 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_snapshots_are_saved_and_read_back(spark, tmp_path):
-    rows = [(1, "a", 2, "answer", "B", False, 1), (2, "a", 2, "answer", "C", True, 2), (3, "a", 0, "answer", None, True, 3), (4, "b", 1, "retry", None, None, 4)]
-    events = spark.createDataFrame(rows, "event_id long, learner string, q_index int, kind string, selected string, correct boolean, t int").withColumn("ts", F.timestamp_seconds("t"))
+    rows = [
+        (1, "a", 2, "answer", "B", False, 1),
+        (2, "a", 2, "answer", "C", True, 2),
+        (3, "a", 0, "answer", None, True, 3),
+        (4, "b", 1, "retry", None, None, 4)
+    ]
+    events = spark.createDataFrame(
+        rows,
+        "event_id long, learner string, q_index int, kind string, selected string, correct boolean, t int"
+    ).withColumn("ts", F.timestamp_seconds("t"))
     made = sessions.snapshots(sessions.clean_events(events))
-    assert {r["learner"]: r["state"] for r in made.collect()} == {"a": '{"answers":[[0,{"correct":true,"attempts":1}],[2,{"selected":"C","correct":true,"attempts":2}]],"missMarks":[[2,1]]}'}
+    assert {r["learner"]: r["state"] for r in made.collect()} == {
+        "a": '{"answers":[[0,{"correct":true,"attempts":1}],[2,{"selected":"C","correct":true,"attempts":2}]],"missMarks":[[2,1]]}'
+    }
     sessions.save_snapshots(made, str(tmp_path / "s"))
     sessions.save_snapshots(made.withColumn("state", F.lit("later")), str(tmp_path / "s"))
     assert [tuple(r) for r in sessions.saved_snapshots(spark, str(tmp_path / "s")).collect()] == [("a", "later")]
@@ -101,7 +131,11 @@ def test_snapshots_are_saved_and_read_back(spark, tmp_path):
 
 def test_next_question(spark):
     rows = spark.createDataFrame([(1, 5), (1, 2), (2, 0)], "quiz int, q_index int")
-    assert {tuple(r) for r in sessions.next_question(rows, "quiz").collect()} == {(1, 2, 5, "Question 1 of 2"), (1, 5, None, "Question 2 of 2"), (2, 0, None, "Question 1 of 1")}
+    assert {tuple(r) for r in sessions.next_question(rows, "quiz").collect()} == {
+        (1, 2, 5, "Question 1 of 2"),
+        (1, 5, None, "Question 2 of 2"),
+        (2, 0, None, "Question 1 of 1")
+    }
 
 
 def streamed(spark, tmp_path, parts, watermark):
@@ -115,7 +149,9 @@ def streamed(spark, tmp_path, parts, watermark):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     states = sessions.stream_states(sessions.with_watermark(stream, "1 day") if watermark else stream)
     seen = {}
-    query = states.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.update({(r["learner"], r["q_index"]): tuple(r)[2:5] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = states.writeStream.outputMode("update").foreachBatch(
+        lambda df, _: seen.update({(r["learner"], r["q_index"]): tuple(r)[2:5] for r in df.collect()})
+    ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
     return seen

@@ -38,7 +38,10 @@ def test_compression(spark):
 
 
 def test_stop_words_only(spark):
-    row = spark.createDataFrame([("the and of",)], "x string").withColumn("w", T.tokens(F.col("x"))).select(T.fingerprint(T.content_tokens(F.col("w"))).alias("f"), T.information_score(F.col("x"), F.col("w")).alias("s")).first()
+    row = spark.createDataFrame([("the and of",)], "x string").withColumn("w", T.tokens(F.col("x"))).select(
+        T.fingerprint(T.content_tokens(F.col("w"))).alias("f"),
+        T.information_score(F.col("x"), F.col("w")).alias("s")
+    ).first()
     assert row["f"] == "" and row["s"] > 0
 
 
@@ -64,7 +67,13 @@ def test_bytes(spark, n, shown):
 
 
 def test_labels_and_marks(spark):
-    row = spark.range(1).select(T.option_labels(F.lit(4)), T.option_range(F.lit(4)), T.option_range(F.lit(1)), T.miss_preview(F.lit(8)), T.choice_text(F.array(F.lit(4), F.lit(5)))).first()
+    row = spark.range(1).select(
+        T.option_labels(F.lit(4)),
+        T.option_range(F.lit(4)),
+        T.option_range(F.lit(1)),
+        T.miss_preview(F.lit(8)),
+        T.choice_text(F.array(F.lit(4), F.lit(5)))
+    ).first()
     assert list(row) == [["A", "B", "C", "D"], "A-D", "A", "X X X X X X +2", "4-5 answer choices"]
 
 
@@ -102,7 +111,11 @@ def test_chunk_cases(spark):
 
 def test_chunks_as_by_hand(spark):
     rng = random.Random(3)
-    texts = [" ".join(("W" if rng.random() < 0.7 else "w") + "x" * rng.choice([3, 40, 300, 1400]) + rng.choice([".", "!", ""]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    texts = [
+        " ".join(
+            ("W" if rng.random() < 0.7 else "w") + "x" * rng.choice([3, 40, 300, 1400]) + rng.choice([".", "!", ""]) for _ in range(rng.randint(0, 25))
+        ) for _ in range(60)
+    ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", chunk_array(F.col("t")).alias("c"))
     for r in df.collect():
         assert r["c"] == chunks_by_hand(texts[r["i"]]), r["i"]
