@@ -38,7 +38,10 @@ def word_hashes(records: DataFrame) -> DataFrame:
     """(question_id, words): the sorted 64-bit hashes of the words of the question and all options, as often as they stand."""
     text = F.lower(F.concat_ws(" ", F.col("question"), F.array_join("options", " ")))
     words = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{Nd}\p{Nl}\p{No}]+", " "), " "), lambda w: w != "")
-    return spread(records.where("question_id is not null").select("question_id", "question", "options")).select("question_id", F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("words"))
+    return spread(records.where("question_id is not null").select("question_id", "question", "options")).select(
+        "question_id",
+        F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("words")
+    )
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,7 +82,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
         for at in range(0, filled.num_rows, SLICE):
             part = filled.slice(at, SLICE)
             words = part.column(1)
-            yield part.column(0), *_elements(pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy() - words.offsets[0].as_py(), pa.int32()), words.flatten()))
+            yield part.column(0), *_elements(
+                pa.ListArray.from_arrays(pa.array(words.offsets.to_numpy() - words.offsets[0].as_py(), pa.int32()), words.flatten())
+            )
 
 
 def classes(words: DataFrame, seed: int = 3) -> DataFrame:
@@ -90,7 +95,10 @@ def classes(words: DataFrame, seed: int = 3) -> DataFrame:
             starts = np.append(0, np.cumsum(sizes)[:-1]).astype(np.int64)
             own = _mixed(np.add.reduceat(_mixed(flat ^ _GOLDEN), starts) + sizes.astype(np.uint64))
             odd = (_minima(flat, sizes, 1 << 20, BITS, seed) >> np.uint64(40) & np.uint64(1)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(own.view(np.int64)), pa.array(sizes), pa.array(np.packbits(odd, axis=1).view(np.int64).reshape(-1))], ["question_id", "class", "n", "bits"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(own.view(np.int64)), pa.array(sizes), pa.array(np.packbits(odd, axis=1).view(np.int64).reshape(-1))],
+                ["question_id", "class", "n", "bits"]
+            )
 
     return words.mapInArrow(run, "question_id long, class long, n long, bits long")
 
@@ -187,4 +195,9 @@ def near_groups(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = blank.agg(F.min("question_id")).first()[0]
     every = members.select("question_id", "rep").unionByName(blank.withColumn("rep", F.lit(least).cast("long")))
     joined = every.join(links, F.col("rep") == F.col("u"), "left").join(groups, F.col("rep") == F.col("node"), "left")
-    return joined.select("question_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("group_id"))
+    return joined.select(
+        "question_id",
+        F.col("rep").alias("class_id"),
+        F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("component", "rep").alias("group_id")
+    )

@@ -65,7 +65,9 @@ def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple
 def _plan(group: pd.DataFrame) -> pd.DataFrame:
     slots = best_fit(group["size"].tolist(), group["_n"].tolist(), int(group["capacity"].iloc[0]))
     made = np.array(slots, np.int64).reshape(-1, 5)
-    return pd.DataFrame({"limit_id": group["limit_id"].iloc[0], "size": made[:, 0], "_from": made[:, 1], "_to": made[:, 2], "_bin": made[:, 3], "_each": made[:, 4]})
+    return pd.DataFrame(
+        {"limit_id": group["limit_id"].iloc[0], "size": made[:, 0], "_from": made[:, 1], "_to": made[:, 2], "_bin": made[:, 3], "_each": made[:, 4]}
+    )
 
 
 def chunk_sizes(chunks: DataFrame) -> DataFrame:
@@ -82,7 +84,12 @@ def chunk_sizes(chunks: DataFrame) -> DataFrame:
     content = [c for c in ("id", "chunk_id", "file_name", "page", "raw_text", "compressed_text", "estimated_tokens") if c in chunks.columns]
     parts = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in content))  # a hash leaves nulls out
     own = F.when(F.col("source_order").isNull(), F.xxhash64(parts))
-    return chunks.select("source_order", own.alias("_own"), tokens.alias("_t"), chars.alias("_c")).groupBy("source_order", "_own").agg(F.max("_t").alias("tokens"), F.max("_c").alias("chars"))
+    return chunks.select(
+        "source_order",
+        own.alias("_own"),
+        tokens.alias("_t"),
+        chars.alias("_c")
+    ).groupBy("source_order", "_own").agg(F.max("_t").alias("tokens"), F.max("_c").alias("chars"))
 
 
 def pack_chunks(chunks: DataFrame, limits: DataFrame, seed: int = 2) -> DataFrame:
@@ -93,10 +100,22 @@ def pack_chunks(chunks: DataFrame, limits: DataFrame, seed: int = 2) -> DataFram
     one on its own.  Limits with a null or non-positive capacity or an unknown unit give no rows.
     """
     sizes = chunk_sizes(chunks)
-    known = limits.where("capacity > 0").select("limit_id", F.lower(F.trim("unit")).alias("unit"), F.col("capacity").cast("long")).where("unit in ('tokens', 'chars')")
+    known = limits.where("capacity > 0").select(
+        "limit_id",
+        F.lower(F.trim("unit")).alias("unit"),
+        F.col("capacity").cast("long")
+    ).where("unit in ('tokens', 'chars')")
     by_unit = sizes.select("source_order", "_own", F.expr("stack(2, 'tokens', tokens, 'chars', chars) as (unit, whole)"))
     cut = by_unit.join(known, "unit").withColumn("pieces", F.greatest(F.ceil(F.col("whole") / F.col("capacity")), F.lit(1)).cast("long"))
-    pieces = cut.select("limit_id", "capacity", "source_order", "_own", "pieces", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    pieces = cut.select(
+        "limit_id",
+        "capacity",
+        "source_order",
+        "_own",
+        "pieces",
+        "whole",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")
+    )
     pieces = pieces.withColumn("size", F.least(F.col("capacity"), F.col("whole") - F.col("piece") * F.col("capacity"))).drop("whole")
     keys = ["limit_id", "size"]
     salted = with_salt(pieces, [F.col("source_order"), F.col("piece"), F.col("_own")], seed)
@@ -115,4 +134,10 @@ def packing_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     batches = packed.groupBy("limit_id", "batch_number").agg(F.sum("size").alias("_used"))
     per = batches.groupBy("limit_id").agg(F.count(F.lit(1)).alias("batches"), F.sum("_used").alias("_used"), F.max("_used").alias("fullest"))
     joined = per.join(limits.select("limit_id", F.col("capacity").cast("long")), "limit_id")
-    return joined.select("limit_id", "batches", F.ceil(F.col("_used") / F.col("capacity")).alias("least_batches"), "fullest", (F.col("_used") / (F.col("batches") * F.col("capacity"))).alias("fill"))
+    return joined.select(
+        "limit_id",
+        "batches",
+        F.ceil(F.col("_used") / F.col("capacity")).alias("least_batches"),
+        "fullest",
+        (F.col("_used") / (F.col("batches") * F.col("capacity"))).alias("fill")
+    )

@@ -199,7 +199,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [*{**inside, **ending}]
         ids, kinds, tails = zip(*found, strict=True) if found else ((), (), ())
         blank, unfound = [None] * len(found), [None] * len(words)
-        columns = ((pa.int64(), [*ids, *unfound]), (pa.string(), [*kinds, *unfound]), (pa.string(), [*tails, *unfound]), (pa.string(), [*blank, *words]), (pa.int64(), [*blank, *(inside[w] for w in words)]), (pa.int64(), [*blank, *(ending[w] for w in words)]))
+        columns = (
+            (pa.int64(), [*ids, *unfound]),
+            (pa.string(), [*kinds, *unfound]),
+            (pa.string(), [*tails, *unfound]),
+            (pa.string(), [*blank, *words]),
+            (pa.int64(), [*blank, *(inside[w] for w in words)]),
+            (pa.int64(), [*blank, *(ending[w] for w in words)])
+        )
         yield pa.RecordBatch.from_arrays([pa.array(values, kind) for kind, values in columns], ["question_id", "defect", "tail", "word", "inside", "ending"])
 
 

@@ -77,7 +77,25 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_batches, p2_report, p3_found, p3_groups, p4_found, p5_found, p5_clean, p6_ids, p7_uses, p7_shares, p8_found, p8_corpus, p8_validation)}
+    return {
+        f.__name__: f for f in (
+            p1_found,
+            p1_texts,
+            p2_batches,
+            p2_report,
+            p3_found,
+            p3_groups,
+            p4_found,
+            p5_found,
+            p5_clean,
+            p6_ids,
+            p7_uses,
+            p7_shares,
+            p8_found,
+            p8_corpus,
+            p8_validation
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

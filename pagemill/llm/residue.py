@@ -58,14 +58,19 @@ PHRASES = re.compile(
     r"|no se encontr\w+|un error|acceso denegado|activ[ea]r? javascript|habilit[ea]r? javascript|texto de relleno|su texto|não encontrad[ao]|um erro|acesso negado|seu texto)\b"
 )
 #: Words of speaking about texts: who quotes, defines or explains a message or a notation doesn't give it.
-SPEAKING = re.compile(r"[\"“”„«»`]|\b(?:means?|meaning|called|notation|syntax|denot\w+|defin\w+|refers? to|stands? for|such as|for example|e\.g\.|explain\w*|describ\w+|quot(?:es|ed|ing|ations?)|template languages?)\b", re.I)
+SPEAKING = re.compile(
+    r"[\"“”„«»`]|\b(?:means?|meaning|called|notation|syntax|denot\w+|defin\w+|refers? to|stands? for|such as|for example|e\.g\.|explain\w*|describ\w+|quot(?:es|ed|ing|ations?)|template languages?)\b",
+    re.I
+)
 SITE_LINE = re.compile(r"^(?:[^.!?]{1,40}\|)+[^.!?|]{0,40}$|^[^.!?]{0,60}[©®][^.!?]{0,40}$|^copyright\b|^all rights reserved|^https?://\S+$", re.I)
 HEADING = re.compile(r"^(?:unit|lesson|part|section|chapter|module|kapitel|capítulo|chapitre|unidade?|lección|leçon|lektion|teil)\s+[\w.]+\b[:.]?\s*", re.I)
 _UNITS = re.compile(r"(?<=[.!?…]) +|\n+|(?<=[。！？])")
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _WORDS = re.compile(r"\w+")
 #: A short run of words between signs, as slots of any notation are written.
-_ENCLOSED = re.compile(r"([^\w\s\"'.,;:!?“”„«»`]{1,4}|(?<!\w)__|\bX{3,} ?)\s?([A-Za-z]\w*(?:[ .:\-]{1,2}\w+){0,4}?)\s?([^\w\s\"'.,;:!?“”„«»`]{1,4}|__(?!\w)|;?&gt;| ?X{3,}\b)")
+_ENCLOSED = re.compile(
+    r"([^\w\s\"'.,;:!?“”„«»`]{1,4}|(?<!\w)__|\bX{3,} ?)\s?([A-Za-z]\w*(?:[ .:\-]{1,2}\w+){0,4}?)\s?([^\w\s\"'.,;:!?“”„«»`]{1,4}|__(?!\w)|;?&gt;| ?X{3,}\b)"
+)
 _SIGNS = re.compile(r"[\[{<%($@&#*|~^]|__|XXX")
 _DIGITS = str.maketrans("123456789", "000000000")
 _QUIZ_JSON = re.compile(r"[\"'](?:questions?|correctAnswer|options)[\"']\s*:")
@@ -113,7 +118,9 @@ def shapes(text: str) -> list[str]:
     """Features of what stands between signs: the signs, and the form of the words between them, whatever the words."""
     out = []
     for before, inside, after in _ENCLOSED.findall(text):
-        form = "x" if len(inside) == 1 else ("A" if inside.isupper() else "a" if inside.islower() else "Aa") + ("_" if "_" in inside else "") + (" " if " " in inside else "")
+        form = "x" if len(inside) == 1 else (
+            "A" if inside.isupper() else "a" if inside.islower() else "Aa"
+        ) + ("_" if "_" in inside else "") + (" " if " " in inside else "")
         out += [f"\x01shape {before.strip()}{form}{after.strip()}", f"\x01form {form}", f"\x01opens {before.strip()} {inside.split()[0].lower()}"]
     return out
 
@@ -161,7 +168,15 @@ class Model:
         return self.scores(units) > self.cut
 
 
-def fit(units: Units, labels: np.ndarray, epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, seed: int = 8, made: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+def fit(
+    units: Units,
+    labels: np.ndarray,
+    epochs: int = 6,
+    rate: float = 0.5,
+    l2: float = 1e-6,
+    seed: int = 8,
+    made: tuple[np.ndarray, np.ndarray] | None = None
+) -> Model:
     """Logistic regression for each class with AdaGrad steps and an L2 penalty; labels 0 ordinary, 1 slot, 2 residue, -1 left out; ``made`` are the units' features."""
     model = Model(np.zeros((BUCKETS, 2), np.float32))
     buckets, starts = made or model.features(units)
@@ -181,7 +196,10 @@ def fit(units: Units, labels: np.ndarray, epochs: int = 6, rate: float = 0.5, l2
             margins = np.add.reduceat(model.weights[used], begins, axis=0)
             off = (1 / (1 + np.exp(-np.clip(margins, -30, 30))) - wanted[rows]) * rarity[rows, None]
             touched, place = np.unique(used, return_inverse=True)
-            step = np.stack([np.bincount(place, np.repeat(off[:, c], lengths), len(touched)) for c in (0, 1)], axis=1).astype(np.float32) / len(rows) * 16 + l2 * model.weights[touched]
+            step = np.stack(
+                [np.bincount(place, np.repeat(off[:, c], lengths), len(touched)) for c in (0, 1)],
+                axis=1
+            ).astype(np.float32) / len(rows) * 16 + l2 * model.weights[touched]
             squares[touched] += step**2
             model.weights[touched] -= rate * step / np.sqrt(squares[touched])
     return model
@@ -210,7 +228,10 @@ def examples_of(text: str) -> list[tuple[str, bool, int, int]]:
     units = units_of(text)
     labels = [weak_label(u) for u in units.texts]
     ordinary = sum(is_ordinary(u) for u, k in zip(units.texts, labels, strict=True) if k in (0, 3))
-    order = sorted((k == 0, zlib.crc32(u.encode("utf-8", "replace")), i) for i, (u, k) in enumerate(zip(units.texts, labels, strict=True)) if len(u) <= SAMPLE_UNIT_CHARS)
+    order = sorted(
+        (k == 0, zlib.crc32(u.encode("utf-8", "replace")), i) for i,
+        (u, k) in enumerate(zip(units.texts, labels, strict=True)) if len(u) <= SAMPLE_UNIT_CHARS
+    )
     return [(units.texts[i], units.first[i], labels[i], ordinary) for _, _, i in order[:SAMPLE_UNITS]]
 
 
@@ -231,7 +252,14 @@ def sample_examples(documents: DataFrame, sample: int, seed: int) -> Examples:
     rows = documents.where("text is not null and doc_id is not null").select("doc_id", "source", "text")
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
     got = spread(drawn).mapInArrow(_examples, EXAMPLES).toPandas().sort_values(["doc", "unit"], kind="stable")
-    return Examples(got["unit"].tolist(), got["first"].tolist(), got["label"].to_numpy(np.int64), got["ordinary"].to_numpy(np.int64), got["unseen"].to_numpy(bool), np.unique(got["doc"].to_numpy(), return_inverse=True)[1])
+    return Examples(
+        got["unit"].tolist(),
+        got["first"].tolist(),
+        got["label"].to_numpy(np.int64),
+        got["ordinary"].to_numpy(np.int64),
+        got["unseen"].to_numpy(bool),
+        np.unique(got["doc"].to_numpy(), return_inverse=True)[1]
+    )
 
 
 def learn(rows: Examples, seed: int = 8) -> Model:

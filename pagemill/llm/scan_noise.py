@@ -37,7 +37,9 @@ BLOCK, SHARD = 2_000, 20_000
 MAP_BITS = 25
 
 _INSIDE = "*^~¬†§¢@|!$€£©®¥µ\u00ad"
-_RUN = re.compile(rf"[^\W_{re.escape(_INSIDE)}]+(?:[{re.escape(_INSIDE)}]+[^\W_]+)*[†§¢@|]*|[†§¢@|!][^\W_]+(?:[{re.escape(_INSIDE)}]+[^\W_]+)*[†§¢@|]*|[†§¢@|]+(?=[^\W_])")
+_RUN = re.compile(
+    rf"[^\W_{re.escape(_INSIDE)}]+(?:[{re.escape(_INSIDE)}]+[^\W_]+)*[†§¢@|]*|[†§¢@|!][^\W_]+(?:[{re.escape(_INSIDE)}]+[^\W_]+)*[†§¢@|]*|[†§¢@|]+(?=[^\W_])"
+)
 _PLAIN = re.compile(r"[^\W_]+")
 #: A line without these is nothing but plain words.
 _MARKED = re.compile(rf"[{re.escape(_INSIDE)}]|[-\u2010\u2011]$")
@@ -47,10 +49,16 @@ _COMPOUND = re.compile(r"([^\W\d_]+)[-\u2010\u2011](?=[^\W\d_])")
 _LABEL = re.compile(r"[^\W\d_]+\d+$|\d+[^\W\d_]+$")
 _ROMAN = re.compile(r"[ivxlc1|!]+$", re.I)
 _NUMBER = r"[0-9lIO|oSZBgq!s§b]{1,5}"
-_FORMS = re.compile(rf"^(?:[-–—~*•·=|<(\[]+ ?)?(?:(?:p|pg|pag|page|seite|página|pagina|s)[.:]? ?)?({_NUMBER}|[ivxlc1|!]+)(?: ?(?:/|of|von|de|sur) ?{_NUMBER})?\.?(?: ?[-–—~*•·=|>)\]]+)?$", re.I)
+_FORMS = re.compile(
+    rf"^(?:[-–—~*•·=|<(\[]+ ?)?(?:(?:p|pg|pag|page|seite|página|pagina|s)[.:]? ?)?({_NUMBER}|[ivxlc1|!]+)(?: ?(?:/|of|von|de|sur) ?{_NUMBER})?\.?(?: ?[-–—~*•·=|>)\]]+)?$",
+    re.I
+)
 _BARE = re.compile(r"^[0-9]+\.?$")
 _TABLE = re.compile(r"^(?:table|figure|tabelle|tabla|tableau|tabela)\s+\S+$|^\S+(?:  +\S+)+$|^[0-9]+(?:[.,][0-9]+)?%?$", re.I)
-_OPENING = re.compile(r"^\W*(?:chapter|unit|part|lesson|section|module|kapitel|capítulo|chapitre|teil|lektion|unidad|unidade)\s+[\w|!]+\s*[:.\-–—]\s*(\S.*)$", re.I)
+_OPENING = re.compile(
+    r"^\W*(?:chapter|unit|part|lesson|section|module|kapitel|capítulo|chapitre|teil|lektion|unidad|unidade)\s+[\w|!]+\s*[:.\-–—]\s*(\S.*)$",
+    re.I
+)
 _HEAD_NUMBER = re.compile(rf"^(?:(?:page |p\. ?)?{_NUMBER}\s*[|·•\-–—:/]?\s+)?(.*?)(?:\s*[|·•\-–—:/]?\s+(?:page |p\. ?)?(?:{_NUMBER}|[ivxlc]+)\W*)?$")
 
 
@@ -101,7 +109,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not scanned:
                 own.update(f"{x}-".lower() for x in _COMPOUND.findall(text))
         words = [*{**counts[True], **counts[False]}]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[False][w] for w in words], pa.int64()), pa.array([counts[True][w] for w in words], pa.int64())], ["word", "clean", "scanned"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), pa.array([counts[False][w] for w in words], pa.int64()), pa.array([counts[True][w] for w in words], pa.int64())],
+            ["word", "clean", "scanned"]
+        )
 
 
 def is_number_line(lines: list[str], i: int) -> bool:
@@ -113,7 +124,9 @@ def is_number_line(lines: list[str], i: int) -> bool:
     core = found[1]
     if not any(c.isdigit() for c in core) and not (_ROMAN.match(core) or core.lower() in ("l", "o")):
         return False
-    place = i == 0 or i == len(lines) - 1 or i == 1 and (not _TABLE.match(lines[0].strip()) or is_number_line(lines[:1], 0)) and not lines[0].rstrip().endswith(".")
+    place = i == 0 or i == len(lines) - 1 or i == 1 and (
+        not _TABLE.match(lines[0].strip()) or is_number_line(lines[:1], 0)
+    ) and not lines[0].rstrip().endswith(".")
     if not place or i and re.search(r"[^\W_][-\u2010\u2011\u00ad¬]$", lines[i - 1].strip()):  # the rest of a word or range
         return False
     if _BARE.match(line):
@@ -141,7 +154,9 @@ def _scan(common: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator
             tops = [i for i in filled if i not in numbers][:2]
             for i in tops:
                 bare = lines[i].strip()
-                if len(bare.split()) <= 14 and not bare.endswith((".", ",", ";")) and not _OPENING.match(bare) and (i == tops[0] or i == filled[0] or filled[0] in numbers):
+                if len(bare.split()) <= 14 and not bare.endswith((".", ",", ";")) and not _OPENING.match(bare) and (
+                    i == tops[0] or i == filled[0] or filled[0] in numbers
+                ):
                     head = _HEAD_NUMBER.match(bare)
                     put(i, "head", title_key(head[1] if head and head[1] else bare), "n" if head and head[1] != bare else None)
             if table == "pdf_pages":
@@ -205,7 +220,9 @@ def _look_up(plain: bool):
         for token, own in zip(suspects["word"], suspects["n"], strict=True):
             made = edited(token, own, trie, counts) if plain else [(fix, n, 0) for fix, n in confused(token, own, trie, counts)]
             rows.extend((token, fix, n, counts[fix], place) for fix, n, place in made)
-        return pd.DataFrame(rows, columns=["word", "fix", "errors", "times", "place"]).astype({"word": object, "fix": object, "errors": "int32", "times": "int64", "place": "int32"})
+        return pd.DataFrame(rows, columns=["word", "fix", "errors", "times", "place"]).astype(
+            {"word": object, "fix": object, "errors": "int32", "times": "int64", "place": "int32"}
+        )
 
     return run
 
@@ -293,8 +310,14 @@ class Noise:
         self.words = cut_lineage(counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned")))
         top = self.words.where("clean > 0").orderBy(F.desc("clean"), "word").limit(COMMON).select("word")
         shared = self.spark.sparkContext.broadcast(frozenset(r["word"] for r in top.collect()))
-        names = known.join(broadcast_if_small(scanned, 100_000), "file_index", "left_semi").select("file_index", _name("file_name").alias("_name")).groupBy("_name").agg(F.min("file_index").alias("file_index"))
-        of_chunks = spread(chunks.where("raw_text is not null and source_order is not null").select("source_order", "file_name", "raw_text")).withColumn("_name", _name("file_name")).join(broadcast_if_small(names, 100_000), "_name")
+        names = known.join(
+            broadcast_if_small(scanned, 100_000),
+            "file_index",
+            "left_semi"
+        ).select("file_index", _name("file_name").alias("_name")).groupBy("_name").agg(F.min("file_index").alias("file_index"))
+        of_chunks = spread(
+            chunks.where("raw_text is not null and source_order is not null").select("source_order", "file_name", "raw_text")
+        ).withColumn("_name", _name("file_name")).join(broadcast_if_small(names, 100_000), "_name")
         of_pages = marked.where("scanned and page_id is not null")
         self.texts = of_pages.select(F.lit("pdf_pages").alias("record_table"), F.col("page_id").alias("record_id"), "file_index", "text").unionByName(
             of_chunks.select(F.lit("chunks").alias("record_table"), F.col("source_order").alias("record_id"), "file_index", F.col("raw_text").alias("text"))
@@ -317,14 +340,37 @@ class Noise:
         ends = items.where("kind in ('join', 'tied')")
         rest = F.expr("substring(word, length(extra) + 1)")
         forms = F.array("word", F.concat("extra", F.lit("-")), F.col("extra"), rest)
-        asked = ends.select("word", "extra").distinct().select(F.col("word").alias("_word"), F.col("extra").alias("_first"), F.posexplode(forms).alias("_form", "word"))
-        known = asked.join(self.words.where("clean > 0").select("word"), "word").groupBy("_word", "_first").agg(*(F.max(F.col("_form") == k).alias(f"_{name}") for k, name in enumerate(("whole", "own", "left", "right"))))
+        asked = ends.select("word", "extra").distinct().select(
+            F.col("word").alias("_word"),
+            F.col("extra").alias("_first"),
+            F.posexplode(forms).alias("_form", "word")
+        )
+        known = asked.join(self.words.where("clean > 0").select("word"), "word").groupBy("_word", "_first").agg(
+            *(F.max(F.col("_form") == k).alias(f"_{name}") for k, name in enumerate(("whole", "own", "left", "right")))
+        )
         judged = ends.join(known.withColumnsRenamed({"_word": "word", "_first": "extra"}), ["word", "extra"], "left")
-        judged = judged.fillna(False, ["_whole", "_own", "_left", "_right"]).withColumn("_compound", F.expr("not _whole and (kind = 'tied' or _own or _left and _right)"))
-        broken = judged.where("not _compound").withColumn("kind", F.when(F.col("_whole"), "sure").otherwise("join")).withColumn("word", F.when(F.col("_whole"), "hyphen_break").otherwise(F.col("word")))
-        pieces = F.array(F.struct(F.col("line_no").alias("line"), F.col("extra").alias("piece")), F.struct((F.col("line_no") + 1).alias("line"), rest.alias("piece")))
+        judged = judged.fillna(False, ["_whole", "_own", "_left", "_right"]).withColumn(
+            "_compound",
+            F.expr("not _whole and (kind = 'tied' or _own or _left and _right)")
+        )
+        broken = judged.where("not _compound").withColumn("kind", F.when(F.col("_whole"), "sure").otherwise("join")).withColumn(
+            "word",
+            F.when(F.col("_whole"), "hyphen_break").otherwise(F.col("word"))
+        )
+        pieces = F.array(
+            F.struct(F.col("line_no").alias("line"), F.col("extra").alias("piece")),
+            F.struct((F.col("line_no") + 1).alias("line"), rest.alias("piece"))
+        )
         apart = judged.where("_compound").withColumn("_p", F.explode(pieces)).where("not _p.piece rlike '^[0-9]*$'")
-        apart = apart.select("record_table", "record_id", "file_index", F.col("_p.line").alias("line_no"), F.lit("word").alias("kind"), F.col("_p.piece").alias("word"), F.lit(None).cast("string").alias("extra"))
+        apart = apart.select(
+            "record_table",
+            "record_id",
+            "file_index",
+            F.col("_p.line").alias("line_no"),
+            F.lit("word").alias("kind"),
+            F.col("_p.piece").alias("word"),
+            F.lit(None).cast("string").alias("extra")
+        )
         return items.where("kind not in ('join', 'tied')").unionByName(broken.select(ITEMS)).unionByName(apart)
 
     def _fixes(self) -> DataFrame:
@@ -335,7 +381,9 @@ class Noise:
         """
         suspects = self.items.where("kind in ('word', 'join')").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         suspects = cut_lineage(suspects.join(self.words.where("clean > 0").select("word"), "word", "left_anti"))
-        letters = cut_lineage(self.words.where("(clean > 0 or scanned >= 5) and word rlike '^\\\\p{L}{2,}$'").select("word", (F.col("clean") + F.col("scanned")).alias("n")))
+        letters = cut_lineage(
+            self.words.where("(clean > 0 or scanned >= 5) and word rlike '^\\\\p{L}{2,}$'").select("word", (F.col("clean") + F.col("scanned")).alias("n"))
+        )
         first = cut_lineage(look_up(suspects, letters).select("word", "fix", "errors", "times"))
         rest = suspects.join(first.select("word").distinct(), "word", "left_anti").join(letters.select("word"), "word", "left_anti")
         then = look_up(cut_lineage(rest), letters, plain=True)
@@ -361,7 +409,9 @@ class Noise:
 
         names = known.select("file_index", key("file_name").alias("word"))
         openings = self.items.where("kind = 'title'").select("file_index", "word")
-        heads = self.items.where("kind = 'head' and record_table = 'pdf_pages'").groupBy("file_index", "word").agg(F.countDistinct("record_id").alias("n")).where("n >= 3")
+        heads = self.items.where(
+            "kind = 'head' and record_table = 'pdf_pages'"
+        ).groupBy("file_index", "word").agg(F.countDistinct("record_id").alias("n")).where("n >= 3")
         return names.unionByName(openings).unionByName(heads.select("file_index", "word")).where("length(word) > 3").distinct()
 
     def found(self) -> DataFrame:
@@ -391,7 +441,10 @@ class Noise:
         unscanned text wins, then the most frequent.  Only pairs of neighbours that some choice needs are kept.
         """
         record = ["record_table", "record_id", "word"]
-        least = self.fixes.where("fix is not null").withColumn("_least", F.min("errors").over(Window.partitionBy("word"))).where("errors = _least").select("word", "fix", "times")
+        least = self.fixes.where("fix is not null").withColumn(
+            "_least",
+            F.min("errors").over(Window.partitionBy("word"))
+        ).where("errors = _least").select("word", "fix", "times")
         options = self.items.where("kind in ('word', 'join')").select(*record, "kind", "extra").join(least, "word")
         beside = F.split(F.when(F.col("kind") == "word", F.col("extra")).otherwise(" "), " ")
         options = cut_lineage(options.select(*record, "fix", "times", beside[0].alias("_before"), beside[1].alias("_after")))
@@ -411,7 +464,10 @@ class Noise:
                                 counts[words[k - 1], word] += 1
                             if k + 1 < len(words) and not near[words[k + 1]]:
                                 counts[word, words[k + 1]] += 1
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.string()), pa.array([*counts.values()], pa.int64())],
+                    ["a", "b", "n"]
+                )
 
         seen = self.clean_texts.mapInArrow(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
         left = options.join(seen.select(F.col("a").alias("_before"), F.col("b").alias("fix"), F.col("n").alias("_l")), ["_before", "fix"], "left")

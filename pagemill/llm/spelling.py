@@ -118,6 +118,30 @@ def skeleton(text: str) -> str:
     out = text.lower()
     for mark in "*^~¬'`´\u00ad":
         out = out.replace(mark, "")
-    for seen, meant in (("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("ri", "n"), ("vv", "w"), ("in", "m"), ("ni", "m"), ("0", "o"), ("1", "l"), ("|", "l"), ("!", "l"), ("i", "l"), ("5", "s"), ("§", "s"), ("$", "s"), ("†", "t"), ("¢", "c"), ("e", "c"), ("@", "a"), ("6", "b"), ("9", "g"), ("n", "h")):
+    for seen, meant in (
+        ("rn", "m"),
+        ("cl", "d"),
+        ("li", "h"),
+        ("ii", "u"),
+        ("ri", "n"),
+        ("vv", "w"),
+        ("in", "m"),
+        ("ni", "m"),
+        ("0", "o"),
+        ("1", "l"),
+        ("|", "l"),
+        ("!", "l"),
+        ("i", "l"),
+        ("5", "s"),
+        ("§", "s"),
+        ("$", "s"),
+        ("†", "t"),
+        ("¢", "c"),
+        ("e", "c"),
+        ("@", "a"),
+        ("6", "b"),
+        ("9", "g"),
+        ("n", "h")
+    ):
         out = out.replace(seen, meant)
     return "".join(x for x in out if x.isalnum())

@@ -22,7 +22,9 @@ def test_ids_as_the_public_library_gives_them(encoder):
     rng = random.Random(6)
     letters = "ab  \n\t'sdmtlvre01.,-é世界😀 \u0085\x1c\x1f​　ТЖ<|endoftext|>AB"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    texts += ["".join(rng.choice("etaoinshrdlu ") for _ in range(rng.randint(1, 80))) for _ in range(3000)] + ["a" * 5000, "世" * 3000, " " * 400, "<|endoftext|>"]
+    texts += [
+        "".join(rng.choice("etaoinshrdlu ") for _ in range(rng.randint(1, 80))) for _ in range(3000)
+    ] + ["a" * 5000, "世" * 3000, " " * 400, "<|endoftext|>"]
     assert encoder.encode(texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert encoder.count(texts) == [len(x) for x in encoder.encode(texts)]
 
@@ -79,9 +81,14 @@ def test_fit_budget_uses_whole_passes_and_no_more_than_allowed():
 
 def test_mix(spark):
     rng = random.Random(10)
-    docs = [(i, " ".join(["word"] * rng.randint(1, 60)), rng.choice(["a", "A ", "b", "big", "big", "big"]), 1) for i in range(400)] + [(1000, None, "a", 1), (1001, "x", None, 1), (1002, "", "b", 1), (1003, "zero", "none", 1)]
+    docs = [
+        (i, " ".join(["word"] * rng.randint(1, 60)), rng.choice(["a", "A ", "b", "big", "big", "big"]), 1) for i in range(400)
+    ] + [(1000, None, "a", 1), (1001, "x", None, 1), (1002, "", "b", 1), (1003, "zero", "none", 1)]
     documents = spark.createDataFrame(docs, "doc_id long, text string, source string, n_tokens int")
-    targets = spark.createDataFrame([("m", "A", 1.0, 3), ("m", "b", 2.0, None), ("m", "big", 3.0, 1), ("m", "gone", 1.0, 2), ("m", "none", None, 1)], "mix_name string, source string, weight double, max_repeats int")
+    targets = spark.createDataFrame(
+        [("m", "A", 1.0, 3), ("m", "b", 2.0, None), ("m", "big", 3.0, 1), ("m", "gone", 1.0, 2), ("m", "none", None, 1)],
+        "mix_name string, source string, weight double, max_repeats int"
+    )
     uses = mixing.mix_uses(documents, targets).collect()
     assert len(uses) == len({(r["mix_name"], r["doc_id"]) for r in uses})
     most = {"a": 3, "b": 1, "big": 1, "none": 0}
@@ -129,9 +136,14 @@ def test_best_fit_places_all_within_capacity():
 
 def test_pack_chunks(spark):
     rng = random.Random(12)
-    rows = [(i, "x" * rng.choice([3, 40, 40, 97]), None, rng.choice([None, 0, 5, 30])) for i in range(300)] + [(900, "y" * 950, "  ", 501), (901, None, None, None), (902, "z" * 50, "z" * 20, 7)]
+    rows = [
+        (i, "x" * rng.choice([3, 40, 40, 97]), None, rng.choice([None, 0, 5, 30])) for i in range(300)
+    ] + [(900, "y" * 950, "  ", 501), (901, None, None, None), (902, "z" * 50, "z" * 20, 7)]
     chunks = spark.createDataFrame(rows + rows[:50], "source_order long, raw_text string, compressed_text string, estimated_tokens int")
-    limits = spark.createDataFrame([(1, "tokens", 100), (2, "chars ", 200), (3, "chars", 0), (4, "pages", 9), (5, None, None)], "limit_id int, unit string, capacity int")
+    limits = spark.createDataFrame(
+        [(1, "tokens", 100), (2, "chars ", 200), (3, "chars", 0), (4, "pages", 9), (5, None, None)],
+        "limit_id int, unit string, capacity int"
+    )
     packed = packing.pack_chunks(chunks, limits)
     by = packed.groupBy("limit_id", "batch_number").agg(F.sum("size").alias("n"))
     fullest = {r["limit_id"]: r["n"] for r in by.groupBy("limit_id").agg(F.max("n").alias("n")).collect()}
@@ -151,13 +163,30 @@ def test_ranks_without_gaps(spark):
 
 
 def test_chunks_without_a_key_are_all_packed(spark):
-    rows = [(None, "a" * 30, None, None), (None, "b" * 30, None, None), (None, "c" * 250, None, None), (None, "c" * 250, None, None), (1, "d" * 20, None, None), (None, None, "e" * 30, None), (None, "e" * 30, None, None)]
+    rows = [
+        (None, "a" * 30, None, None),
+        (None, "b" * 30, None, None),
+        (None, "c" * 250, None, None),
+        (None, "c" * 250, None, None),
+        (1, "d" * 20, None, None),
+        (None, None, "e" * 30, None),
+        (None, "e" * 30, None, None)
+    ]
     chunks = spark.createDataFrame(rows, "source_order long, raw_text string, compressed_text string, estimated_tokens int")
     limits = spark.createDataFrame([(1, "chars", 100)], "limit_id int, unit string, capacity int")
     packed = packing.pack_chunks(chunks, limits)
     assert packed.columns == ["limit_id", "source_order", "piece", "pieces", "size", "batch_number"]
     got = packed.collect()
-    assert sorted((r["size"], r["piece"], r["pieces"]) for r in got) == [(20, 0, 1), (30, 0, 1), (30, 0, 1), (30, 0, 1), (30, 0, 1), (50, 2, 3), (100, 0, 3), (100, 1, 3)]
+    assert sorted((r["size"], r["piece"], r["pieces"]) for r in got) == [
+        (20, 0, 1),
+        (30, 0, 1),
+        (30, 0, 1),
+        (30, 0, 1),
+        (30, 0, 1),
+        (50, 2, 3),
+        (100, 0, 3),
+        (100, 1, 3)
+    ]
     used = {}
     for r in got:
         used[r["batch_number"]] = used.get(r["batch_number"], 0) + r["size"]
